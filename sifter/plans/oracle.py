@@ -148,3 +148,63 @@ SELECT query_id, rank, doc_id, score FROM (
   SELECT query_id, doc_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank1) AS rank FROM rr)
 WHERE rank <= 5"""
+
+
+def SENTS(expr: str) -> str:
+    """H2 sentence split as a DuckDB list expression."""
+    return (f"list_filter(list_transform(regexp_split_to_array({expr}, '[.!?]+'), "
+            f"lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')")
+
+
+SQL["split_sentences"] = f"""
+SELECT doc_id, CAST(sent_ord - 1 AS INTEGER) AS sent_ord, sentence FROM (
+  SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS sent_ord
+  FROM (SELECT doc_id, {SENTS('text')} AS s FROM documents))"""
+
+SQL["chunk_token_window"] = f"""
+WITH t AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS toks
+           FROM documents),
+w AS (SELECT doc_id, source, toks,
+             unnest(generate_series(0, CAST(greatest(0, ceil((len(toks) - 512) / CAST(462 AS DOUBLE))) * 462 AS BIGINT), 462)) AS st
+      FROM t WHERE len(toks) > 0)
+SELECT source AS kb_name, CAST(doc_id AS BIGINT) AS doc_id, CAST(st // 462 AS INTEGER) AS chunk_ord,
+       CAST(doc_id AS VARCHAR) || '#' || CAST(st // 462 AS VARCHAR) AS chunk_id,
+       array_to_string(toks[st + 1 : st + 512], ' ') AS text,
+       CAST(length(array_to_string(toks[st + 1 : st + 512], ' ')) AS INTEGER) AS chunk_size,
+       'token' AS chunk_strategy
+FROM w"""
+
+SQL["chunk_semantic"] = f"""
+WITH RECURSIVE
+s AS (SELECT doc_id, source, text, {SENTS('text')} AS sents FROM documents),
+single AS (SELECT doc_id, source, 0 AS chunk_no, text AS chunk_text FROM s WHERE len(sents) <= 1 AND text <> ''),
+multi AS (SELECT doc_id, source, unnest(sents) AS sentence, generate_subscripts(sents, 1) AS i
+          FROM s WHERE len(sents) > 1),
+sh AS (SELECT doc_id, i, h % 64 AS dim, CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END AS sg
+       FROM (SELECT doc_id, i, {THASH('t')} AS h
+             FROM (SELECT doc_id, i, unnest({TOK('sentence')}) AS t FROM multi))),
+sv AS (SELECT doc_id, i, dim, CAST(sum(sg) AS DOUBLE) AS w FROM sh GROUP BY doc_id, i, dim),
+sn AS (SELECT m.doc_id, m.i, sqrt(coalesce(sum(v.w * v.w), 0)) AS nrm
+       FROM multi m LEFT JOIN sv v ON v.doc_id = m.doc_id AND v.i = m.i GROUP BY m.doc_id, m.i),
+sd AS (SELECT a.doc_id, b.i, sum(a.w * b.w) AS dp FROM sv a JOIN sv b
+       ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.dim = b.dim GROUP BY a.doc_id, b.i),
+step AS (SELECT m.doc_id, m.i, length(m.sentence) AS len,
+                CASE WHEN p.nrm = 0 OR c.nrm = 0 THEN {D(0)} ELSE coalesce(sd.dp, {D(0)}) / (p.nrm * c.nrm) END AS sim
+         FROM multi m JOIN sn c ON c.doc_id = m.doc_id AND c.i = m.i
+         LEFT JOIN sn p ON p.doc_id = m.doc_id AND p.i = m.i - 1
+         LEFT JOIN sd ON sd.doc_id = m.doc_id AND sd.i = m.i),
+walk AS (
+  SELECT doc_id, i, len AS size, 0 AS chunk_no FROM step WHERE i = 1
+  UNION ALL
+  SELECT w.doc_id, st.i,
+         CASE WHEN (st.sim < {D(0.8)} OR w.size + st.len > 1024) AND w.size >= 256 THEN st.len ELSE w.size + st.len END,
+         CASE WHEN (st.sim < {D(0.8)} OR w.size + st.len > 1024) AND w.size >= 256 THEN w.chunk_no + 1 ELSE w.chunk_no END
+  FROM walk w JOIN step st ON st.doc_id = w.doc_id AND st.i = w.i + 1),
+chunks AS (SELECT m.doc_id, m.source, w.chunk_no, string_agg(m.sentence, ' ' ORDER BY m.i) AS chunk_text
+           FROM multi m JOIN walk w ON w.doc_id = m.doc_id AND w.i = m.i
+           GROUP BY m.doc_id, m.source, w.chunk_no),
+allc AS (SELECT * FROM chunks UNION ALL SELECT * FROM single)
+SELECT source AS kb_name, CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_no AS INTEGER) AS chunk_ord,
+       CAST(doc_id AS VARCHAR) || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id, chunk_text AS text,
+       CAST(length(chunk_text) AS INTEGER) AS chunk_size, 'semantic' AS chunk_strategy
+FROM allc"""

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.functions.text import tokenize
+from sifter.functions.text import split_sentences, tokenize
 from sifter.functions.vectors import l2_normalize, norm
+from sifter.operators import chunking as C
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
+from sifter.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,7 +29,9 @@ def register(name: str):
 
 
 def _doc_index(spark, sf):
-    return R.build_index(T.documents(spark, sf))
+    # The index feeds four sub-plans (stats, vocabulary, postings, vectors);
+    # it is written once to the shared checkpoint folder and read back.
+    return cut_lineage(R.build_index(T.documents(spark, sf)))
 
 
 def _qside(spark, sf, index):
@@ -134,8 +138,44 @@ def q_hybrid_alpha1(spark, sf):
 @register("hybrid_rerank_topk")
 def q_hybrid_rerank_topk(spark, sf):
     docs = T.documents(spark, sf)
-    idx = R.build_index(docs)
+    idx = cut_lineage(R.build_index(docs))
     qs = T.questions(spark, sf)
     qside = R.prepare_questions(idx, qs)
     return R.advanced_retrieval(idx, qside, qs, docs, k=5, use_hybrid=True, use_reranking=True,
                                 reranker_top_k=20, alpha=0.5)
+
+
+# ----------------------------------------------------------------- chunking
+
+@register("split_sentences")
+def q_split_sentences(spark, sf):
+    d = T.documents(spark, sf).select("doc_id", split_sentences("text").alias("s"))
+    return d.select("doc_id", F.posexplode("s").alias("sent_ord", "sentence")).select(
+        "doc_id", F.col("sent_ord").cast("int").alias("sent_ord"), "sentence")
+
+
+@register("chunk_token_window")
+def q_chunk_token_window(spark, sf):
+    docs = T.documents(spark, sf)
+    return C.token_chunks(docs, 512, 50, kb_col=F.col("source"))
+
+
+@register("chunk_semantic")
+def q_chunk_semantic(spark, sf):
+    docs = T.documents(spark, sf)
+    return C.semantic_chunks(docs, 512, 0.8, kb_col=F.col("source"))
+
+
+@register("chunk_recursive")
+def q_chunk_recursive(spark, sf):
+    docs = T.documents(spark, sf)
+    return C.recursive_chunks(docs, 512, 50, kb_col=F.col("source"))
+
+
+@register("chunk_recursive_stats")
+def q_chunk_recursive_stats(spark, sf):
+    ch = q_chunk_recursive(spark, sf)
+    return ch.groupBy("kb_name").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"),
+        F.max("chunk_size").alias("max_chunk_size"),
+        F.round(F.avg("chunk_size"), 6).alias("avg_chunk_size"))

@@ -36,3 +36,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 def literal_dimension(df: DataFrame) -> DataFrame:
     """Broadcast a table built from literals in code (fixed, tiny by construction)."""
     return F.broadcast(df)
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    Small inputs stored as one file/row group would otherwise run every
+    per-row operator in one task. On large inputs the scan already has more
+    partitions than cores and this is a no-op (no shuffle is added).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

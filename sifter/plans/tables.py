@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sifter.plans.sizing import ensure_parallelism
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
 
+# Tables whose rows carry per-row work (text, vectors, logs).
+_ROW_HEAVY = {"documents", "pages", "conversations", "events", "embeddings", "labels"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if name in _ROW_HEAVY else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
