@@ -208,3 +208,77 @@ SELECT source AS kb_name, CAST(doc_id AS BIGINT) AS doc_id, CAST(chunk_no AS INT
        CAST(doc_id AS VARCHAR) || '#' || CAST(chunk_no AS VARCHAR) AS chunk_id, chunk_text AS text,
        CAST(length(chunk_text) AS INTEGER) AS chunk_size, 'semantic' AS chunk_strategy
 FROM allc"""
+
+
+NL = "chr(10)"
+NL2 = "(chr(10) || chr(10))"
+
+
+def STRIP(expr: str) -> str:
+    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+
+
+_PAIRS = """
+pairs AS (SELECT * FROM (
+  SELECT conv_id, turn, role, text,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
+         max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS system_text
+  FROM conversations) WHERE role = 'user' AND next_role = 'assistant')"""
+
+SQL["format_instruction"] = f"""
+WITH {_PAIRS}
+SELECT conv_id, turn,
+  CASE WHEN system_text IS NOT NULL AND system_text <> ''
+       THEN '### Instruction:' || {NL} || text || {NL2} || '### Input:' || {NL} || system_text || {NL2} || '### Response:' || {NL} || coalesce(next_text, '')
+       ELSE '### Instruction:' || {NL} || text || {NL2} || '### Response:' || {NL} || coalesce(next_text, '') END AS text
+FROM pairs"""
+
+SQL["format_completion"] = f"""
+WITH {_PAIRS}
+SELECT conv_id, turn, coalesce(text, '') || coalesce(next_text, '') AS text FROM pairs"""
+
+SQL["format_chat"] = f"""
+SELECT conv_id, {STRIP(
+    "coalesce(string_agg(CASE WHEN role = 'system' THEN 'System: ' || text || " + NL2 + " END, '' ORDER BY turn DESC), '')"
+    " || coalesce(string_agg(CASE WHEN role = 'user' THEN 'Human: ' || text || " + NL2 +
+    " WHEN role = 'assistant' THEN 'Assistant: ' || text || " + NL2 + " END, '' ORDER BY turn), '')")} AS text
+FROM conversations GROUP BY conv_id"""
+
+SQL["chat_prompt"] = f"""
+SELECT conv_id,
+  coalesce(string_agg(CASE WHEN role = 'system' THEN 'System: ' || text WHEN role = 'user' THEN 'Human: ' || text
+                           WHEN role = 'assistant' THEN 'Assistant: ' || text END, {NL2} ORDER BY turn) || {NL2}, '')
+  || 'Assistant:' AS prompt
+FROM conversations GROUP BY conv_id"""
+
+SQL["format_classification"] = f"""
+SELECT d.doc_id, 'Text: ' || d.text || {NL} || 'Label: ' || CAST(l.quality AS VARCHAR) AS text
+FROM documents d JOIN labels l USING (doc_id)"""
+
+SQL["validate_training_set"] = """
+SELECT true AS ok, CAST(NULL AS VARCHAR) AS reason, CAST(count(*) AS BIGINT) AS rows
+FROM documents d JOIN labels l USING (doc_id)"""
+
+_SPLIT = """
+ranked AS (SELECT doc_id, row_number() OVER (
+             ORDER BY CAST(('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT), doc_id) AS r
+           FROM documents),
+k AS (SELECT round(count(*) * CAST(0.9 AS DOUBLE)) AS k FROM documents)"""
+
+SQL["train_split"] = f"WITH {_SPLIT} SELECT doc_id FROM ranked, k WHERE r <= k.k"
+SQL["eval_split"] = f"WITH {_SPLIT} SELECT doc_id FROM ranked, k WHERE r > k.k"
+
+SQL["pad_truncate"] = f"""
+WITH ids AS (SELECT doc_id, list_transform({TOK('text')}, lambda t: CAST(1 + {THASH('t')} % 31999 AS INTEGER)) AS ids
+             FROM documents),
+p AS (SELECT doc_id, least(len(ids), 128) AS n, list_resize(ids[1:128], 128, 0) AS padded FROM ids)
+SELECT doc_id, CAST(n AS INTEGER) AS n_real, array_to_string(padded, ',') AS input_ids,
+       array_to_string(list_transform(range(1, 129), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END), ',') AS attention_mask,
+       array_to_string(list_transform(range(1, 129), lambda i: CASE WHEN i <= n THEN padded[i] ELSE -100 END), ',') AS labels
+FROM p"""
+
+SQL["calibration_sample"] = f"""
+SELECT doc_id, text FROM (
+  SELECT doc_id, {STRIP('text')} AS text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 128))
+WHERE text IS NOT NULL AND text <> ''"""

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sifter.functions.text import split_sentences, tokenize
 from sifter.functions.vectors import l2_normalize, norm
+from sifter.functions import formatting as fmt
 from sifter.operators import chunking as C
+from sifter.operators import training_data as TD
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
 from sifter.session import cut_lineage
@@ -179,3 +181,101 @@ def q_chunk_recursive_stats(spark, sf):
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"),
         F.max("chunk_size").alias("max_chunk_size"),
         F.round(F.avg("chunk_size"), 6).alias("avg_chunk_size"))
+
+
+# ------------------------------------------------------------ training data
+
+def _turn_pairs(spark, sf) -> DataFrame:
+    """User turns with the next turn and the conversation's system text.
+
+    One window over conv_id (a shuffle by conversation) replaces a self-join.
+    """
+    conv = T.load(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    wall = Window.partitionBy("conv_id")
+    return (conv.select("conv_id", "turn", "role", "text",
+                        F.lead("role").over(w).alias("next_role"),
+                        F.lead("text").over(w).alias("next_text"),
+                        F.max(F.when(F.col("role") == "system", F.col("text"))).over(wall)
+                        .alias("system_text"))
+            .where((F.col("role") == "user") & (F.col("next_role") == "assistant")))
+
+
+@register("format_instruction")
+def q_format_instruction(spark, sf):
+    p = _turn_pairs(spark, sf)
+    return p.select("conv_id", "turn", fmt.instruction_text(
+        F.col("text"), F.col("system_text"), F.col("next_text")).alias("text"))
+
+
+@register("format_completion")
+def q_format_completion(spark, sf):
+    p = _turn_pairs(spark, sf)
+    return p.select("conv_id", "turn", fmt.completion_text(F.col("text"), F.col("next_text"))
+                    .alias("text"))
+
+
+def _messages(spark, sf) -> DataFrame:
+    """One row per conversation with its turns in order (a conversation is one group)."""
+    conv = T.load(spark, sf, "conversations")
+    return conv.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+                    lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+        .alias("messages"))
+
+
+@register("format_chat")
+def q_format_chat(spark, sf):
+    return _messages(spark, sf).select("conv_id", fmt.chat_text("messages").alias("text"))
+
+
+@register("chat_prompt")
+def q_chat_prompt(spark, sf):
+    return _messages(spark, sf).select("conv_id", fmt.chat_prompt("messages").alias("prompt"))
+
+
+def _classification_rows(spark, sf) -> DataFrame:
+    docs = T.documents(spark, sf).select("doc_id", "text")
+    labels = T.load(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return docs.join(labels, "doc_id")
+
+
+@register("format_classification")
+def q_format_classification(spark, sf):
+    rows = _classification_rows(spark, sf)
+    return rows.select("doc_id", fmt.classification_text("text", "label").alias("text"))
+
+
+@register("validate_training_set")
+def q_validate_training_set(spark, sf):
+    rows = TD.to_training_columns(_classification_rows(spark, sf))
+    return TD.validate_classification(rows).select(
+        "ok", "reason", F.col("rows").cast("bigint").alias("rows"))
+
+
+@register("train_split")
+def q_train_split(spark, sf):
+    s = TD.exact_split(T.documents(spark, sf).select("doc_id"), "doc_id", 0.1, 42)
+    return s.where(F.col("split") == "train").select("doc_id")
+
+
+@register("eval_split")
+def q_eval_split(spark, sf):
+    docs = T.documents(spark, sf).select("doc_id")
+    train = q_train_split(spark, sf)
+    return docs.join(train, "doc_id", "left_anti")
+
+
+@register("pad_truncate")
+def q_pad_truncate(spark, sf):
+    t = TD.tokenize_fixed(T.documents(spark, sf), "text", 128, keep=["doc_id"])
+    return t.select("doc_id",
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("int").alias("n_real"),
+                    F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"),
+                    F.array_join("labels", ",").alias("labels"))
+
+
+@register("calibration_sample")
+def q_calibration_sample(spark, sf):
+    return TD.calibration_sample(T.documents(spark, sf).select("doc_id", "text"), "doc_id", 128)
