@@ -282,3 +282,95 @@ SQL["calibration_sample"] = f"""
 SELECT doc_id, text FROM (
   SELECT doc_id, {STRIP('text')} AS text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 128))
 WHERE text IS NOT NULL AND text <> ''"""
+
+
+def _case_map(mapping: dict, col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
+
+
+_EVENT_TASK = {"click": "hellaswag", "view": "arc_easy", "purchase": "gsm8k", "signup": "mmlu",
+               "error": "error_rate"}
+_EVENT_LOG_KEY = {"click": "train_loss", "view": "eval_accuracy", "purchase": "eval_f1_macro",
+                  "signup": "train_runtime", "error": "eval_loss"}
+
+_EV = f"""
+ev AS (SELECT event_id, ts, user_id, event_type, value, props,
+              'org/model_' || CAST(user_id % 4 AS VARCHAR) AS model,
+              {_case_map(_EVENT_TASK, 'event_type')} AS task,
+              CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
+pt AS (SELECT model, task, avg(value) AS value_mean, avg(k) AS k_mean FROM ev GROUP BY model, task),
+lng AS (SELECT model, task, 'value_mean' AS metric, value_mean AS value FROM pt
+        UNION ALL SELECT model, task, 'k_mean', k_mean FROM pt)"""
+
+SQL["results_flatten"] = f"WITH {_EV} SELECT model, task, metric, round(value, 6) AS value FROM lng"
+
+SQL["results_pivot"] = f"""WITH {_EV}
+SELECT model, task, round(k_mean, 6) AS k_mean, round(value_mean, 6) AS value_mean FROM pt"""
+
+SQL["best_performer"] = f"""WITH {_EV}
+SELECT task || '_' || metric AS task_metric, split_part(arg_min(model, (-value, model)), '/', -1) AS best_model,
+       round(arg_min(value, (-value, model)), 6) AS value
+FROM lng GROUP BY task, metric"""
+
+SQL["model_compare"] = f"""WITH {_EV}
+SELECT model,
+""" + ",\n".join(
+    f"  round(max(CASE WHEN task = '{t}' THEN {m} END), 6) AS {t}_{m}"
+    for t in ["hellaswag", "arc_easy", "gsm8k", "mmlu"] for m in ["k_mean", "value_mean"]) + """
+FROM pt GROUP BY model"""
+
+SQL["results_report"] = f"""WITH {_EV}
+SELECT model, task AS Task, metric AS Metric, printf('%.4f', value) AS Value FROM lng"""
+
+SQL["task_categories"] = f"""WITH {_EV}
+SELECT DISTINCT task, CASE WHEN task IN ('hellaswag', 'arc_easy', 'arc_challenge', 'winogrande', 'piqa') THEN 'standard'
+                  WHEN task IN ('mathqa', 'gsm8k') THEN 'reasoning'
+                  WHEN task IN ('mmlu', 'truthfulqa_mc1', 'truthfulqa_mc2') THEN 'knowledge'
+                  ELSE 'other' END AS category
+FROM pt"""
+
+_SUITES = {
+    "standard": ["hellaswag", "arc_easy", "arc_challenge", "winogrande", "piqa"],
+    "reasoning": ["hellaswag", "arc_challenge", "winogrande", "mathqa", "gsm8k"],
+    "knowledge": ["arc_easy", "arc_challenge", "mmlu", "truthfulqa_mc1", "truthfulqa_mc2"],
+    "comprehensive": ["hellaswag", "arc_easy", "arc_challenge", "winogrande", "piqa", "mmlu",
+                      "truthfulqa_mc1", "gsm8k"],
+}
+SQL["suite_expand"] = f"""WITH {_EV},
+s(suite, pos, task) AS (VALUES """ + ", ".join(
+    f"('{s}', {i}, '{t}')" for s, ts in _SUITES.items() for i, t in enumerate(ts)) + """)
+SELECT s.suite, CAST(s.pos AS INTEGER) AS pos, s.task,
+       EXISTS (SELECT 1 FROM pt WHERE pt.task = s.task) AS has_results
+FROM s"""
+
+SQL["metric_last_value"] = """
+SELECT user_id, event_type, value AS last_value, event_id AS last_event_id FROM (
+  SELECT user_id, event_type, value, event_id,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r
+  FROM events) WHERE r = 1"""
+
+SQL["run_duration"] = """
+SELECT user_id, round(epoch(max(ts)) - epoch(min(ts)), 6) AS duration_sec, count(*) AS n_values,
+       arg_max(value, (ts, event_id)) AS final_value
+FROM events GROUP BY user_id"""
+
+SQL["latency_stats"] = f"""WITH {_EV}
+SELECT model, round(avg(value), 6) AS avg_time, round(min(value), 6) AS min_time, round(max(value), 6) AS max_time,
+       round(avg(CASE WHEN value > 0 THEN k / value ELSE {D(0)} END), 6) AS avg_tokens_per_second,
+       CAST(count(*) AS BIGINT) AS runs
+FROM ev GROUP BY model"""
+
+SQL["log_regex_metrics"] = f"""
+WITH l AS (SELECT user_id AS run, ts, event_id,
+                  '{{''' || {_case_map(_EVENT_LOG_KEY, 'event_type')} || ''': ' || CAST(value AS VARCHAR)
+                  || ', ''step'': ' || CAST(event_id AS VARCHAR) || '}}' AS line FROM events),
+x AS (SELECT run, ts, event_id, """ + ", ".join(
+    f"CAST(nullif(regexp_extract(line, '''{m}'':\\s*([\\d.]+)', 1), '') AS DOUBLE) AS {m}"
+    for m in ["train_loss", "train_runtime", "eval_accuracy", "eval_f1_macro", "eval_loss"]) + """ FROM l)
+SELECT run,
+  arg_min(train_loss, (ts, event_id)) FILTER (WHERE train_loss IS NOT NULL) AS final_train_loss,
+  arg_min(train_runtime, (ts, event_id)) FILTER (WHERE train_runtime IS NOT NULL) AS train_runtime,
+  arg_max(eval_accuracy, (ts, event_id)) FILTER (WHERE eval_accuracy IS NOT NULL) AS eval_accuracy,
+  arg_max(eval_f1_macro, (ts, event_id)) FILTER (WHERE eval_f1_macro IS NOT NULL) AS eval_f1_macro,
+  arg_max(eval_loss, (ts, event_id)) FILTER (WHERE eval_loss IS NOT NULL) AS eval_loss
+FROM x GROUP BY run"""

@@ -15,6 +15,7 @@ from sifter.functions.text import split_sentences, tokenize
 from sifter.functions.vectors import l2_normalize, norm
 from sifter.functions import formatting as fmt
 from sifter.operators import chunking as C
+from sifter.operators import results as RS
 from sifter.operators import training_data as TD
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
@@ -279,3 +280,127 @@ def q_pad_truncate(spark, sf):
 @register("calibration_sample")
 def q_calibration_sample(spark, sf):
     return TD.calibration_sample(T.documents(spark, sf).select("doc_id", "text"), "doc_id", 128)
+
+
+# ----------------------------------------------------------------- results
+# Benchmark results are derived from ``events``: the user bucket is the model,
+# the event type (mapped to a benchmark task name) is the task, and the mean
+# event value / mean JSON ``k`` are the metrics.
+
+EVENT_TASK = {"click": "hellaswag", "view": "arc_easy", "purchase": "gsm8k", "signup": "mmlu",
+              "error": "error_rate"}
+EVENT_LOG_KEY = {"click": "train_loss", "view": "eval_accuracy", "purchase": "eval_f1_macro",
+                 "signup": "train_runtime", "error": "eval_loss"}
+N_MODELS = 4
+COMPARE_TASKS = ["hellaswag", "arc_easy", "gsm8k", "mmlu"]
+RESULT_METRICS = ["k_mean", "value_mean"]
+
+
+def _map_col(mapping: dict[str, str], col: str):
+    expr = F.lit(None).cast("string")
+    for k, v in reversed(list(mapping.items())):
+        expr = F.when(F.col(col) == k, F.lit(v)).otherwise(expr)
+    return expr
+
+
+def _events(spark, sf):
+    e = T.load(spark, sf, "events")
+    return e.select("event_id", "ts", "user_id", "event_type", "value", "props",
+                    F.concat(F.lit("org/model_"), F.pmod("user_id", F.lit(N_MODELS)).cast("string"))
+                    .alias("model"),
+                    _map_col(EVENT_TASK, "event_type").alias("task"),
+                    F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+def _results_docs(spark, sf):
+    """One results JSON document per model (numbers as JSON numbers, plus a
+    string ``alias`` metric that the numeric filter must drop)."""
+    per_task = _events(spark, sf).groupBy("model", "task").agg(
+        F.avg("value").alias("value_mean"), F.avg("k").alias("k_mean"))
+    doc = per_task.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(
+        "task", F.struct(F.col("task").alias("alias"), "value_mean", "k_mean")))).alias("results"))
+    return doc.select("model", F.to_json(F.struct(
+        "results", F.create_map(F.lit("model"), F.col("model")).alias("config"))).alias("json"))
+
+
+def _results_long(spark, sf):
+    return RS.flatten_results(_results_docs(spark, sf), "json", "model")
+
+
+@register("results_flatten")
+def q_results_flatten(spark, sf):
+    return _results_long(spark, sf).withColumn("value", F.round("value", 6))
+
+
+@register("results_pivot")
+def q_results_pivot(spark, sf):
+    w = RS.results_wide(_results_long(spark, sf), RESULT_METRICS)
+    return w.select("model", "task", *[F.round(m, 6).alias(m) for m in RESULT_METRICS])
+
+
+@register("best_performer")
+def q_best_performer(spark, sf):
+    return RS.best_performers(_results_long(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@register("model_compare")
+def q_model_compare(spark, sf):
+    w = RS.compare_models(_results_long(spark, sf), COMPARE_TASKS, RESULT_METRICS)
+    return w.select("model", *[F.round(c, 6).alias(c) for c in w.columns if c != "model"])
+
+
+@register("results_report")
+def q_results_report(spark, sf):
+    return RS.report_rows(_results_long(spark, sf))
+
+
+@register("task_categories")
+def q_task_categories(spark, sf):
+    return RS.categorize_tasks(_results_long(spark, sf), spark)
+
+
+@register("suite_expand")
+def q_suite_expand(spark, sf):
+    tasks = _results_long(spark, sf).select("task").distinct()
+    suites = RS.suite_dimension(spark)
+    flagged = suites.join(tasks.withColumn("has_results", F.lit(True)), "task", "left")
+    return flagged.select("suite", "pos", "task",
+                          F.coalesce("has_results", F.lit(False)).alias("has_results"))
+
+
+@register("metric_last_value")
+def q_metric_last_value(spark, sf):
+    e = _events(spark, sf).withColumn("step", F.struct("ts", "event_id"))
+    r = RS.last_values(e, "user_id", "step", "event_type", "value")
+    return r.select("user_id", "event_type", "last_value",
+                    F.col("last_step.event_id").alias("last_event_id"))
+
+
+@register("run_duration")
+def q_run_duration(spark, sf):
+    e = _events(spark, sf).withColumn("step", F.struct("ts", "event_id"))
+    r = e.groupBy("user_id").agg(
+        F.round((F.max(F.unix_micros(F.col("ts").cast("timestamp")))
+                 - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6, 6).alias("duration_sec"),
+        F.count(F.lit(1)).alias("n_values"), F.max_by("value", "step").alias("final_value"))
+    return r
+
+
+@register("latency_stats")
+def q_latency_stats(spark, sf):
+    runs = _events(spark, sf).select("model", F.col("value").alias("total_time"),
+                                     F.col("k").alias("tokens_generated"))
+    r = RS.latency_stats(runs)
+    return r.select("model", *[F.round(c, 6).alias(c) for c in
+                               ["avg_time", "min_time", "max_time", "avg_tokens_per_second"]],
+                    F.col("runs").cast("bigint").alias("runs"))
+
+
+@register("log_regex_metrics")
+def q_log_regex_metrics(spark, sf):
+    e = _events(spark, sf)
+    lines = e.select(F.col("user_id").alias("run"), F.struct("ts", "event_id").alias("ts"),
+                     F.format_string("{'%s': %s, 'step': %d}", _map_col(EVENT_LOG_KEY, "event_type"),
+                                     F.col("value").cast("string"), F.col("event_id")).alias("line"))
+    return RS.log_line_metrics(lines, "run", "ts", "line").select(
+        "run", "final_train_loss", "train_runtime", "eval_accuracy", "eval_f1_macro", "eval_loss")
