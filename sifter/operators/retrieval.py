@@ -46,90 +46,124 @@ class BM25Params:
     epsilon: float = BM25_EPSILON
 
 
+def _g(group_col: str | None) -> list[str]:
+    return [group_col] if group_col else []
+
+
+def _join_side(big: DataFrame, small: DataFrame, group_col: str | None) -> DataFrame:
+    """Attach the (checked, usually broadcast) question side to every row of
+    ``big``: a nested-loop join without groups, an equi-join on the group
+    (knowledge base) otherwise."""
+    side = bounded_broadcast(small)
+    return big.join(side, group_col) if group_col else big.crossJoin(side)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                embedding_col: str | None = None) -> DataFrame:
-    """Per-document index row: ``doc_id, dl, tf, vec, vnorm`` (no shuffle).
+                embedding_col: str | None = None, group_col: str | None = None) -> DataFrame:
+    """Per-document index row: ``[group,] doc_id, dl, tf, vec, vnorm`` (no shuffle).
 
     ``vec`` is the supplied embedding column, or the hashed embedding counts.
+    ``group_col`` (e.g. ``kb_name``) makes every statistic and ranking per group.
     Persist the result as a table to reuse it across question batches.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col).alias("_toks"),
+    toks = docs.select(*_g(group_col), F.col(id_col).alias("doc_id"),
+                       tokenize(text_col).alias("_toks"),
                        *([F.col(embedding_col).cast("array<double>").alias("vec")]
                          if embedding_col else []))
     vec = F.col("vec") if embedding_col else hashed_counts("_toks")
     return toks.select(
-        "doc_id",
+        *_g(group_col), "doc_id",
         F.size("_toks").alias("dl"),
         term_frequencies("_toks").alias("tf"),
         vec.alias("vec"),
     ).withColumn("vnorm", norm("vec"))
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """One row ``n_docs, avgdl`` (empty documents included)."""
-    return index.agg(F.count(F.lit(1)).alias("n_docs"),
-                     F.avg(F.col("dl").cast("double")).alias("avgdl"))
+def corpus_stats(index: DataFrame, group_col: str | None = None) -> DataFrame:
+    """``[group,] n_docs, avgdl`` (empty documents included)."""
+    return index.groupBy(*_g(group_col)).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    """``term, df`` over the whole vocabulary (partial+final aggregation)."""
-    return (index.select(F.explode(F.map_keys("tf")).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+def document_frequency(index: DataFrame, group_col: str | None = None) -> DataFrame:
+    """``[group,] term, df`` over the whole vocabulary (partial+final aggregation)."""
+    return (index.select(*_g(group_col), F.explode(F.map_keys("tf")).alias("term"))
+            .groupBy(*_g(group_col), "term").agg(F.count(F.lit(1)).alias("df")))
 
 
 def _raw_idf(df_col: Column, n_col: Column) -> Column:
     return F.log(n_col - df_col + 0.5) - F.log(df_col + 0.5)
 
 
-def idf_floor(index: DataFrame, params: BM25Params = BM25Params()) -> DataFrame:
-    """One row: ``n_docs, avgdl, eps_idf`` with eps_idf = epsilon * mean raw idf."""
-    stats = corpus_stats(index)
-    dfs = document_frequency(index)
-    mean_idf = (dfs.crossJoin(F.broadcast(stats.select("n_docs")))
+def idf_floor(index: DataFrame, params: BM25Params = BM25Params(),
+              group_col: str | None = None) -> DataFrame:
+    """``[group,] n_docs, avgdl, eps_idf`` with eps_idf = epsilon * mean raw idf.
+
+    One row per group: the number of groups (knowledge bases) is a catalog
+    size, so these rows are broadcast.
+    """
+    stats = corpus_stats(index, group_col)
+    dfs = document_frequency(index, group_col)
+    n = F.broadcast(stats.select(*_g(group_col), "n_docs"))
+    mean_idf = ((dfs.join(n, group_col) if group_col else dfs.crossJoin(n))
+                .groupBy(*_g(group_col))
                 .agg(F.avg(_raw_idf(F.col("df"), F.col("n_docs"))).alias("mean_idf")))
-    return (stats.crossJoin(F.broadcast(mean_idf))
-            .select("n_docs", "avgdl",
-                    (F.lit(params.epsilon) * F.coalesce(F.col("mean_idf"), F.lit(0.0)))
-                    .alias("eps_idf")))
+    joined = (stats.join(F.broadcast(mean_idf), group_col, "left") if group_col
+              else stats.crossJoin(F.broadcast(mean_idf)))
+    return joined.select(*_g(group_col), "n_docs", "avgdl",
+                         (F.lit(params.epsilon) * F.coalesce(F.col("mean_idf"), F.lit(0.0)))
+                         .alias("eps_idf"))
 
 
 def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "question_id",
                       text_col: str = "question", params: BM25Params = BM25Params(),
-                      embedding_col: str | None = None) -> DataFrame:
-    """One row per question with everything scoring needs.
+                      embedding_col: str | None = None, group_col: str | None = None,
+                      groups: DataFrame | None = None) -> DataFrame:
+    """One row per question (per group) with everything scoring needs.
 
-    ``query_id, qtoks, qterms ARRAY<STRUCT<term, w>>, qvec, qnorm, n_docs, avgdl``
+    ``[group,] query_id, qtoks, qterms ARRAY<STRUCT<term, w>>, qvec, qnorm, n_docs, avgdl``
     where ``w = query-term count * idf`` (repeated query terms count repeatedly;
-    unknown terms have idf 0 and are left out).
+    unknown terms have idf 0 and are left out). With ``group_col`` every
+    question is asked of every group (C9: groups x questions), unless the
+    questions already carry the group column.
     """
-    q = questions.select(F.col(id_col).alias("query_id"), tokenize(text_col).alias("qtoks"),
+    q = questions.select(*([F.col(group_col)] if group_col and group_col in questions.columns
+                           else []),
+                         F.col(id_col).alias("query_id"), tokenize(text_col).alias("qtoks"),
                          *([F.col(embedding_col).cast("array<double>").alias("qvec")]
                            if embedding_col else []))
     if not embedding_col:
         q = q.withColumn("qvec", hashed_counts("qtoks"))
     q = q.withColumn("qnorm", norm("qvec"))
+    if group_col and group_col not in questions.columns:
+        g = groups if groups is not None else index.select(group_col).distinct()
+        q = bounded_broadcast(g.select(group_col)).crossJoin(q)
     # One size check on the question table: question count and total tokens
     # bound every question-side table derived below.
     n_q, n_tok = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qtoks")), F.lit(0))).first()
     q = bounded_broadcast(mark_bounded(q, n_q))
-    glob = F.broadcast(idf_floor(index, params))
-    qt = (q.select("query_id", F.explode("qtoks").alias("term"))
-          .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    glob = F.broadcast(idf_floor(index, params, group_col))
+    keys = _g(group_col) + ["query_id"]
+    qt = (q.select(*keys, F.explode("qtoks").alias("term"))
+          .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
     # Vocabulary x (small, checked) query terms: only matching terms survive.
-    dfs = document_frequency(index).join(bounded_broadcast(mark_bounded(qt, n_tok)), "term")
-    weighted = (dfs.crossJoin(glob)
+    dfs = document_frequency(index, group_col).join(
+        bounded_broadcast(mark_bounded(qt, n_tok)), _g(group_col) + ["term"])
+    weighted = ((dfs.join(glob, group_col) if group_col else dfs.crossJoin(glob))
                 .withColumn("raw", _raw_idf(F.col("df"), F.col("n_docs")))
                 .withColumn("idf", F.when(F.col("raw") < 0, F.col("eps_idf"))
                             .otherwise(F.col("raw")))
-                .groupBy("query_id")
+                .groupBy(*keys)
                 .agg(F.array_sort(F.collect_list(
                     F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("qterms")))
-    out = (q.join(weighted, "query_id", "left").crossJoin(glob)
-           .select("query_id", "qtoks",
-                   F.coalesce("qterms", F.array().cast("array<struct<term:string,w:double>>"))
-                   .alias("qterms"),
-                   "qvec", "qnorm", "n_docs", "avgdl"))
+    base = q.join(weighted, keys, "left")
+    base = base.join(glob, group_col, "left") if group_col else base.crossJoin(glob)
+    out = base.select(*keys, "qtoks",
+                      F.coalesce("qterms", F.array().cast("array<struct<term:string,w:double>>"))
+                      .alias("qterms"),
+                      "qvec", "qnorm", "n_docs", "avgdl")
     out._sifter_terms = n_tok  # type: ignore[attr-defined]
+    out._sifter_group = group_col  # type: ignore[attr-defined]
     return mark_bounded(out, n_q)
 
 
@@ -139,6 +173,10 @@ def _keep_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
     return mark_bounded(derived, n) if n is not None else derived
 
 
+def _group_of(qside: DataFrame) -> str | None:
+    return getattr(qside, "_sifter_group", None)
+
+
 def bm25_hits(index: DataFrame, qside: DataFrame, params: BM25Params = BM25Params()) -> DataFrame:
     """BM25 of every (question, document) pair sharing at least one term.
 
@@ -147,17 +185,19 @@ def bm25_hits(index: DataFrame, qside: DataFrame, params: BM25Params = BM25Param
     partial+final aggregation. Pairs without a shared term score 0 and are
     not materialised.
     """
+    group_col = _group_of(qside)
     k1, b = params.k1, params.b
-    qterms = qside.select("query_id", "avgdl", F.explode("qterms").alias("qt")).select(
-        "query_id", "avgdl", F.col("qt.term").alias("term"), F.col("qt.w").alias("w"))
-    qterms = bounded_broadcast(mark_bounded(qterms, getattr(qside, "_sifter_terms", None))
-                               if hasattr(qside, "_sifter_terms") else qterms)
-    post = index.select("doc_id", "dl", F.explode("tf").alias("term", "tf"))
+    keys = _g(group_col) + ["query_id"]
+    qterms = qside.select(*keys, "avgdl", F.explode("qterms").alias("qt")).select(
+        *keys, "avgdl", F.col("qt.term").alias("term"), F.col("qt.w").alias("w"))
+    n_terms = getattr(qside, "_sifter_terms", None)
+    qterms = bounded_broadcast(mark_bounded(qterms, n_terms) if n_terms is not None else qterms)
+    post = index.select(*_g(group_col), "doc_id", "dl", F.explode("tf").alias("term", "tf"))
     tf = F.col("tf").cast("double")
     contrib = F.col("w") * (tf * (k1 + 1)) / (
         tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return (post.join(qterms, "term")
-            .groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("bm25")))
+    return (post.join(qterms, _g(group_col) + ["term"])
+            .groupBy(*keys, "doc_id").agg(F.sum(contrib).alias("bm25")))
 
 
 def _zero_fill(index: DataFrame, qside: DataFrame, k: int) -> DataFrame:
@@ -165,26 +205,35 @@ def _zero_fill(index: DataFrame, qside: DataFrame, k: int) -> DataFrame:
 
     A question with fewer than k hits is completed by the smallest ids without
     a hit; at most k-1 of the first 2k-1 ids can be hits, so 2k ids suffice.
-    The id list is a global top-2k (bounded), the question list is checked.
+    The id list is a top-2k per group (bounded), the question list is checked.
     """
-    first_ids = F.broadcast(index.select("doc_id").orderBy("doc_id").limit(2 * k))
-    return bounded_broadcast(_keep_bound(qside.select("query_id"), qside)).crossJoin(first_ids).select(
-        "query_id", "doc_id", F.lit(0.0).alias("bm25"))
+    group_col = _group_of(qside)
+    if group_col:
+        w = Window.partitionBy(group_col).orderBy("doc_id")
+        first_ids = F.broadcast(index.select(group_col, "doc_id")
+                                .withColumn("_r", F.row_number().over(w))
+                                .where(F.col("_r") <= 2 * k).drop("_r"))
+    else:
+        first_ids = F.broadcast(index.select("doc_id").orderBy("doc_id").limit(2 * k))
+    qs = bounded_broadcast(_keep_bound(qside.select(*_g(group_col), "query_id"), qside))
+    pairs = qs.join(first_ids, group_col) if group_col else qs.crossJoin(first_ids)
+    return pairs.select(*_g(group_col), "query_id", "doc_id", F.lit(0.0).alias("bm25"))
 
 
 def semantic_pairs(index: DataFrame, qside: DataFrame) -> DataFrame:
-    """Cosine of every (question, document) pair.
+    """Cosine of every (question, document) pair (of the same group).
 
     The question side is broadcast behind a size check; the collection streams
-    once through a nested-loop join, so no pair is shuffled for scoring.
+    once through the join, so no pair is shuffled for scoring.
     """
-    pairs = index.crossJoin(bounded_broadcast(
-        _keep_bound(qside.select("query_id", "qvec", "qnorm"), qside)))
-    return pairs.select("query_id", "doc_id",
+    group_col = _group_of(qside)
+    side = _keep_bound(qside.select(*_g(group_col), "query_id", "qvec", "qnorm"), qside)
+    pairs = _join_side(index, side, group_col)
+    return pairs.select(*_g(group_col), "query_id", "doc_id",
                         cosine_with_norms("qvec", "vec", "qnorm", "vnorm").alias("semantic"))
 
 
-def top_k(scored: DataFrame, k: int, score_col: str = "score", part_col: str = "query_id",
+def top_k(scored: DataFrame, k: int, score_col: str = "score", part_col="query_id",
           id_col: str = "doc_id", digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Rank 1..k per question by score desc, id asc (ties are certain).
 
@@ -192,27 +241,34 @@ def top_k(scored: DataFrame, k: int, score_col: str = "score", part_col: str = "
     not depend on floating-point summation order. ``row_number() <= k`` is
     planned as a partial WindowGroupLimit before the exchange.
     """
+    parts = part_col if isinstance(part_col, list) else [part_col]
     s = F.round(score_col, digits) if digits is not None else F.col(score_col)
-    w = Window.partitionBy(part_col).orderBy(F.desc(score_col), F.asc(id_col))
+    w = Window.partitionBy(*parts).orderBy(F.desc(score_col), F.asc(id_col))
     return (scored.withColumn(score_col, s)
             .withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))
 
 
+def _keys(qside: DataFrame) -> list[str]:
+    return _g(_group_of(qside)) + ["query_id"]
+
+
 def bm25_topk(index: DataFrame, qside: DataFrame, k: int = DEFAULT_TOP_K,
               params: BM25Params = BM25Params()) -> DataFrame:
-    """J4 keyword search: ``query_id, rank, doc_id, score`` (zero scores fill short lists)."""
+    """J4 keyword search: ``[group,] query_id, rank, doc_id, score`` (zero scores fill short lists)."""
+    keys = _keys(qside)
     hits = bm25_hits(index, qside, params)
-    fill = _zero_fill(index, qside, k).join(hits.select("query_id", "doc_id"),
-                                              ["query_id", "doc_id"], "left_anti")
+    fill = _zero_fill(index, qside, k).join(hits.select(*keys, "doc_id"), keys + ["doc_id"],
+                                              "left_anti")
     scored = hits.unionByName(fill).withColumnRenamed("bm25", "score")
-    return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
+    return top_k(scored, k, part_col=keys).select(*keys, "rank", "doc_id", "score")
 
 
 def semantic_topk(index: DataFrame, qside: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """J3 semantic search with the true cosine (not the constant 1.0)."""
-    return top_k(semantic_pairs(index, qside).withColumnRenamed("semantic", "score"), k).select(
-        "query_id", "rank", "doc_id", "score")
+    keys = _keys(qside)
+    return top_k(semantic_pairs(index, qside).withColumnRenamed("semantic", "score"), k,
+                 part_col=keys).select(*keys, "rank", "doc_id", "score")
 
 
 def _minmax(col: str) -> Column:
@@ -230,26 +286,29 @@ def hybrid_scores(index: DataFrame, qside: DataFrame, alpha: float = HYBRID_ALPH
     per-question ranges are a partial+final aggregate (one row per question)
     and the shuffled pair table is reused for the final projection.
     """
+    keys = _keys(qside)
     sem = semantic_pairs(index, qside).select(
-        "query_id", "doc_id", F.lit(None).cast("double").alias("bm25"), "semantic")
+        *keys, "doc_id", F.lit(None).cast("double").alias("bm25"), "semantic")
     hits = bm25_hits(index, qside, params).select(
-        "query_id", "doc_id", "bm25", F.lit(None).cast("double").alias("semantic"))
-    pairs = sem.unionByName(hits).groupBy("query_id", "doc_id").agg(
+        *keys, "doc_id", "bm25", F.lit(None).cast("double").alias("semantic"))
+    pairs = sem.unionByName(hits).groupBy(*keys, "doc_id").agg(
         F.coalesce(F.sum("bm25"), F.lit(0.0)).alias("bm25"), F.max("semantic").alias("semantic"))
-    ranges = pairs.groupBy("query_id").agg(
+    ranges = pairs.groupBy(*keys).agg(
         F.min("bm25").alias("bm25_min"), F.max("bm25").alias("bm25_max"),
         F.min("semantic").alias("semantic_min"), F.max("semantic").alias("semantic_max"))
-    return (pairs.join(F.broadcast(ranges), "query_id")
-            .select("query_id", "doc_id", "bm25", "semantic",
+    ranges = bounded_broadcast(_keep_bound(ranges, qside))
+    return (pairs.join(ranges, keys)
+            .select(*keys, "doc_id", "bm25", "semantic",
                     ((F.lit(1.0 - alpha) * _minmax("bm25"))
                      + (F.lit(alpha) * _minmax("semantic"))).alias("score")))
 
 
 def hybrid_topk(index: DataFrame, qside: DataFrame, k: int = DEFAULT_TOP_K,
                 alpha: float = HYBRID_ALPHA, params: BM25Params = BM25Params()) -> DataFrame:
-    """J5 + F2: ``query_id, rank, doc_id, score``."""
-    return top_k(hybrid_scores(index, qside, alpha, params), k).select(
-        "query_id", "rank", "doc_id", "score")
+    """J5 + F2: ``[group,] query_id, rank, doc_id, score``."""
+    keys = _keys(qside)
+    return top_k(hybrid_scores(index, qside, alpha, params), k, part_col=keys).select(
+        *keys, "rank", "doc_id", "score")
 
 
 def token_overlap_score(question: Column, text: Column) -> Column:
@@ -261,25 +320,26 @@ def token_overlap_score(question: Column, text: Column) -> Column:
 
 def rerank(candidates: DataFrame, questions: DataFrame, docs: DataFrame, k: int = DEFAULT_TOP_K,
            scorer=token_overlap_score, q_id: str = "question_id", q_text: str = "question",
-           d_id: str = "doc_id", d_text: str = "text") -> DataFrame:
+           d_id: str = "doc_id", d_text: str = "text", group_col: str | None = None) -> DataFrame:
     """Score (question, text) pairs of the candidates, sort desc, keep k.
 
     Ties keep the first-stage order. Document text is fetched late (C8): the
     candidate list (k' rows per question, checked) is broadcast into a scan
     of the documents, so text never enters a shuffle.
     """
+    keys = _g(group_col) + ["query_id"]
     cand = bounded_broadcast(_keep_bound(
-        candidates.select("query_id", "doc_id", F.col("rank").alias("rank1")), candidates))
-    with_text = docs.select(F.col(d_id).alias("doc_id"), F.col(d_text).alias("_text")).join(
-        cand, "doc_id")
+        candidates.select(*keys, "doc_id", F.col("rank").alias("rank1")), candidates))
+    with_text = docs.select(*_g(group_col), F.col(d_id).alias("doc_id"),
+                            F.col(d_text).alias("_text")).join(cand, _g(group_col) + ["doc_id"])
     qs = bounded_broadcast(questions.select(F.col(q_id).alias("query_id"),
                                             F.col(q_text).alias("_question")))
     scored = with_text.join(qs, "query_id").select(
-        "query_id", "doc_id", "rank1",
+        *keys, "doc_id", "rank1",
         F.round(scorer(F.col("_question"), F.col("_text")), SCORE_DIGITS).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank1"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("rank1"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "doc_id", "score", "rank1"))
+            .select(*keys, "rank", "doc_id", "score", "rank1"))
 
 
 def advanced_retrieval(index: DataFrame, qside: DataFrame, questions: DataFrame,
@@ -297,7 +357,8 @@ def advanced_retrieval(index: DataFrame, qside: DataFrame, questions: DataFrame,
     n_q = getattr(qside, "_sifter_rows", None)
     if n_q is not None:
         first = mark_bounded(first, n_q * first_k)  # at most k' rows per question
-    return rerank(first, questions, docs, k, scorer, q_id=q_id, q_text=q_text).drop("rank1")
+    return rerank(first, questions, docs, k, scorer, q_id=q_id, q_text=q_text,
+                  group_col=_group_of(qside)).drop("rank1")
 
 
 def search_method_description(use_hybrid: Column, alpha: Column, use_reranking: Column,
