@@ -29,9 +29,13 @@ def norm(a) -> Column:
 
 
 def cosine(a, b) -> Column:
-    """Cosine similarity in DOUBLE; a zero vector gives 0."""
-    na, nb = norm(a), norm(b)
-    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+    """Cosine similarity in DOUBLE; a zero vector gives 0.
+
+    Both operands and norms are bound once (they may be whole embedding
+    expressions)."""
+    return let(_c(a), lambda x: let(_c(b), lambda y: let(norm(x), lambda na: let(
+        norm(y), lambda nb: F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(
+            dot(x, y) / (na * nb))))))
 
 
 def cosine_with_norms(a, b, na, nb) -> Column:

@@ -374,3 +374,192 @@ SELECT run,
   arg_max(eval_f1_macro, (ts, event_id)) FILTER (WHERE eval_f1_macro IS NOT NULL) AS eval_f1_macro,
   arg_max(eval_loss, (ts, event_id)) FILTER (WHERE eval_loss IS NOT NULL) AS eval_loss
 FROM x GROUP BY run"""
+
+
+# ------------------------------------------------------------- evaluation
+
+def JUDGE(stmt: str, refset: str) -> str:
+    toks = f"list_distinct({TOK(stmt)})"
+    return (f"(CASE WHEN len({toks}) = 0 THEN NULL ELSE "
+            f"CAST(len(list_intersect({toks}, {refset})) AS DOUBLE) / len({toks}) >= {D(0.5)} END)")
+
+
+def MEANBOOL(lst: str) -> str:
+    return (f"list_avg(list_transform(list_filter({lst}, lambda b: b IS NOT NULL), "
+            f"lambda b: CASE WHEN b THEN {D(1)} ELSE {D(0)} END))")
+
+
+CTXSET = f"list_distinct(flatten(list_transform(contexts, lambda c: {TOK('c')})))"
+GTTEXT = "(CASE WHEN len(gts) > 0 THEN array_to_string(gts, ' ') END)"
+
+
+def _cos_ctes(prefix: str, src: str, keys: list[str], a: str, b: str) -> str:
+    """Hashed-vector cosine of two text columns of ``src`` per key."""
+    k = ", ".join(keys)
+    parts = []
+    for side, col in (("a", a), ("b", b)):
+        parts.append(f"""
+{prefix}{side}h AS (SELECT {k}, h % 64 AS dim, CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END AS sg
+    FROM (SELECT {k}, {THASH('t')} AS h FROM (SELECT {k}, unnest({TOK(col)}) AS t FROM {src}))),
+{prefix}{side}v AS (SELECT {k}, dim, CAST(sum(sg) AS DOUBLE) AS w FROM {prefix}{side}h GROUP BY {k}, dim),
+{prefix}{side}n AS (SELECT {", ".join('s.' + x for x in keys)}, sqrt(coalesce(sum(v.w * v.w), 0)) AS nrm
+    FROM {src} s LEFT JOIN {prefix}{side}v v USING ({k}) GROUP BY {", ".join('s.' + x for x in keys)})""")
+    on = " AND ".join(f"x.{c} = y.{c}" for c in keys)
+    parts.append(f"""
+{prefix}dp AS (SELECT {", ".join('x.' + c for c in keys)}, sum(x.w * y.w) AS dp
+    FROM {prefix}av x JOIN {prefix}bv y ON {on} AND x.dim = y.dim GROUP BY {", ".join('x.' + c for c in keys)}),
+{prefix} AS (SELECT {", ".join('x.' + c for c in keys)},
+    CASE WHEN x.nrm = 0 OR y.nrm = 0 THEN {D(0)} ELSE coalesce(d.dp, {D(0)}) / (x.nrm * y.nrm) END AS cos
+    FROM {prefix}an x JOIN {prefix}bn y ON {on} LEFT JOIN {prefix}dp d ON {on.replace('y.', 'd.')})""")
+    return ",".join(parts)
+
+
+def _eval_rows_ctes(grouped: bool) -> str:
+    part = "d.source, s.query_id" if grouped else "s.query_id"
+    kb_sel = "r.source AS kb_name, " if grouped else ""
+    kb_grp = "r.source, " if grouped else ""
+    grid = ("(SELECT DISTINCT source AS kb_name FROM documents) g CROSS JOIN benchmark b "
+            "LEFT JOIN ctx c ON c.kb_name = g.kb_name AND c.query_id = b.item_id") if grouped else \
+        "benchmark b LEFT JOIN ctx c ON c.query_id = b.item_id"
+    return f"""{_bm25_ctes()}, {_hash_ctes()},
+sem_rank AS (SELECT {part.replace('s.', '').replace('d.', '')}, doc_id, rank FROM (
+    SELECT {part}, s.doc_id, row_number() OVER (PARTITION BY {part} ORDER BY round(s.semantic, 6) DESC, s.doc_id) AS rank
+    FROM sem_all s JOIN documents d ON d.doc_id = s.doc_id) WHERE rank <= 5),
+ctx AS (SELECT {kb_sel}r.query_id, list(d.text ORDER BY r.rank) AS contexts
+        FROM sem_rank r JOIN documents d ON d.doc_id = r.doc_id GROUP BY {kb_grp}r.query_id),
+rows AS (SELECT {'g.kb_name, ' if grouped else ''}b.item_id AS question_id, b.text AS question,
+         CASE WHEN c.contexts IS NULL THEN 'Error generating answer'
+              ELSE 'Based on the context: ' || substr(c.contexts[1], 1, 200) || '...' END AS answer,
+         coalesce(c.contexts, ['No context retrieved']) AS contexts, [b.text] AS gts
+         FROM {grid})"""
+
+
+_M_FAITH = MEANBOOL(f"list_transform({SENTS('answer')}, lambda s: {JUDGE('s', CTXSET)})")
+_M_RECALL = f"(CASE WHEN {GTTEXT} IS NULL THEN NULL ELSE {MEANBOOL(f'list_transform({SENTS(GTTEXT)}, lambda s: {JUDGE(chr(115), CTXSET)})')} END)"
+_RT = f"list_distinct({TOK(f'coalesce({GTTEXT}, answer)')})"
+_HITS = (f"list_transform(contexts, lambda c: CASE WHEN coalesce(CASE WHEN len({_RT}) = 0 THEN NULL ELSE "
+         f"CAST(len(list_intersect({_RT}, list_distinct({TOK('c')}))) AS DOUBLE) / len({_RT}) END >= {D(0.5)}, false) "
+         f"THEN {D(1)} ELSE {D(0)} END)")
+_M_PREC = (f"(SELECT CASE WHEN list_sum(hh) = 0 THEN {D(0)} ELSE list_sum(list_transform(generate_series(1, len(hh)), "
+           f"lambda i: hh[i] * list_sum(hh[1:i]) / i)) / list_sum(hh) END FROM (SELECT {_HITS} AS hh))")
+
+
+def _correct_f1() -> str:
+    ans_set = f"list_distinct({TOK('answer')})"
+    gt_set = f"list_distinct({TOK(GTTEXT)})"
+    claims = f"list_filter(list_transform({SENTS('answer')}, lambda s: {JUDGE('s', gt_set)}), lambda b: b IS NOT NULL)"
+    stmts = f"list_filter(list_transform({SENTS(GTTEXT)}, lambda s: {JUDGE('s', ans_set)}), lambda b: b IS NOT NULL)"
+    return f"""(SELECT CASE WHEN tp + {D(0.5)} * (fp + fn) = 0 THEN {D(0)} ELSE tp / (tp + {D(0.5)} * (fp + fn)) END
+     FROM (SELECT len(list_filter(cl, lambda b: b)) AS tp, len(cl) - len(list_filter(cl, lambda b: b)) AS fp,
+                  len(list_filter(st, lambda b: NOT b)) AS fn
+           FROM (SELECT {claims} AS cl, {stmts} AS st)))"""
+
+
+def _metric_sql(metric: str, grouped: bool = False) -> str:
+    keys = (["kb_name"] if grouped else []) + ["question_id"]
+    base = f"WITH {_eval_rows_ctes(grouped)}"
+    sel_keys = ", ".join(f"r.{k}" for k in keys)
+    if metric in ("faithfulness", "context_recall", "context_precision"):
+        expr = {"faithfulness": _M_FAITH, "context_recall": _M_RECALL, "context_precision": _M_PREC}[metric]
+        return f"{base}\nSELECT {sel_keys}, {expr} AS value FROM rows r"
+    if metric == "answer_relevancy":
+        return f"""{base}, {_cos_ctes('rel', 'rows', keys, 'question', 'answer')}
+SELECT {sel_keys}, c.cos AS value FROM rows r JOIN rel c USING ({", ".join(keys)})"""
+    sim = f"{base}, {_cos_ctes('sim', 'rows', keys, 'answer', GTTEXT)}"
+    if metric == "answer_similarity":
+        return f"""{sim}
+SELECT {sel_keys}, CASE WHEN {GTTEXT.replace('gts', 'r.gts')} IS NULL THEN NULL ELSE c.cos END AS value
+FROM rows r JOIN sim c USING ({", ".join(keys)})"""
+    # answer_correctness
+    return f"""{sim}
+SELECT {sel_keys}, CASE WHEN {GTTEXT} IS NULL THEN NULL
+       ELSE {D(0.75)} * {_correct_f1()} + {D(0.25)} * c.cos END AS value
+FROM rows r JOIN sim c USING ({", ".join(keys)})"""
+
+
+for _m in ["faithfulness", "context_precision", "context_recall", "answer_similarity",
+           "answer_relevancy", "answer_correctness"]:
+    SQL[_m] = f"SELECT question_id, round(value, 6) AS {_m} FROM ({_metric_sql(_m)})"
+
+SQL["eval_dataset"] = f"""WITH {_eval_rows_ctes(False)}
+SELECT question_id, answer, CAST(len(contexts) AS INTEGER) AS n_contexts,
+       array_to_string(contexts, {NL2}) AS contexts FROM rows"""
+
+_CMP = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
+_KB_MEANS = "kbm AS (" + " UNION ALL ".join(
+    f"SELECT kb_name, '{m}' AS metric, avg(CASE WHEN isnan(value) THEN NULL ELSE value END) AS score "
+    f"FROM ({_metric_sql(m, True)}) GROUP BY kb_name" for m in _CMP) + ")"
+
+SQL["kb_compare_pivot"] = f"WITH {_KB_MEANS}\nSELECT kb_name, " + ", ".join(
+    f"round(max(CASE WHEN metric = '{m}' THEN score END), 3) AS {m}" for m in _CMP) + " FROM kbm GROUP BY kb_name"
+
+SQL["kb_best_per_metric"] = f"""WITH {_KB_MEANS}
+SELECT metric, arg_min(kb_name, (-score, kb_name)) AS best_kb, round(max(score), 6) AS best_score
+FROM kbm GROUP BY metric"""
+
+SQL["kb_overall_best"] = f"""WITH {_KB_MEANS},
+rm AS (SELECT kb_name, avg(score) AS mean_score FROM kbm GROUP BY kb_name)
+SELECT arg_min(kb_name, (-mean_score, kb_name)) AS best_kb, round(max(mean_score), 6) AS best_mean FROM rm"""
+
+
+def LABEL(x: str) -> str:
+    return (f"CASE WHEN {x} >= {D(0.9)} THEN '🟢 Excellent' WHEN {x} >= {D(0.8)} THEN '🟡 Good' "
+            f"WHEN {x} >= {D(0.7)} THEN '🟠 Fair' ELSE '🔴 Needs Improvement' END")
+
+
+_MORD = "mo(metric, metric_ord) AS (VALUES " + ", ".join(f"('{m}', {i})" for i, m in enumerate(_CMP)) + ")"
+SQL["eval_summary"] = f"""WITH {_KB_MEANS}, {_MORD}
+SELECT kb_name, round(avg(score), 6) AS avg_score, {LABEL('avg(score)')} AS overall_label,
+       arg_min(metric, (-score, metric_ord)) AS best_metric, round(max(score), 6) AS best_score,
+       arg_min(metric, (score, metric_ord)) AS worst_metric, round(min(score), 6) AS worst_score
+FROM kbm JOIN mo USING (metric) GROUP BY kb_name"""
+
+_INTERP = {
+    "context_precision": "Signal-to-noise ratio of retrieved context",
+    "context_recall": "Coverage of relevant information in retrieved context",
+    "faithfulness": "Factual accuracy of generated answers",
+    "answer_relevancy": "Relevance of answers to questions",
+    "answer_correctness": "Overall correctness of answers",
+    "answer_similarity": "Semantic similarity to ground truth",
+}
+SQL["eval_labels"] = f"""WITH {_KB_MEANS}
+SELECT kb_name, metric, round(score, 6) AS score, {LABEL('score')} AS label,
+       CASE """ + " ".join(f"WHEN metric = '{m}' THEN '{' '.join(w.capitalize() for w in m.split('_'))}'"
+                           for m in _CMP) + """ END AS title,
+       CASE """ + " ".join(f"WHEN metric = '{m}' THEN '{v}'" for m, v in _INTERP.items()) + """ ELSE '' END AS description
+FROM kbm"""
+
+_RECS = [
+    ("context_precision", 0.7, "🔍 **Improve Retrieval Precision**: Consider tuning chunk size, using hybrid search, or improving query preprocessing"),
+    ("context_recall", 0.7, "📚 **Improve Context Coverage**: Increase retrieved documents count or improve chunking strategy"),
+    ("faithfulness", 0.8, "✅ **Improve Answer Faithfulness**: Fine-tune LLM prompts or use better instruction-following models"),
+    ("answer_relevancy", 0.8, "🎯 **Improve Answer Relevancy**: Optimize prompts to ensure answers directly address questions"),
+]
+SQL["eval_recommendations"] = f"""WITH {_KB_MEANS},
+w AS (SELECT kb_name, """ + ", ".join(
+    f"max(CASE WHEN metric = '{m}' THEN score END) AS {m}" for m in _CMP) + """ FROM kbm GROUP BY kb_name),
+r AS (SELECT kb_name, list_filter([""" + ", ".join(
+    f"CASE WHEN coalesce({m}, {D(1)}) < {D(t)} THEN '{txt}' END" for m, t, txt in _RECS) + """], lambda x: x IS NOT NULL) AS recs FROM w)
+SELECT kb_name, CASE WHEN len(recs) = 0 THEN '🎉 **Excellent Performance**: Your RAG pipeline is performing well across all metrics!'
+       ELSE array_to_string(recs, chr(10)) END AS recommendations FROM r"""
+
+SQL["retrieval_hit_mrr_ndcg"] = f"""
+WITH el AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS pos,
+                   CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+cen AS (SELECT label AS qlabel, pos, avg(x) AS c FROM el GROUP BY label, pos),
+cn AS (SELECT qlabel, sqrt(sum(c * c)) AS nrm FROM cen GROUP BY qlabel),
+en AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM el GROUP BY vec_id),
+dp AS (SELECT c.qlabel, e.vec_id, sum(c.c * e.x) AS dp FROM cen c JOIN el e USING (pos) GROUP BY c.qlabel, e.vec_id),
+sc AS (SELECT dp.qlabel AS label, dp.vec_id,
+              CASE WHEN cn.nrm = 0 OR en.nrm = 0 THEN {D(0)} ELSE dp.dp / (cn.nrm * en.nrm) END AS score
+       FROM dp JOIN cn USING (qlabel) JOIN en USING (vec_id)),
+rk AS ({_topk('sc', 10, part='label', oid='vec_id')}),
+fl AS (SELECT rk.label, rk.rank, CASE WHEN e.label = rk.label THEN 1 ELSE 0 END AS rel
+       FROM rk JOIN embeddings e ON e.vec_id = rk.vec_id),
+nr AS (SELECT label, count(*) AS n_rel FROM embeddings GROUP BY label),
+pq AS (SELECT label, max(rel) AS hit, coalesce(max(CASE WHEN rel = 1 THEN {D(1)} / rank END), {D(0)}) AS rr,
+              sum(rel / log2(rank + 1)) AS dcg, sum(rel) AS n_hit FROM fl GROUP BY label)
+SELECT pq.label, round(CAST(hit AS DOUBLE), 6) AS hit_at_k, round(rr, 6) AS mrr,
+       round(CASE WHEN coalesce(n_rel, 0) = 0 THEN {D(0)} ELSE dcg / (SELECT sum({D(1)} / log2(i + 1)) FROM range(1, least(n_rel, 10) + 1) t(i)) END, 6) AS ndcg_at_k,
+       round(CASE WHEN coalesce(n_rel, 0) = 0 THEN {D(0)} ELSE CAST(n_hit AS DOUBLE) / n_rel END, 6) AS recall_at_k
+FROM pq LEFT JOIN nr USING (label)"""

@@ -15,10 +15,12 @@ from sifter.functions.text import split_sentences, tokenize
 from sifter.functions.vectors import l2_normalize, norm
 from sifter.functions import formatting as fmt
 from sifter.operators import chunking as C
+from sifter.operators import evaluation as EV
 from sifter.operators import results as RS
 from sifter.operators import training_data as TD
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
+from sifter.plans.sizing import mark_bounded
 from sifter.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,3 +406,121 @@ def q_log_regex_metrics(spark, sf):
                                      F.col("value").cast("string"), F.col("event_id")).alias("line"))
     return RS.log_line_metrics(lines, "run", "ts", "line").select(
         "run", "final_train_loss", "train_runtime", "eval_accuracy", "eval_f1_macro", "eval_loss")
+
+
+# --------------------------------------------------------------- evaluation
+# Retrieval as configured by default (semantic top-5), the fallback answer,
+# and the benchmark passage itself as the ground truth of its question.
+
+EVAL_K = 5
+COMPARE_METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
+
+
+def _eval_rows(spark, sf, group_col=None):
+    docs = T.documents(spark, sf)
+    if group_col:
+        docs = docs.withColumnRenamed("source", group_col)
+    idx = cut_lineage(R.build_index(docs, group_col=group_col))
+    qs = T.questions(spark, sf)
+    qside = R.prepare_questions(idx, qs, group_col=group_col)
+    ranked = R.semantic_topk(idx, qside, EVAL_K)
+    ranked = mark_bounded(ranked, qside._sifter_rows * EVAL_K)
+    keys = ([group_col] if group_col else []) + ["query_id"]
+    gts = qs.select("question_id", F.array("question").alias("ground_truths"))
+    return EV.evaluation_rows(ranked, qs, docs, keys, ground_truths=gts), keys
+
+
+@register("eval_dataset")
+def q_eval_dataset(spark, sf):
+    rows, _ = _eval_rows(spark, sf)
+    return rows.select(F.col("query_id").alias("question_id"), "answer",
+                       F.size("contexts").alias("n_contexts"),
+                       F.array_join("contexts", "\n\n").alias("contexts"))
+
+
+def _metric_query(metric):
+    def q(spark, sf):
+        rows, keys = _eval_rows(spark, sf)
+        long = EV.score_rows(rows, [metric], keys)
+        return long.select(F.col("query_id").alias("question_id"),
+                           F.round("value", 6).alias(metric))
+    return q
+
+
+for _m in ["faithfulness", "context_precision", "context_recall", "answer_similarity",
+           "answer_relevancy", "answer_correctness"]:
+    register(_m)(_metric_query(_m))
+
+
+def _kb_means(spark, sf):
+    rows, keys = _eval_rows(spark, sf, group_col="kb_name")
+    long = EV.score_rows(rows, COMPARE_METRICS, keys)
+    return EV.metric_means(long, ["kb_name"])
+
+
+def _kb_order(means):
+    # Requested KB order = name order; the KB list is a catalog (bounded).
+    kbs = means.select("kb_name").distinct()
+    return kbs.select("kb_name", F.dense_rank().over(Window.orderBy("kb_name")).alias("kb_ord"))
+
+
+@register("kb_compare_pivot")
+def q_kb_compare_pivot(spark, sf):
+    return EV.compare_pivot(_kb_means(spark, sf), COMPARE_METRICS)
+
+
+@register("kb_best_per_metric")
+def q_kb_best_per_metric(spark, sf):
+    m = _kb_means(spark, sf)
+    b = EV.best_per_metric(m, _kb_order(m))
+    return b.select("metric", "best_kb", F.round("best_score", 6).alias("best_score"))
+
+
+@register("kb_overall_best")
+def q_kb_overall_best(spark, sf):
+    m = _kb_means(spark, sf)
+    b = EV.overall_best(m, _kb_order(m))
+    return b.select("best_kb", F.round("best_mean", 6).alias("best_mean"))
+
+
+@register("eval_summary")
+def q_eval_summary(spark, sf):
+    m = _kb_means(spark, sf)
+    s = EV.overall_summary(m, ["kb_name"], EV.metric_order(spark, COMPARE_METRICS))
+    return s.select("kb_name", F.round("avg_score", 6).alias("avg_score"),
+                    EV.performance_label("avg_score").alias("overall_label"),
+                    "best_metric", F.round("best_score", 6).alias("best_score"),
+                    "worst_metric", F.round("worst_score", 6).alias("worst_score"))
+
+
+@register("eval_labels")
+def q_eval_labels(spark, sf):
+    m = _kb_means(spark, sf)
+    return m.select("kb_name", "metric", F.round("score", 6).alias("score"),
+                    EV.performance_label("score").alias("label"),
+                    EV.metric_title("metric").alias("title"),
+                    EV.interpretation("metric").alias("description"))
+
+
+@register("eval_recommendations")
+def q_eval_recommendations(spark, sf):
+    m = _kb_means(spark, sf)
+    per_kb = m.groupBy("kb_name").agg(F.map_from_entries(F.collect_list(
+        F.struct("metric", "score"))).alias("scores"))
+    return per_kb.select("kb_name", F.array_join(EV.recommendations(F.col("scores")), "\n")
+                         .alias("recommendations"))
+
+
+@register("retrieval_hit_mrr_ndcg")
+def q_retrieval_hit_mrr_ndcg(spark, sf):
+    emb = T.load(spark, sf, "embeddings")
+    idx = emb.select(F.col("vec_id").alias("doc_id"),
+                     F.col("embedding").cast("array<double>").alias("vec")).withColumn(
+        "vnorm", norm("vec"))
+    q = _label_centroids(emb).withColumn("qnorm", norm("qvec")).select(
+        F.col("question_id").alias("query_id"), "qvec", "qnorm")
+    ranked = R.top_k(R.semantic_pairs(idx, q).withColumnRenamed("semantic", "score"), 10)
+    relevant = emb.select(F.col("label").alias("query_id"), F.col("vec_id").alias("doc_id"))
+    m = EV.ranking_metrics(ranked, relevant, ["query_id"], 10)
+    return m.select(F.col("query_id").alias("label"),
+                    *[F.round(c, 6).alias(c) for c in ["hit_at_k", "mrr", "ndcg_at_k", "recall_at_k"]])
