@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's ``\w`` is Unicode-aware; Java's is ASCII-only, so letters and
-# numbers are named by Unicode property instead.
-_NOT_WORD_OR_SPACE = r"[^\p{L}\p{N}_\s]"
+# Python's ``\w``/``\s`` are Unicode-aware; Java's are ASCII-only. Letters and
+# numbers are named by Unicode property, and whitespace is spelled out as the
+# set Python's ``str.isspace`` accepts (same class in the DuckDB oracle).
+WS = (r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+      r"\x{202F}\x{205F}\x{3000}")
+_NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{WS}]"
 
 
 def _c(col) -> Column:
@@ -24,13 +27,13 @@ def tokenize(text) -> Column:
     Punctuation is deleted, not turned into a separator: ``a-b`` -> ``ab``.
     """
     cleaned = F.regexp_replace(F.lower(_c(text)), _NOT_WORD_OR_SPACE, "")
-    return F.filter(F.split(cleaned, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(cleaned, rf"[{WS}]+"), lambda t: t != "")
 
 
 def strip_ws(s: Column) -> Column:
     """Python ``str.strip()``: removes whitespace of every kind at both ends
     (Spark's ``trim`` only removes the space character)."""
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.regexp_replace(s, rf"^[{WS}]+|[{WS}]+$", "")
 
 
 def split_sentences(text) -> Column:

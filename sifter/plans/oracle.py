@@ -14,10 +14,13 @@ def D(x) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
+from sifter.functions.text import WS  # noqa: E402  (same whitespace class as Spark)
+
+
 def TOK(expr: str) -> str:
     """H1 tokenizer as a DuckDB list expression."""
     return (f"list_filter(regexp_split_to_array(regexp_replace(lower({expr}), "
-            f"'[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), lambda x: x <> '')")
+            f"'[^\\p{{L}}\\p{{N}}_{WS}]', '', 'g'), '[{WS}]+'), lambda x: x <> '')")
 
 
 def THASH(expr: str) -> str:
@@ -153,7 +156,7 @@ WHERE rank <= 5"""
 def SENTS(expr: str) -> str:
     """H2 sentence split as a DuckDB list expression."""
     return (f"list_filter(list_transform(regexp_split_to_array({expr}, '[.!?]+'), "
-            f"lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')")
+            f"lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda x: x <> '')")
 
 
 SQL["split_sentences"] = f"""
@@ -162,7 +165,7 @@ SELECT doc_id, CAST(sent_ord - 1 AS INTEGER) AS sent_ord, sentence FROM (
   FROM (SELECT doc_id, {SENTS('text')} AS s FROM documents))"""
 
 SQL["chunk_token_window"] = f"""
-WITH t AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS toks
+WITH t AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '[{WS}]+'), lambda x: x <> '') AS toks
            FROM documents),
 w AS (SELECT doc_id, source, toks,
              unnest(generate_series(0, CAST(greatest(0, ceil((len(toks) - 512) / CAST(462 AS DOUBLE))) * 462 AS BIGINT), 462)) AS st
@@ -215,7 +218,7 @@ NL2 = "(chr(10) || chr(10))"
 
 
 def STRIP(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({expr}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
 _PAIRS = """
@@ -563,3 +566,141 @@ SELECT pq.label, round(CAST(hit AS DOUBLE), 6) AS hit_at_k, round(rr, 6) AS mrr,
        round(CASE WHEN coalesce(n_rel, 0) = 0 THEN {D(0)} ELSE dcg / (SELECT sum({D(1)} / log2(i + 1)) FROM range(1, least(n_rel, 10) + 1) t(i)) END, 6) AS ndcg_at_k,
        round(CASE WHEN coalesce(n_rel, 0) = 0 THEN {D(0)} ELSE CAST(n_hit AS DOUBLE) / n_rel END, 6) AS recall_at_k
 FROM pq LEFT JOIN nr USING (label)"""
+
+
+# ---------------------------------------------------------------- clean-up
+
+S_ = f"[{WS}]"
+
+
+def UNESC(x: str) -> str:
+    for a, b in (("\\n", "chr(10)"), ("\\r", "chr(13)"), ("\\t", "chr(9)"), ('\\"', "'\"'"),
+                 ("\\'", "''''"), ("\\\\", "chr(92)")):
+        x = f"replace({x}, '{a.replace(chr(39), chr(39) * 2)}', {b})"
+    return f"regexp_replace({x}, '\\\\([^\\n])', '\\1', 'g')"
+
+
+def RR(x: str, pat: str, rep: str) -> str:
+    return f"regexp_replace({x}, '{pat}', {rep}, 'g')"
+
+
+SQL["clean_flat"] = f"""
+SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN '' ELSE
+  {STRIP(RR(RR(UNESC('html'), S_ + '+', "' '"), '\\n' + S_ + '*\\n' + S_ + '*\\n+', NL2))} END AS text FROM pages"""
+
+SQL["clean_lines"] = f"""
+SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN '' ELSE
+  {STRIP(RR(RR(UNESC('text'), ' +', "' '"), '\\n' + S_ + '*\\n' + S_ + '*\\n+', NL2))} END AS text FROM documents"""
+
+SQL["strip_code"] = f"""
+SELECT page_id, {STRIP(RR("replace(" + RR('html', '(?s)```.*?```', "''") + ", '`', '')", '\\n' + S_ + '*\\n', NL2))} AS text FROM pages"""
+
+_R = RR('text', '(?s)<think>.*?</think>', "''")
+_R = RR(_R, '(?s)```.*?```', "''")
+_R = f"replace({_R}, '`', '')"
+_R = RR(_R, '(?s)Begin! This is VERY important.*?depends on it!', "''")
+_R = RR(_R, 'Thought:[^\\n]*?\\n', "''")
+_R = RR(_R, '\\n' + S_ + '*\\n', NL2)
+SQL["strip_reasoning"] = f"SELECT doc_id, {STRIP(_R)} AS text FROM documents"
+
+SQL["cut_at_marker"] = f"""
+SELECT doc_id, CASE WHEN contains(text, 'Character count:') THEN
+  {STRIP("array_to_string(CASE WHEN coalesce(list_position(list_transform(string_split(text, chr(10)), lambda l: contains(l, 'Character count:') OR contains(l, '---')), true), 0) = 0 THEN string_split(text, chr(10)) ELSE string_split(text, chr(10))[1:list_position(list_transform(string_split(text, chr(10)), lambda l: contains(l, 'Character count:') OR contains(l, '---')), true) - 1] END, chr(10))")}
+  ELSE text END AS text FROM documents"""
+
+_P = "c"
+for _a in ("# ", "## ", "### ", "* ", "- ", "1. ", "2. ", "3. "):
+    _P = f"replace({_P}, '{_a}', chr(10) || '{_a}')"
+_P = f"replace({_P}, '```', chr(10) || '```' || chr(10))"
+_P = RR(_P, '(\\p{Nd}+\\.' + S_ + ')', "chr(10) || '\\1'")
+_P = RR(_P, '(\\.' + S_ + '+)([A-Z])', "'\\1' || chr(10) || '\\2'")
+_P = RR(_P, '\\n' + S_ + '*\\n' + S_ + '*\\n', NL2)
+_P = RR(_P, '^\\n+', "''")
+SQL["paragraphise"] = f"""
+SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'No content'
+  WHEN contains(c, chr(10)) AND len(string_split(c, chr(10))) > 3 THEN c ELSE {_P} END AS text
+FROM (SELECT doc_id, text, {STRIP('text')} AS c FROM documents)"""
+
+
+def _links(x: str) -> str:
+    x = RR(x, '<a name="[^"]*"></a> \\[([^\\]]+)\\]\\([^)]+\\)', "'\\1'")
+    return RR(x, '\\[([^\\]]+)\\]\\([^)]+\\)', "'\\1'")
+
+
+_CELLS0 = f"list_transform(string_split({_links('l')}, '|'), lambda z: {STRIP('z')})"
+_CELLS1 = f"(CASE WHEN ({_CELLS0})[1] = '' THEN ({_CELLS0})[2:] ELSE {_CELLS0} END)"
+_CELLS = f"(CASE WHEN len({_CELLS1}) > 0 AND ({_CELLS1})[-1] = '' THEN ({_CELLS1})[1:len({_CELLS1}) - 1] ELSE {_CELLS1} END)"
+_IS_TABLE = "(contains(l, '|') AND length(l) - length(replace(l, '|', '')) >= 2)"
+
+SQL["markdown_table_rows"] = f"""
+WITH lines AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS l
+               FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: {STRIP('y')}) AS ls FROM documents)),
+c AS (SELECT doc_id, line_no, {_CELLS} AS cells FROM lines WHERE {_IS_TABLE}),
+r AS (SELECT doc_id, line_no, cells[1] AS name,
+             {STRIP("array_to_string(cells[2:greatest(len(cells), 1)], ' ')")} AS description, len(cells) AS n FROM c)
+SELECT doc_id, line_no, name, description, lower(name) IN ('name', 'description', 'type', 'default', 'required') AS is_header
+FROM r WHERE n >= 2 AND NOT starts_with(name, '---') AND NOT starts_with(description, '---')"""
+
+
+def _fmt_line(l: str) -> str:
+    cells = _CELLS
+    desc = STRIP(f"array_to_string(({cells})[2:greatest(len({cells}), 1)], ' ')")
+    name = f"({cells})[1]"
+    return f"""(CASE WHEN {l} = '' THEN ''
+  WHEN {_IS_TABLE} THEN (CASE WHEN len({cells}) >= 2 AND NOT starts_with({name}, '---') AND NOT starts_with({desc}, '---')
+      THEN CASE WHEN lower({name}) IN ('name', 'description', 'type', 'default', 'required')
+                THEN '**' || {name} || '** | **' || {desc} || '**'
+                ELSE '• **' || {name} || '**: ' || {desc} END END)
+  WHEN starts_with({l}, '## ') THEN chr(10) || '🔷 **' || {l}[4:] || '**'
+  WHEN starts_with({l}, '### ') THEN chr(10) || '📋 **' || {l}[5:] || '**'
+  WHEN starts_with({l}, '# ') THEN chr(10) || '🏗️ **' || {l}[3:] || '**'
+  WHEN starts_with({l}, '- ') OR starts_with({l}, '* ') OR regexp_matches({l}, '^\\p{{Nd}}+\\. ') THEN '  ' || {l}
+  WHEN starts_with({l}, 'moduleID:') OR starts_with({l}, 'Name:') OR starts_with({l}, 'Description:') THEN '**' || {l} || '**'
+  WHEN starts_with({l}, 'Downloads:') OR starts_with({l}, 'Published:') OR starts_with({l}, 'Verified:') THEN '  📊 ' || {l}
+  WHEN starts_with({l}, 'Source:') OR starts_with({l}, 'Version:') THEN '  🔗 ' || {l}
+  WHEN starts_with({l}, '```') THEN {l}
+  ELSE {_links(l)} END)"""
+
+
+SQL["markdown_format"] = f"""
+WITH p AS (SELECT doc_id, text, replace(replace({STRIP('text')}, '\\n', chr(10)), '\\t', '  ') AS c FROM documents),
+f AS (SELECT doc_id, text, list_filter(list_transform(list_transform(string_split(c, chr(10)), lambda y: {STRIP('y')}),
+             lambda l: {_fmt_line('l')}), lambda x: x IS NOT NULL) AS out FROM p),
+j AS (SELECT doc_id, text, string_split({RR("array_to_string(out, chr(10))", '\\n' + S_ + '*\\n' + S_ + '*\\n+', NL2)}, chr(10)) AS al FROM f)
+SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'No content available'
+  WHEN len(al) > 100 THEN array_to_string(al[1:100] || [chr(10) || '... (output truncated for readability)',
+       '📊 Total: ' || CAST(len(al) AS VARCHAR) || ' lines, showing first 100'], chr(10))
+  ELSE array_to_string(al, chr(10)) END AS text FROM j"""
+
+SQL["json_props_flatten"] = """
+SELECT event_id, CASE WHEN json_valid(props) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+       CASE WHEN json_valid(props) THEN NULL ELSE props END AS raw_text FROM events"""
+
+SQL["summarise_json"] = """
+SELECT event_id, CASE WHEN len(ks) <= 3 THEN array_to_string(list_transform(ks, lambda kk: kk || ': ' || json_extract_string(props, '$.' || kk)), ' | ')
+  ELSE NULL END AS summary
+FROM (SELECT event_id, props, json_keys(props) AS ks FROM events)"""
+
+_ISO = "strftime(ts, '%Y-%m-%d')"
+SQL["repo_flatten"] = f"""
+SELECT event_id, 1 AS total_count, 1 AS item_no, 'org/repo_' || CAST(event_id AS VARCHAR) AS name,
+  CASE WHEN event_type = 'error' THEN 'No description' ELSE 'Event ' || event_type END AS description,
+  CASE WHEN event_type = 'view' THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS stars,
+  CAST(user_id AS INTEGER) AS forks, CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS language,
+  {_ISO} AS updated, event_type <> 'view' AS has_details, 'https://example.com/' || CAST(event_id AS VARCHAR) AS url
+FROM events"""
+
+SQL["issue_flatten"] = f"""
+SELECT event_id, CAST(event_id AS VARCHAR) AS number, 'Issue ' || CAST(event_id AS VARCHAR) AS title,
+  CASE WHEN value <= 100 THEN 'open' ELSE 'closed' END AS state, 'user' || CAST(user_id AS VARCHAR) AS user,
+  {_ISO} AS created, 'https://example.com/i/' || CAST(event_id AS VARCHAR) AS url, value <= 100 AS is_open
+FROM events"""
+
+SQL["pr_flatten"] = f"""
+SELECT event_id, CAST(event_id AS VARCHAR) AS number, 'Issue ' || CAST(event_id AS VARCHAR) AS title,
+  CASE WHEN event_type = 'signup' THEN 'unknown' WHEN value < 100 THEN 'open' ELSE 'closed' END AS state,
+  'user' || CAST(user_id AS VARCHAR) AS user, {_ISO} AS created, event_type AS head, 'main' AS base,
+  event_type = 'view' AS draft,
+  CASE WHEN event_type = 'signup' THEN 'unknown' WHEN value < 100 THEN (CASE WHEN event_type = 'view' THEN 'draft' ELSE 'open' END)
+       ELSE (CASE WHEN event_type = 'purchase' THEN 'merged' ELSE 'closed' END) END AS status
+FROM events"""

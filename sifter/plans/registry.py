@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.text import split_sentences, tokenize
+from sifter.functions.text import split_sentences, strip_ws, tokenize
 from sifter.functions.vectors import l2_normalize, norm
+from sifter.functions import cleanup as CU
 from sifter.functions import formatting as fmt
+from sifter.functions import payload as PL
 from sifter.operators import chunking as C
 from sifter.operators import evaluation as EV
 from sifter.operators import results as RS
@@ -524,3 +526,127 @@ def q_retrieval_hit_mrr_ndcg(spark, sf):
     m = EV.ranking_metrics(ranked, relevant, ["query_id"], 10)
     return m.select(F.col("query_id").alias("label"),
                     *[F.round(c, 6).alias(c) for c in ["hit_at_k", "mrr", "ndcg_at_k", "recall_at_k"]])
+
+
+# --------------------------------------------------------- clean-up, payload
+
+@register("clean_flat")
+def q_clean_flat(spark, sf):
+    return T.load(spark, sf, "pages").select("page_id", CU.clean_flat("html").alias("text"))
+
+
+@register("clean_lines")
+def q_clean_lines(spark, sf):
+    return T.documents(spark, sf).select("doc_id", CU.clean_lines("text").alias("text"))
+
+
+@register("strip_code")
+def q_strip_code(spark, sf):
+    return T.load(spark, sf, "pages").select("page_id", CU.strip_markdown_code("html").alias("text"))
+
+
+@register("strip_reasoning")
+def q_strip_reasoning(spark, sf):
+    return T.documents(spark, sf).select("doc_id", CU.strip_reasoning("text").alias("text"))
+
+
+@register("cut_at_marker")
+def q_cut_at_marker(spark, sf):
+    return T.documents(spark, sf).select("doc_id", CU.cut_at_marker("text").alias("text"))
+
+
+@register("paragraphise")
+def q_paragraphise(spark, sf):
+    return T.documents(spark, sf).select("doc_id", CU.paragraphise("text").alias("text"))
+
+
+@register("markdown_format")
+def q_markdown_format(spark, sf):
+    return T.documents(spark, sf).select("doc_id", CU.format_markdown("text").alias("text"))
+
+
+@register("markdown_table_rows")
+def q_markdown_table_rows(spark, sf):
+    d = T.documents(spark, sf).select("doc_id", F.posexplode(
+        F.transform(F.split("text", "\n", -1), strip_ws)).alias("line_no", "line"))
+    rows = d.where(CU.is_table_line("line")).select(
+        "doc_id", F.col("line_no").cast("int").alias("line_no"), CU.table_row("line").alias("r"))
+    return rows.where(F.col("r").isNotNull()).select(
+        "doc_id", "line_no", "r.name", "r.description", "r.is_header")
+
+
+@register("json_props_flatten")
+def q_json_props_flatten(spark, sf):
+    e = T.load(spark, sf, "events")
+    j = PL.json_or_text("props", "k bigint")
+    return e.select("event_id", j["parsed"]["k"].alias("k"), j["text"].alias("raw_text"))
+
+
+@register("summarise_json")
+def q_summarise_json(spark, sf):
+    e = T.load(spark, sf, "events")
+    return e.select("event_id", PL.summarise_json_object("props").alias("summary"))
+
+
+def _iso(ts):
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _payload_events(spark, sf):
+    return T.load(spark, sf, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value",
+        F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@register("repo_flatten")
+def q_repo_flatten(spark, sf):
+    e = _payload_events(spark, sf)
+    item = F.struct(
+        F.concat(F.lit("org/repo_"), F.col("event_id").cast("string")).alias("full_name"),
+        F.concat(F.lit("repo_"), F.col("event_id").cast("string")).alias("name"),
+        F.when(F.col("event_type") != "error", F.concat(F.lit("Event "), F.col("event_type")))
+        .alias("description"),
+        F.when(F.col("event_type") != "view", F.col("k")).alias("stargazers_count"),
+        F.col("user_id").cast("int").alias("forks_count"),
+        F.when(F.col("event_type") != "click", F.col("event_type")).alias("language"),
+        _iso(F.col("ts")).alias("updated_at"),
+        F.concat(F.lit("https://example.com/"), F.col("event_id").cast("string")).alias("html_url"))
+    payload = e.select("event_id", F.to_json(F.struct(F.lit(1).alias("total_count"),
+                                                      F.array(item).alias("items"))).alias("json"))
+    return PL.flatten_repositories(payload, "json", ["event_id"]).select(
+        "event_id", "total_count", F.col("item_no").cast("int").alias("item_no"), "name",
+        "description", "stars", "forks", "language", "updated", "has_details", "url")
+
+
+def _issue_struct(pr: bool):
+    state = (F.when(F.col("event_type") == "signup", F.lit(None).cast("string"))
+             .when(F.col("value") < 100, "open").otherwise("closed")) if pr else \
+        F.when(F.col("value") <= 100, "open").otherwise("closed")
+    fields = [F.concat(F.lit("Issue "), F.col("event_id").cast("string")).alias("title"),
+              F.col("event_id").cast("int").alias("number"), state.alias("state"),
+              F.struct(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("login"))
+              .alias("user"),
+              _iso(F.col("ts")).alias("created_at"),
+              F.concat(F.lit("https://example.com/i/"), F.col("event_id").cast("string")).alias("html_url")]
+    if pr:
+        fields += [F.struct(F.col("event_type").alias("ref")).alias("head"),
+                   F.struct(F.lit("main").alias("ref")).alias("base"),
+                   (F.col("event_type") == "view").alias("draft"),
+                   (F.col("event_type") == "purchase").alias("merged")]
+    return F.struct(*fields)
+
+
+@register("issue_flatten")
+def q_issue_flatten(spark, sf):
+    e = _payload_events(spark, sf)
+    payload = e.select("event_id", F.to_json(F.array(_issue_struct(False))).alias("json"))
+    return PL.flatten_issues(payload, "json", ["event_id"]).select(
+        "event_id", "number", "title", "state", "user", "created", "url", "is_open")
+
+
+@register("pr_flatten")
+def q_pr_flatten(spark, sf):
+    e = _payload_events(spark, sf)
+    payload = e.select("event_id", F.to_json(F.array(_issue_struct(True))).alias("json"))
+    return PL.flatten_pull_requests(payload, "json", ["event_id"]).select(
+        "event_id", "number", "title", "state", "user", "created", "head", "base", "draft", "status")
