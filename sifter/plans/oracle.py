@@ -704,3 +704,48 @@ SELECT event_id, CAST(event_id AS VARCHAR) AS number, 'Issue ' || CAST(event_id
   CASE WHEN event_type = 'signup' THEN 'unknown' WHEN value < 100 THEN (CASE WHEN event_type = 'view' THEN 'draft' ELSE 'open' END)
        ELSE (CASE WHEN event_type = 'purchase' THEN 'merged' ELSE 'closed' END) END AS status
 FROM events"""
+
+
+# ------------------------------------------------------ query answers, KBs
+
+_RERANKED = f"""WITH {_bm25_ctes()}, {_hash_ctes()}, {_hybrid(0.5)},
+first AS ({_topk('hy', 20)}),
+qd AS (SELECT query_id, list_distinct(qtoks) AS qd FROM qtok),
+rr AS (SELECT f.query_id, f.doc_id, f.rank AS rank1,
+              round(CASE WHEN len(qd.qd) = 0 THEN {D(0)} ELSE
+                    CAST(len(list_intersect(qd.qd, list_distinct({TOK('d.text')}))) AS DOUBLE) / len(qd.qd) END, 6) AS score
+       FROM first f JOIN qd USING (query_id) JOIN documents d ON d.doc_id = f.doc_id),
+top AS (SELECT query_id, rank, doc_id, score FROM (
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank1) AS rank FROM rr)
+  WHERE rank <= 5),
+ans AS (SELECT t.query_id AS question_id, t.rank, t.doc_id, t.score AS relevance_score, d.text AS content
+        FROM top t JOIN documents d ON d.doc_id = t.doc_id)"""
+
+SQL["query_result_nested"] = f"""{_RERANKED}
+SELECT question_id, rank, doc_id, relevance_score, content, 'all' AS kb_name, 5 AS top_k,
+       'Hybrid Search (α=0.5) + Cross-Encoder Reranking (cross-encoder/ms-marco-MiniLM-L-12-v2)' AS search_method
+FROM ans"""
+
+SQL["rag_prompt"] = f"""{_RERANKED},
+pc AS (SELECT question_id, list(content ORDER BY rank) AS ctx FROM ans GROUP BY question_id)
+SELECT pc.question_id,
+  'Based on the following context, answer the question.' || {NL2} || 'Context:' || {NL} || array_to_string(ctx, {NL2})
+  || {NL2} || 'Question: ' || b.text || {NL2} || 'Answer:' AS prompt,
+  substr(ctx[1], 1, 200) || '...' AS answer
+FROM pc JOIN benchmark b ON b.item_id = pc.question_id"""
+
+_TOKCHUNKS = f"""tc AS (SELECT doc_id, source AS kb_name, len(toks) AS n,
+  CASE WHEN len(toks) = 0 THEN 0 ELSE CAST(greatest(0, ceil((len(toks) - 512) / CAST(462 AS DOUBLE))) AS BIGINT) + 1 END AS n_chunks
+  FROM (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '[{WS}]+'), lambda x: x <> '') AS toks FROM documents))"""
+
+SQL["ingest_counts"] = f"""WITH {_TOKCHUNKS}
+SELECT kb_name, CAST(count(*) AS BIGINT) AS documents_processed, CAST(sum(n_chunks) AS BIGINT) AS chunks_created,
+       CAST(count(DISTINCT CASE WHEN n_chunks > 0 THEN doc_id END) AS BIGINT) AS total_documents
+FROM tc GROUP BY kb_name"""
+
+SQL["kb_stats"] = f"""WITH {_TOKCHUNKS}
+SELECT kb_name AS name, 'sentence-transformers/all-MiniLM-L6-v2' AS embedding_model, CAST(512 AS INTEGER) AS chunk_size,
+       CAST(50 AS INTEGER) AS chunk_overlap, 'token' AS chunking_strategy, 'chroma' AS vector_store,
+       CAST(count(DISTINCT CASE WHEN n_chunks > 0 THEN doc_id END) AS BIGINT) AS document_count,
+       CAST(sum(n_chunks) AS BIGINT) AS chunk_count
+FROM tc GROUP BY kb_name"""

@@ -17,6 +17,7 @@ from sifter.functions import cleanup as CU
 from sifter.functions import formatting as fmt
 from sifter.functions import payload as PL
 from sifter.operators import chunking as C
+from sifter.sources import catalog as CAT
 from sifter.operators import evaluation as EV
 from sifter.operators import results as RS
 from sifter.operators import training_data as TD
@@ -650,3 +651,60 @@ def q_pr_flatten(spark, sf):
     payload = e.select("event_id", F.to_json(F.array(_issue_struct(True))).alias("json"))
     return PL.flatten_pull_requests(payload, "json", ["event_id"]).select(
         "event_id", "number", "title", "state", "user", "created", "head", "base", "draft", "status")
+
+
+# ------------------------------------------------------ query answers, KBs
+
+RERANKER_MODEL = "cross-encoder/ms-marco-MiniLM-L-12-v2"
+
+
+def _answered(spark, sf):
+    """Ranked rows with content (late lookup) plus the KB configuration."""
+    docs = T.documents(spark, sf)
+    ranked = q_hybrid_rerank_topk(spark, sf)
+    ranked = mark_bounded(ranked, getattr(ranked, "_sifter_rows", None) or 200_000)
+    content = docs.select("doc_id", F.col("text").alias("content")).join(
+        F.broadcast(ranked), "doc_id")
+    method = R.search_method_description(F.lit(True), F.lit(0.5), F.lit(True), F.lit(RERANKER_MODEL))
+    return content.select(F.col("query_id").alias("question_id"), "rank", "doc_id",
+                          F.col("score").alias("relevance_score"), "content",
+                          F.lit("all").alias("kb_name"), F.lit(5).alias("top_k"),
+                          method.alias("search_method"))
+
+
+@register("query_result_nested")
+def q_query_result_nested(spark, sf):
+    return _answered(spark, sf)
+
+
+@register("rag_prompt")
+def q_rag_prompt(spark, sf):
+    a = _answered(spark, sf)
+    per_q = a.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("rank", "content"))), lambda x: x["content"]).alias("contexts"))
+    qs = T.questions(spark, sf)
+    j = per_q.join(qs, "question_id")
+    return j.select("question_id", fmt.rag_prompt("contexts", "question").alias("prompt"),
+                    F.concat(F.substring(F.element_at("contexts", 1), 1, 200), F.lit("..."))
+                    .alias("answer"))
+
+
+def _kb_chunks(spark, sf):
+    docs = T.documents(spark, sf)
+    return C.token_chunks(docs, 512, 50, kb_col=F.col("source"))
+
+
+@register("ingest_counts")
+def q_ingest_counts(spark, sf):
+    docs = T.documents(spark, sf)
+    return CAT.ingest_counts(docs.withColumnRenamed("source", "kb_name"), _kb_chunks(spark, sf))
+
+
+@register("kb_stats")
+def q_kb_stats(spark, sf):
+    chunks = _kb_chunks(spark, sf)
+    kbs = T.documents(spark, sf).select(F.col("source").alias("kb_name")).distinct()
+    catalog = CAT.default_configs(kbs, chunking_strategy="token")
+    return CAT.kb_stats(catalog, chunks).select(
+        "name", "embedding_model", "chunk_size", "chunk_overlap", "chunking_strategy",
+        "vector_store", "document_count", "chunk_count")
