@@ -28,7 +28,7 @@ def THASH(expr: str) -> str:
 
 
 # Common table expressions for the document index and the question side.
-def _bm25_ctes(k1=1.5, b=0.75, eps=0.25) -> str:
+def _bm25_ctes(k1=1.5, b=0.75, eps=0.25, qsrc="benchmark") -> str:
     return f"""
 dt AS (SELECT doc_id, {TOK('text')} AS toks FROM documents),
 dl AS (SELECT doc_id, CAST(len(toks) AS DOUBLE) AS dl FROM dt),
@@ -39,7 +39,7 @@ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 rawidf AS (SELECT term, df, ln(n_docs - df + {D(0.5)}) - ln(df + {D(0.5)}) AS raw FROM dfs, stats),
 flo AS (SELECT {D(eps)} * avg(raw) AS eps_idf FROM rawidf),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN eps_idf ELSE raw END AS idf FROM rawidf, flo),
-qtok AS (SELECT item_id AS query_id, {TOK('text')} AS qtoks FROM benchmark),
+qtok AS (SELECT item_id AS query_id, {TOK('text')} AS qtoks FROM {qsrc}),
 qt AS (SELECT query_id, term, count(*) AS qtf
        FROM (SELECT query_id, unnest(qtoks) AS term FROM qtok) GROUP BY query_id, term),
 qw AS (SELECT query_id, term, qtf * idf AS w FROM qt JOIN idf USING (term)),
@@ -48,7 +48,7 @@ bm_hit AS (SELECT q.query_id, p.doc_id,
            FROM qw q JOIN post p USING (term) JOIN dl d ON d.doc_id = p.doc_id CROSS JOIN stats s
            GROUP BY q.query_id, p.doc_id),
 bm_all AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(h.bm25, {D(0)}) AS bm25
-           FROM benchmark b CROSS JOIN dl d
+           FROM {qsrc} b CROSS JOIN dl d
            LEFT JOIN bm_hit h ON h.query_id = b.item_id AND h.doc_id = d.doc_id)"""
 
 
@@ -749,3 +749,29 @@ SELECT kb_name AS name, 'sentence-transformers/all-MiniLM-L6-v2' AS embedding_mo
        CAST(count(DISTINCT CASE WHEN n_chunks > 0 THEN doc_id END) AS BIGINT) AS document_count,
        CAST(sum(n_chunks) AS BIGINT) AS chunk_count
 FROM tc GROUP BY kb_name"""
+
+
+SQL["retrieval_compare"] = f"""WITH {_bm25_ctes()}, {_hash_ctes()},
+a AS ({_topk('(SELECT query_id, doc_id, bm25 AS score FROM bm_all)', 5)}),
+b AS ({_topk('(SELECT query_id, doc_id, semantic AS score FROM sem_all)', 5)}),
+j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.rank AS rank_a, b.rank AS rank_b
+      FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
+SELECT query_id, CAST(sum(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS overlap,
+       round(CAST(sum(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS jaccard,
+       round(avg(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN abs(rank_a - rank_b) END), 6) AS mean_rank_delta
+FROM j GROUP BY query_id"""
+
+_DEFQ = "(SELECT * FROM (VALUES " + ", ".join(
+    "({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate([
+        "What is the main topic discussed in the documents?",
+        "What are the key features mentioned?",
+        "How does this work?",
+        "What are the benefits?",
+        "What are the requirements?",
+        "How do you get started?",
+        "What are the best practices?",
+        "What should you avoid?",
+        "Who is the target audience?",
+        "What are the next steps?"])) + ") dq(item_id, text))"
+SQL["default_question_retrieval"] = f"""WITH {_bm25_ctes(qsrc=_DEFQ)}, {_hash_ctes()}
+{_topk('(SELECT query_id, doc_id, semantic AS score FROM sem_all)', 3)}"""

@@ -17,6 +17,7 @@ from sifter.functions import cleanup as CU
 from sifter.functions import formatting as fmt
 from sifter.functions import payload as PL
 from sifter.operators import chunking as C
+from sifter.operators import corrective as CR
 from sifter.sources import catalog as CAT
 from sifter.operators import evaluation as EV
 from sifter.operators import results as RS
@@ -708,3 +709,30 @@ def q_kb_stats(spark, sf):
     return CAT.kb_stats(catalog, chunks).select(
         "name", "embedding_model", "chunk_size", "chunk_overlap", "chunking_strategy",
         "vector_store", "document_count", "chunk_count")
+
+
+# ------------------------------------------------------ corrective retrieval
+
+@register("corrective_retrieval")
+def q_corrective_retrieval(spark, sf):
+    idx = _doc_index(spark, sf)
+    out = CR.corrective_retrieval(idx, T.questions(spark, sf), k=5, max_retries=2)
+    return out.select("question_id", "question", "rounds", "relevant", "trace", "message_count",
+                      F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
+@register("retrieval_compare")
+def q_retrieval_compare(spark, sf):
+    idx = _doc_index(spark, sf)
+    qside = _qside(spark, sf, idx)
+    c = CR.compare_runs(R.bm25_topk(idx, qside, 5), R.semantic_topk(idx, qside, 5))
+    return c.select("query_id", F.col("overlap").cast("bigint").alias("overlap"),
+                    F.round("jaccard", 6).alias("jaccard"),
+                    F.round("mean_rank_delta", 6).alias("mean_rank_delta"))
+
+
+@register("default_question_retrieval")
+def q_default_question_retrieval(spark, sf):
+    idx = _doc_index(spark, sf)
+    qside = R.prepare_questions(idx, CR.default_questions(spark, 10))
+    return R.semantic_topk(idx, qside, 3)
