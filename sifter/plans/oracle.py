@@ -775,3 +775,13 @@ _DEFQ = "(SELECT * FROM (VALUES " + ", ".join(
         "What are the next steps?"])) + ") dq(item_id, text))"
 SQL["default_question_retrieval"] = f"""WITH {_bm25_ctes(qsrc=_DEFQ)}, {_hash_ctes()}
 {_topk('(SELECT query_id, doc_id, semantic AS score FROM sem_all)', 3)}"""
+
+
+# ---------------------------------------------------------------- streaming
+
+SQL["stream_ingest"] = SQL["chunk_token_window"]
+
+SQL["stream_metrics"] = """
+SELECT event_type AS name, value,
+       CAST(trunc((epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) / 1000000) AS BIGINT) AS step
+FROM events WHERE value IS NOT NULL"""

@@ -25,7 +25,8 @@ from sifter.operators import training_data as TD
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
 from sifter.plans.sizing import mark_bounded
-from sifter.session import cut_lineage
+from sifter.session import cut_lineage, scratch_path
+from sifter.streaming import jobs as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -736,3 +737,32 @@ def q_default_question_retrieval(spark, sf):
     idx = _doc_index(spark, sf)
     qside = R.prepare_questions(idx, CR.default_questions(spark, 10))
     return R.semantic_topk(idx, qside, 3)
+
+
+# ---------------------------------------------------------------- streaming
+
+def _stream_dirs(spark, name):
+    import uuid
+    base = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{base}/sink", f"{base}/checkpoint"
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    schema = T.load(spark, sf, "documents").schema
+    docs = ST.table_stream(spark, sf, "documents.parquet", schema).select(
+        "doc_id", F.col("source").alias("kb_name"), "text")
+    sink, ck = _stream_dirs(spark, "stream_ingest")
+    ST.ingest_stream(docs, sink, ck, strategy="token").awaitTermination()
+    return spark.read.parquet(sink).select(
+        "kb_name", "doc_id", "chunk_ord", "chunk_id", "text", "chunk_size", "chunk_strategy")
+
+
+@register("stream_metrics")
+def q_stream_metrics(spark, sf):
+    events = T.load(spark, sf, "events")
+    start = events.agg(F.min("ts")).first()[0]
+    sink, ck = _stream_dirs(spark, "stream_metrics")
+    stream = ST.table_stream(spark, sf, "events.parquet", events.schema)
+    ST.metric_stream(stream, sink, ck, str(start)).awaitTermination()
+    return spark.read.parquet(sink).select("name", "value", "step")
