@@ -72,3 +72,55 @@ def hashed_counts(tokens, dim: int = HASH_DIM) -> Column:
 def hashed_embedding(text, dim: int = HASH_DIM) -> Column:
     """Normalised hashed bag-of-tokens embedding of a text column."""
     return l2_normalize(hashed_counts(tokenize(text), dim))
+
+
+ENTRY_TYPE = "array<struct<i:int,w:double>>"
+
+
+def hashed_entries(tokens, dim: int = HASH_DIM) -> Column:
+    """Sparse form of :func:`hashed_counts`: non-zero ``(i, w)`` entries in
+    dimension order. A short text touches few dimensions, so sparse dot
+    products are much cheaper than dense ones, with identical (integer) sums."""
+    codes = F.transform(_c(tokens), lambda t: let(
+        token_hash(t), lambda h: (h % dim) * 2 + (F.floor(h / dim) % 2)))
+
+    def from_counts(counts):
+        dims = F.array_distinct(F.transform(F.map_keys(counts), lambda c: F.floor(c / 2)))
+        ent = F.transform(dims, lambda d: F.struct(
+            d.cast("int").alias("i"),
+            (F.coalesce(counts[d * 2], F.lit(0)) - F.coalesce(counts[d * 2 + 1], F.lit(0)))
+            .cast("double").alias("w")))
+        return F.filter(ent, lambda e: e["w"] != 0)
+
+    return let(value_counts(codes, "bigint"), from_counts)
+
+
+def dense_entries(vec) -> Column:
+    """Non-zero ``(i, w)`` entries of a dense vector."""
+    return F.filter(F.transform(_c(vec), lambda x, i: F.struct(i.cast("int").alias("i"),
+                                                                x.cast("double").alias("w"))),
+                    lambda e: e["w"] != 0)
+
+
+def entries_norm(entries) -> Column:
+    return F.sqrt(F.aggregate(_c(entries), F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+
+
+def entries_dot_dense(entries, vec) -> Column:
+    """Dot product of sparse entries with a dense vector (O(non-zeros))."""
+    v = _c(vec)
+    return F.aggregate(_c(entries), F.lit(0.0),
+                       lambda a, e: a + e["w"] * F.element_at(v, e["i"] + 1))
+
+
+def entries_dot(a, b) -> Column:
+    """Dot product of two sparse entry lists (both in dimension order)."""
+    return let(_c(b), lambda bb: F.aggregate(_c(a), F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(
+        F.try_element_at(F.filter(bb, lambda x: x["i"] == e["i"]), F.lit(1))["w"], F.lit(0.0))))
+
+
+def entries_cosine(a, b) -> Column:
+    """Cosine of two sparse entry lists; 0 when either is empty."""
+    return let(_c(a), lambda x: let(_c(b), lambda y: let(entries_norm(x), lambda nx: let(
+        entries_norm(y), lambda ny: F.when((nx == 0) | (ny == 0), F.lit(0.0)).otherwise(
+            entries_dot(x, y) / (nx * ny))))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.text import _c, let, split_sentences, tokenize
-from sifter.functions.vectors import cosine, hashed_counts
+from sifter.functions.vectors import entries_cosine, hashed_entries
 from sifter.plans.sizing import bounded_broadcast, literal_dimension
 
 # Metric names, interpretations, label thresholds, recommendation rules.
@@ -148,7 +148,7 @@ def faithfulness(answer, contexts, judge=token_judge) -> Column:
 def answer_relevancy(question, answer, derive=None) -> Column:
     """K3: cosine(question, question derived from the answer); default hook = the answer."""
     derived = derive(_c(answer)) if derive else _c(answer)
-    return cosine(hashed_counts(tokenize(question)), hashed_counts(tokenize(derived)))
+    return entries_cosine(hashed_entries(tokenize(question)), hashed_entries(tokenize(derived)))
 
 
 def context_precision(contexts, reference, judge=token_judge) -> Column:
@@ -180,7 +180,7 @@ def answer_similarity(answer, ground_truths) -> Column:
     """K6: cosine(answer, ground truth)."""
     gt = _gt_text(_c(ground_truths))
     return F.when(gt.isNull(), F.lit(None).cast("double")).otherwise(
-        cosine(hashed_counts(tokenize(answer)), hashed_counts(tokenize(gt))))
+        entries_cosine(hashed_entries(tokenize(answer)), hashed_entries(tokenize(gt))))
 
 
 def answer_correctness(answer, ground_truths, judge=token_judge) -> Column:

@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sifter.functions.text import term_frequencies, tokenize
-from sifter.functions.vectors import cosine_with_norms, hashed_counts, norm
+from sifter.functions.vectors import (dense_entries, entries_dot_dense, entries_norm,
+                                      hashed_counts, hashed_entries, norm)
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
+from sifter.session import cut_lineage
 
 # Library defaults of the BM25-Okapi scorer and the hybrid blend.
 BM25_K1 = 1.5
@@ -133,8 +135,10 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
                          *([F.col(embedding_col).cast("array<double>").alias("qvec")]
                            if embedding_col else []))
     if not embedding_col:
-        q = q.withColumn("qvec", hashed_counts("qtoks"))
-    q = q.withColumn("qnorm", norm("qvec"))
+        q = q.withColumn("qvec", hashed_entries("qtoks"))
+    else:
+        q = q.withColumn("qvec", dense_entries("qvec"))
+    q = q.withColumn("qnorm", entries_norm("qvec"))
     if group_col and group_col not in questions.columns:
         g = groups if groups is not None else index.select(group_col).distinct()
         q = bounded_broadcast(g.select(group_col)).crossJoin(q)
@@ -162,6 +166,10 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
                       F.coalesce("qterms", F.array().cast("array<struct<term:string,w:double>>"))
                       .alias("qterms"),
                       "qvec", "qnorm", "n_docs", "avgdl")
+    # The question side feeds several sub-plans (postings join, vectors,
+    # zero fill, ranges); it is small (one row per question), so it is
+    # materialised once in the shared checkpoint folder.
+    out = cut_lineage(out)
     out._sifter_terms = n_tok  # type: ignore[attr-defined]
     out._sifter_group = group_col  # type: ignore[attr-defined]
     return mark_bounded(out, n_q)
@@ -229,8 +237,10 @@ def semantic_pairs(index: DataFrame, qside: DataFrame) -> DataFrame:
     group_col = _group_of(qside)
     side = _keep_bound(qside.select(*_g(group_col), "query_id", "qvec", "qnorm"), qside)
     pairs = _join_side(index, side, group_col)
-    return pairs.select(*_g(group_col), "query_id", "doc_id",
-                        cosine_with_norms("qvec", "vec", "qnorm", "vnorm").alias("semantic"))
+    qn, dn = F.col("qnorm"), F.col("vnorm")
+    cos = F.when((qn == 0) | (dn == 0), F.lit(0.0)).otherwise(
+        entries_dot_dense("qvec", "vec") / (qn * dn))
+    return pairs.select(*_g(group_col), "query_id", "doc_id", cos.alias("semantic"))
 
 
 def top_k(scored: DataFrame, k: int, score_col: str = "score", part_col="query_id",
@@ -258,8 +268,16 @@ def bm25_topk(index: DataFrame, qside: DataFrame, k: int = DEFAULT_TOP_K,
     """J4 keyword search: ``[group,] query_id, rank, doc_id, score`` (zero scores fill short lists)."""
     keys = _keys(qside)
     hits = bm25_hits(index, qside, params)
-    fill = _zero_fill(index, qside, k).join(hits.select(*keys, "doc_id"), keys + ["doc_id"],
-                                              "left_anti")
+    fill = _zero_fill(index, qside, k)
+    # Only hits among the 2k candidate ids can collide with a fill row: the
+    # anti-join runs on two small sides (<= questions x 2k rows each).
+    fill_ids = fill.select(*_g(_group_of(qside)), "doc_id").distinct()
+    bound = (getattr(qside, "_sifter_rows", None) or 0) * 2 * k or None
+    colliding = hits.join(F.broadcast(fill_ids), _g(_group_of(qside)) + ["doc_id"]).select(
+        *keys, "doc_id")
+    if bound:
+        colliding = mark_bounded(colliding, bound)
+    fill = fill.join(bounded_broadcast(colliding), keys + ["doc_id"], "left_anti")
     scored = hits.unionByName(fill).withColumnRenamed("bm25", "score")
     return top_k(scored, k, part_col=keys).select(*keys, "rank", "doc_id", "score")
 

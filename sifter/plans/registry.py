@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sifter.functions.text import split_sentences, strip_ws, tokenize
-from sifter.functions.vectors import l2_normalize, norm
+from sifter.functions.vectors import dense_entries, entries_norm, l2_normalize, norm
 from sifter.functions import cleanup as CU
 from sifter.functions import formatting as fmt
 from sifter.functions import payload as PL
@@ -120,8 +120,8 @@ def q_vector_topk_dense(spark, sf):
     idx = emb.select(F.col("vec_id").alias("doc_id"),
                      F.col("embedding").cast("array<double>").alias("vec")).withColumn(
         "vnorm", norm("vec"))
-    q = _label_centroids(emb).withColumn("qnorm", norm("qvec")).select(
-        F.col("question_id").alias("query_id"), "qvec", "qnorm")
+    q = _label_centroids(emb).withColumn("qvec", dense_entries("qvec")).withColumn(
+        "qnorm", entries_norm("qvec")).select(F.col("question_id").alias("query_id"), "qvec", "qnorm")
     res = R.top_k(R.semantic_pairs(idx, q).withColumnRenamed("semantic", "score"), 5)
     return res.select(F.col("query_id").alias("label"), "rank",
                       F.col("doc_id").alias("vec_id"), "score")
@@ -522,8 +522,8 @@ def q_retrieval_hit_mrr_ndcg(spark, sf):
     idx = emb.select(F.col("vec_id").alias("doc_id"),
                      F.col("embedding").cast("array<double>").alias("vec")).withColumn(
         "vnorm", norm("vec"))
-    q = _label_centroids(emb).withColumn("qnorm", norm("qvec")).select(
-        F.col("question_id").alias("query_id"), "qvec", "qnorm")
+    q = _label_centroids(emb).withColumn("qvec", dense_entries("qvec")).withColumn(
+        "qnorm", entries_norm("qvec")).select(F.col("question_id").alias("query_id"), "qvec", "qnorm")
     ranked = R.top_k(R.semantic_pairs(idx, q).withColumnRenamed("semantic", "score"), 10)
     relevant = emb.select(F.col("label").alias("query_id"), F.col("vec_id").alias("doc_id"))
     m = EV.ranking_metrics(ranked, relevant, ["query_id"], 10)
