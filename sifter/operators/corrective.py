@@ -42,10 +42,10 @@ def default_grader(top_score):
     return F.coalesce(top_score >= GRADING_THRESHOLD, F.lit(False))
 
 
-def _rewrite(active: DataFrame, top_doc: DataFrame, index: DataFrame) -> DataFrame:
+def _rewrite(active: DataFrame, top_doc: DataFrame, index: DataFrame,
+             vocab: DataFrame) -> DataFrame:
     """J12 default: question + the REWRITE_TERMS highest-idf terms of its top
     context that the question does not contain (ties by term)."""
-    vocab = R.document_frequency(index)
     terms = top_doc.join(index.select("doc_id", F.explode(F.map_keys("tf")).alias("term")), "doc_id")
     terms = terms.join(active.select("query_id", tokenize("question").alias("_qt")), "query_id")
     terms = terms.where(~F.array_contains("_qt", F.col("term"))).join(vocab, "term")
@@ -75,12 +75,13 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
     active = cut_lineage(routed.where(F.col("routed")).drop("routed")
                          .withColumn("trace", F.array().cast("array<string>")))
     finished = [direct]
+    stats = R.index_stats(index)
     for rnd in range(max_retries + 1):
         n_active = active.count()
         if n_active == 0:
             break
         qside = R.prepare_questions(index, active.select(
-            F.col("query_id").alias("question_id"), "question"))
+            F.col("query_id").alias("question_id"), "question"), stats=stats)
         top = mark_bounded(R.semantic_topk(index, qside, k), n_active * k)
         per_q = top.groupBy("query_id").agg(
             F.max("score").alias("top_score"),
@@ -100,7 +101,8 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
             break
         todo = graded.where(~F.col("relevant"))
         top_doc = top.where(F.col("rank") == 1).select("query_id", "doc_id")
-        rewritten = _rewrite(todo.select("query_id", "question", "original", "trace"), top_doc, index)
+        rewritten = _rewrite(todo.select("query_id", "question", "original", "trace"), top_doc,
+                             index, stats.vocab)
         active = cut_lineage(rewritten.withColumn(
             "trace", F.concat("trace", F.array(F.lit(TRACE_REWRITE)))).select(
             "query_id", "question", "original", "trace"))

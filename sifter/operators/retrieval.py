@@ -117,10 +117,36 @@ def idf_floor(index: DataFrame, params: BM25Params = BM25Params(),
                          .alias("eps_idf"))
 
 
+@dataclass
+class IndexStats:
+    """Materialised collection statistics: the term dictionary (``[group,]
+    term, df``) and the per-group row ``n_docs, avgdl, eps_idf``."""
+    vocab: DataFrame
+    glob: DataFrame
+
+
+def index_stats(index: DataFrame, params: BM25Params = BM25Params(),
+                group_col: str | None = None) -> IndexStats:
+    """Compute the term dictionary and global statistics once (reliable
+    checkpoints), for callers that ask several question batches."""
+    vocab = cut_lineage(document_frequency(index, group_col))
+    n = F.broadcast(corpus_stats(index, group_col))
+    mean_idf = ((vocab.join(n, group_col) if group_col else vocab.crossJoin(n))
+                .groupBy(*_g(group_col))
+                .agg(F.avg(_raw_idf(F.col("df"), F.col("n_docs"))).alias("mean_idf")))
+    stats = corpus_stats(index, group_col)
+    joined = (stats.join(F.broadcast(mean_idf), group_col, "left") if group_col
+              else stats.crossJoin(F.broadcast(mean_idf)))
+    glob = cut_lineage(joined.select(
+        *_g(group_col), "n_docs", "avgdl",
+        (F.lit(params.epsilon) * F.coalesce(F.col("mean_idf"), F.lit(0.0))).alias("eps_idf")))
+    return IndexStats(vocab, glob)
+
+
 def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "question_id",
                       text_col: str = "question", params: BM25Params = BM25Params(),
                       embedding_col: str | None = None, group_col: str | None = None,
-                      groups: DataFrame | None = None) -> DataFrame:
+                      groups: DataFrame | None = None, stats: IndexStats | None = None) -> DataFrame:
     """One row per question (per group) with everything scoring needs.
 
     ``[group,] query_id, qtoks, qterms ARRAY<STRUCT<term, w>>, qvec, qnorm, n_docs, avgdl``
@@ -146,12 +172,12 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
     # bound every question-side table derived below.
     n_q, n_tok = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qtoks")), F.lit(0))).first()
     q = bounded_broadcast(mark_bounded(q, n_q))
-    glob = F.broadcast(idf_floor(index, params, group_col))
+    glob = F.broadcast(stats.glob if stats else idf_floor(index, params, group_col))
     keys = _g(group_col) + ["query_id"]
     qt = (q.select(*keys, F.explode("qtoks").alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
     # Vocabulary x (small, checked) query terms: only matching terms survive.
-    dfs = document_frequency(index, group_col).join(
+    dfs = (stats.vocab if stats else document_frequency(index, group_col)).join(
         bounded_broadcast(mark_bounded(qt, n_tok)), _g(group_col) + ["term"])
     weighted = ((dfs.join(glob, group_col) if group_col else dfs.crossJoin(glob))
                 .withColumn("raw", _raw_idf(F.col("df"), F.col("n_docs")))
