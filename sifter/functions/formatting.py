@@ -125,3 +125,68 @@ def attention_mask(ids, max_length: int) -> Column:
 def lm_labels(padded, mask) -> Column:
     """Labels = input ids; padded positions are ignored (-100), as the LM collator does."""
     return F.zip_with(_c(padded), _c(mask), lambda i, m: F.when(m == 1, i).otherwise(LABEL_IGNORE))
+
+
+# ------------------------------------------------------------------ H28
+# The corrective workflow's prompt templates (as text, in order:
+# grade, rewrite, answer). %s slots: documents/question, question, question/context.
+GRADE_PROMPT = """
+        You are a grader assessing relevance of retrieved documents to a user question.
+        
+        Here is the retrieved document:
+        %s
+        
+        Here is the user question:
+        %s
+        
+        If the document contains information related to the user question, grade it as relevant.
+        Give a binary score 'yes' or 'no' to indicate whether the document is relevant.
+        
+        Respond with only 'yes' or 'no'.
+        """
+REWRITE_PROMPT = """
+        You are a question re-writer that converts an input question to a better version that is optimized
+        for vectorstore retrieval. Look at the input and try to reason about the underlying semantic intent / meaning.
+        
+        Here is the initial question:
+        %s
+        
+        Formulate an improved question that is more specific and likely to retrieve relevant documents:
+        """
+ANSWER_PROMPT = """
+        You are an assistant for question-answering tasks. 
+        Use the following pieces of retrieved context to answer the question. 
+        If you don't know the answer, just say that you don't know. 
+        Use three sentences maximum and keep the answer concise.
+        
+        Question: %s
+        Context: %s
+        
+        Answer:
+        """
+
+
+def grade_prompt(documents, question) -> Column:
+    """Prompt for a grader hook (documents, question)."""
+    return F.format_string(GRADE_PROMPT, _s(documents), _s(question))
+
+
+def rewrite_prompt(question) -> Column:
+    """Prompt for a rewriter hook."""
+    return F.format_string(REWRITE_PROMPT, _s(question))
+
+
+def answer_prompt(question, context) -> Column:
+    """Prompt for a generator hook in the corrective workflow."""
+    return F.format_string(ANSWER_PROMPT, _s(question), _s(context))
+
+
+def evaluation_run_id(kb, ts=None) -> Column:
+    """``eval_{kb}_{epoch seconds}``."""
+    t = F.unix_timestamp(ts if ts is not None else F.current_timestamp())
+    return F.concat(F.lit("eval_"), _s(kb), F.lit("_"), t.cast("string"))
+
+
+def experiment_name(ts=None) -> Column:
+    """``exp_%Y%m%d_%H%M%S``."""
+    return F.date_format(ts if ts is not None else F.current_timestamp(), "'exp_'yyyyMMdd_HHmmss")

@@ -339,3 +339,101 @@ def label_histogram(means: DataFrame) -> DataFrame:
     """Count of metric means per performance label."""
     return means.groupBy(performance_label("score").alias("label")).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ K8, K9
+
+REPORT_NEXT_STEPS = (
+    "## 🔧 Next Steps\n"
+    "1. **Review detailed results** in the exported CSV file\n"
+    "2. **Implement recommended improvements**\n"
+    "3. **Re-evaluate** to measure progress\n"
+    "4. **A/B test** different configurations\n\n"
+    "---\n"
+    "*Generated by sifter RAG evaluation*\n")
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Python's ``f"{x:.Nf}"``: Java's DecimalFormat rounds the exact binary
+    value half-to-even, as Python does (format_string/round start from the
+    shortest decimal form instead). Grouping commas are removed."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
+
+
+def _fmt3(x: Column) -> Column:
+    return fixed(x, 3)
+
+
+def summary_report(means: DataFrame, metrics: list[str], n_questions: Column,
+                   evaluation_seconds: float, timestamp: Column,
+                   kb_col: str = "kb_name") -> DataFrame:
+    """K9: one markdown report per knowledge base (sections in metric order,
+    labels, overall average, best and worst metric, recommendations).
+
+    Groups are knowledge bases with at most ``len(metrics)`` rows each.
+    """
+    spark = means.sparkSession
+    order = metric_order(spark, metrics)
+    m = means.join(order, "metric")
+    section = F.concat(
+        F.lit("### "), metric_title("metric"), F.lit("\n- **Score**: "), _fmt3(F.col("score")),
+        F.lit(" "), performance_label("score"), F.lit("\n- **Description**: "),
+        interpretation("metric"), F.lit("\n\n"))
+    per_kb = m.groupBy(kb_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("metric_ord", section.alias("s")))),
+                    lambda x: x["s"]).alias("sections"),
+        F.map_from_entries(F.collect_list(F.struct("metric", "score"))).alias("scores"),
+        F.avg("score").alias("avg"),
+        F.min_by("metric", F.struct((-F.col("score")).alias("v"), "metric_ord")).alias("best"),
+        F.max("score").alias("best_score"),
+        F.min_by("metric", F.struct(F.col("score").alias("v"), "metric_ord")).alias("worst"),
+        F.min("score").alias("worst_score"))
+    recs = F.array_join(F.transform(recommendations(F.col("scores")),
+                                    lambda r: F.concat(F.lit("- "), r, F.lit("\n"))), "")
+    report = F.concat(
+        F.lit("# RAG Evaluation Report\n\n## 📊 Overview\n- **Knowledge Base**: "), F.col(kb_col),
+        F.lit("\n- **Test Questions**: "), n_questions.cast("string"),
+        F.lit(f"\n- **Evaluation Time**: {evaluation_seconds:.2f} seconds\n- **Timestamp**: "),
+        timestamp, F.lit("\n\n## 🎯 RAGAS Metrics Scores\n\n"),
+        F.array_join("sections", ""),
+        F.lit("## 📈 Overall Assessment\n- **Average Score**: "), _fmt3(F.col("avg")), F.lit(" "),
+        performance_label("avg"), F.lit("\n- **Best Metric**: "), F.col("best"), F.lit(" ("),
+        _fmt3(F.col("best_score")), F.lit(")\n- **Needs Improvement**: "), F.col("worst"),
+        F.lit(" ("), _fmt3(F.col("worst_score")), F.lit(")\n\n## 💡 Recommendations\n\n"),
+        recs, F.lit("\n\n"), F.lit(REPORT_NEXT_STEPS))
+    return per_kb.select(kb_col, report.alias("report"))
+
+
+def evaluate_pipeline(rows: DataFrame, keys: list[str], metrics: list[str] | None = None,
+                      kb_col: str = "kb_name", evaluation_seconds: float = 0.0,
+                      timestamp: str | None = None, out_dir: str | None = None):
+    """K8: evaluation rows -> per-question metrics -> means -> report [-> files].
+
+    Returns ``(details, means, report)``; with ``out_dir`` the three are also
+    written (A12). Without ground truths the metric list defaults to B5.
+    """
+    from sifter.sources.sinks import write_evaluation
+    has_gt = "ground_truths" in rows.columns
+    metrics = select_metrics(metrics or default_metrics(has_gt))
+    long = score_rows(rows, metrics, keys)
+    group = [kb_col] if kb_col in keys else []
+    means = metric_means(long, group)
+    if not group:
+        means = means.withColumn(kb_col, F.lit("default"))
+    n_q = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")) if group else \
+        rows.agg(F.count(F.lit(1)).alias("_n")).withColumn(kb_col, F.lit("default"))
+    ts = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(),
+                                                          "yyyy-MM-dd'T'HH:mm:ss")
+    report = _report_with_counts(means, n_q, metrics, evaluation_seconds, ts, kb_col)
+    details = rows.join(long.groupBy(*keys).pivot("metric", metrics).agg(F.first("value")), keys)
+    if out_dir:
+        write_evaluation(details, report.select("report"), means, out_dir)
+    return details, means, report
+
+
+def _report_with_counts(means, n_q, metrics, evaluation_seconds, ts, kb_col):
+    rep = summary_report(means, metrics, F.lit("{n}"), evaluation_seconds, ts, kb_col)
+    return rep.join(F.broadcast(n_q), kb_col).select(
+        kb_col, F.replace("report", F.lit("**Test Questions**: {n}"),
+                          F.concat(F.lit("**Test Questions**: "), F.col("_n").cast("string")))
+        .alias("report"))

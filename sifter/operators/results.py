@@ -187,7 +187,7 @@ def split_info(kv: DataFrame, key_col: str = "key", value_col: str = "value") ->
 def report_rows(long: DataFrame) -> DataFrame:
     """L3: Task / Metric / Value rows with 4 decimals."""
     return long.select("model", F.col("task").alias("Task"), F.col("metric").alias("Metric"),
-                       F.format_string("%.4f", F.col("value")).alias("Value"))
+                       F.regexp_replace(F.format_number(F.col("value"), 4), ",", "").alias("Value"))
 
 
 def select_newest(files: DataFrame, expected: list[str] | None = None,
@@ -204,3 +204,25 @@ def select_newest(files: DataFrame, expected: list[str] | None = None,
     order += [F.desc(mtime_col), F.asc(path_col)]
     # Top-1 by ordering: per-partition top-1, then one merge (no global sort).
     return files.orderBy(*order).limit(1)
+
+
+def logging_metrics(summary: DataFrame) -> DataFrame:
+    """The metrics a run logs: final_train_loss; overall_accuracy with
+    eval_loss / eval_f1_macro defaulting to 0 when accuracy exists; runtime and
+    samples/s defaulting to 0 when any training stat exists."""
+    has_acc = F.col("eval_accuracy").isNotNull()
+    has_stats = (F.col("train_runtime").isNotNull() | F.col("train_samples_per_second").isNotNull()
+                 | F.col("train_steps_per_second").isNotNull())
+    return summary.select(
+        "run", "final_train_loss", F.col("eval_accuracy").alias("overall_accuracy"),
+        F.when(has_acc, F.coalesce("eval_loss", F.lit(0.0))).alias("eval_loss"),
+        F.when(has_acc, F.coalesce("eval_f1_macro", F.lit(0.0))).alias("eval_f1_macro"),
+        F.when(has_stats, F.coalesce("train_runtime", F.lit(0.0))).alias("train_runtime"),
+        F.when(has_stats, F.coalesce("train_samples_per_second", F.lit(0.0)))
+        .alias("train_samples_per_second"))
+
+
+def distinct_tasks_metrics(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct tasks and distinct metrics across models (sorted listing, F6)."""
+    return (long.select("task").distinct().orderBy("task"),
+            long.select("metric").distinct().orderBy("metric"))

@@ -61,7 +61,8 @@ def _join_side(big: DataFrame, small: DataFrame, group_col: str | None) -> DataF
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                embedding_col: str | None = None, group_col: str | None = None) -> DataFrame:
+                embedding_col: str | None = None, group_col: str | None = None,
+                expected_dim: int | None = None) -> DataFrame:
     """Per-document index row: ``[group,] doc_id, dl, tf, vec, vnorm`` (no shuffle).
 
     ``vec`` is the supplied embedding column, or the hashed embedding counts.
@@ -73,6 +74,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        *([F.col(embedding_col).cast("array<double>").alias("vec")]
                          if embedding_col else []))
     vec = F.col("vec") if embedding_col else hashed_counts("_toks")
+    if embedding_col and expected_dim:
+        # Every stored vector has the collection's width.
+        vec = F.when(F.size("vec") == expected_dim, F.col("vec")).otherwise(F.raise_error(
+            F.concat(F.lit(f"embedding width != {expected_dim} for doc "), F.col("doc_id").cast("string"))))
     return toks.select(
         *_g(group_col), "doc_id",
         F.size("_toks").alias("dl"),

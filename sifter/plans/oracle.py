@@ -222,12 +222,11 @@ def STRIP(expr: str) -> str:
 
 
 _PAIRS = """
-pairs AS (SELECT * FROM (
-  SELECT conv_id, turn, role, text,
-         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
-         max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS system_text
-  FROM conversations) WHERE role = 'user' AND next_role = 'assistant')"""
+pairs AS (SELECT u.conv_id, u.turn, u.role, u.text, n.role AS next_role, n.text AS next_text, s.system_text
+  FROM conversations u JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
+  LEFT JOIN (SELECT conv_id, max(text) AS system_text FROM conversations WHERE role = 'system' GROUP BY conv_id) s
+    ON s.conv_id = u.conv_id
+  WHERE u.role = 'user' AND n.role = 'assistant')"""
 
 SQL["format_instruction"] = f"""
 WITH {_PAIRS}
@@ -785,3 +784,34 @@ SQL["stream_metrics"] = """
 SELECT event_type AS name, value,
        CAST(trunc((epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) / 1000000) AS BIGINT) AS step
 FROM events WHERE value IS NOT NULL"""
+
+_TITLE = "CASE " + " ".join(
+    f"WHEN metric = '{m}' THEN '{' '.join(w.capitalize() for w in m.split('_'))}'" for m in _CMP) + " END"
+_DESC = "CASE " + " ".join(f"WHEN metric = '{m}' THEN '{v}'" for m, v in _INTERP.items()) + " ELSE '' END"
+SQL["eval_report"] = f"""WITH {_KB_MEANS}, {_MORD},
+sec AS (SELECT kb_name, metric, score, metric_ord,
+          '### ' || {_TITLE} || chr(10) || '- **Score**: ' || printf('%.3f', score) || ' ' || {LABEL('score')}
+          || chr(10) || '- **Description**: ' || {_DESC} || {NL2} AS s
+        FROM kbm JOIN mo USING (metric)),
+agg AS (SELECT kb_name, string_agg(s, '' ORDER BY metric_ord) AS sections, avg(score) AS av,
+               arg_min(metric, (-score, metric_ord)) AS best, max(score) AS best_score,
+               arg_min(metric, (score, metric_ord)) AS worst, min(score) AS worst_score,
+               """ + ", ".join(f"max(CASE WHEN metric = '{m}' THEN score END) AS {m}" for m in _CMP) + """
+        FROM sec GROUP BY kb_name),
+rc AS (SELECT *, list_filter([""" + ", ".join(
+    f"CASE WHEN coalesce({m}, {D(1)}) < {D(t)} THEN '{txt}' END" for m, t, txt in _RECS) + f"""], lambda x: x IS NOT NULL) AS recs FROM agg),
+nq AS (SELECT count(*) AS n FROM benchmark)
+SELECT kb_name,
+  '# RAG Evaluation Report' || {NL2} || '## 📊 Overview' || chr(10) || '- **Knowledge Base**: ' || kb_name || chr(10)
+  || '- **Test Questions**: ' || CAST(nq.n AS VARCHAR) || chr(10) || '- **Evaluation Time**: 0.00 seconds' || chr(10)
+  || '- **Timestamp**: 1970-01-01T00:00:00' || {NL2} || '## 🎯 RAGAS Metrics Scores' || {NL2} || sections
+  || '## 📈 Overall Assessment' || chr(10) || '- **Average Score**: ' || printf('%.3f', av) || ' ' || {LABEL('av')} || chr(10)
+  || '- **Best Metric**: ' || best || ' (' || printf('%.3f', best_score) || ')' || chr(10)
+  || '- **Needs Improvement**: ' || worst || ' (' || printf('%.3f', worst_score) || ')' || {NL2}
+  || '## 💡 Recommendations' || {NL2}
+  || CASE WHEN len(recs) = 0 THEN '- 🎉 **Excellent Performance**: Your RAG pipeline is performing well across all metrics!' || chr(10)
+          ELSE array_to_string(list_transform(recs, lambda r: '- ' || r || chr(10)), '') END
+  || {NL2} || '## 🔧 Next Steps' || chr(10) || '1. **Review detailed results** in the exported CSV file' || chr(10)
+  || '2. **Implement recommended improvements**' || chr(10) || '3. **Re-evaluate** to measure progress' || chr(10)
+  || '4. **A/B test** different configurations' || {NL2} || '---' || chr(10) || '*Generated by sifter RAG evaluation*' || chr(10) AS report
+FROM rc, nq"""

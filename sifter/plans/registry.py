@@ -194,19 +194,23 @@ def q_chunk_recursive_stats(spark, sf):
 # ------------------------------------------------------------ training data
 
 def _turn_pairs(spark, sf) -> DataFrame:
-    """User turns with the next turn and the conversation's system text.
+    """User turns with the next turn (turn numbers are ordinals) and the
+    conversation's system text.
 
-    One window over conv_id (a shuffle by conversation) replaces a self-join.
+    Equi-joins on (conv_id, turn) hash-partition by both columns, so a very
+    long conversation is spread over many tasks; the system text is a
+    per-conversation aggregate (partial+final) joined back on conv_id, where
+    AQE can split a hot key.
     """
     conv = T.load(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    wall = Window.partitionBy("conv_id")
-    return (conv.select("conv_id", "turn", "role", "text",
-                        F.lead("role").over(w).alias("next_role"),
-                        F.lead("text").over(w).alias("next_text"),
-                        F.max(F.when(F.col("role") == "system", F.col("text"))).over(wall)
-                        .alias("system_text"))
-            .where((F.col("role") == "user") & (F.col("next_role") == "assistant")))
+    nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                      F.col("role").alias("next_role"), F.col("text").alias("next_text"))
+    system = (conv.where(F.col("role") == "system").groupBy("conv_id")
+              .agg(F.max("text").alias("system_text")))
+    pairs = (conv.where(F.col("role") == "user").join(nxt, ["conv_id", "turn"])
+             .where(F.col("next_role") == "assistant"))
+    return pairs.join(system, "conv_id", "left").select(
+        "conv_id", "turn", "role", "text", "next_role", "next_text", "system_text")
 
 
 @register("format_instruction")
@@ -766,3 +770,11 @@ def q_stream_metrics(spark, sf):
     stream = ST.table_stream(spark, sf, "events.parquet", events.schema)
     ST.metric_stream(stream, sink, ck, str(start)).awaitTermination()
     return spark.read.parquet(sink).select("name", "value", "step")
+
+
+@register("eval_report")
+def q_eval_report(spark, sf):
+    rows, keys = _eval_rows(spark, sf, group_col="kb_name")
+    _, _, report = EV.evaluate_pipeline(rows, keys, COMPARE_METRICS, "kb_name", 0.0,
+                                        "1970-01-01T00:00:00")
+    return report

@@ -59,3 +59,21 @@ def test_ranking_metrics(spark):
     import math
     assert r["hit_at_k"] == 1.0 and r["mrr"] == 0.5 and r["recall_at_k"] == 0.5
     assert abs(r["ndcg_at_k"] - (1 / math.log2(3)) / (1 + 1 / math.log2(3))) < 1e-12
+
+
+def test_fixed_matches_python_format(spark):
+    vals = [0.0625, 0.9625, 0.1235, 1234.5, -0.0005, 2.675]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(EV.fixed(F.col("x"), 3)).collect()]
+    assert got == [f"{v:.3f}" for v in vals]
+
+
+def test_summary_report_sections(spark):
+    means = spark.createDataFrame([("kb", "faithfulness", 0.95), ("kb", "answer_relevancy", 0.5)],
+                                  "kb_name string, metric string, score double")
+    rep = EV.summary_report(means, ["faithfulness", "answer_relevancy"], F.lit(3), 1.5,
+                            F.lit("T")).first()["report"]
+    assert "### Faithfulness\n- **Score**: 0.950 🟢 Excellent" in rep
+    assert "- **Best Metric**: faithfulness (0.950)" in rep
+    assert "- **Needs Improvement**: answer_relevancy (0.500)" in rep
+    assert "🎯 **Improve Answer Relevancy**" in rep and "**Evaluation Time**: 1.50 seconds" in rep
