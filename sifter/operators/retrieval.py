@@ -256,7 +256,8 @@ def _zero_fill(index: DataFrame, qside: DataFrame, k: int) -> DataFrame:
         first_ids = F.broadcast(index.select("doc_id").orderBy("doc_id").limit(2 * k))
     qs = bounded_broadcast(_keep_bound(qside.select(*_g(group_col), "query_id"), qside))
     pairs = qs.join(first_ids, group_col) if group_col else qs.crossJoin(first_ids)
-    return pairs.select(*_g(group_col), "query_id", "doc_id", F.lit(0.0).alias("bm25"))
+    return (pairs.select(*_g(group_col), "query_id", "doc_id", F.lit(0.0).alias("bm25")),
+            first_ids)
 
 
 def semantic_pairs(index: DataFrame, qside: DataFrame) -> DataFrame:
@@ -299,12 +300,11 @@ def bm25_topk(index: DataFrame, qside: DataFrame, k: int = DEFAULT_TOP_K,
     """J4 keyword search: ``[group,] query_id, rank, doc_id, score`` (zero scores fill short lists)."""
     keys = _keys(qside)
     hits = bm25_hits(index, qside, params)
-    fill = _zero_fill(index, qside, k)
+    fill, fill_ids = _zero_fill(index, qside, k)
     # Only hits among the 2k candidate ids can collide with a fill row: the
     # anti-join runs on two small sides (<= questions x 2k rows each).
-    fill_ids = fill.select(*_g(_group_of(qside)), "doc_id").distinct()
     bound = (getattr(qside, "_sifter_rows", None) or 0) * 2 * k or None
-    colliding = hits.join(F.broadcast(fill_ids), _g(_group_of(qside)) + ["doc_id"]).select(
+    colliding = hits.join(fill_ids, _g(_group_of(qside)) + ["doc_id"]).select(
         *keys, "doc_id")
     if bound:
         colliding = mark_bounded(colliding, bound)
@@ -330,18 +330,29 @@ def hybrid_scores(index: DataFrame, qside: DataFrame, alpha: float = HYBRID_ALPH
     """Min-max normalise both scores over *all* documents per question (D13, H38),
     then blend ``(1-alpha)*bm25 + alpha*semantic`` (H39).
 
-    Semantic pairs (all documents) and BM25 hits are combined by a union and
-    one aggregation on (question, document) instead of a join; the
-    per-question ranges are a partial+final aggregate (one row per question)
-    and the shuffled pair table is reused for the final projection.
+    No (question, document) pair is shuffled: BM25 hits are folded into one
+    ``MAP<query_id, bm25>`` per document (an aggregation on doc_id), joined to
+    the index on doc_id, and both scores are computed in the same row of the
+    nested-loop join with the broadcast question side. With an index stored
+    bucketed by doc_id (:func:`sifter.session.materialize_bucketed`) the hit
+    aggregation, the fold and the join need no exchange at all; only the
+    per-question ranges (one row per question) and the top-k rows move.
+    Document ids must be unique within the index.
     """
+    group_col = _group_of(qside)
     keys = _keys(qside)
-    sem = semantic_pairs(index, qside).select(
-        *keys, "doc_id", F.lit(None).cast("double").alias("bm25"), "semantic")
-    hits = bm25_hits(index, qside, params).select(
-        *keys, "doc_id", "bm25", F.lit(None).cast("double").alias("semantic"))
-    pairs = sem.unionByName(hits).groupBy(*keys, "doc_id").agg(
-        F.coalesce(F.sum("bm25"), F.lit(0.0)).alias("bm25"), F.max("semantic").alias("semantic"))
+    hits = bm25_hits(index, qside, params)
+    per_doc = hits.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("query_id", "bm25"))).alias("_bm"))
+    docs = index.select(*_g(group_col), "doc_id", "vec", "vnorm").join(per_doc, "doc_id", "left")
+    side = _keep_bound(qside.select(*_g(group_col), "query_id", "qvec", "qnorm"), qside)
+    pairs = _join_side(docs, side, group_col)
+    qn, dn = F.col("qnorm"), F.col("vnorm")
+    sem = F.when((qn == 0) | (dn == 0), F.lit(0.0)).otherwise(
+        entries_dot_dense("qvec", "vec") / (qn * dn))
+    pairs = pairs.select(*keys, "doc_id",
+                         F.coalesce(F.col("_bm")[F.col("query_id")], F.lit(0.0)).alias("bm25"),
+                         sem.alias("semantic"))
     ranges = pairs.groupBy(*keys).agg(
         F.min("bm25").alias("bm25_min"), F.max("bm25").alias("bm25_max"),
         F.min("semantic").alias("semantic_min"), F.max("semantic").alias("semantic_max"))

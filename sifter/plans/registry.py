@@ -25,7 +25,7 @@ from sifter.operators import training_data as TD
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
 from sifter.plans.sizing import mark_bounded
-from sifter.session import cut_lineage, materialize, scratch_path
+from sifter.session import cut_lineage, materialize_bucketed, scratch_path
 from sifter.streaming import jobs as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ def register(name: str):
 def _doc_index(spark, sf):
     # The index feeds four sub-plans (stats, vocabulary, postings, vectors);
     # it is written once to the shared checkpoint folder and read back.
-    return materialize(R.build_index(T.documents(spark, sf)), "doc-index")
+    return materialize_bucketed(R.build_index(T.documents(spark, sf)), "sifter_doc_index")
 
 
 def _qside(spark, sf, index):
@@ -148,7 +148,7 @@ def q_hybrid_alpha1(spark, sf):
 @register("hybrid_rerank_topk")
 def q_hybrid_rerank_topk(spark, sf):
     docs = T.documents(spark, sf)
-    idx = materialize(R.build_index(docs), "doc-index")
+    idx = materialize_bucketed(R.build_index(docs), "sifter_doc_index")
     qs = T.questions(spark, sf)
     qside = R.prepare_questions(idx, qs)
     return R.advanced_retrieval(idx, qside, qs, docs, k=5, use_hybrid=True, use_reranking=True,
@@ -429,7 +429,7 @@ def _eval_rows(spark, sf, group_col=None):
     docs = T.documents(spark, sf)
     if group_col:
         docs = docs.withColumnRenamed("source", group_col)
-    idx = materialize(R.build_index(docs, group_col=group_col), "kb-index")
+    idx = materialize_bucketed(R.build_index(docs, group_col=group_col), "sifter_kb_index")
     qs = T.questions(spark, sf)
     qside = R.prepare_questions(idx, qs, group_col=group_col)
     ranked = R.semantic_topk(idx, qside, EVAL_K)

@@ -71,3 +71,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, name: str, key: str = "doc_id",
+                         buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as an external parquet table bucketed by ``key`` in the
+    shared checkpoint folder and read it back through the catalog.
+
+    Spark then knows the table is hash-partitioned by ``key``: later
+    aggregations and joins on ``key`` (postings -> per-document scores, index
+    joins) run without an exchange. Writing needs no shuffle: each task writes
+    its rows into the bucket files. ``buckets`` defaults to the session's
+    shuffle partitions.
+    """
+    import uuid
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    df.write.bucketBy(n, key).option("path", scratch_path(spark, table)).saveAsTable(table)
+    return spark.table(table)

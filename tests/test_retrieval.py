@@ -81,3 +81,15 @@ def test_plan_shape_topk_and_no_python(spark):
     sem = _plan(R.semantic_topk(idx, q, 5))
     assert "BroadcastNestedLoopJoin" in sem
     assert "BroadcastHashJoin" in _plan(R.bm25_hits(idx, q))
+
+
+def test_bucketed_index_shuffles_only_question_keyed_rows(spark):
+    import re
+    from sifter.session import materialize_bucketed
+    idx = materialize_bucketed(R.build_index(T.documents(spark, SF_SMALL)), "test_idx")
+    q = R.prepare_questions(idx, T.questions(spark, SF_SMALL))
+    for df in (R.hybrid_topk(idx, q, 5), R.bm25_topk(idx, q, 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert exchanges, plan
+        assert all("doc_id" not in e for e in exchanges), exchanges
