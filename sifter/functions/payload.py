@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sifter.functions.cleanup import date_part
-from sifter.functions.text import _c, let
+from sifter.functions.text import _c, explode_positions, let
 
 REPO_SCHEMA = ("total_count int, items array<struct<full_name string, name string, "
                "description string, stargazers_count int, forks_count int, language string, "
@@ -71,7 +71,7 @@ def _issue_cols(i: Column) -> list[Column]:
 def flatten_issues(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
     """One row per issue; ``is_open`` = state is exactly ``open``."""
     p = df.select(*keys, F.from_json(F.col(json_col), ISSUE_SCHEMA).alias("a"))
-    ex = p.select(*keys, F.posexplode("a").alias("pos", "i"))
+    ex = explode_positions(p, F.col("a"), "pos", "i", *keys)
     i = F.col("i")
     return ex.select(*keys, (F.col("pos") + 1).alias("item_no"), *_issue_cols(i),
                      (F.coalesce(i["state"], F.lit("unknown")) == "open").alias("is_open"))
@@ -87,7 +87,7 @@ def pr_status(state: Column, draft: Column, merged: Column) -> Column:
 def flatten_pull_requests(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
     """Issue fields + head/base branch, draft flag and status."""
     p = df.select(*keys, F.from_json(F.col(json_col), PR_SCHEMA).alias("a"))
-    ex = p.select(*keys, F.posexplode("a").alias("pos", "i"))
+    ex = explode_positions(p, F.col("a"), "pos", "i", *keys)
     i = F.col("i")
     draft = F.coalesce(i["draft"], F.lit(False))
     merged = F.coalesce(i["merged"], F.lit(False))

@@ -96,3 +96,16 @@ def preview(text, n: int) -> Column:
 def comma_list(s) -> Column:
     """``"a, b ,c"`` -> ``[a, b, c]`` (trimmed)."""
     return F.transform(F.split(_c(s), ","), strip_ws)
+
+
+def explode_positions(df, arr: Column, pos: str, value: str, *keep) -> "DataFrame":
+    """``posexplode`` without Catalyst's inferred pre-filter.
+
+    For a plain ``posexplode(expr)`` the optimizer adds ``size(expr) > 0 AND
+    isnotnull(expr)`` below the generator and pushes it under the projection,
+    evaluating an expensive ``expr`` up to three times. The outer variant
+    gets no inferred filter; empty or NULL arrays are then dropped by the
+    (cheap) NULL test on the position, giving exactly posexplode's rows.
+    """
+    return (df.select(*keep, F.posexplode_outer(arr).alias(pos, value))
+            .where(F.col(pos).isNotNull()))

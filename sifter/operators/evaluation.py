@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.functions.text import _c, let, split_sentences, tokenize
+from sifter.functions.text import _c, explode_positions, let, split_sentences, tokenize
 from sifter.functions.vectors import entries_cosine, hashed_entries
 from sifter.plans.sizing import bounded_broadcast, literal_dimension
 
@@ -229,9 +229,9 @@ def score_rows(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFram
         "answer_correctness": answer_correctness("answer", "ground_truths"),
     }
     wide = rows.select(*keys, *[exprs[m].alias(m) for m in select_metrics(metrics)])
-    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double")
-                                         .alias("value")) for m in select_metrics(metrics)]))
-    return wide.select(*keys, stack.alias("mv")).select(*keys, "mv.metric", "mv.value")
+    arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                    for m in select_metrics(metrics)])
+    return explode_positions(wide, arr, "_p", "mv", *keys).select(*keys, "mv.metric", "mv.value")
 
 
 # ------------------------------------------------------------------ D1 - D5

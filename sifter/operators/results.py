@@ -51,8 +51,10 @@ def flatten_results(docs: DataFrame, json_col: str = "json", model_col: str = "m
     """L1 + B3: ``model, task, metric, value`` for numeric metrics."""
     parsed = docs.select(F.col(model_col).alias("model"),
                          F.from_json(F.col(json_col), RESULTS_SCHEMA).alias("r"))
-    tasks = parsed.select("model", F.explode("r.results").alias("task", "metrics"))
-    long = tasks.select("model", "task", F.explode("metrics").alias("metric", "raw"))
+    tasks = (parsed.select("model", F.explode_outer("r.results").alias("task", "metrics"))
+             .where(F.col("task").isNotNull()))
+    long = (tasks.select("model", "task", F.explode_outer("metrics").alias("metric", "raw"))
+            .where(F.col("metric").isNotNull()))
     return (long.select("model", "task", "metric", numeric_value(F.col("raw")).alias("value"))
             .where(F.col("value").isNotNull()))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.text import split_sentences, strip_ws, tokenize
+from sifter.functions.text import explode_positions, split_sentences, strip_ws, tokenize
 from sifter.functions.vectors import dense_entries, entries_norm, l2_normalize, norm
 from sifter.functions import cleanup as CU
 from sifter.functions import formatting as fmt
@@ -91,7 +91,7 @@ def q_bm25_topk(spark, sf):
 def q_hashed_vectors(spark, sf):
     idx = _doc_index(spark, sf)
     v = idx.select("doc_id", l2_normalize("vec").alias("v"))
-    return (v.select("doc_id", F.posexplode("v").alias("dim", "w"))
+    return (explode_positions(v, F.col("v"), "dim", "w", "doc_id")
             .where(F.col("w") != 0)
             .select("doc_id", F.col("dim").cast("int").alias("dim"), F.round("w", 6).alias("w")))
 
@@ -160,7 +160,7 @@ def q_hybrid_rerank_topk(spark, sf):
 @register("split_sentences")
 def q_split_sentences(spark, sf):
     d = T.documents(spark, sf).select("doc_id", split_sentences("text").alias("s"))
-    return d.select("doc_id", F.posexplode("s").alias("sent_ord", "sentence")).select(
+    return explode_positions(d, F.col("s"), "sent_ord", "sentence", "doc_id").select(
         "doc_id", F.col("sent_ord").cast("int").alias("sent_ord"), "sentence")
 
 
@@ -574,8 +574,8 @@ def q_markdown_format(spark, sf):
 
 @register("markdown_table_rows")
 def q_markdown_table_rows(spark, sf):
-    d = T.documents(spark, sf).select("doc_id", F.posexplode(
-        F.transform(F.split("text", "\n", -1), strip_ws)).alias("line_no", "line"))
+    d = explode_positions(T.documents(spark, sf),
+                          F.transform(F.split("text", "\n", -1), strip_ws), "line_no", "line", "doc_id")
     rows = d.where(CU.is_table_line("line")).select(
         "doc_id", F.col("line_no").cast("int").alias("line_no"), CU.table_row("line").alias("r"))
     return rows.where(F.col("r").isNotNull()).select(
