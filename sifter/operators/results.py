@@ -96,9 +96,9 @@ def best_performers(long: DataFrame, model_order: DataFrame | None = None,
         clean_model_name(F.col("best_model")).alias("best_model"), "value")
 
 
-def metric_paths(long: DataFrame, prefix: str = "eval") -> DataFrame:
-    """``prefix/task/metric`` names."""
-    return long.select(F.concat_ws("/", F.lit(prefix), "task", "metric").alias("path"), "value")
+def metric_paths(long: DataFrame, prefix: str = "eval", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``prefix/task/metric`` names (``comparison/model/...`` with prefix)."""
+    return long.select(*keep, F.concat_ws("/", F.lit(prefix), "task", "metric").alias("path"), "value")
 
 
 def final_metric_map(long: DataFrame) -> DataFrame:
@@ -179,10 +179,11 @@ def latency_stats(runs: DataFrame, model_col: str = "model", time_col: str = "to
         F.count(F.lit(1)).alias("runs"))
 
 
-def split_info(kv: DataFrame, key_col: str = "key", value_col: str = "value") -> DataFrame:
+def split_info(kv: DataFrame, key_col: str = "key", value_col: str = "value",
+               keep: tuple[str, ...] = ()) -> DataFrame:
     """system/dataset info split into numeric and string values."""
     num = F.col(value_col).cast("string").try_cast("double")
-    return kv.select(key_col, num.alias("value_num"),
+    return kv.select(*keep, key_col, num.alias("value_num"),
                      F.when(num.isNull(), F.col(value_col).cast("string")).alias("value_text"))
 
 

@@ -815,3 +815,61 @@ SELECT kb_name,
   || '2. **Implement recommended improvements**' || chr(10) || '3. **Re-evaluate** to measure progress' || chr(10)
   || '4. **A/B test** different configurations' || {NL2} || '---' || chr(10) || '*Generated by sifter RAG evaluation*' || chr(10) AS report
 FROM rc, nq"""
+
+
+# ------------------------------------------------- small projections (H, L, D)
+
+_LM_BASE = SQL["log_regex_metrics"]
+SQL["logging_metrics"] = f"""WITH base AS ({_LM_BASE})
+SELECT run, final_train_loss, eval_accuracy AS overall_accuracy,
+  CASE WHEN eval_accuracy IS NOT NULL THEN coalesce(eval_loss, {D(0)}) END AS eval_loss,
+  CASE WHEN eval_accuracy IS NOT NULL THEN coalesce(eval_f1_macro, {D(0)}) END AS eval_f1_macro,
+  CASE WHEN train_runtime IS NOT NULL THEN coalesce(train_runtime, {D(0)}) END AS train_runtime,
+  CASE WHEN train_runtime IS NOT NULL THEN {D(0)} END AS train_samples_per_second
+FROM base"""
+
+SQL["results_config_info"] = f"""WITH {_EV}
+SELECT DISTINCT model, 'model' AS key, CAST(NULL AS DOUBLE) AS value_num, model AS value_text FROM ev"""
+
+SQL["metric_paths"] = f"""WITH {_EV}
+SELECT model, 'eval/' || task || '/' || metric AS path, round(value, 6) AS value FROM lng"""
+
+SQL["distinct_tasks_metrics"] = f"""WITH {_EV}
+SELECT DISTINCT 'task' AS kind, task AS name FROM lng
+UNION ALL SELECT DISTINCT 'metric', metric FROM lng"""
+
+SQL["inference_prompt"] = f"""
+SELECT conv_id, turn, task_type,
+  CASE WHEN task_type = 'instruction_following' THEN '### Instruction:' || {NL} || text || {NL2} || '### Response:' || {NL}
+       WHEN task_type = 'chat' THEN 'Human: ' || text || {NL2} || 'Assistant: ' ELSE text END AS prompt
+FROM conversations, (VALUES ('instruction_following'), ('chat'), ('completion')) t(task_type)
+WHERE role = 'user'"""
+
+from sifter.functions.formatting import ANSWER_PROMPT, GRADE_PROMPT, REWRITE_PROMPT  # noqa: E402
+
+
+def _tmpl(t: str, *args: str) -> str:
+    parts = t.split("%s")
+    out = []
+    for i, p in enumerate(parts):
+        out.append("'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+        if i < len(args):
+            out.append(args[i])
+    return " || ".join(out)
+
+
+SQL["grade_prompt"] = f"""{_RERANKED}
+SELECT a.question_id, {_tmpl(GRADE_PROMPT, 'a.content', 'b.text')} AS grade,
+       {_tmpl(REWRITE_PROMPT, 'b.text')} AS rewrite,
+       {_tmpl(ANSWER_PROMPT, 'b.text', 'a.content')} AS answer
+FROM ans a JOIN benchmark b ON b.item_id = a.question_id WHERE a.rank = 1"""
+
+SQL["file_payload_flatten"] = """
+SELECT event_id,
+  CASE WHEN event_type = 'view' THEN 'file' ELSE 'f' || CAST(event_id AS VARCHAR) || '.txt' END AS file_name,
+  CASE WHEN event_type = 'click' THEN 0 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS file_size,
+  event_type AS content,
+  CASE WHEN event_type = 'error' THEN 'Untitled' ELSE 'Item ' || CAST(event_id AS VARCHAR) END AS title,
+  CASE WHEN event_type = 'signup' THEN 'N/A' ELSE CAST(event_id AS VARCHAR) END AS number,
+  'N/A' AS url
+FROM events"""

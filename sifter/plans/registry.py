@@ -778,3 +778,78 @@ def q_eval_report(spark, sf):
     _, _, report = EV.evaluate_pipeline(rows, keys, COMPARE_METRICS, "kb_name", 0.0,
                                         "1970-01-01T00:00:00")
     return report
+
+
+# ------------------------------------------------- small projections (H, L, D)
+
+@register("logging_metrics")
+def q_logging_metrics(spark, sf):
+    return RS.logging_metrics(q_log_regex_metrics_full(spark, sf))
+
+
+def q_log_regex_metrics_full(spark, sf):
+    e = _events(spark, sf)
+    lines = e.select(F.col("user_id").alias("run"), F.struct("ts", "event_id").alias("ts"),
+                     F.format_string("{'%s': %s, 'step': %d}", _map_col(EVENT_LOG_KEY, "event_type"),
+                                     F.col("value").cast("string"), F.col("event_id")).alias("line"))
+    return RS.log_line_metrics(lines, "run", "ts", "line")
+
+
+@register("results_config_info")
+def q_results_config_info(spark, sf):
+    docs = _results_docs(spark, sf).select(
+        "model", F.from_json("json", RS.RESULTS_SCHEMA)["config"].alias("config"))
+    kv = explode_positions(docs, F.map_entries("config"), "_p", "e", "model").select(
+        "model", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+    return RS.split_info(kv, keep=("model",))
+
+
+@register("metric_paths")
+def q_metric_paths(spark, sf):
+    long = _results_long(spark, sf)
+    return RS.metric_paths(long, "eval", keep=("model",)).withColumn("value", F.round("value", 6))
+
+
+@register("distinct_tasks_metrics")
+def q_distinct_tasks_metrics(spark, sf):
+    tasks, metrics = RS.distinct_tasks_metrics(_results_long(spark, sf))
+    return (tasks.select(F.lit("task").alias("kind"), F.col("task").alias("name"))
+            .unionByName(metrics.select(F.lit("metric").alias("kind"), F.col("metric").alias("name"))))
+
+
+@register("inference_prompt")
+def q_inference_prompt(spark, sf):
+    conv = T.load(spark, sf, "conversations").where(F.col("role") == "user")
+    types = F.broadcast(spark.createDataFrame(
+        [("instruction_following",), ("chat",), ("completion",)], "task_type string"))
+    return conv.crossJoin(types).select("conv_id", "turn", "task_type",
+                                        fmt.inference_prompt(F.col("task_type"), F.col("text")).alias("prompt"))
+
+
+@register("grade_prompt")
+def q_grade_prompt(spark, sf):
+    a = _answered(spark, sf).where(F.col("rank") == 1)
+    qs = T.questions(spark, sf)
+    j = a.join(F.broadcast(qs), "question_id")
+    return j.select("question_id", fmt.grade_prompt(F.col("content"), F.col("question")).alias("grade"),
+                    fmt.rewrite_prompt(F.col("question")).alias("rewrite"),
+                    fmt.answer_prompt(F.col("question"), F.col("content")).alias("answer"))
+
+
+@register("file_payload_flatten")
+def q_file_payload_flatten(spark, sf):
+    e = _payload_events(spark, sf)
+    fpay = F.to_json(F.struct(
+        F.when(F.col("event_type") != "view", F.concat(F.lit("f"), F.col("event_id").cast("string"),
+                                                       F.lit(".txt"))).alias("name"),
+        F.when(F.col("event_type") != "click", F.col("k")).alias("size"),
+        F.col("event_type").alias("content")))
+    cpay = F.to_json(F.struct(
+        F.when(F.col("event_type") != "error", F.concat(F.lit("Item "), F.col("event_id").cast("string")))
+        .alias("title"),
+        F.when(F.col("event_type") != "signup", F.col("event_id").cast("int")).alias("number")))
+    f = PL.file_contents(fpay)
+    c = PL.created_item(cpay)
+    return e.select("event_id", f["name"].alias("file_name"), f["size"].alias("file_size"),
+                    f["content"].alias("content"), c["title"].alias("title"),
+                    c["number"].alias("number"), c["url"].alias("url"))
