@@ -93,3 +93,20 @@ def test_bucketed_index_shuffles_only_question_keyed_rows(spark):
         exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
         assert exchanges, plan
         assert all("doc_id" not in e for e in exchanges), exchanges
+
+
+def test_user_model_hook_reranks(spark):
+    """A user model plugs in as an Arrow-batched column (loaded once per task)."""
+    import pandas as pd
+    from sifter.hooks import batch_model_column
+
+    def load():
+        def predict(batch: pd.DataFrame) -> pd.Series:
+            return batch["c1"].str.len().astype("float64")  # longer text = more relevant
+        return predict
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a bb ccc"), (3, "a b")], "doc_id bigint, text string")
+    qs = spark.createDataFrame([(0, "a")], "question_id bigint, question string")
+    cand = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "query_id bigint, rank int, doc_id bigint")
+    out = R.rerank(cand, qs, docs, k=2, scorer=lambda q, t: batch_model_column(load, "double", q, t))
+    assert [r["doc_id"] for r in out.orderBy("rank").collect()] == [2, 3]
