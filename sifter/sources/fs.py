@@ -26,3 +26,17 @@ def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
     fs, s = _fs(spark, src)
     _, d = _fs(spark, dst)
     return bool(fs.rename(s, d))
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """(path, total length, newest modification time) of a file or folder."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return (path, -1, -1)
+    total, newest = 0, 0
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        total += st.getLen()
+        newest = max(newest, st.getModificationTime())
+    return (path, total, newest)
