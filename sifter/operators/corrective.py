@@ -61,7 +61,7 @@ def _rewrite(active: DataFrame, top_doc: DataFrame, index: DataFrame,
 def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
                          max_retries: int = MAX_RETRIES, router=default_router,
                          grader=default_grader, q_id: str = "question_id",
-                         q_text: str = "question") -> DataFrame:
+                         q_text: str = "question", stats: R.IndexStats | None = None) -> DataFrame:
     """``question_id, question (final), rounds, relevant, routed,
     trace, message_count, doc_ids`` (top-k of the last retrieval)."""
     state = questions.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("question"),
@@ -75,7 +75,7 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
     active = cut_lineage(routed.where(F.col("routed")).drop("routed")
                          .withColumn("trace", F.array().cast("array<string>")))
     finished = [direct]
-    stats = R.index_stats(index)
+    stats = stats or R.index_stats(index)
     for rnd in range(max_retries + 1):
         n_active = active.count()
         if n_active == 0:

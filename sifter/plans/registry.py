@@ -757,7 +757,8 @@ def q_kb_stats(spark, sf):
 @register("corrective_retrieval")
 def q_corrective_retrieval(spark, sf):
     idx = _doc_index(spark, sf)
-    out = CR.corrective_retrieval(idx, T.questions(spark, sf), k=5, max_retries=2)
+    stats = _cached_index(spark, sf, "doc-stats", lambda: R.index_stats(idx))
+    out = CR.corrective_retrieval(idx, T.questions(spark, sf), k=5, max_retries=2, stats=stats)
     return out.select("question_id", "question", "rounds", "relevant", "trace", "message_count",
                       F.array_join("doc_ids", ",").alias("doc_ids"))
 
