@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sifter.functions.text import tokenize
 from sifter.operators import retrieval as R
-from sifter.plans.sizing import mark_bounded
+from sifter.plans.sizing import bounded_broadcast, mark_bounded
 from sifter.session import cut_lineage
 
 # Grading threshold, retry bound and trace labels.
@@ -43,12 +43,22 @@ def default_grader(top_score):
 
 
 def _rewrite(active: DataFrame, top_doc: DataFrame, index: DataFrame,
-             vocab: DataFrame) -> DataFrame:
+             vocab: DataFrame, n_active: int) -> DataFrame:
     """J12 default: question + the REWRITE_TERMS highest-idf terms of its top
-    context that the question does not contain (ties by term)."""
-    terms = top_doc.join(index.select("doc_id", F.explode(F.map_keys("tf")).alias("term")), "doc_id")
-    terms = terms.join(active.select("query_id", tokenize("question").alias("_qt")), "query_id")
-    terms = terms.where(~F.array_contains("_qt", F.col("term"))).join(vocab, "term")
+    context that the question does not contain (ties by term).
+
+    Only the active questions' top documents are read from the index (a
+    broadcast of at most one row per question), and their terms are broadcast
+    into the term-dictionary scan.
+    """
+    tops = bounded_broadcast(mark_bounded(top_doc, n_active))
+    doc_terms = index.select("doc_id", "tf").join(tops, "doc_id")
+    q_toks = bounded_broadcast(mark_bounded(
+        active.select("query_id", tokenize("question").alias("_qt")), n_active))
+    terms = (doc_terms.join(q_toks, "query_id")
+             .select("query_id", "_qt", F.explode(F.map_keys("tf")).alias("term"))
+             .where(~F.array_contains("_qt", F.col("term"))).drop("_qt"))
+    terms = vocab.join(bounded_broadcast(terms), "term")
     w = Window.partitionBy("query_id").orderBy(F.asc("df"), F.asc("term"))
     picked = (terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= REWRITE_TERMS)
               .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_t")))
@@ -82,7 +92,9 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
             break
         qside = R.prepare_questions(index, active.select(
             F.col("query_id").alias("question_id"), "question"), stats=stats)
-        top = mark_bounded(R.semantic_topk(index, qside, k), n_active * k)
+        # The round's top-k (active x k rows) feeds grading, the finished rows
+        # and the rewrite: materialise it once instead of rescoring.
+        top = mark_bounded(cut_lineage(R.semantic_topk(index, qside, k)), n_active * k)
         per_q = top.groupBy("query_id").agg(
             F.max("score").alias("top_score"),
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))),
@@ -102,7 +114,7 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
         todo = graded.where(~F.col("relevant"))
         top_doc = top.where(F.col("rank") == 1).select("query_id", "doc_id")
         rewritten = _rewrite(todo.select("query_id", "question", "original", "trace"), top_doc,
-                             index, stats.vocab)
+                             index, stats.vocab, n_active)
         active = cut_lineage(rewritten.withColumn(
             "trace", F.concat("trace", F.array(F.lit(TRACE_REWRITE)))).select(
             "query_id", "question", "original", "trace"))
