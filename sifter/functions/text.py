@@ -109,3 +109,15 @@ def explode_positions(df, arr: Column, pos: str, value: str, *keep) -> "DataFram
     """
     return (df.select(*keep, F.posexplode_outer(arr).alias(pos, value))
             .where(F.col(pos).isNotNull()))
+
+
+def merge_metadata(base, override) -> Column:
+    """Document metadata, then chunk keys; the chunk's value wins on a
+    clash (no session-level map-key policy needed)."""
+    o = _c(override)
+    return F.map_concat(F.map_filter(_c(base), lambda k, v: ~F.map_contains_key(o, k)), o)
+
+
+def name_slug(name) -> Column:
+    """``/`` and ``-`` become ``_`` (run and metric names)."""
+    return F.translate(_c(name), "/-", "__")

@@ -873,3 +873,23 @@ SELECT event_id,
   CASE WHEN event_type = 'signup' THEN 'N/A' ELSE CAST(event_id AS VARCHAR) END AS number,
   'N/A' AS url
 FROM events"""
+
+SQL["eval_label_histogram"] = f"""WITH {_KB_MEANS}
+SELECT {LABEL('score')} AS label, CAST(count(*) AS BIGINT) AS n FROM kbm GROUP BY 1"""
+
+SQL["doc_previews"] = """
+SELECT doc_id, substr(text, 1, 200) || '...' AS preview_200, substr(text, 1, 50) || '...' AS preview_50
+FROM documents"""
+
+SQL["extract_json"] = """
+WITH n AS (SELECT event_id, 'Model says: ' || props || ' (end of ' || event_type || ')' AS t FROM events),
+x AS (SELECT event_id, CASE WHEN strpos(t, '{') > 0 AND strpos(t, '}') > 0
+             THEN substr(t, strpos(t, '{'), length(t) - strpos(reverse(t), '}') + 1 - strpos(t, '{') + 1) END AS json_text
+      FROM n)
+SELECT event_id, json_text, CAST(json_extract(json_text, '$.k') AS BIGINT) AS k FROM x"""
+
+SQL["chunk_metadata"] = f"""WITH ch AS ({SQL['chunk_token_window']}),
+d AS (SELECT doc_id, source, lang FROM documents)
+SELECT ch.chunk_id, 'chunk_id=' || ch.chunk_id || ';chunk_size=' || CAST(ch.chunk_size AS VARCHAR)
+       || ';chunk_strategy=token;kb_name=' || ch.kb_name || ';lang=' || d.lang || ';source=' || d.source AS metadata
+FROM ch JOIN d USING (doc_id)"""

@@ -890,3 +890,38 @@ def q_file_payload_flatten(spark, sf):
     return e.select("event_id", f["name"].alias("file_name"), f["size"].alias("file_size"),
                     f["content"].alias("content"), c["title"].alias("title"),
                     c["number"].alias("number"), c["url"].alias("url"))
+
+
+@register("eval_label_histogram")
+def q_eval_label_histogram(spark, sf):
+    h = EV.label_histogram(_kb_means(spark, sf))
+    return h.select("label", F.col("n").cast("bigint").alias("n"))
+
+
+@register("doc_previews")
+def q_doc_previews(spark, sf):
+    from sifter.functions.text import preview
+    d = T.documents(spark, sf)
+    return d.select("doc_id", preview("text", 200).alias("preview_200"),
+                    preview("text", 50).alias("preview_50"))
+
+
+@register("extract_json")
+def q_extract_json(spark, sf):
+    e = T.load(spark, sf, "events")
+    noisy = F.concat(F.lit("Model says: "), F.col("props"), F.lit(" (end of "), F.col("event_type"),
+                     F.lit(")"))
+    obj = CU.extract_json_object(noisy)
+    return e.select("event_id", obj.alias("json_text"),
+                    F.from_json(obj, "k bigint")["k"].alias("k"))
+
+
+@register("chunk_metadata")
+def q_chunk_metadata(spark, sf):
+    docs = T.documents(spark, sf)
+    meta = docs.select("doc_id", F.create_map(F.lit("source"), F.col("source"), F.lit("lang"),
+                                              F.col("lang"), F.lit("kb_name"), F.lit("raw")).alias("metadata"))
+    ch = C.with_metadata(C.token_chunks(docs, 512, 50, kb_col=F.col("source")), meta)
+    return ch.select("chunk_id", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")),
+                                                          lambda e: F.concat(e["key"], F.lit("="), e["value"])),
+                                              ";").alias("metadata"))

@@ -83,3 +83,13 @@ def test_extract_json_and_date(spark):
     assert one(spark, CU.extract_json_object("t"), "none") is None
     assert one(spark, CU.date_part("t"), "2024-05-01T10:00:00Z") == "2024-05-01"
     assert one(spark, CU.date_part("t"), None) == "N/A"
+
+
+def test_merge_metadata_chunk_wins(spark):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "x", "c": "y"})],
+                               "d map<string,string>, c map<string,string>")
+    assert dict(df.select(TX.merge_metadata("d", "c")).first()[0]) == {"a": "1", "b": "x", "c": "y"}
+
+
+def test_name_slug(spark):
+    assert one(spark, TX.name_slug("t"), "org/model-7b") == "org_model_7b"
