@@ -139,9 +139,12 @@ def _gt_text(gt: Column) -> Column:
 
 # ----------------------------------------------------------------- K2 - K7
 
-def faithfulness(answer, contexts, judge=token_judge) -> Column:
-    """K2: supported answer claims (sentences) / claims."""
-    return let(_token_set(_c(contexts)), lambda ref: _mean_bool(
+def faithfulness(answer, contexts, judge=token_judge, ctx_set=None) -> Column:
+    """K2: supported answer claims (sentences) / claims.
+
+    ``ctx_set`` may pass the contexts' distinct tokens when already computed."""
+    ref_set = _c(ctx_set) if ctx_set is not None else _token_set(_c(contexts))
+    return let(ref_set, lambda ref: _mean_bool(
         F.transform(split_sentences(answer), lambda c: judge(c, ref))))
 
 
@@ -151,11 +154,16 @@ def answer_relevancy(question, answer, derive=None) -> Column:
     return entries_cosine(hashed_entries(tokenize(question)), hashed_entries(tokenize(derived)))
 
 
-def context_precision(contexts, reference, judge=token_judge) -> Column:
-    """K4: sum_k(precision@k * v_k) / sum_k v_k, v_k = context k supports the reference."""
+def context_precision(contexts, reference, judge=token_judge, ctx_tokens=None) -> Column:
+    """K4: sum_k(precision@k * v_k) / sum_k v_k, v_k = context k supports the reference.
+
+    ``ctx_tokens`` may pass each context's distinct tokens when already computed."""
+    per_ctx = (_c(ctx_tokens) if ctx_tokens is not None
+               else F.transform(_c(contexts), lambda ctx: F.array_distinct(tokenize(ctx))))
+
     def verdicts(ref_toks):
-        return F.transform(_c(contexts), lambda ctx: F.coalesce(
-            containment(ref_toks, F.array_distinct(tokenize(ctx))) >= CONTAINMENT, F.lit(False)))
+        return F.transform(per_ctx, lambda ct: F.coalesce(
+            containment(ref_toks, ct) >= CONTAINMENT, F.lit(False)))
 
     def score(v):
         hits = F.transform(v, lambda x: F.when(x, 1.0).otherwise(0.0))
@@ -168,11 +176,12 @@ def context_precision(contexts, reference, judge=token_judge) -> Column:
     return let(let(F.array_distinct(tokenize(reference)), verdicts), score)
 
 
-def context_recall(contexts, ground_truths, judge=token_judge) -> Column:
+def context_recall(contexts, ground_truths, judge=token_judge, ctx_set=None) -> Column:
     """K5: ground-truth sentences attributable to the contexts / all."""
     gt = _gt_text(_c(ground_truths))
+    ref_set = _c(ctx_set) if ctx_set is not None else _token_set(_c(contexts))
     return F.when(gt.isNull(), F.lit(None).cast("double")).otherwise(
-        let(_token_set(_c(contexts)), lambda ref: _mean_bool(
+        let(ref_set, lambda ref: _mean_bool(
             F.transform(split_sentences(gt), lambda s: judge(s, ref)))))
 
 
@@ -220,11 +229,21 @@ def select_metrics(names: list[str]) -> list[str]:
 def score_rows(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
     """Per-question metric values in long form ``keys..., metric, value``."""
     ref = F.coalesce(_gt_text(F.col("ground_truths")), F.col("answer"))
+    chosen = select_metrics(metrics)
+    # Tokenise each context once per row; the metrics share the token lists.
+    ctx_metrics = {"faithfulness", "context_precision", "context_recall"}
+    if len(ctx_metrics & set(chosen)) > 1:
+        rows = rows.withColumn("_ctx_tokens", F.transform(
+            "contexts", lambda c: F.array_distinct(tokenize(c)))).withColumn(
+            "_ctx_set", F.array_distinct(F.flatten("_ctx_tokens")))
+        ct, cs = F.col("_ctx_tokens"), F.col("_ctx_set")
+    else:
+        ct = cs = None
     exprs = {
-        "faithfulness": faithfulness("answer", "contexts"),
+        "faithfulness": faithfulness("answer", "contexts", ctx_set=cs),
         "answer_relevancy": answer_relevancy("question", "answer"),
-        "context_precision": context_precision("contexts", ref),
-        "context_recall": context_recall("contexts", "ground_truths"),
+        "context_precision": context_precision("contexts", ref, ctx_tokens=ct),
+        "context_recall": context_recall("contexts", "ground_truths", ctx_set=cs),
         "answer_similarity": answer_similarity("answer", "ground_truths"),
         "answer_correctness": answer_correctness("answer", "ground_truths"),
     }

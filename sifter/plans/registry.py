@@ -463,7 +463,9 @@ def _eval_rows(spark, sf, group_col=None):
         docs = docs.withColumnRenamed("source", group_col)
         idx = _cached_index(spark, sf, f"kb:{group_col}", lambda: materialize_bucketed(
             R.build_index(docs, group_col=group_col), "sifter_kb_index"))
-        qside = R.prepare_questions(idx, qs, group_col=group_col)
+        stats = _cached_index(spark, sf, f"kb-stats:{group_col}",
+                              lambda: R.index_stats(idx, group_col=group_col))
+        qside = R.prepare_questions(idx, qs, group_col=group_col, stats=stats)
     else:
         idx = _doc_index(spark, sf)
         qside = _qside(spark, sf, idx)
