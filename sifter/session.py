@@ -36,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder comes from the session configuration and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    as is (unset is an error there). Only in local mode, when it is unset
+    (tests), a scratch folder is created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # A machine-local folder would not survive executor loss.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store)")
         conf_dir = tempfile.mkdtemp(prefix="sifter-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
