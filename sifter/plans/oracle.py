@@ -76,7 +76,7 @@ sem_all AS (SELECT qn.query_id, dn.doc_id,
 
 def _topk(src: str, k: int, score: str = "score", part: str = "query_id", oid: str = "doc_id") -> str:
     return f"""
-SELECT {part}, rank, {oid}, score FROM (
+SELECT {part}, CAST(rank AS INTEGER) AS rank, {oid}, score FROM (
   SELECT {part}, {oid}, round({score}, 6) AS score,
          row_number() OVER (PARTITION BY {part} ORDER BY round({score}, 6) DESC, {oid}) AS rank
   FROM {src}) WHERE rank <= {k}"""
@@ -147,7 +147,7 @@ rr AS (SELECT f.query_id, f.doc_id, f.rank AS rank1,
               round(CASE WHEN len(qd.qd) = 0 THEN {D(0)} ELSE
                     CAST(len(list_intersect(qd.qd, list_distinct({TOK('d.text')}))) AS DOUBLE) / len(qd.qd) END, 6) AS score
        FROM first f JOIN qd USING (query_id) JOIN documents d ON d.doc_id = f.doc_id)
-SELECT query_id, rank, doc_id, score FROM (
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT query_id, doc_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank1) AS rank FROM rr)
 WHERE rank <= 5"""
@@ -714,7 +714,7 @@ rr AS (SELECT f.query_id, f.doc_id, f.rank AS rank1,
               round(CASE WHEN len(qd.qd) = 0 THEN {D(0)} ELSE
                     CAST(len(list_intersect(qd.qd, list_distinct({TOK('d.text')}))) AS DOUBLE) / len(qd.qd) END, 6) AS score
        FROM first f JOIN qd USING (query_id) JOIN documents d ON d.doc_id = f.doc_id),
-top AS (SELECT query_id, rank, doc_id, score FROM (
+top AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank1) AS rank FROM rr)
   WHERE rank <= 5),
 ans AS (SELECT t.query_id AS question_id, t.rank, t.doc_id, t.score AS relevance_score, d.text AS content
@@ -760,7 +760,7 @@ SELECT query_id, CAST(sum(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL TH
        round(avg(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN abs(rank_a - rank_b) END), 6) AS mean_rank_delta
 FROM j GROUP BY query_id"""
 
-_DEFQ = "(SELECT * FROM (VALUES " + ", ".join(
+_DEFQ = "(SELECT CAST(item_id AS BIGINT) AS item_id, text FROM (VALUES " + ", ".join(
     "({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate([
         "What is the main topic discussed in the documents?",
         "What are the key features mentioned?",

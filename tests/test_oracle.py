@@ -11,6 +11,9 @@ from sifter.plans.tables import TABLES
 
 QUERIES = E.queries()
 SQL = E.oracle_sql()
+# Spark simple type -> DuckDB type name (schemas must agree, not only names).
+DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
 
 
 def _norm(v):
@@ -42,6 +45,10 @@ def test_query_matches_oracle(spark, duck, name):
     if name not in SQL:
         assert len(got) >= 0
         return
+    rel = duck.sql(f"SELECT * FROM ({SQL[name]}) LIMIT 0")
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for c, t in df.dtypes:
+        assert DUCK_TYPE.get(t, t) == dtypes.get(c), (c, t, dtypes.get(c))
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == sorted(cols)
