@@ -56,8 +56,11 @@ def _cached_index(spark, sf, kind: str, build):
 def _doc_index(spark, sf):
     # The index feeds four sub-plans (stats, vocabulary, postings, vectors);
     # it is written once, bucketed by doc_id, to the shared checkpoint folder.
+    # It carries the knowledge-base column (source), so the same table serves
+    # whole-collection and per-KB retrieval.
     return _cached_index(spark, sf, "doc", lambda: materialize_bucketed(
-        R.build_index(T.documents(spark, sf)), "sifter_doc_index"))
+        R.build_index(T.documents(spark, sf).withColumnRenamed("source", "kb_name"),
+                      group_col="kb_name"), "sifter_doc_index"))
 
 
 def _qside(spark, sf, index):
@@ -461,8 +464,7 @@ def _eval_rows(spark, sf, group_col=None):
     qs = T.questions(spark, sf)
     if group_col:
         docs = docs.withColumnRenamed("source", group_col)
-        idx = _cached_index(spark, sf, f"kb:{group_col}", lambda: materialize_bucketed(
-            R.build_index(docs, group_col=group_col), "sifter_kb_index"))
+        idx = _doc_index(spark, sf)
         stats = _cached_index(spark, sf, f"kb-stats:{group_col}",
                               lambda: R.index_stats(idx, group_col=group_col))
         qside = R.prepare_questions(idx, qs, group_col=group_col, stats=stats)
