@@ -255,10 +255,37 @@ def score_rows(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFram
 
 # ------------------------------------------------------------------ D1 - D5
 
+QUANTUM = 10 ** 12      # per-value quantisation (integers are summed exactly)
+MEAN_DIGITS = 6         # means are exact decimals with 6 places
+
+
+def exact_mean(value: Column, digits: int = MEAN_DIGITS) -> tuple[Column, Column]:
+    """Aggregate pieces of an order-independent mean.
+
+    Returns ``(sum, count)`` aggregate columns over values quantised to 1e-12
+    as BIGINT; :func:`finish_mean` turns them into the mean rounded half-up to
+    ``digits`` places with integer arithmetic, so every engine and every
+    summation order gives the same double (no float ties at the last place).
+    """
+    q = F.round(value * F.lit(float(QUANTUM)), 0).cast("bigint")
+    return F.sum(q), F.count(q)
+
+
+def finish_mean(s: Column, n: Column, digits: int = MEAN_DIGITS) -> Column:
+    d = n * F.lit(QUANTUM // 10 ** digits)
+    num = s * 2 + d
+    den = d * 2
+    q = (num - F.pmod(num, den)) / den
+    return F.when(n > 0, q.cast("bigint").cast("double") / F.lit(float(10 ** digits)))
+
+
 def metric_means(long: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Mean per group and metric; NaN and NULL are skipped."""
+    """Mean per group and metric; NaN and NULL are skipped. Exact to 6
+    places (see :func:`exact_mean`)."""
     v = F.when(F.isnan("value"), F.lit(None)).otherwise(F.col("value"))
-    return long.groupBy(*group_cols, "metric").agg(F.avg(v).alias("score"))
+    s, n = exact_mean(v)
+    return (long.groupBy(*group_cols, "metric").agg(s.alias("_s"), n.alias("_n"))
+            .select(*group_cols, "metric", finish_mean(F.col("_s"), F.col("_n")).alias("score")))
 
 
 def metric_order(spark: SparkSession, metrics: list[str]) -> DataFrame:
@@ -269,8 +296,9 @@ def metric_order(spark: SparkSession, metrics: list[str]) -> DataFrame:
 def overall_summary(means: DataFrame, group_cols: list[str], order: DataFrame) -> DataFrame:
     """Average score, best metric, worst metric (first one wins a tie)."""
     m = means.join(order, "metric")
+    s, n = exact_mean(F.col("score"))
     return m.groupBy(*group_cols).agg(
-        F.avg("score").alias("avg_score"),
+        finish_mean(s, n).alias("avg_score"),
         F.min_by("metric", F.struct((-F.col("score")).alias("s"), "metric_ord")).alias("best_metric"),
         F.max("score").alias("best_score"),
         F.min_by("metric", F.struct(F.col("score").alias("s"), "metric_ord")).alias("worst_metric"),
@@ -293,7 +321,8 @@ def best_per_metric(means: DataFrame, kb_order: DataFrame, kb_col: str = "kb_nam
 
 def overall_best(means: DataFrame, kb_order: DataFrame, kb_col: str = "kb_name") -> DataFrame:
     """KB with the highest mean over metrics (two-level aggregation)."""
-    row_means = means.groupBy(kb_col).agg(F.avg("score").alias("mean_score"))
+    s, n = exact_mean(F.col("score"))
+    row_means = means.groupBy(kb_col).agg(finish_mean(s, n).alias("mean_score"))
     m = row_means.join(F.broadcast(kb_order), kb_col)
     return m.agg(F.min_by(kb_col, F.struct((-F.col("mean_score")).alias("s"), "kb_ord"))
                  .alias("best_kb"), F.max("mean_score").alias("best_mean"))
@@ -402,7 +431,7 @@ def summary_report(means: DataFrame, metrics: list[str], n_questions: Column,
         F.transform(F.array_sort(F.collect_list(F.struct("metric_ord", section.alias("s")))),
                     lambda x: x["s"]).alias("sections"),
         F.map_from_entries(F.collect_list(F.struct("metric", "score"))).alias("scores"),
-        F.avg("score").alias("avg"),
+        finish_mean(*exact_mean(F.col("score"))).alias("avg"),
         F.min_by("metric", F.struct((-F.col("score")).alias("v"), "metric_ord")).alias("best"),
         F.max("score").alias("best_score"),
         F.min_by("metric", F.struct(F.col("score").alias("v"), "metric_ord")).alias("worst"),

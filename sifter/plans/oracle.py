@@ -488,8 +488,17 @@ SELECT question_id, answer, CAST(len(contexts) AS INTEGER) AS n_contexts,
        array_to_string(contexts, {NL2}) AS contexts FROM rows"""
 
 _CMP = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
+def EXACT_MEAN(v: str) -> str:
+    """Order-independent mean rounded half-up to 6 places (integer arithmetic)."""
+    q = f"CAST(round({v} * CAST(1000000000000 AS DOUBLE)) AS BIGINT)"
+    num = f"(sum({q}) * 2 + count({q}) * 1000000)"
+    den = f"(count({q}) * 2000000)"
+    return (f"(CASE WHEN count({q}) > 0 THEN CAST(({num} - ((({num}) % {den}) + {den}) % {den}) // {den} AS DOUBLE)"
+            f" / CAST(1000000 AS DOUBLE) END)")
+
+
 _KB_MEANS = "kbm AS (" + " UNION ALL ".join(
-    f"SELECT kb_name, '{m}' AS metric, avg(CASE WHEN isnan(value) THEN NULL ELSE value END) AS score "
+    f"SELECT kb_name, '{m}' AS metric, {EXACT_MEAN('CASE WHEN isnan(value) THEN NULL ELSE value END')} AS score "
     f"FROM ({_metric_sql(m, True)}) GROUP BY kb_name" for m in _CMP) + ")"
 
 SQL["kb_compare_pivot"] = f"WITH {_KB_MEANS}\nSELECT kb_name, " + ", ".join(
@@ -500,7 +509,7 @@ SELECT metric, arg_min(kb_name, (-score, kb_name)) AS best_kb, round(max(score),
 FROM kbm GROUP BY metric"""
 
 SQL["kb_overall_best"] = f"""WITH {_KB_MEANS},
-rm AS (SELECT kb_name, avg(score) AS mean_score FROM kbm GROUP BY kb_name)
+rm AS (SELECT kb_name, {EXACT_MEAN('score')} AS mean_score FROM kbm GROUP BY kb_name)
 SELECT arg_min(kb_name, (-mean_score, kb_name)) AS best_kb, round(max(mean_score), 6) AS best_mean FROM rm"""
 
 
@@ -511,7 +520,7 @@ def LABEL(x: str) -> str:
 
 _MORD = "mo(metric, metric_ord) AS (VALUES " + ", ".join(f"('{m}', {i})" for i, m in enumerate(_CMP)) + ")"
 SQL["eval_summary"] = f"""WITH {_KB_MEANS}, {_MORD}
-SELECT kb_name, round(avg(score), 6) AS avg_score, {LABEL('avg(score)')} AS overall_label,
+SELECT kb_name, round({EXACT_MEAN('score')}, 6) AS avg_score, {LABEL(EXACT_MEAN('score'))} AS overall_label,
        arg_min(metric, (-score, metric_ord)) AS best_metric, round(max(score), 6) AS best_score,
        arg_min(metric, (score, metric_ord)) AS worst_metric, round(min(score), 6) AS worst_score
 FROM kbm JOIN mo USING (metric) GROUP BY kb_name"""
@@ -793,7 +802,7 @@ sec AS (SELECT kb_name, metric, score, metric_ord,
           '### ' || {_TITLE} || chr(10) || '- **Score**: ' || printf('%.3f', score) || ' ' || {LABEL('score')}
           || chr(10) || '- **Description**: ' || {_DESC} || {NL2} AS s
         FROM kbm JOIN mo USING (metric)),
-agg AS (SELECT kb_name, string_agg(s, '' ORDER BY metric_ord) AS sections, avg(score) AS av,
+agg AS (SELECT kb_name, string_agg(s, '' ORDER BY metric_ord) AS sections, {EXACT_MEAN('score')} AS av,
                arg_min(metric, (-score, metric_ord)) AS best, max(score) AS best_score,
                arg_min(metric, (score, metric_ord)) AS worst, min(score) AS worst_score,
                """ + ", ".join(f"max(CASE WHEN metric = '{m}' THEN score END) AS {m}" for m in _CMP) + """

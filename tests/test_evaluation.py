@@ -78,3 +78,17 @@ def test_summary_report_sections(spark):
     assert "- **Best Metric**: faithfulness (0.950)" in rep
     assert "- **Needs Improvement**: answer_relevancy (0.500)" in rep
     assert "🎯 **Improve Answer Relevancy**" in rep and "**Evaluation Time**: 1.50 seconds" in rep
+
+
+def test_exact_mean_is_order_independent_and_half_up(spark):
+    # 0.1146875 is a tie at the 7th place: always rounds up to 0.114688.
+    vals = [0.1146875] * 3 + [0.1, 0.2, 0.0440625]
+    df = spark.createDataFrame([(v,) for v in vals], "value double").repartition(3)
+    s, n = EV.exact_mean(F.col("value"))
+    got = df.agg(EV.finish_mean(s, n).alias("m")).first()["m"]
+    total, n = sum(round(v * 10 ** 12) for v in vals), len(vals)
+    d = n * 10 ** 6
+    assert got == ((2 * total + d) // (2 * d)) / 10 ** 6 == 0.114688
+    tie = spark.createDataFrame([(0.1146875,)], "value double")
+    s, n = EV.exact_mean(F.col("value"))
+    assert tie.agg(EV.finish_mean(s, n)).first()[0] == 0.114688
