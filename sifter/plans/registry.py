@@ -708,7 +708,8 @@ def _answered(spark, sf):
     """Ranked rows with content (late lookup) plus the KB configuration."""
     docs = T.documents(spark, sf)
     ranked = q_hybrid_rerank_topk(spark, sf)
-    ranked = mark_bounded(ranked, getattr(ranked, "_sifter_rows", None) or 200_000)
+    # At most k = 5 rows per question (proven by the question count).
+    ranked = mark_bounded(ranked, _qside(spark, sf, _doc_index(spark, sf))._sifter_rows * 5)
     content = docs.select("doc_id", F.col("text").alias("content")).join(
         F.broadcast(ranked), "doc_id")
     method = R.search_method_description(F.lit(True), F.lit(0.5), F.lit(True), F.lit(RERANKER_MODEL))
