@@ -313,7 +313,7 @@ def compare_pivot(means: DataFrame, metrics: list[str], kb_col: str = "kb_name")
 
 def best_per_metric(means: DataFrame, kb_order: DataFrame, kb_col: str = "kb_name") -> DataFrame:
     """Best KB per metric (first KB in the requested order wins a tie)."""
-    m = means.join(F.broadcast(kb_order), kb_col)
+    m = means.join(bounded_broadcast(kb_order), kb_col)
     key = F.struct((-F.col("score")).alias("s"), "kb_ord")
     return m.groupBy("metric").agg(F.min_by(kb_col, key).alias("best_kb"),
                                    F.max("score").alias("best_score"))
@@ -323,7 +323,7 @@ def overall_best(means: DataFrame, kb_order: DataFrame, kb_col: str = "kb_name")
     """KB with the highest mean over metrics (two-level aggregation)."""
     s, n = exact_mean(F.col("score"))
     row_means = means.groupBy(kb_col).agg(finish_mean(s, n).alias("mean_score"))
-    m = row_means.join(F.broadcast(kb_order), kb_col)
+    m = row_means.join(bounded_broadcast(kb_order), kb_col)
     return m.agg(F.min_by(kb_col, F.struct((-F.col("mean_score")).alias("s"), "kb_ord"))
                  .alias("best_kb"), F.max("mean_score").alias("best_mean"))
 
@@ -481,7 +481,7 @@ def evaluate_pipeline(rows: DataFrame, keys: list[str], metrics: list[str] | Non
 
 def _report_with_counts(means, n_q, metrics, evaluation_seconds, ts, kb_col):
     rep = summary_report(means, metrics, F.lit("{n}"), evaluation_seconds, ts, kb_col)
-    return rep.join(F.broadcast(n_q), kb_col).select(
+    return rep.join(bounded_broadcast(n_q), kb_col).select(
         kb_col, F.replace("report", F.lit("**Test Questions**: {n}"),
                           F.concat(F.lit("**Test Questions**: "), F.col("_n").cast("string")))
         .alias("report"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.plans.sizing import literal_dimension
+from sifter.plans.sizing import bounded_broadcast, literal_dimension
 
 RESULTS_SCHEMA = "results map<string, map<string, string>>, config map<string, string>"
 
@@ -84,7 +84,7 @@ def best_performers(long: DataFrame, model_order: DataFrame | None = None,
     model name). Always "higher is better" by default, as in the reference."""
     sign = -1.0 if higher_is_better else 1.0
     if model_order is not None:
-        long = long.join(F.broadcast(model_order), "model")
+        long = long.join(bounded_broadcast(model_order), "model")
         tie = F.col("ord")
     else:
         tie = F.col("model")

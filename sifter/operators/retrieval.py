@@ -52,6 +52,12 @@ def _g(group_col: str | None) -> list[str]:
     return [group_col] if group_col else []
 
 
+def _per_group(df: DataFrame, group_col: str | None) -> DataFrame:
+    """Broadcast a statistics table with one row per group: a single row
+    without groups; behind the size check when there are groups."""
+    return bounded_broadcast(df) if group_col else F.broadcast(df)
+
+
 def _join_side(big: DataFrame, small: DataFrame, group_col: str | None) -> DataFrame:
     """Attach the (checked, usually broadcast) question side to every row of
     ``big``: a nested-loop join without groups, an equi-join on the group
@@ -111,11 +117,11 @@ def idf_floor(index: DataFrame, params: BM25Params = BM25Params(),
     """
     stats = corpus_stats(index, group_col)
     dfs = document_frequency(index, group_col)
-    n = F.broadcast(stats.select(*_g(group_col), "n_docs"))
+    n = _per_group(stats.select(*_g(group_col), "n_docs"), group_col)
     mean_idf = ((dfs.join(n, group_col) if group_col else dfs.crossJoin(n))
                 .groupBy(*_g(group_col))
                 .agg(F.avg(_raw_idf(F.col("df"), F.col("n_docs"))).alias("mean_idf")))
-    joined = (stats.join(F.broadcast(mean_idf), group_col, "left") if group_col
+    joined = (stats.join(_per_group(mean_idf, group_col), group_col, "left") if group_col
               else stats.crossJoin(F.broadcast(mean_idf)))
     return joined.select(*_g(group_col), "n_docs", "avgdl",
                          (F.lit(params.epsilon) * F.coalesce(F.col("mean_idf"), F.lit(0.0)))
@@ -135,12 +141,12 @@ def index_stats(index: DataFrame, params: BM25Params = BM25Params(),
     """Compute the term dictionary and global statistics once (reliable
     checkpoints), for callers that ask several question batches."""
     vocab = cut_lineage(document_frequency(index, group_col))
-    n = F.broadcast(corpus_stats(index, group_col))
+    n = _per_group(corpus_stats(index, group_col), group_col)
     mean_idf = ((vocab.join(n, group_col) if group_col else vocab.crossJoin(n))
                 .groupBy(*_g(group_col))
                 .agg(F.avg(_raw_idf(F.col("df"), F.col("n_docs"))).alias("mean_idf")))
     stats = corpus_stats(index, group_col)
-    joined = (stats.join(F.broadcast(mean_idf), group_col, "left") if group_col
+    joined = (stats.join(_per_group(mean_idf, group_col), group_col, "left") if group_col
               else stats.crossJoin(F.broadcast(mean_idf)))
     glob = cut_lineage(joined.select(
         *_g(group_col), "n_docs", "avgdl",
@@ -177,7 +183,7 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
     # bound every question-side table derived below.
     n_q, n_tok = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qtoks")), F.lit(0))).first()
     q = bounded_broadcast(mark_bounded(q, n_q))
-    glob = F.broadcast(stats.glob if stats else idf_floor(index, params, group_col))
+    glob = _per_group(stats.glob if stats else idf_floor(index, params, group_col), group_col)
     keys = _g(group_col) + ["query_id"]
     qt = (q.select(*keys, F.explode("qtoks").alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
@@ -249,7 +255,7 @@ def _zero_fill(index: DataFrame, qside: DataFrame, k: int) -> DataFrame:
     group_col = _group_of(qside)
     if group_col:
         w = Window.partitionBy(group_col).orderBy("doc_id")
-        first_ids = F.broadcast(index.select(group_col, "doc_id")
+        first_ids = bounded_broadcast(index.select(group_col, "doc_id")
                                 .withColumn("_r", F.row_number().over(w))
                                 .where(F.col("_r") <= 2 * k).drop("_r"))
     else:

@@ -24,7 +24,7 @@ from sifter.operators import results as RS
 from sifter.operators import training_data as TD
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
-from sifter.plans.sizing import mark_bounded
+from sifter.plans.sizing import bounded_broadcast, mark_bounded
 from sifter.session import cut_lineage, materialize_bucketed, scratch_path
 from sifter.sources.fs import fingerprint
 from sifter.streaming import jobs as ST
@@ -711,7 +711,7 @@ def _answered(spark, sf):
     # At most k = 5 rows per question (proven by the question count).
     ranked = mark_bounded(ranked, _qside(spark, sf, _doc_index(spark, sf))._sifter_rows * 5)
     content = docs.select("doc_id", F.col("text").alias("content")).join(
-        F.broadcast(ranked), "doc_id")
+        bounded_broadcast(ranked), "doc_id")
     method = R.search_method_description(F.lit(True), F.lit(0.5), F.lit(True), F.lit(RERANKER_MODEL))
     return content.select(F.col("query_id").alias("question_id"), "rank", "doc_id",
                           F.col("score").alias("relevance_score"), "content",
@@ -872,7 +872,7 @@ def q_inference_prompt(spark, sf):
 def q_grade_prompt(spark, sf):
     a = _answered(spark, sf).where(F.col("rank") == 1)
     qs = T.questions(spark, sf)
-    j = a.join(F.broadcast(qs), "question_id")
+    j = a.join(bounded_broadcast(qs), "question_id")
     return j.select("question_id", fmt.grade_prompt(F.col("content"), F.col("question")).alias("grade"),
                     fmt.rewrite_prompt(F.col("question")).alias("rewrite"),
                     fmt.answer_prompt(F.col("question"), F.col("content")).alias("answer"))
