@@ -52,10 +52,23 @@ def _g(group_col: str | None) -> list[str]:
     return [group_col] if group_col else []
 
 
-def _per_group(df: DataFrame, group_col: str | None) -> DataFrame:
+def _n_groups(index: DataFrame, group_col: str) -> int:
+    """Number of groups (knowledge bases) of an index, counted once."""
+    n = getattr(index, "_sifter_groups", None)
+    if n is None:
+        n = index.select(group_col).distinct().count()
+        index._sifter_groups = n  # type: ignore[attr-defined]
+    return n
+
+
+def _per_group(df: DataFrame, group_col: str | None, index: DataFrame | None = None) -> DataFrame:
     """Broadcast a statistics table with one row per group: a single row
-    without groups; behind the size check when there are groups."""
-    return bounded_broadcast(df) if group_col else F.broadcast(df)
+    without groups; with groups, the group count of the index is the bound."""
+    if not group_col:
+        return F.broadcast(df)
+    if index is not None:
+        df = mark_bounded(df, _n_groups(index, group_col))
+    return bounded_broadcast(df)
 
 
 def _join_side(big: DataFrame, small: DataFrame, group_col: str | None) -> DataFrame:
@@ -117,11 +130,11 @@ def idf_floor(index: DataFrame, params: BM25Params = BM25Params(),
     """
     stats = corpus_stats(index, group_col)
     dfs = document_frequency(index, group_col)
-    n = _per_group(stats.select(*_g(group_col), "n_docs"), group_col)
+    n = _per_group(stats.select(*_g(group_col), "n_docs"), group_col, index)
     mean_idf = ((dfs.join(n, group_col) if group_col else dfs.crossJoin(n))
                 .groupBy(*_g(group_col))
                 .agg(F.avg(_raw_idf(F.col("df"), F.col("n_docs"))).alias("mean_idf")))
-    joined = (stats.join(_per_group(mean_idf, group_col), group_col, "left") if group_col
+    joined = (stats.join(_per_group(mean_idf, group_col, index), group_col, "left") if group_col
               else stats.crossJoin(F.broadcast(mean_idf)))
     return joined.select(*_g(group_col), "n_docs", "avgdl",
                          (F.lit(params.epsilon) * F.coalesce(F.col("mean_idf"), F.lit(0.0)))
@@ -141,12 +154,12 @@ def index_stats(index: DataFrame, params: BM25Params = BM25Params(),
     """Compute the term dictionary and global statistics once (reliable
     checkpoints), for callers that ask several question batches."""
     vocab = cut_lineage(document_frequency(index, group_col))
-    n = _per_group(corpus_stats(index, group_col), group_col)
+    n = _per_group(corpus_stats(index, group_col), group_col, index)
     mean_idf = ((vocab.join(n, group_col) if group_col else vocab.crossJoin(n))
                 .groupBy(*_g(group_col))
                 .agg(F.avg(_raw_idf(F.col("df"), F.col("n_docs"))).alias("mean_idf")))
     stats = corpus_stats(index, group_col)
-    joined = (stats.join(_per_group(mean_idf, group_col), group_col, "left") if group_col
+    joined = (stats.join(_per_group(mean_idf, group_col, index), group_col, "left") if group_col
               else stats.crossJoin(F.broadcast(mean_idf)))
     glob = cut_lineage(joined.select(
         *_g(group_col), "n_docs", "avgdl",
@@ -177,13 +190,17 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
         q = q.withColumn("qvec", dense_entries("qvec"))
     q = q.withColumn("qnorm", entries_norm("qvec"))
     if group_col and group_col not in questions.columns:
-        g = groups if groups is not None else index.select(group_col).distinct()
-        q = bounded_broadcast(g.select(group_col)).crossJoin(q)
+        if groups is not None:
+            g = bounded_broadcast(groups.select(group_col))
+        else:
+            g = bounded_broadcast(mark_bounded(index.select(group_col).distinct(),
+                                               _n_groups(index, group_col)))
+        q = g.crossJoin(q)
     # One size check on the question table: question count and total tokens
     # bound every question-side table derived below.
     n_q, n_tok = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qtoks")), F.lit(0))).first()
     q = bounded_broadcast(mark_bounded(q, n_q))
-    glob = _per_group(stats.glob if stats else idf_floor(index, params, group_col), group_col)
+    glob = _per_group(stats.glob if stats else idf_floor(index, params, group_col), group_col, index)
     keys = _g(group_col) + ["query_id"]
     qt = (q.select(*keys, F.explode("qtoks").alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
