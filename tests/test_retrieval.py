@@ -110,3 +110,39 @@ def test_user_model_hook_reranks(spark):
     cand = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "query_id bigint, rank int, doc_id bigint")
     out = R.rerank(cand, qs, docs, k=2, scorer=lambda q, t: batch_model_column(load, "double", q, t))
     assert [r["doc_id"] for r in out.orderBy("rank").collect()] == [2, 3]
+
+
+def test_over_bound_side_is_not_broadcast(spark, monkeypatch):
+    """Above the row bound the hint is dropped and Catalyst plans a shuffle
+    join; the results are the same."""
+    from sifter.plans import sizing
+    idx, q = _setup(spark)
+    want = _order(R.bm25_topk(idx, q, 5))
+    monkeypatch.setattr(sizing, "DEFAULT_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(R, "bounded_broadcast",
+                        lambda df, max_rows=1: sizing.bounded_broadcast(df, max_rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q2 = R.prepare_questions(idx, T.questions(spark, SF_SMALL))
+        df = R.bm25_topk(idx, q2, 5)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # The question-term side is over the bound: the postings join on
+        # term is planned as a shuffle join (the 2k zero-fill ids, bounded by
+        # a limit, may still be broadcast).
+        import re
+        assert not re.search(r"BroadcastHashJoin \[term", plan)
+        assert re.search(r"(SortMergeJoin|ShuffledHashJoin) \[term", plan)
+        assert _order(df) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bounded_broadcast_counts_unmarked_sides(spark):
+    from sifter.plans.sizing import bounded_broadcast, mark_bounded
+    df = spark.range(10)
+    assert "ResolvedHint" in bounded_broadcast(df, 10)._jdf.queryExecution().analyzed().toString() \
+        or "broadcast" in bounded_broadcast(df, 10)._jdf.queryExecution().analyzed().toString().lower()
+    big = bounded_broadcast(df, 5)
+    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+    marked = bounded_broadcast(mark_bounded(spark.range(10 ** 9), 3), 5)  # proven bound, no count
+    assert "broadcast" in marked._jdf.queryExecution().analyzed().toString().lower()
