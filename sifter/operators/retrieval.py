@@ -327,8 +327,9 @@ def bm25_topk(index: DataFrame, qside: DataFrame, k: int = DEFAULT_TOP_K,
     # Only hits among the 2k candidate ids can collide with a fill row: the
     # anti-join runs on two small sides (<= questions x 2k rows each).
     bound = (getattr(qside, "_sifter_rows", None) or 0) * 2 * k or None
-    colliding = hits.join(fill_ids, _g(_group_of(qside)) + ["doc_id"]).select(
-        *keys, "doc_id")
+    # Score only the <= 2k candidate documents (semi-join at the index scan).
+    cand_index = index.join(fill_ids, _g(_group_of(qside)) + ["doc_id"], "left_semi")
+    colliding = bm25_hits(cand_index, qside, params).select(*keys, "doc_id")
     if bound:
         colliding = mark_bounded(colliding, bound)
     fill = fill.join(bounded_broadcast(colliding), keys + ["doc_id"], "left_anti")
