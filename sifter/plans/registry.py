@@ -465,9 +465,9 @@ def _eval_rows(spark, sf, group_col=None):
     if group_col:
         docs = docs.withColumnRenamed("source", group_col)
         idx = _doc_index(spark, sf)
-        stats = _cached_index(spark, sf, f"kb-stats:{group_col}",
-                              lambda: R.index_stats(idx, group_col=group_col))
-        qside = R.prepare_questions(idx, qs, group_col=group_col, stats=stats)
+        # Per-KB statistics are used once (the dataset is cached), so they are
+        # computed inline rather than materialised.
+        qside = R.prepare_questions(idx, qs, group_col=group_col)
     else:
         idx = _doc_index(spark, sf)
         qside = _qside(spark, sf, idx)
