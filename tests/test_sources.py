@@ -132,3 +132,12 @@ def test_sinks(spark, tmp):
     SK.write_evaluation(details, spark.createDataFrame([("# Report",)], "r string"),
                         spark.createDataFrame([("kb", 1)], "kb string, n int"), f"{tmp}/eval")
     assert spark.read.option("header", True).csv(f"{tmp}/eval/detailed_results").first()["contexts"] == '["c1","c2"]'
+
+
+def test_parallelism_guard(spark):
+    from sifter.plans.sizing import ensure_parallelism
+    one = spark.range(100).coalesce(1)
+    spread = ensure_parallelism(one, 4)
+    assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
+    many = spark.range(100).repartition(8)
+    assert ensure_parallelism(many, 4) is many  # already parallel: unchanged, no shuffle added
