@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from sifter.session import materialize, scratch_path
 # Fixed value: the white space that separates words, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +31,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back (lineage cut that
-    outlives lost executors)."""
-    return materialize(df, name)
+    outlives lost executors). Its shuffle files go once the table stands."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -66,3 +76,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def slices(text: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most_bytes`` of text each (one row at least), so
+    that a task's working memory does not follow the batch size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False),
+                     dtype=np.int64)
+    at, before = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield at, to
+        at, before = to, ends[to - 1]

@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from sifter.llm.common import slices
+
 PER_LANGUAGE = 3_000
 MAX_LANGUAGES = 500
 BITS = 16
@@ -41,6 +43,8 @@ WORST = -6.0        # a word says no more than this against a language
 EXCLUDED = -30.0    # the word's script is not one of the language
 SCRIPT_SHARE = 0.005
 PACK_CELLS = 6_000_000
+SLICE_BYTES = 4_000_000   # text a task works on at once
+WORD_BLOCK = 50_000       # distinct words whose n-grams are held at once
 UNKNOWN = "und"
 RESULT = "lang string, score double, spans array<struct<lang:string,first:int,words:int>>"
 
@@ -144,16 +148,21 @@ def _counter(languages: list[str]):
         """Rows (language, bucket, count); buckets from 2**BITS on count scripts."""
         for b in batches:
             lang = np.array([index[x] for x in b.column("lang").to_pylist()], np.int64)
-            ids, sizes, words = _flat(_words(b.column("text")))
-            if not words:
-                continue
-            owner, bucket, letters, script = _grams(words)
-            per = np.bincount(np.repeat(lang, sizes) * len(words) + ids,
-                              minlength=len(languages) * len(words)).reshape(len(languages), -1)
-            for i in np.flatnonzero(per.any(axis=1)):
-                n = np.bincount(bucket, weights=per[i][owner], minlength=2 ** BITS)
-                n = np.concatenate([n, np.bincount(script, weights=per[i] * letters,
-                                                   minlength=N_SCRIPTS)])
+            text, total = b.column("text"), {}
+            for lo, hi in slices(text, SLICE_BYTES):
+                ids, sizes, words = _flat(_words(text.slice(lo, hi - lo)))
+                owner_lang = np.repeat(lang[lo:hi], sizes)
+                for i in np.unique(owner_lang):
+                    per = np.bincount(ids[owner_lang == i], minlength=len(words))
+                    n = total.setdefault(int(i), np.zeros(2 ** BITS + N_SCRIPTS))
+                    for at in range(0, len(words), WORD_BLOCK):
+                        block = per[at:at + WORD_BLOCK]
+                        owner, bucket, letters, script = _grams(words[at:at + WORD_BLOCK])
+                        n[:2 ** BITS] += np.bincount(bucket, weights=block[owner],
+                                                     minlength=2 ** BITS)
+                        n[2 ** BITS:] += np.bincount(script, weights=block * letters,
+                                                     minlength=N_SCRIPTS)
+            for i, n in total.items():
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)),
@@ -197,6 +206,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def word_scores(words: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """(words, languages) scores, 0 for the best language; letters per word."""
+    blocks = [_block_scores(words[at:at + WORD_BLOCK], model)
+              for at in range(0, len(words), WORD_BLOCK)]
+    return tuple(map(np.concatenate, zip(*blocks)))
+
+
+def _block_scores(words: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     owner, bucket, letters, script = _grams(words)
     out = np.empty((len(words), len(model.langs)), np.float32)
     for i in range(len(model.langs)):
@@ -300,7 +315,11 @@ def language_of(text: Column, model: LanguageModel, spark,
 
     @arrow_udf(RESULT)
     def identify(column: pa.Array) -> pa.Array:
-        return _identify(column, shipped.value, penalty)
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        parts = [_identify(column.slice(lo, hi - lo), shipped.value, penalty)
+                 for lo, hi in slices(column, SLICE_BYTES)]
+        return pa.concat_arrays(parts) if parts else _identify(column, shipped.value, penalty)
 
     return identify(text)
 
