@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sifter.llm.best_fit import best_fit_pack
 from sifter.llm.common import table
 from sifter.llm.exact_dedup import exact_groups
 from sifter.llm.language_id import held_out, identify_languages, train
 from sifter.llm.line_dedup import line_dedup
+from sifter.llm.minmax_dedup import near_components
+from sifter.llm.window_dedup import window_dedup
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +33,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_line_dedup, op3_language_id)}
+    op1_exact_dedup, op2_line_dedup, op3_language_id, op6_best_fit_packing, op8_minhash_dedup,
+    op10_substring_dedup)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz')")
