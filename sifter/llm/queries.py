@@ -11,6 +11,7 @@ from sifter.llm.common import table
 from sifter.llm.exact_dedup import exact_groups
 from sifter.llm.language_id import held_out, identify_languages, train
 from sifter.llm.line_dedup import line_dedup
+from sifter.llm.line_rules import line_rules
 from sifter.llm.minmax_dedup import near_components
 from sifter.llm.window_dedup import window_dedup
 
@@ -37,6 +38,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
@@ -47,8 +54,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_line_dedup, op3_language_id, op6_best_fit_packing, op8_minhash_dedup,
-    op10_substring_dedup)}
+    op1_exact_dedup, op2_line_dedup, op3_language_id, op6_best_fit_packing, op7_quality_rules,
+    op8_minhash_dedup, op10_substring_dedup)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz')")
@@ -78,5 +85,47 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op7_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+base AS (
+  SELECT doc_id, len(w) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols
+  FROM d),
+windows AS (
+  SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line,
+         length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS sym
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (
+  SELECT doc_id, line, length(line) AS n,
+         NOT regexp_matches(line, '[.!?…:;。！？"''”’»)\]][\x20\x09-\x0D]*$')
+         OR 100 * sym > 4 * length(line)
+         OR (length(line) >= 20 AND NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}'))
+         OR length(line) <= 200 AND regexp_matches(line, '(?i)(all rights reserved|licensed under|released under|terms of use|terms of service|privacy policy|cookie policy|use cookies|enable javascript|subscribe to our newsletter|click here to|skip to content|powered by|lorem ipsum)')
+           AS failed
+  FROM lines),
+loss AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(n) AS chars,
+         coalesce(sum(n) FILTER (failed), 0) AS lost
+  FROM judged GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, coalesce(dup, 0) AS n_dup_lines,
+       coalesce(r.n, 0) AS n_repeat_words,
+       n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words)
+         AND 100 * coalesce(lost, 0) <= 50 * coalesce(chars, 0) AS kept
+FROM base b LEFT JOIN repeats r USING (doc_id) LEFT JOIN loss l USING (doc_id)
 """,
 }
