@@ -13,6 +13,7 @@ from sifter.llm.language_id import held_out, identify_languages, train
 from sifter.llm.line_dedup import line_dedup
 from sifter.llm.line_rules import line_rules
 from sifter.llm.minmax_dedup import near_components
+from sifter.llm.mixing import mix_sources
 from sifter.llm.window_dedup import window_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -54,8 +59,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_line_dedup, op3_language_id, op6_best_fit_packing, op7_quality_rules,
-    op8_minhash_dedup, op10_substring_dedup)}
+    op1_exact_dedup, op2_line_dedup, op3_language_id, op4_source_mixing,
+    op6_best_fit_packing, op7_quality_rules, op8_minhash_dedup,
+    op10_substring_dedup)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz')")
