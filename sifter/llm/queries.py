@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sifter.llm import html_extract, language_id
 from sifter.llm.best_fit import best_fit_pack
 from sifter.llm.common import table
 from sifter.llm.exact_dedup import exact_groups
-from sifter.llm.language_id import held_out, identify_languages, train
+from sifter.llm.language_id import held_out, identify_languages
 from sifter.llm.line_dedup import line_dedup
 from sifter.llm.line_rules import line_rules
 from sifter.llm.minmax_dedup import near_components
@@ -31,7 +32,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.filter(~held_out()))
+    model = language_id.train(docs.filter(~held_out()))
     return identify_languages(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -53,6 +54,11 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract_pages(pages, html_extract.train(pages))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -61,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_line_dedup, op3_language_id, op4_source_mixing,
     op6_best_fit_packing, op7_quality_rules, op8_minhash_dedup,
-    op10_substring_dedup)}
+    op9_html_extraction, op10_substring_dedup)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz')")
