@@ -10,6 +10,7 @@ from sifter.llm import html_extract, language_id
 from sifter.llm.best_fit import best_fit_pack
 from sifter.llm.common import table
 from sifter.llm.exact_dedup import exact_groups
+from sifter.llm.kn_quality import quality_scores
 from sifter.llm.language_id import held_out, identify_languages
 from sifter.llm.line_dedup import line_dedup
 from sifter.llm.line_rules import line_rules
@@ -40,6 +41,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -65,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_line_dedup, op3_language_id, op4_source_mixing,
+    op1_exact_dedup, op2_line_dedup, op3_language_id, op4_source_mixing, op5_quality_model,
     op6_best_fit_packing, op7_quality_rules, op8_minhash_dedup,
     op9_html_extraction, op10_substring_dedup)}
 
