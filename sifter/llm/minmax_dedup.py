@@ -11,15 +11,16 @@ empty set and links with nothing. Documents link when 100 * intersection >=
    probability 8e-7.
 2. *Classes.* Equal sets (count and 128-bit digest) become one class with one
    representative; copies are never paired.
-3. *Star rounds.* A bucket's members are compared with one leader, the member
+3. *Star round.* A bucket's members are compared with one leader, the member
    with the most bucket mates over all bands (the centre of its copies). Links are
-   confirmed on the full sets; connected components follow. Buckets whose
-   members still differ in component choose another leader, ``STAR_ROUNDS`` times.
-4. *Remainder.* Shingles that only one set among the undecided buckets holds
-   cannot lie in an intersection; a set with more than the tolerated share of them has
-   no further partner at all. For the sets that are left, every pair of different components within a bucket
-   is compared, so no candidate is dropped. Pairs already in one component
-   add nothing and are not made.
+   confirmed on the full sets; connected components follow. Pairs already
+   in one component add nothing and are not made.
+4. *Remainder.* For the sets in buckets that still mix components, an exact prefix join
+   finds every link between components: with shingles ordered rarest first, two sets over the
+   threshold share one of their first n - ceil(percent * n / 100) + 1, and from
+   its places in both sets follows how large the intersection can be at most. Holders
+   of a shingle meet as kinds (component, size, place), and only kinds that pass expand to
+   pairs, which are confirmed on the full sets.
 
 The rows between steps are stored in the shared folder. Hot buckets are joined, never
 gathered: counts and leaders are aggregates, and Spark splits skewed joins.
@@ -38,13 +39,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sifter.llm.common import WordHashes, mix64, stored
 
 WIDTH = 3
 PERCENT = 85
 BANDS, ROWS = 24, 5
-STAR_ROUNDS = 2
+BROADCAST_IDS = 500_000
 NULL_ID = -(2 ** 63)
 _BLOCK = 8192
 _WORKER: dict[str, WordHashes] = {}  # kept by a Python worker between tasks
@@ -126,18 +128,23 @@ def _setter(width: int):
     return collect
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one centre and no centre points on."""
+    roles = (edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+             .unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"),
+                                       F.lit(1).alias("into"))))
+    return (roles.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+            .filter("out > 1 or (out = 1 and into = 1)").isEmpty())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of the pairs
-    ``a, b``: alternate large-star and small-star steps until nothing changes."""
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
+    ``a, b``: alternate large-star and small-star steps until only stars are left."""
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .filter("a <> b").distinct(), "edges")
-    seen = mark(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
         large = (both.filter("b > a").join(least, "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -146,10 +153,6 @@ def components(edges: DataFrame) -> DataFrame:
                                              F.col("m").alias("b"))
                  .filter("a <> b").distinct())
         edges = stored(small, "edges")
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
@@ -170,31 +173,14 @@ def _size_fits(percent: int):
 
 
 def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(member, leader of a bucket mate's component) pairs ``a, b``: each bucket's leader is
-    its member with the highest score; members of other components meet it."""
+    """Pairs ``a, b``: every member of a bucket with the bucket's leader."""
     top = members.groupBy("band", "key").agg(F.max("score").alias("score"))
     leader = (members.join(top, ["band", "key", "score"]).groupBy("band", "key")
               .agg(F.min("k").alias("b")))
-    info = members.select(F.col("k").alias("b"), F.col("n").alias("nb"),
-                          F.col("label").alias("lb")).distinct()
-    leader = leader.join(info, "b")
-    return (members.withColumnsRenamed({"k": "a", "n": "na"}).join(leader, ["band", "key"])
-            .filter((F.col("a") != F.col("b")) & (F.col("label") != F.col("lb"))
-                    & _size_fits(percent))
-            .select("a", "b").distinct())
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    mixed = (members.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .filter("lo <> hi").select("band", "key"))
-    return members.join(mixed, ["band", "key"])
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).withColumnsRenamed({"node": "k", "component": "found"})
-    return (members.drop("label").join(found, "k", "left")
-            .withColumn("label", F.coalesce("found", "k")).drop("found"))
+    size = members.select(F.col("k").alias("b"), F.col("n").alias("nb")).distinct()
+    return (members.withColumnsRenamed({"k": "a", "n": "na"})
+            .join(leader.join(size, "b"), ["band", "key"])
+            .filter((F.col("a") != F.col("b")) & _size_fits(percent)).select("a", "b").distinct())
 
 
 def links_between(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -203,43 +189,56 @@ def links_between(reps: DataFrame, texts: DataFrame, width: int, percent: int) -
     slots = stored(reps.select("k", "n", F.posexplode("bands").alias("band", "key")), "bands")
     shared = (slots.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
               .filter("size > 1"))
-    members = slots.join(shared, ["band", "key"])
-    members = stored(members, "members")
+    members = stored(slots.join(shared, ["band", "key"]), "members")
     score = members.groupBy("k").agg(F.sum("size").alias("score"))
-    members = stored(members.drop("size").join(score, "k").withColumn("label", F.col("k")),
-                     "members")
-    sets = stored(texts.join(members.select("k").distinct(), "k", "left_semi")
+    members = stored(members.drop("size").join(score, "k"), "members")
+    wanted = members.select("k").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)  # checked: 8 bytes an id
+    sets = stored(texts.join(wanted, "k", "left_semi")
                   .mapInArrow(_setter(width), "k bigint, shingles array<bigint>")
                   .dropDuplicates(["k"]), "sets")
-    links = None
-    for _ in range(STAR_ROUNDS):
-        new = stored(_confirmed(_star_pairs(members, percent), sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        members = stored(_mixed(_labelled(members, links)), "members")
-        # A later round needs another leader: those of this round step back.
-        led = (members.groupBy("band", "key").agg(F.max("score").alias("score")))
-        members = stored(members.join(led.withColumnRenamed("score", "top"), ["band", "key"])
-                         .withColumn("score", F.when(F.col("score") == F.col("top"), F.lit(0))
-                                     .otherwise(F.col("score"))).drop("top"), "members")
+    links = stored(_confirmed(_star_pairs(members, percent), sets, percent), "links")
+    found = components(links).withColumnsRenamed({"node": "k", "component": "found"})
+    members = (members.join(found, "k", "left")
+               .select("k", "n", "band", "key", F.coalesce("found", "k").alias("label")))
     return links.unionByName(_remainder(members, sets, percent))
 
 
 def _remainder(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every link between components that buckets still hold, by exact bounds."""
-    open_sets = sets.join(members.select("k").distinct(), "k", "left_semi")
-    once = (open_sets.select("k", F.explode("shingles").alias("s")).groupBy("s")
-            .agg(F.count(F.lit(1)).alias("df"), F.min("k").alias("k")).filter("df = 1")
-            .groupBy("k").agg(F.count(F.lit(1)).alias("alone")))
-    # intersection <= n - alone and union >= n + (partner's own share) >= n
-    able = (members.join(once, "k", "left").fillna(0, ["alone"])
-            .filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-            .drop("alone"))
-    able = stored(_mixed(able), "members")
-    a = able.select("band", "key", F.col("k").alias("a"), F.col("n").alias("na"),
-                    F.col("label").alias("la"))
-    b = able.select("band", "key", F.col("k").alias("b"), F.col("n").alias("nb"),
-                    F.col("label").alias("lb"))
-    pairs = (a.join(b, ["band", "key"]).filter((F.col("la") < F.col("lb")) & _size_fits(percent))
+    """Every link between the components that buckets still mix, by an exact
+    prefix join."""
+    members = stored(members, "members")
+    mixed = (members.groupBy("band", "key")
+             .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .filter("lo <> hi").select("band", "key"))
+    open_ = stored(members.join(mixed, ["band", "key"]).select("k", "n", "label").distinct(), "open")
+    held = stored(sets.join(open_, "k").select("k", "n", "label", F.explode("shingles").alias("s")),
+                  "held")
+    common = held.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("k")
+    held = (held.join(common, "s").withColumn("n_common", F.count(F.lit(1)).over(own))
+            .withColumn("rank", F.row_number().over(own.orderBy("df", "s")))
+            # Rare first: shingles that no other open set holds stand before all others.
+            .withColumn("place", F.col("n") - F.col("n_common") + F.col("rank"))
+            .filter(F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1))
+    prefix = stored(held.select("s", "k", "n", "label", "place"), "prefix")
+    # Kinds of holders (component, size, place) meet before the holders do.
+    kinds = prefix.select("s", "label", "n", "place").distinct()
+    mixed = (kinds.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .filter("lo <> hi").select("s"))
+    kinds = kinds.join(mixed, "s")
+    one = kinds.select("s", F.col("label").alias("la"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    two = kinds.select("s", F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # common >= percent / 100 * (na + nb - common)
+    fits = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    kinds = one.join(two, "s").filter((F.col("la") < F.col("lb")) & _size_fits(percent) & fits)
+    a = prefix.select("s", F.col("k").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"),
+                      F.col("place").alias("pa"))
+    b = prefix.select("s", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"),
+                      F.col("place").alias("pb"))
+    pairs = (stored(kinds, "kinds").join(a, ["s", "la", "na", "pa"]).join(b, ["s", "lb", "nb", "pb"])
              .select("a", "b").distinct())
     return stored(_confirmed(pairs, sets, percent), "links")
 
@@ -257,25 +256,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                      "bands array<bigint>"), "signatures")
     full = signed.filter("n > 0")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"))
-    copies = full.select("k", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("k", "rep")
+    rows_ = stored(full.select("k", "n", "d1", "d2").join(classes, ["n", "d1", "d2"])
+                   .select("k", "n", "rep"), "classes")
     reps = (full.join(classes.select(F.col("rep").alias("k"), "n", "d1", "d2"),
                       ["k", "n", "d1", "d2"], "left_semi")
             .dropDuplicates(["k"]).select("k", "n", "bands"))
     links = links_between(reps, texts, width, percent)
-    same = copies.filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(same))
-    component = F.coalesce("component", "k")
+    first = rows_.groupBy("k").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    one_id = rows_.join(first, "k").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+    found = components(links.unionByName(one_id)).withColumnRenamed("node", "rep")
     back = lambda c: F.nullif(c, F.lit(NULL_ID))
-    return (signed.select("k", "n").join(found.withColumnRenamed("node", "k"), "k", "left")
-            .select(back(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                    back(component).alias("component_id"), (F.col("k") == component).alias("kept")))
+    out = (rows_.join(found, "rep", "left").select("k", "n", F.coalesce("component", "rep").alias("c"))
+           .unionByName(signed.filter("n = 0").select("k", "n", F.col("k").alias("c"))))
+    return out.select(back(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
+                      back(F.col("c")).alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+               width: int = WIDTH, percent: int = PERCENT,
+               bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` (all their columns) that stay: one document per component."""
-    keep = (near_components(docs, id_col, text_col, width, percent).filter("kept")
+    keep = (near_components(docs, id_col, text_col, width, percent, bands, rows).filter("kept")
             .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k")))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("k"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(keep, "k", "left_semi").select("row.*")
+    whole = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("k"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(keep, "k", "left_semi").select("row.*")
