@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import mix64, slices, stored
+from sifter.llm.common import BLANKS, mix64, slices, stored
 
 ORDER = 5
 SAMPLE_DOCS = 3_000
@@ -158,7 +158,7 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 def train(trusted: DataFrame, order: int = ORDER) -> KneserNey | None:
     """Fit the model on the texts of ``trusted`` (column ``text``, already
     bounded); None if they have no characters."""
-    texts = stored(trusted.select("text").filter("length(trim(text)) > 0"), "trusted")
+    texts = stored(trusted.select("text").filter(F.length(F.btrim("text", F.lit(BLANKS))) > 0), "trusted")
     top = (texts.mapInArrow(_character_counter, "p bigint, n bigint").groupBy("p")
            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(UNKNOWN - 1).collect())
     if not top:
@@ -253,7 +253,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                .join(F.broadcast(chosen), "doc_id", "left_semi"))  # at most sample_docs ids
     model = train(trusted, order)
     if model is None:
-        n = F.coalesce(F.length(F.trim("text")), F.lit(0)).cast("bigint")
+        n = F.coalesce(F.length(F.btrim("text", F.lit(BLANKS))), F.lit(0)).cast("bigint")
         none = F.lit(None).cast("double")
         return rows.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), n.alias("n_chars"),
                            none.alias("perplexity"), none.alias("score"), none.alias("threshold"),
