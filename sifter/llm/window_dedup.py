@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from sifter.llm.common import WordHashes, mix64, stored
 
 WIDTH = 50
-CHUNK = 1_000_000       # windows a task sorts at once
+CHUNK = 500_000       # windows a task sorts at once
 PER_RANGE = 1_000_000   # windows a hash range should hold
 CHARS_PER_WORD = 6      # only sizes the ranges
 BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -184,18 +184,11 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return _unplanes(raw[1:], n, raw[0]).astype(np.int64)
 
 
-def _by_document(k: np.ndarray, v: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
-    """Rows ``k, v, starts``: repeated window starts by document."""
-    order = np.lexsort((position, v, k))
-    k, v, position = k[order], v[order], position[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-    docs = np.flatnonzero(new)
-    offsets = pa.array(np.append(docs, len(k)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k[docs]), pa.array(v[docs]),
-         pa.ListArray.from_arrays(offsets, pa.array(position.astype(np.int32)))],
-        names=["k", "v", "starts"])
+def _packed(k: np.ndarray, v: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
+    """Repeated window starts as one row of three lists."""
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), pa.array(x))
+             for x in (k, v, position.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(lists, names=["k", "v", "start"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,23 +210,24 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pending, now = [], None
     for b in batches:
-        for r in b.to_pylist():
+        for i in range(b.num_rows):
+            r = {name: b.column(name)[i].as_py() for name in b.schema.names}
             if r["settled"]:
                 table = np.frombuffer(r["docs"], np.int64).reshape(-1, 2)
                 owner = _unpack(r["owners"], r["n"])
-                yield _by_document(table[owner, 0], table[owner, 1], _unpack(r["positions"], r["n"]))
+                yield _packed(table[owner, 0], table[owner, 1], _unpack(r["positions"], r["n"]))
                 continue
             if pending and r["range_id"] != now:
                 k, v, position = judged(pending)
                 pending = []
                 if len(k):
-                    yield _by_document(k, v, position)
+                    yield _packed(k, v, position)
             now = r["range_id"]
             pending.append(r)
     if pending:
         k, v, position = judged(pending)
         if len(k):
-            yield _by_document(k, v, position)
+            yield _packed(k, v, position)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -245,15 +239,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      width: int = WIDTH, per_range: int = PER_RANGE) -> DataFrame:
-    """``k, v, starts``: word positions at which a repeated window starts, by
-    document (id and text hash; several rows a document)."""
+    """``k, v, starts``: word positions at which a repeated window starts, one
+    row per document (id and text hash) that has any."""
     rows = _rows(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, min(2 ** 31, -(-size // (CHARS_PER_WORD * per_range))))
     packed = rows.select("k", "v", "text").mapInArrow(_hashed(width, int(ranges)), PACKED)
     found = (packed.repartition("range_id").sortWithinPartitions("range_id")
-             .mapInArrow(_judge, "k bigint, v bigint, starts array<int>"))
-    return stored(found, "windows")
+             .mapInArrow(_judge, "k array<bigint>, v array<bigint>, start array<int>"))
+    return (stored(found, "windows").select(F.inline(F.arrays_zip("k", "v", "start")))
+            .groupBy("k", "v").agg(F.collect_set("start").alias("starts")))
 
 
 def _remove(width: int):
@@ -264,10 +259,10 @@ def _remove(width: int):
                 words = text.as_py().split()
                 total.append(len(words))
                 if starts.is_valid:
-                    at = np.unique(starts.values.flatten().to_numpy(zero_copy_only=False))
+                    at = starts.values.to_numpy(zero_copy_only=False)  # each start once
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + width, -1)
+                    edge[at] += 1
+                    edge[at + width] -= 1
                     under = np.cumsum(edge[:-1]) > 0
                     gone.append(int(under.sum()))
                     words = [w for w, u in zip(words, under) if not u]
@@ -288,8 +283,7 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one row per input row."""
     if width < 1:
         raise ValueError("width must be at least 1")
-    marks = (repeated_windows(docs, id_col, text_col, width, per_range)
-             .groupBy("k", "v").agg(F.collect_list("starts").alias("starts")))
+    marks = repeated_windows(docs, id_col, text_col, width, per_range)
     return (_rows(docs, id_col, text_col).join(marks, ["k", "v"], "left")
             .select("doc_id", "text", "starts")
             .mapInArrow(_remove(width), "doc_id bigint, n_words bigint, n_removed bigint, "
