@@ -91,7 +91,7 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
         if n_active == 0:
             break
         qside = R.prepare_questions(index, active.select(
-            F.col("query_id").alias("question_id"), "question"), stats=stats)
+            F.col("query_id").alias("question_id"), "question"), keyword=False)
         # The round's top-k (active x k rows) feeds grading, the finished rows
         # and the rewrite: materialise it once instead of rescoring.
         top = mark_bounded(cut_lineage(R.semantic_topk(index, qside, k)), n_active * k)

@@ -263,20 +263,20 @@ def exact_mean(value: Column, digits: int = MEAN_DIGITS) -> tuple[Column, Column
     """Aggregate pieces of an order-independent mean.
 
     Returns ``(sum, count)`` aggregate columns over values quantised to 1e-12
-    as BIGINT; :func:`finish_mean` turns them into the mean rounded half-up to
+    as DECIMAL(38, 0), which 10**20 rows cannot overflow; :func:`finish_mean` turns them into the mean rounded half-up to
     ``digits`` places with integer arithmetic, so every engine and every
     summation order gives the same double (no float ties at the last place).
     """
-    q = F.round(value * F.lit(float(QUANTUM)), 0).cast("bigint")
+    q = F.round(value * F.lit(float(QUANTUM)), 0).cast("decimal(18,0)")
     return F.sum(q), F.count(q)
 
 
 def finish_mean(s: Column, n: Column, digits: int = MEAN_DIGITS) -> Column:
-    d = n * F.lit(QUANTUM // 10 ** digits)
+    d = n.cast("decimal(20,0)") * F.lit(QUANTUM // 10 ** digits).cast("decimal(14,0)")
     num = s * 2 + d
     den = d * 2
-    q = (num - F.pmod(num, den)) / den
-    return F.when(n > 0, q.cast("bigint").cast("double") / F.lit(float(10 ** digits)))
+    q = F.floor(num / den)
+    return F.when(n > 0, q.cast("double") / F.lit(float(10 ** digits)))
 
 
 def metric_means(long: DataFrame, group_cols: list[str]) -> DataFrame:
@@ -375,7 +375,9 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, keys: list[str], k:
         F.sum("rel").alias("n_hit"))
     idcg = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(k))), F.lit(0.0),
                        lambda a, i: a + 1.0 / F.log2(i + 1))
-    return per_q.join(n_rel, keys, "left").select(
+    # A labelled question without any ranked row counts with zeros.
+    found = per_q.join(n_rel, keys, "full").fillna(0, ["hit", "rr", "dcg", "n_hit"])
+    return found.select(
         *keys, F.col("hit").cast("double").alias("hit_at_k"), F.col("rr").alias("mrr"),
         F.when(F.coalesce(F.col("n_rel"), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.col("dcg") / idcg)
         .alias("ndcg_at_k"),
@@ -461,7 +463,8 @@ def evaluate_pipeline(rows: DataFrame, keys: list[str], metrics: list[str] | Non
     written (A12). Without ground truths the metric list defaults to B5.
     """
     from sifter.sources.sinks import write_evaluation
-    has_gt = "ground_truths" in rows.columns
+    has_gt = "ground_truths" in rows.columns and not rows.filter(
+        "ground_truths is not null").isEmpty()
     metrics = select_metrics(metrics or default_metrics(has_gt))
     long = score_rows(rows, metrics, keys)
     group = [kb_col] if kb_col in keys else []

@@ -170,14 +170,17 @@ def index_stats(index: DataFrame, params: BM25Params = BM25Params(),
 def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "question_id",
                       text_col: str = "question", params: BM25Params = BM25Params(),
                       embedding_col: str | None = None, group_col: str | None = None,
-                      groups: DataFrame | None = None, stats: IndexStats | None = None) -> DataFrame:
+                      groups: DataFrame | None = None, stats: IndexStats | None = None,
+                      keyword: bool = True) -> DataFrame:
     """One row per question (per group) with everything scoring needs.
 
     ``[group,] query_id, qtoks, qterms ARRAY<STRUCT<term, w>>, qvec, qnorm, n_docs, avgdl``
     where ``w = query-term count * idf`` (repeated query terms count repeatedly;
     unknown terms have idf 0 and are left out). With ``group_col`` every
     question is asked of every group (C9: groups x questions), unless the
-    questions already carry the group column.
+    questions already carry the group column. ``keyword=False`` prepares the vector side
+    alone (``[group,] query_id, qtoks, qvec, qnorm``) for semantic search: no
+    collection statistics are read.
     """
     q = questions.select(*([F.col(group_col)] if group_col and group_col in questions.columns
                            else []),
@@ -199,13 +202,19 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
     # One size check on the question table: question count and total tokens
     # bound every question-side table derived below.
     n_q, n_tok = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qtoks")), F.lit(0))).first()
+    if not keyword:
+        out = cut_lineage(q.select(*_g(group_col), "query_id", "qtoks", "qvec", "qnorm"))
+        out._sifter_group = group_col  # type: ignore[attr-defined]
+        return mark_bounded(out, n_q)
     q = bounded_broadcast(mark_bounded(q, n_q))
-    glob = _per_group(stats.glob if stats else idf_floor(index, params, group_col), group_col, index)
+    if stats is None:
+        stats = index_stats(index, params, group_col)  # the vocabulary is exploded once
+    glob = _per_group(stats.glob, group_col, index)
     keys = _g(group_col) + ["query_id"]
     qt = (q.select(*keys, F.explode("qtoks").alias("term"))
           .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
     # Vocabulary x (small, checked) query terms: only matching terms survive.
-    dfs = (stats.vocab if stats else document_frequency(index, group_col)).join(
+    dfs = stats.vocab.join(
         bounded_broadcast(mark_bounded(qt, n_tok)), _g(group_col) + ["term"])
     weighted = ((dfs.join(glob, group_col) if group_col else dfs.crossJoin(glob))
                 .withColumn("raw", _raw_idf(F.col("df"), F.col("n_docs")))

@@ -22,6 +22,7 @@ MAX_SEQ_LENGTH = 512
 CALIBRATION_SAMPLES = 128
 TEXT_FIELD = "text"
 _HASH_BITS = 60  # 15 hex digits of md5
+MIN_BUCKET_BITS = 8
 
 
 def seeded_hash(id_col, seed: int = SEED) -> Column:
@@ -47,8 +48,9 @@ def exact_split(df: DataFrame, id_col: str, test_size: float = TEST_SIZE, seed:
         return h.drop("_h").withColumn("split", F.lit("train"))
     n = df.count()
     k = python_round(n * (1 - test_size))
-    bits = max(0, min(20, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
-    h = h.withColumn("_b", F.shiftright("_h", _HASH_BITS - bits) if bits else F.lit(0))
+    # Always buckets, whatever the size: no task ranks more than one of them.
+    bits = max(MIN_BUCKET_BITS, math.ceil(math.log2(max(1, n / rows_per_bucket))))
+    h = h.withColumn("_b", F.shiftright("_h", _HASH_BITS - bits))
     sizes = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most 2^bits rows: the bucket table is bounded by construction.
     offsets = F.broadcast(sizes.select(

@@ -465,12 +465,10 @@ def _eval_rows(spark, sf, group_col=None):
     if group_col:
         docs = docs.withColumnRenamed("source", group_col)
         idx = _doc_index(spark, sf)
-        # Per-KB statistics are used once (the dataset is cached), so they are
-        # computed inline rather than materialised.
-        qside = R.prepare_questions(idx, qs, group_col=group_col)
     else:
         idx = _doc_index(spark, sf)
-        qside = _qside(spark, sf, idx)
+    # Semantic search alone: the vector side needs no collection statistics.
+    qside = R.prepare_questions(idx, qs, group_col=group_col, keyword=False)
     ranked = R.semantic_topk(idx, qside, EVAL_K)
     ranked = mark_bounded(ranked, qside._sifter_rows * EVAL_K)
     gts = qs.select("question_id", F.array("question").alias("ground_truths"))
@@ -781,7 +779,7 @@ def q_retrieval_compare(spark, sf):
 @register("default_question_retrieval")
 def q_default_question_retrieval(spark, sf):
     idx = _doc_index(spark, sf)
-    qside = R.prepare_questions(idx, CR.default_questions(spark, 10))
+    qside = R.prepare_questions(idx, CR.default_questions(spark, 10), keyword=False)
     return R.semantic_topk(idx, qside, 3)
 
 

@@ -42,15 +42,22 @@ def load_documents(spark: SparkSession, path: str, file_types=DEFAULT_FILE_TYPES
     that cannot be read keeps a row with ``_error`` set (nothing is lost).
     """
     types = [t.strip().lstrip(".") for t in file_types]
-    reader = spark.read.format("binaryFile")
-    if _is_dir(spark, path):
-        reader = reader.option("recursiveFileLookup", "true")
-        ext_ok = F.regexp_extract("path", r"\.([^./]+)$", 1).isin(types)
-    else:
-        ext_ok = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([t.lower() for t in types])
-    files = reader.load(path).where(ext_ok).select(
-        "path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("file_type"), "content")
-    text = files.where(F.col("file_type").isin(list(TEXT_TYPES)))
+    extension = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    is_dir = _is_dir(spark, path)
+
+    def files_of(wanted: list[str]) -> DataFrame:
+        """One scan of the files of some types: a folder's listing is filtered by
+        name before any content is read."""
+        reader = spark.read.format("binaryFile")
+        if is_dir:
+            glob = "*.{" + ",".join(wanted or ["-"]) + "}"
+            files = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+                     .load(path).where(extension.isin(wanted)))
+        else:
+            files = reader.load(path).where(F.lower(extension).isin([t.lower() for t in wanted]))
+        return files.select("path", F.lower(extension).alias("file_type"), "content")
+
+    text = files_of([t for t in types if t.lower() in TEXT_TYPES])
     decoded = F.col("content").cast("string")
     text_rows = text.select(
         F.col("path").alias("doc_id"), F.col("path").alias("source_path"), "file_type",
@@ -58,7 +65,7 @@ def load_documents(spark: SparkSession, path: str, file_types=DEFAULT_FILE_TYPES
         F.when(F.is_valid_utf8(decoded), decoded).alias("text"),
         F.create_map(F.lit("source"), F.col("path")).alias("metadata"),
         F.when(~F.is_valid_utf8(decoded), F.lit("invalid UTF-8")).alias("_error"))
-    other = files.where(~F.col("file_type").isin(list(TEXT_TYPES)))
+    other = files_of([t for t in types if t.lower() not in TEXT_TYPES])
     ex = dict(extractors or {})
 
     def extract(batches):
@@ -75,7 +82,7 @@ def load_documents(spark: SparkSession, path: str, file_types=DEFAULT_FILE_TYPES
                         out.append((f"{path_}#{page}", path_, ftype, page, txt,
                                     {"source": path_, "page": str(page)}, None))
                 except Exception as e:  # noqa: BLE001  (per-file failure is data)
-                    out.append((path_, path_, ftype, None, None, {"source": path_}, str(e)[:500]))
+                    out.append((path_, path_, ftype, None, None, {"source": path_}, str(e)))
             yield pd.DataFrame(out, columns=["doc_id", "source_path", "file_type", "page", "text",
                                              "metadata", "_error"])
 
@@ -106,15 +113,17 @@ def read_question_set(spark: SparkSession, path: str) -> DataFrame:
     """A5: ``question_id, question, ground_truths``; a file without questions is
     empty; unequal question / ground-truth counts fail the job."""
     raw = spark.read.option("multiLine", True).schema(QUESTION_FILE_SCHEMA).json(path)
+    questions = F.coalesce("questions", F.array().cast("array<string>"))
+    # The check is part of the column that every row comes from, so no
+    # projection of the result can prune it.
     checked = raw.select(
-        F.coalesce("questions", F.array().cast("array<string>")).alias("q"), "ground_truths",
         F.when(F.col("ground_truths").isNull()
-               | (F.size("ground_truths") == F.size(F.coalesce("questions", F.array()))), F.lit(True))
+               | (F.size("ground_truths") == F.size(questions)), questions)
         .otherwise(F.raise_error(F.lit("Number of ground truths must match number of questions")))
-        .alias("_ok"))
+        .alias("q"), "ground_truths")
     return checked.select(F.posexplode("q").alias("question_id", "question"), "ground_truths").select(
         F.col("question_id").cast("bigint").alias("question_id"), "question",
-        F.element_at("ground_truths", F.col("question_id") + 1).alias("ground_truths"))
+        F.try_element_at("ground_truths", F.col("question_id") + 1).alias("ground_truths"))
 
 
 def scan_result_files(spark: SparkSession, root: str, expected_tasks: list[str] | None = None,
@@ -130,8 +139,9 @@ def scan_result_files(spark: SparkSession, root: str, expected_tasks: list[str]
              .withColumn("task_keys", F.map_keys(F.coalesce("results", F.create_map().cast(
                  "map<string,map<string,string>>")))))
     chosen = select_newest(files, expected_tasks)
-    return chosen.withColumn("_check", F.when(
-        F.exists(F.map_values("results"), lambda m: F.size(m) > 0), F.lit(True)).otherwise(
+    # Part of the column that the rows are read from: nothing prunes the check.
+    return chosen.withColumn("results", F.when(
+        F.exists(F.map_values("results"), lambda m: F.size(m) > 0), F.col("results")).otherwise(
         F.raise_error(F.lit("No results with metrics found"))))
 
 
