@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from sifter.plans.sizing import bounded_broadcast, literal_dimension
 
-RESULTS_SCHEMA = "results map<string, map<string, string>>, config map<string, string>"
+# Values keep their JSON type: a metric is a number, not a string that looks like one.
+RESULTS_SCHEMA = "results map<string, map<string, variant>>, config map<string, string>"
 
 # Benchmark suites and the listing groups (task order matters).
 BENCHMARK_SUITES = {
@@ -47,6 +48,13 @@ def numeric_value(v: Column) -> Column:
             .otherwise(v.try_cast("double")))
 
 
+def numeric_metric(v: Column) -> Column:
+    """B3 for a JSON value: numbers, and true/false as 1/0; anything else -> NULL."""
+    kind = F.schema_of_variant(v)
+    return (F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+            .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double")))
+
+
 def flatten_results(docs: DataFrame, json_col: str = "json", model_col: str = "model") -> DataFrame:
     """L1 + B3: ``model, task, metric, value`` for numeric metrics."""
     parsed = docs.select(F.col(model_col).alias("model"),
@@ -55,7 +63,7 @@ def flatten_results(docs: DataFrame, json_col: str = "json", model_col: str = "m
              .where(F.col("task").isNotNull()))
     long = (tasks.select("model", "task", F.explode_outer("metrics").alias("metric", "raw"))
             .where(F.col("metric").isNotNull()))
-    return (long.select("model", "task", "metric", numeric_value(F.col("raw")).alias("value"))
+    return (long.select("model", "task", "metric", numeric_metric(F.col("raw")).alias("value"))
             .where(F.col("value").isNotNull()))
 
 

@@ -136,8 +136,8 @@ def scan_result_files(spark: SparkSession, root: str, expected_tasks: list[str]
              .option("pathGlobFilter", pattern).schema(RESULTS_SCHEMA).json(root)
              .select("results", F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_modification_time").alias("mtime"))
-             .withColumn("task_keys", F.map_keys(F.coalesce("results", F.create_map().cast(
-                 "map<string,map<string,string>>")))))
+             .withColumn("task_keys", F.coalesce(F.map_keys("results"),
+                                                 F.array().cast("array<string>"))))
     chosen = select_newest(files, expected_tasks)
     # Part of the column that the rows are read from: nothing prunes the check.
     return chosen.withColumn("results", F.when(

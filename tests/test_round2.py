@@ -66,3 +66,27 @@ def test_files_to_chunks_to_ranked_answers(spark, tmp_path):
         top = R.semantic_topk(index, R.prepare_questions(index, questions, keyword=False), 1).first()
         assert "b.md" in top.doc_id
         assert "b.md" in R.bm25_topk(index, R.prepare_questions(index, questions), 1).first().doc_id
+
+
+def test_only_json_numbers_are_metrics(spark, tmp_path):
+    body = json.dumps({"results": {"t": {"acc": 0.5, "n": 3, "flag": True, "alias": "12", "yes": "true",
+                                         "none": None, "list": [1]}}, "config": {"model": "m"}})
+    (tmp_path / "results_1.json").write_text(body)
+    want = {("acc", 0.5), ("n", 3.0), ("flag", 1.0)}
+    from sifter.operators import results as RS
+    one = RS.flatten_results(spark.createDataFrame([("m", body)], "model string, json string"))
+    for df in (one, S.results_from_files(spark, str(tmp_path), "m")):
+        assert {(r.metric, r.value) for r in df.collect()} == want
+
+
+def test_small_columns(spark):
+    from sifter.functions import formatting as FM
+    from sifter.functions import text as T
+    from sifter.operators import results as RS
+    df = spark.sql("select 'a, b ,c' s, timestamp'2024-01-02 03:04:05' ts")
+    r = df.select(T.comma_list("s"), FM.evaluation_run_id(F.lit("kb"), F.col("ts")),
+                  FM.experiment_name(F.col("ts"))).first()
+    assert tuple(r) == (["a", "b", "c"], "eval_kb_1704164645", "exp_20240102_030405")
+    long = spark.createDataFrame([("m", "t", "b", 2.0), ("m", "t", "a", 1.0)],
+                                 "model string, task string, metric string, value double")
+    assert RS.final_metric_map(long).first().metrics == {"t_a": 1.0, "t_b": 2.0}
