@@ -17,7 +17,9 @@ from sifter.session import materialize, scratch_path
 # Fixed value: the white space that separates words, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Settings while an intermediate table is written.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+           "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +33,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back (lineage cut that
-    outlives lost executors). Its shuffle files go once the table stands."""
+    outlives lost executors). Its shuffle files go once the table stands, and
+    Arrow batches are small: long texts are copied on both sides of a batch."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    before = {key: conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        conf.set(key, value)
     try:
         return materialize(df, name)
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from sifter.llm.common import WordHashes, mix64, stored
 
 WIDTH = 50
-CHUNK = 500_000       # windows a task sorts at once
-PER_RANGE = 1_000_000   # windows a hash range should hold
+CHUNK = 400_000       # windows a task sorts at once
+PER_RANGE = 600_000     # windows a hash range should hold
 CHARS_PER_WORD = 6      # only sizes the ranges
 BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 NULL_ID = -(2 ** 63)
