@@ -1,39 +1,40 @@
 """Text quality by an interpolated modified Kneser-Ney n-gram model.
 
 The model reads characters (white space runs count as one blank) in n-grams of
-``ORDER``, trained on trusted text: documents labelled good and not toxic.
+``ORDER``, trained on trusted text: all documents labelled good and not toxic, whole,
+but for the fifth of their ids that sets the limits.
 
 *Counts.* Tasks count the highest order of their documents; the totals, and from
 them the continuation counts of every lower order (how many different characters
 stand before an n-gram), are grouped by n-gram in Spark. The three discounts of each
 order come from its counts of counts; a context's total and its numbers of n-grams
-seen once, twice and more often are joined to the n-grams on the context. All of it is
-partitioned (sharded) by n-gram or context.
+seen once, twice and more often are joined to the n-grams on the context, the next lower order
+on the rest of the n-gram. All tables stay in Spark, partitioned (sharded) by n-gram or context;
+an n-gram's key is its characters, 21 bits each in two numbers.
 
-*Scores.* The finished tables are shipped in one shard per order, hash tables keyed by the
-n-gram that give both its discounted probability and, as a context, its
-interpolation weight. A task joins every position of its documents with the shards, lowest
-order first, and adds up logarithms: no document leaves its task.
+*Scores.* The most frequent n-grams of the highest order, at most ``CACHED``, are shipped to the
+tasks with their probabilities. The n-grams of a document that are not among them are
+listed with it, counted; their distinct n-grams are joined with the sharded tables, highest order
+first, and the logarithms summed by document. So the shipped table only
+saves rows of that join; it does not change a result, and no text is moved.
 
 *Threshold.* Perplexities of all trusted documents that the model was not trained on (a
 fifth of the trusted ids never is) give a quantile per language;
 ``TOLERANCE`` times that quantile is the limit. Short texts are noisy: the compared value is
 shrunk towards the language's trusted mean, as if ``PRIOR_CHARS`` average characters were added.
 
-Bounds: at most ``SAMPLE_DOCS`` training documents (by hash of the id) of at most
-``SAMPLE_CHARS`` characters, and 254 characters of alphabet (the rest is one unknown
-character), bound the model's size. All documents are scored over their
-whole text, and the quantiles use every trusted document outside the sample.
+Bound: the model reads 254 characters of alphabet (the rest is one unknown character).
 
 Defined results: null or empty text has no characters, perplexity null, and is not
 kept; a null language is a language of its own; languages without trusted documents use
 the quantile of all trusted documents; without any trusted document every document with
-text is kept; repeated rows get equal results; ties with the limit are kept; an empty table gives
-an empty result.
+text is kept; repeated rows get equal results (logarithms are added as whole numbers of
+1 / ``UNIT``); ties with the limit are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,12 +46,12 @@ from pyspark.sql import functions as F
 from sifter.llm.common import BLANKS, mix64, slices, stored
 
 ORDER = 5
-SAMPLE_DOCS = 3_000
-SAMPLE_CHARS = 20_000
+CACHED = 1_000_000
 QUANTILE = 0.99
 TOLERANCE = 1.05
 PRIOR_CHARS = 100.0
 SLICE_BYTES = 2_000_000
+BITS, UNIT = 21, 2 ** 24
 UNKNOWN, START = 255, 0  # character numbers; the alphabet has 1 to 254
 
 
@@ -90,10 +91,12 @@ class GramTable:
 
 @dataclass(frozen=True)
 class KneserNey:
-    alphabet: np.ndarray       # code points, sorted
-    unigram: np.ndarray        # probability of every character number
-    start_weight: np.ndarray   # interpolation weight of every single character as a context
-    tables: list               # GramTable of order 2, 3, ...
+    order: int
+    alphabet: np.ndarray  # code points, sorted
+    probabilities: list   # per order, 1 first: DataFrame hi, lo, p
+    weights: list         # per order, 2 first: DataFrame hi, lo (of the context), w
+    unseen: float         # probability of a character that the model has not seen
+    cached: GramTable     # the most frequent n-grams of the highest order
 
 
 def _characters(texts: list[str], alphabet: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +113,31 @@ def _characters(texts: list[str], alphabet: np.ndarray, order: int) -> tuple[np.
     return out, lengths
 
 
-def _keys(numbers: np.ndarray, order: int) -> np.ndarray:
-    """Key of the n-gram that ends at every position (8 bits a character)."""
-    key = numbers.copy()
+def _keys(numbers: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key ``hi, lo`` of the n-gram that ends at each position: ``BITS`` a character,
+    the last three in ``lo``."""
+    hi, lo = np.zeros(len(at), np.int64), numbers[at]
     for j in range(1, order):
-        key[j:] |= numbers[:-j] << np.int64(8 * j)
-    return key
+        part = hi if j > 2 else lo
+        part |= numbers[at - j] << np.int64(BITS * (j % 3))
+    return hi, lo
+
+
+def _slots(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A 63-bit hash of keys, for the table of cached n-grams."""
+    h = mix64(hi.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (mix64(h ^ lo.view(np.uint64)) >> np.uint64(1)).view(np.int64)
+
+
+def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, sorted by the first, the next, ..., and how often each stands."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
 
 
 def _ends(lengths: np.ndarray, order: int) -> np.ndarray:
@@ -129,13 +151,26 @@ def _gram_counter(alphabet: np.ndarray, order: int):
             for lo, hi in slices(b.column("text"), SLICE_BYTES):
                 numbers, lengths = _characters(b.column("text").slice(lo, hi - lo).to_pylist(),
                                                alphabet, order)
-                keys, n = np.unique(_keys(numbers, order)[_ends(lengths, order)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))],
-                                                 names=["g", "c"])
+                (high, low), n = _counted(*_keys(numbers, _ends(lengths, order), order))
+                yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(n)],
+                                                 names=["hi", "lo", "c"])
 
     return count
 
 
+def _context(hi="hi", lo="lo") -> list:
+    """Key of an n-gram without its last character."""
+    return [F.shiftright(hi, BITS).alias("xh"),
+            F.shiftright(lo, BITS).bitwiseOR(
+                F.shiftleft(F.col(hi).bitwiseAND(2 ** BITS - 1), 2 * BITS)).alias("xl")]
+
+
+def _rest(order: int) -> list:
+    """Key of an n-gram of ``order`` without its first character."""
+    return [F.col("hi").bitwiseAND(2 ** (BITS * max(0, order - 4)) - 1).alias("rh"),
+            F.col("lo").bitwiseAND(2 ** (BITS * min(3, order - 1)) - 1).alias("rl")]
+
+
 def _character_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi in slices(b.column("text"), SLICE_BYTES):
@@ -156,90 +191,144 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def train(trusted: DataFrame, order: int = ORDER) -> KneserNey | None:
-    """Fit the model on the texts of ``trusted`` (column ``text``, already
-    bounded); None if they have no characters."""
+    """Fit the model on all texts of ``trusted`` (column ``text``); None if they
+    have no characters."""
     texts = stored(trusted.select("text").filter(F.length(F.btrim("text", F.lit(BLANKS))) > 0), "trusted")
     top = (texts.mapInArrow(_character_counter, "p bigint, n bigint").groupBy("p")
            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(UNKNOWN - 1).collect())
     if not top:
         return None
     alphabet = np.sort(np.array([r["p"] for r in top], np.uint32))
-    counts = stored(texts.mapInArrow(_gram_counter(alphabet, order), "g bigint, c bigint")
-                    .groupBy("g").agg(F.sum("c").alias("c")), "grams")
-    found: dict[int, tuple] = {}
+    counts = {order: stored(texts.mapInArrow(_gram_counter(alphabet, order),
+                                             "hi bigint, lo bigint, c bigint")
+                            .groupBy("hi", "lo").agg(F.sum("c").alias("c")), "grams")}
     for k in range(order, 1, -1):
-        d1, d2, d3 = _discounts(counts)
-        contexts = counts.groupBy(F.shiftright("g", 8).alias("ctx")).agg(
+        counts[k - 1] = stored(counts[k].select(*_rest(k)).groupBy(F.col("rh").alias("hi"), F.col("rl").alias("lo"))
+                               .agg(F.count(F.lit(1)).alias("c")), "grams")
+    n, seen = counts[1].agg(F.sum("c"), F.count(F.lit(1))).first()
+    # Half a count more for every character, and half for those not seen.
+    mass = n + 0.5 * (seen + 1)
+    probabilities = [stored(counts[1].select("hi", "lo", ((F.col("c") + 0.5) / mass).alias("p")), "model")]
+    weights = []
+    for k in range(2, order + 1):
+        d1, d2, d3 = _discounts(counts[k])
+        grams = counts[k].select("hi", "lo", "c", *_context(), *_rest(k))
+        contexts = stored(grams.groupBy("xh", "xl").agg(
             F.sum("c").alias("total"), F.count(F.when(F.col("c") == 1, 1)).alias("a1"),
             F.count(F.when(F.col("c") == 2, 1)).alias("a2"),
             F.count(F.when(F.col("c") > 2, 1)).alias("a3"))
+            .select("xh", "xl", "total", ((d1 * F.col("a1") + d2 * F.col("a2") + d3 * F.col("a3"))
+                                          / F.col("total")).alias("w")), "contexts")
+        weights.append(contexts.select(F.col("xh").alias("hi"), F.col("xl").alias("lo"), "w"))
+        lower = probabilities[-1].select(F.col("hi").alias("rh"), F.col("lo").alias("rl"),
+                                         F.col("p").alias("below"))
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        grams = (counts.withColumn("ctx", F.shiftright("g", 8)).join(contexts, "ctx")
-                 .select("g", ((F.col("c") - discount) / F.col("total")).alias("p"))).toArrow()
-        weights = contexts.select("ctx", ((d1 * F.col("a1") + d2 * F.col("a2") + d3 * F.col("a3"))
-                                          / F.col("total")).alias("w")).toArrow()
-        found[k] = (grams["g"].to_numpy(), grams["p"].to_numpy(), weights["ctx"].to_numpy(),
-                    weights["w"].to_numpy())
-        counts = stored(counts.groupBy(F.col("g").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("g"))
-                        .agg(F.count(F.lit(1)).alias("c")), "grams")
-    single = counts.toArrow()
-    unigram = np.full(256, 0.5)
-    unigram[single["g"].to_numpy()] += single["c"].to_numpy()
-    unigram /= unigram.sum()
-    start_weight = np.ones(256, np.float32)
-    start_weight[found[2][2]] = found[2][3]
-    tables = []
-    for k in range(2, order + 1):
-        grams, p = found[k][:2]
-        contexts, w = found[k + 1][2:] if k < order else (grams[:0], p[:0])
-        keys = np.union1d(grams, contexts)
-        probability, weight = np.zeros(len(keys)), np.ones(len(keys))
-        probability[np.searchsorted(keys, grams)] = p
-        weight[np.searchsorted(keys, contexts)] = w
-        tables.append(GramTable(keys, probability, weight))
-    return KneserNey(alphabet, unigram.astype(np.float32), start_weight, tables)
+        probabilities.append(stored(
+            grams.join(contexts, ["xh", "xl"]).join(lower, ["rh", "rl"])
+            .select("hi", "lo", "c", ((F.col("c") - discount) / F.col("total")
+                                      + F.col("w") * F.col("below")).alias("p")), "model"))
+    return KneserNey(order, alphabet, probabilities, weights, 0.5 / mass, _cache(probabilities[-1]))
+
+
+def _cache(grams: DataFrame) -> GramTable:
+    """The most frequent of ``hi, lo, c, p``: whole steps of an eighth of a doubling, ``CACHED`` at most."""
+    step = F.floor(F.log2("c") * 8)
+    least, room = None, CACHED
+    for r in grams.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = grams.filter(F.lit(False) if least is None else step >= least).select("hi", "lo", "p").toArrow()
+    p = top["p"].to_numpy()
+    return GramTable(_slots(top["hi"].to_numpy(), top["lo"].to_numpy()), p, p)
+
+
+def _resolved(asked: DataFrame, model: KneserNey) -> DataFrame:
+    """``hi, lo, p`` of n-grams of the highest order (distinct rows ``hi, lo``): an
+    n-gram that the model has not seen takes its context's weight times the next lower order."""
+    left = asked.select("hi", "lo", F.col("hi").alias("gh"), F.col("lo").alias("gl"), F.lit(1.0).alias("f"))
+    done = []
+    for k in range(model.order, 0, -1):
+        found = model.probabilities[k - 1].select("hi", "lo", "p")
+        left = stored(left.join(found, ["hi", "lo"], "left"), "asked")
+        if k == 1:
+            left = left.fillna(model.unseen, ["p"])
+        done.append(left.filter("p is not null").select(
+            F.col("gh").alias("hi"), F.col("gl").alias("lo"), (F.col("f") * F.col("p")).alias("p")))
+        if k > 1:
+            weight = model.weights[k - 2].select(F.col("hi").alias("xh"), F.col("lo").alias("xl"), "w")
+            left = (left.filter("p is null").select("hi", "lo", "gh", "gl", "f", *_context())
+                    .join(weight, ["xh", "xl"], "left")
+                    .select("gh", "gl", (F.col("f") * F.coalesce("w", F.lit(1.0))).alias("f"), *_rest(k))
+                    .withColumnsRenamed({"rh": "hi", "rl": "lo"}))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _looked_up(texts: list[str], alphabet: np.ndarray, order: int, cached: GramTable):
+    """Per text: characters, and the loss (in 1 / ``UNIT``) of its cached n-grams. Then the
+    others: text, ``hi``, ``lo``, times."""
+    numbers, lengths = _characters(texts, alphabet, order)
+    hi, lo = _keys(numbers, _ends(lengths, order), order)
+    slot = cached.find(_slots(hi, lo))
+    known = slot < len(cached.keys)
+    loss = np.zeros(len(slot) + 1, np.int64)
+    loss[1:][known] = np.rint(-np.log(cached.probability[slot[known]].astype(np.float64)) * UNIT)
+    total, ends = np.cumsum(loss), np.cumsum(lengths)
+    text = np.repeat(np.arange(len(texts)), lengths)[~known]
+    return lengths, total[ends] - total[ends - lengths], *_counted(text, hi[~known], lo[~known])
 
 
 def log_probabilities(texts: list[str], model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
     """Per text: characters, and the negative logarithm of their probability."""
-    order = len(model.tables) + 1
-    numbers, lengths = _characters(texts, model.alphabet, order)
-    if not len(numbers) or not lengths.sum():
-        return lengths, np.zeros(len(texts))
-    at = _ends(lengths, order)
-    p = model.unigram[numbers[at]].astype(np.float64)
-    weight = model.start_weight[numbers]  # by position, of the context that ends there
-    for k, table in zip(range(2, order + 1), model.tables):
-        # Contexts lie among the starts too, so every position is looked up.
-        slot = table.find(_keys(numbers, k))
-        p = table.probability[slot[at]] + weight[at - 1] * p
-        weight = table.weight[slot]
-    ends = np.cumsum(lengths)
-    total = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-    return lengths, total[ends] - total[ends - lengths]
+    spark = model.probabilities[0].sparkSession
+    rows = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)],
+                                 "doc_id bigint, lang string, text string")
+    found = sorted(_losses(rows, model).select("doc_id", "n_chars", "loss").collect())
+    return np.array([r["n_chars"] for r in found]), np.array([r["loss"] for r in found])
 
 
 def _scorer(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        alphabet, order, cached = shipped.value
         for b in batches:
-            text, n, loss = b.column("text"), [], []
-            for lo, hi in slices(text, SLICE_BYTES):
-                found = log_probabilities([t or "" for t in text.slice(lo, hi - lo).to_pylist()], model)
-                n.append(found[0])
-                loss.append(found[1])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), pa.array(np.concatenate(n) if n else [], pa.int64()),
-                 pa.array(np.concatenate(loss) if loss else [], pa.float64())],
-                names=["doc_id", "lang", "n_chars", "loss"])
+            for lo, hi in slices(b.column("text"), SLICE_BYTES):
+                part = b.slice(lo, hi - lo)
+                n, loss, (text, high, low), times = _looked_up(
+                    [t or "" for t in part.column("text").to_pylist()], alphabet, order, cached)
+                offsets = pa.array(np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32))
+                # The table is stored once, so a row's number may be drawn.
+                row = uuid.uuid4().int % 2 ** 62 + np.arange(len(n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row.astype(np.int64)), part.column("doc_id"), part.column("lang"),
+                     pa.array(n), pa.array(loss),
+                     *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (high, low, times)]],
+                    names=["row", "doc_id", "lang", "n_chars", "loss", "hi", "lo", "times"])
 
     return run
 
 
+def _losses(rows: DataFrame, model: KneserNey) -> DataFrame:
+    """``doc_id, lang, n_chars, loss`` of every row ``doc_id, lang, text``."""
+    shipped = rows.sparkSession.sparkContext.broadcast((model.alphabet, model.order, model.cached))
+    found = stored(rows.mapInArrow(
+        _scorer(shipped), "row bigint, doc_id bigint, lang string, n_chars bigint, loss bigint, "
+        "hi array<bigint>, lo array<bigint>, times array<bigint>"), "looked-up")
+    others = found.select("row", F.explode(F.arrays_zip("hi", "lo", "times")).alias("g")).select("row", "g.*")
+    answers = stored(_resolved(others.select("hi", "lo").distinct(), model).select(
+        "hi", "lo", F.rint(-F.log("p") * UNIT).cast("bigint").alias("q")), "answers")
+    more = others.join(answers, ["hi", "lo"]).groupBy("row").agg(F.sum(F.col("q") * F.col("times")).alias("more"))
+    return stored(found.select("row", "doc_id", "lang", "n_chars", "loss").join(more, "row", "left").select(
+        "doc_id", "lang", "n_chars", ((F.col("loss") + F.coalesce("more", F.lit(0))) / UNIT).alias("loss")),
+        "scores")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE,
-                   tolerance: float = TOLERANCE, sample_docs: int = SAMPLE_DOCS,
-                   order: int = ORDER) -> DataFrame:
+                   tolerance: float = TOLERANCE, order: int = ORDER) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, score, threshold, kept``, one row per
     input row. ``labels``: ``doc_id, quality, toxic``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
@@ -247,27 +336,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                        F.col(text_col).alias("text"))
     good = (labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
             .select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct())
-    chosen = stored(good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
-                    .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs), "chosen")
-    trusted = (rows.filter(F.length("text") <= SAMPLE_CHARS)
-               .join(F.broadcast(chosen), "doc_id", "left_semi"))  # at most sample_docs ids
-    model = train(trusted, order)
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0
+    model = train(rows.join(good.filter(chosen), "doc_id", "left_semi"), order)
     if model is None:
         n = F.coalesce(F.length(F.btrim("text", F.lit(BLANKS))), F.lit(0)).cast("bigint")
         none = F.lit(None).cast("double")
         return rows.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), n.alias("n_chars"),
                            none.alias("perplexity"), none.alias("score"), none.alias("threshold"),
                            (n > 0).alias("kept"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    scored = stored(rows.mapInArrow(_scorer(shipped),
-                                    "doc_id bigint, lang string, n_chars bigint, loss double"),
-                    "scores")
+    scored = _losses(rows, model)
     # Limits come from trusted documents that the model has not seen.
-    known = (scored.filter("n_chars > 0").join(good, "doc_id", "left_semi")
-             .join(F.broadcast(chosen), "doc_id", "left_anti"))
+    known = (scored.filter("n_chars > 0").join(good.filter(~chosen), "doc_id", "left_semi"))
     means = known.groupBy("lang").agg((F.sum("loss") / F.sum("n_chars")).alias("mean"))
     overall = known.agg((F.sum("loss") / F.sum("n_chars")).alias("m")).first()["m"]
-    if overall is None:  # all trusted documents went into the sample
+    if overall is None:  # the model was trained on all trusted documents
         known = scored.filter("n_chars > 0").join(good, "doc_id", "left_semi")
         means = known.groupBy("lang").agg((F.sum("loss") / F.sum("n_chars")).alias("mean"))
         overall = known.agg((F.sum("loss") / F.sum("n_chars")).alias("m")).first()["m"]

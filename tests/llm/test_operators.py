@@ -237,6 +237,35 @@ def test_quality_scores(spark, edge):
     assert kn_quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_model_counts_every_trusted_document(spark, monkeypatch):
+    """More trusted documents than any sample, and long ones, all go into the counts whole."""
+    rows = [(i, "abab") for i in range(4_000)] + [(i, "cd" * 15_000) for i in range(4_000, 4_010)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("x"))
+    seen, real = {}, kn_quality.train
+
+    def train(trusted, order):
+        seen.update({r.doc_id: len(r.text) for r in trusted.collect()})
+        return real(trusted, order)
+
+    monkeypatch.setattr(kn_quality, "train", train)
+    kn_quality.quality_scores(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    ids = {r.doc_id for r in docs.filter("pmod(xxhash64(doc_id), 5) <> 0").collect()}
+    assert len(ids) > 3_000 and max(ids) >= 4_000
+    assert seen == {i: len(t) for i, t in rows if i in ids}
+
+
+def test_quality_model_is_the_same_without_cached_grams(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(80)
+    texts = [r.text for r in docs.limit(20).collect()] + ["zq漢 漢字", "", "the the the"]
+    found = []
+    for cached in (1_000_000, 500, 0):
+        monkeypatch.setattr(kn_quality, "CACHED", cached)
+        model = kn_quality.train(docs.select("text"))
+        found.append(kn_quality.log_probabilities(texts, model))
+    for lengths, loss in found[1:]:
+        assert (lengths == found[0][0]).all() and np.allclose(loss, found[0][1], rtol=1e-5)
+
+
 # 6 ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("capacity,open_bins,per_shard", [(4096, 16_384, 20_000), (64, 3, 11)])
