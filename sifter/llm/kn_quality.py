@@ -16,14 +16,15 @@ an n-gram's key is its characters, 21 bits each in two numbers.
 tasks with their probabilities. The n-grams of a document that are not among them are
 listed with it, counted; their distinct n-grams are joined with the sharded tables, highest order
 first, and the logarithms summed by document. So the shipped table only
-saves rows of that join; it does not change a result, and no text is moved.
+saves rows of that join and does not change a result. Text is moved only to find
+the trusted documents, and only if their ids are more than ``BROADCAST_IDS``.
 
 *Threshold.* Perplexities of all trusted documents that the model was not trained on (a
 fifth of the trusted ids never is) give a quantile per language;
 ``TOLERANCE`` times that quantile is the limit. Short texts are noisy: the compared value is
 shrunk towards the language's trusted mean, as if ``PRIOR_CHARS`` average characters were added.
 
-Bound: the model reads 254 characters of alphabet (the rest is one unknown character).
+The alphabet is every code point of the trusted text.
 
 Defined results: null or empty text has no characters, perplexity null, and is not
 kept; a null language is a language of its own; languages without trusted documents use
@@ -47,12 +48,13 @@ from sifter.llm.common import BLANKS, mix64, slices, stored
 
 ORDER = 5
 CACHED = 1_000_000
+BROADCAST_IDS = 500_000
 QUANTILE = 0.99
 TOLERANCE = 1.05
 PRIOR_CHARS = 100.0
 SLICE_BYTES = 2_000_000
 BITS, UNIT = 21, 2 ** 24
-UNKNOWN, START = 255, 0  # character numbers; the alphabet has 1 to 254
+START = 0  # character numbers: code point + 1
 
 
 class GramTable:
@@ -99,17 +101,14 @@ class KneserNey:
     cached: GramTable     # the most frequent n-grams of the highest order
 
 
-def _characters(texts: list[str], alphabet: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _characters(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Character numbers of the texts, each after order - 1 starts; lengths."""
     clean = [" ".join(t.split()) for t in texts]
     lengths = np.array([len(t) for t in clean], np.int64)
     points = np.frombuffer("".join(clean).encode("utf-32-le"), np.uint32)
-    at = np.minimum(np.searchsorted(alphabet, points), max(0, len(alphabet) - 1))
-    numbers = np.where(alphabet[at] == points, at + 1, UNKNOWN) if len(alphabet) else \
-        np.full(len(points), UNKNOWN)
     pad = order - 1
     out = np.full(len(points) + pad * len(texts), START, np.int64)
-    out[np.arange(len(points)) + pad * (np.repeat(np.arange(len(texts)), lengths) + 1)] = numbers
+    out[np.arange(len(points)) + pad * (np.repeat(np.arange(len(texts)), lengths) + 1)] = points.astype(np.int64) + 1
     return out, lengths
 
 
@@ -145,12 +144,11 @@ def _ends(lengths: np.ndarray, order: int) -> np.ndarray:
     return np.arange(int(lengths.sum())) + (order - 1) * (np.repeat(np.arange(len(lengths)), lengths) + 1)
 
 
-def _gram_counter(alphabet: np.ndarray, order: int):
+def _gram_counter(order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column("text"), SLICE_BYTES):
-                numbers, lengths = _characters(b.column("text").slice(lo, hi - lo).to_pylist(),
-                                               alphabet, order)
+                numbers, lengths = _characters(b.column("text").slice(lo, hi - lo).to_pylist(), order)
                 (high, low), n = _counted(*_keys(numbers, _ends(lengths, order), order))
                 yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(n)],
                                                  names=["hi", "lo", "c"])
@@ -171,16 +169,6 @@ def _rest(order: int) -> list:
             F.col("lo").bitwiseAND(2 ** (BITS * min(3, order - 1)) - 1).alias("rl")]
 
 
-def _character_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi in slices(b.column("text"), SLICE_BYTES):
-            text = "".join(b.column("text").slice(lo, hi - lo).to_pylist())
-            points, n = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32),
-                                  return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(points.astype(np.int64)), pa.array(n.astype(np.int64))], names=["p", "n"])
-
-
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     """D1, D2, D3+ from the counts of counts (Chen and Goodman)."""
     r = counts.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
@@ -193,19 +181,17 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 def train(trusted: DataFrame, order: int = ORDER) -> KneserNey | None:
     """Fit the model on all texts of ``trusted`` (column ``text``); None if they
     have no characters."""
-    texts = stored(trusted.select("text").filter(F.length(F.btrim("text", F.lit(BLANKS))) > 0), "trusted")
-    top = (texts.mapInArrow(_character_counter, "p bigint, n bigint").groupBy("p")
-           .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(UNKNOWN - 1).collect())
-    if not top:
-        return None
-    alphabet = np.sort(np.array([r["p"] for r in top], np.uint32))
-    counts = {order: stored(texts.mapInArrow(_gram_counter(alphabet, order),
+    texts = trusted.select("text").filter(F.length(F.btrim("text", F.lit(BLANKS))) > 0)
+    counts = {order: stored(texts.mapInArrow(_gram_counter(order),
                                              "hi bigint, lo bigint, c bigint")
                             .groupBy("hi", "lo").agg(F.sum("c").alias("c")), "grams")}
     for k in range(order, 1, -1):
         counts[k - 1] = stored(counts[k].select(*_rest(k)).groupBy(F.col("rh").alias("hi"), F.col("rl").alias("lo"))
                                .agg(F.count(F.lit(1)).alias("c")), "grams")
     n, seen = counts[1].agg(F.sum("c"), F.count(F.lit(1))).first()
+    if not seen:
+        return None
+    alphabet = np.array(sorted(r["lo"] - 1 for r in counts[1].select("lo").collect()), np.uint32)
     # Half a count more for every character, and half for those not seen.
     mass = n + 0.5 * (seen + 1)
     probabilities = [stored(counts[1].select("hi", "lo", ((F.col("c") + 0.5) / mass).alias("p")), "model")]
@@ -268,10 +254,10 @@ def _resolved(asked: DataFrame, model: KneserNey) -> DataFrame:
     return out
 
 
-def _looked_up(texts: list[str], alphabet: np.ndarray, order: int, cached: GramTable):
+def _looked_up(texts: list[str], order: int, cached: GramTable):
     """Per text: characters, and the loss (in 1 / ``UNIT``) of its cached n-grams. Then the
     others: text, ``hi``, ``lo``, times."""
-    numbers, lengths = _characters(texts, alphabet, order)
+    numbers, lengths = _characters(texts, order)
     hi, lo = _keys(numbers, _ends(lengths, order), order)
     slot = cached.find(_slots(hi, lo))
     known = slot < len(cached.keys)
@@ -293,12 +279,12 @@ def log_probabilities(texts: list[str], model: KneserNey) -> tuple[np.ndarray, n
 
 def _scorer(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet, order, cached = shipped.value
+        order, cached = shipped.value
         for b in batches:
             for lo, hi in slices(b.column("text"), SLICE_BYTES):
                 part = b.slice(lo, hi - lo)
                 n, loss, (text, high, low), times = _looked_up(
-                    [t or "" for t in part.column("text").to_pylist()], alphabet, order, cached)
+                    [t or "" for t in part.column("text").to_pylist()], order, cached)
                 offsets = pa.array(np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32))
                 # The table is stored once, so a row's number may be drawn.
                 row = uuid.uuid4().int % 2 ** 62 + np.arange(len(n))
@@ -313,7 +299,7 @@ def _scorer(shipped):
 
 def _losses(rows: DataFrame, model: KneserNey) -> DataFrame:
     """``doc_id, lang, n_chars, loss`` of every row ``doc_id, lang, text``."""
-    shipped = rows.sparkSession.sparkContext.broadcast((model.alphabet, model.order, model.cached))
+    shipped = rows.sparkSession.sparkContext.broadcast((model.order, model.cached))
     found = stored(rows.mapInArrow(
         _scorer(shipped), "row bigint, doc_id bigint, lang string, n_chars bigint, loss bigint, "
         "hi array<bigint>, lo array<bigint>, times array<bigint>"), "looked-up")
@@ -337,7 +323,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     good = (labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
             .select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct())
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0
-    model = train(rows.join(good.filter(chosen), "doc_id", "left_semi"), order)
+    wanted = stored(good.filter(chosen), "chosen")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)  # checked: 8 bytes an id; no text is moved
+    model = train(rows.join(wanted, "doc_id", "left_semi"), order)
     if model is None:
         n = F.coalesce(F.length(F.btrim("text", F.lit(BLANKS))), F.lit(0)).cast("bigint")
         none = F.lit(None).cast("double")

@@ -266,6 +266,13 @@ def test_quality_model_is_the_same_without_cached_grams(spark, monkeypatch):
         assert (lengths == found[0][0]).all() and np.allclose(loss, found[0][1], rtol=1e-5)
 
 
+def test_quality_model_tells_characters_of_a_large_alphabet_apart(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(600))
+    model = kn_quality.train(spark.createDataFrame([(text,)] * 3, "text string"))
+    loss = kn_quality.log_probabilities([text[400:], text[400:][::-1]], model)[1]
+    assert loss[0] * 3 < loss[1]
+
+
 # 6 ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("capacity,open_bins,per_shard", [(4096, 16_384, 20_000), (64, 3, 11)])
