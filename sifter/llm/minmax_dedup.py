@@ -25,8 +25,11 @@ empty set and links with nothing. Documents link when 100 * intersection >=
 The rows between steps are stored in the shared folder. Hot buckets are joined, never
 gathered: counts and leaders are aggregates, and Spark splits skewed joins.
 
+Rows go by a key of their id and a hash of their text, so that rows without an id stay apart.
+
 Defined results: null text counts as empty; a null ``doc_id`` ranks below every
-other id and is the component of its group; repeated rows are copies; rows that
+other id and is the component of its group, but rows without an id are documents of their own;
+repeated rows are copies with one result; rows that
 share an id are taken for one document when components form; an empty table gives an
 empty result; long texts are hashed in blocks.
 """
@@ -48,6 +51,7 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 BROADCAST_IDS = 500_000
 NULL_ID = -(2 ** 63)
+KEY = "struct<id:bigint,h:bigint>"
 _BLOCK = 8192
 _WORKER: dict[str, WordHashes] = {}  # kept by a Python worker between tasks
 
@@ -194,9 +198,9 @@ def links_between(reps: DataFrame, texts: DataFrame, width: int, percent: int) -
     members = stored(members.drop("size").join(score, "k"), "members")
     wanted = members.select("k").distinct()
     if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)  # checked: 8 bytes an id
+        wanted = F.broadcast(wanted)  # checked: 16 bytes a key
     sets = stored(texts.join(wanted, "k", "left_semi")
-                  .mapInArrow(_setter(width), "k bigint, shingles array<bigint>")
+                  .mapInArrow(_setter(width), f"k {KEY}, shingles array<bigint>")
                   .dropDuplicates(["k"]), "sets")
     links = stored(_confirmed(_star_pairs(members, percent), sets, percent), "links")
     found = components(links).withColumnsRenamed({"node": "k", "component": "found"})
@@ -243,16 +247,20 @@ def _remainder(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(_confirmed(pairs, sets, percent), "links")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    width: int = WIDTH, percent: int = PERCENT,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per input row."""
+def _key(id_col: str, text_col: str):
+    """Key of a row: its id (the smallest number without one), and a hash of its text."""
+    return F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"),
+                    F.xxhash64(F.col(text_col)).alias("h")).alias("k")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int,
+            bands: int, rows: int) -> DataFrame:
+    """``k, n, c, kept`` per input row: its key, its shingles, its component's smallest key."""
     if bands * rows % 2:
         raise ValueError("bands * rows must be even: each permutation gives two values")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("k"),
-                        F.col(text_col).alias("text"))
+    texts = docs.select(_key(id_col, text_col), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signer(width, bands, rows),
-                                     "k bigint, n bigint, d1 bigint, d2 bigint, "
+                                     f"k {KEY}, n bigint, d1 bigint, d2 bigint, "
                                      "bands array<bigint>"), "signatures")
     full = signed.filter("n > 0")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"))
@@ -262,22 +270,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       ["k", "n", "d1", "d2"], "left_semi")
             .dropDuplicates(["k"]).select("k", "n", "bands"))
     links = links_between(reps, texts, width, percent)
-    first = rows_.groupBy("k").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    one_id = rows_.join(first, "k").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+    named = rows_.filter(F.col("k.id") != NULL_ID).select(F.col("k.id").alias("id"), "rep")
+    first = named.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    one_id = named.join(first, "id").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
     found = components(links.unionByName(one_id)).withColumnRenamed("node", "rep")
-    back = lambda c: F.nullif(c, F.lit(NULL_ID))
     out = (rows_.join(found, "rep", "left").select("k", "n", F.coalesce("component", "rep").alias("c"))
            .unionByName(signed.filter("n = 0").select("k", "n", F.col("k").alias("c"))))
-    return out.select(back(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                      back(F.col("c")).alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))
+    same_id = (F.col("k.id") == F.col("c.id")) & (F.col("k.id") != NULL_ID)
+    return out.withColumn("kept", same_id | (F.col("k") == F.col("c")))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    width: int = WIDTH, percent: int = PERCENT,
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row per input row."""
+    back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
+    return _judged(docs, id_col, text_col, width, percent, bands, rows).select(
+        back("k.id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        back("c.id").alias("component_id"), "kept")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                width: int = WIDTH, percent: int = PERCENT,
                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` (all their columns) that stay: one document per component."""
-    keep = (near_components(docs, id_col, text_col, width, percent, bands, rows).filter("kept")
-            .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k")))
-    whole = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("k"),
-                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keep = _judged(docs, id_col, text_col, width, percent, bands, rows).filter("kept").select("k")
+    whole = docs.select(_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.join(keep, "k", "left_semi").select("row.*")

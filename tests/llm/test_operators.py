@@ -399,6 +399,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {(i, 0) for i in range(61)} | {(100, 100), (101, 100), (102, 100)}
 
 
+def test_near_dedup_keeps_rows_without_an_id_apart(spark):
+    a, b, c = words(80, 21), words(80, 22), words(80, 23)
+    rows = [(None, a), (None, b), (None, a + " tail"), (None, c), (6, b), (7, b + " tail"), (8, c + " end"), (9, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minmax_dedup.near_components(docs).collect()}
+    assert {x for x in got if x[0]} == {(i, None, False) for i in (6, 7, 8, 9)}
+    left = sorted(r.text for r in minmax_dedup.near_dedup(docs).collect())
+    assert len(left) == 3 and [sum(t.startswith(x) for t in left) for x in (a, b, c)] == [1, 1, 1]
+
+
 # 9 ---------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
