@@ -868,7 +868,9 @@ def q_inference_prompt(spark, sf):
 
 @register("grade_prompt")
 def q_grade_prompt(spark, sf):
-    a = _answered(spark, sf).where(F.col("rank") == 1)
+    # The whole retrieved content in rank order: at most k = 5 rows per question.
+    a = _answered(spark, sf).groupBy("question_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda r: r["content"]), "\n\n").alias("content"))
     qs = T.questions(spark, sf)
     j = a.join(bounded_broadcast(qs), "question_id")
     return j.select("question_id", fmt.grade_prompt(F.col("content"), F.col("question")).alias("grade"),

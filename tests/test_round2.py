@@ -90,3 +90,16 @@ def test_small_columns(spark):
     long = spark.createDataFrame([("m", "t", "b", 2.0), ("m", "t", "a", 1.0)],
                                  "model string, task string, metric string, value double")
     assert RS.final_metric_map(long).first().metrics == {"t_a": 1.0, "t_b": 2.0}
+
+
+def test_grade_prompt_holds_every_retrieved_document(spark):
+    from conftest import SF_SMALL
+    from sifter.plans.registry import QUERIES
+    found = {}
+    for r in sorted(QUERIES["query_result_nested"](spark, SF_SMALL).select(
+            "question_id", "rank", "content").collect()):
+        found.setdefault(r.question_id, []).append(r.content)
+    got = {r.question_id: r for r in QUERIES["grade_prompt"](spark, SF_SMALL).collect()}
+    assert set(got) == set(found) and max(map(len, found.values())) == 5
+    for q, contents in found.items():
+        assert "\n\n".join(contents) in got[q].grade and "\n\n".join(contents) in got[q].answer
