@@ -16,9 +16,12 @@ from sifter.llm.line_dedup import line_dedup
 from sifter.llm.line_rules import line_rules
 from sifter.llm.minmax_dedup import near_components
 from sifter.llm.mixing import mix_sources
+from sifter.llm.piece_codec import encode_decode, ids_digest
+from sifter.llm.turn_repair import damaged, repair_digest
 from sifter.llm.window_dedup import window_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +72,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL).select(
+        "doc_id", "n_tokens", ids_digest().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(damaged(table(spark, sf_dir, "conversations"))).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        "repaired_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_line_dedup, op3_language_id, op4_source_mixing, op5_quality_model,
     op6_best_fit_packing, op7_quality_rules, op8_minhash_dedup,
-    op9_html_extraction, op10_substring_dedup)}
+    op9_html_extraction, op10_substring_dedup, op11_sentencepiece_codec,
+    op13_conversation_repair)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz')")
