@@ -16,6 +16,7 @@ from sifter.llm.line_dedup import line_dedup
 from sifter.llm.line_rules import line_rules
 from sifter.llm.minmax_dedup import near_components
 from sifter.llm.mixing import mix_sources
+from sifter.llm.phrase_mining import mine_phrases
 from sifter.llm.piece_codec import encode_decode, ids_digest
 from sifter.llm.turn_repair import damaged, repair_digest
 from sifter.llm.window_dedup import window_dedup
@@ -78,6 +79,10 @@ def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digest(damaged(table(spark, sf_dir, "conversations"))).select(
         "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
@@ -88,7 +93,7 @@ QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_line_dedup, op3_language_id, op4_source_mixing, op5_quality_model,
     op6_best_fit_packing, op7_quality_rules, op8_minhash_dedup,
     op9_html_extraction, op10_substring_dedup, op11_sentencepiece_codec,
-    op13_conversation_repair)}
+    op12_phrase_collocations, op13_conversation_repair)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz')")
@@ -160,5 +165,38 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, coalesce(dup, 0) AS n_dup_lines
        NOT (n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words)
          AND 100 * coalesce(lost, 0) <= 50 * coalesce(chars, 0) AS kept
 FROM base b LEFT JOIN repeats r USING (doc_id) LEFT JOIN loss l USING (doc_id)
+""",
+    "op12_phrase_collocations": rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+  FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places),
+freq AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+cuts AS (
+  SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c
+  FROM freq WHERE k > 1),
+scored AS (
+  SELECT x.lang, x.size, x.phrase, x.a, x.w, x.c, h.f AS l, t.f AS r, n,
+         (1000::HUGEINT * x.a * n) // (h.f::HUGEINT * t.f) AS score
+  FROM cuts x JOIN totals USING (lang)
+  JOIN freq h ON h.lang = x.lang AND h.phrase = array_to_string(x.w[1:x.c], ' ')
+  JOIN freq t ON t.lang = x.lang AND t.phrase = array_to_string(x.w[x.c + 1:], ' ')),
+best AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM best o WHERE o.lang = b.lang AND o.size > b.size AND 100 * o.a >= 100 * b.a
+      AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM placed WHERE rank <= 2000
 """,
 }

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE, SF_SMALL
-from sifter.llm import piece_codec, queries, turn_repair
+from sifter.llm import phrase_mining, piece_codec, queries, turn_repair
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["", None, " ", "  a", "a ", "a  \n b\n\nc", "▁x ▁▁y", "\n", "\n ", "a\x00b\t\tc", "é漢" * 50,
@@ -60,6 +60,86 @@ def test_codec_table_starts_anew_and_takes_inseparable_models(monkeypatch):
     assert whole.code("a b\nc") == (np.array(sp.encode("a b\nc"), "<i4").tobytes(), "a b\nc")
 
 
+# 12 --------------------------------------------------------------------------
+
+def brute_phrases(rows, least, longest, top):
+    count, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(c.lower() if c.isascii() else c for c in text or "")
+        for end in ".,;:!?\n\x0b\x0c\r":
+            low = low.replace(end, ".")
+        for piece in low.split("."):
+            w = [x for x in piece.replace("\t", " ").split(" ") if x]
+            total[lang] += len(w)
+            for n in range(1, longest + 1):
+                count[lang].update(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+    out = set()
+    for lang, f in count.items():
+        f = {p: a for p, a in f.items() if a >= least}
+        found = []
+        for p, a in f.items():
+            if len(p) == 1 or any(len(q) > len(p) and b >= a and any(q[i:i + len(p)] == p for i in range(len(q)))
+                                  for q, b in f.items()):
+                continue
+            score, _, left, right = min((1000 * a * total[lang] // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]])
+                                        for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (s, a, p, left, right) in enumerate(sorted(found)[:top], 1):
+            out.add((lang, rank, p.decode(), -a, left, right, total[lang], -s))
+    return out
+
+
+def phrase_rows(seed):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(30)] + ["É", "日本", "A'b", "a'B"]
+    p = 1 / np.arange(1, len(vocabulary) + 1)
+    rows = [(None, None), ("en", ""), ("en", " \t\n . "), (None, "x y z x y z X Y Z"), ("en", "p q r s t u v " * 9)]
+    for n in range(60):
+        w = rng.choice(vocabulary, int(rng.integers(1, 60)), p=p / p.sum())
+        ends = rng.choice([" ", "  ", ". ", "\t", "\n", ",", "\x0b", ":"], len(w), p=[.6, .1, .1, .05, .05, .05, .02, .03])
+        rows.append(("en" if n % 3 else "日", "".join(a + b for a, b in zip(w, ends))))
+    return rows
+
+
+@pytest.mark.parametrize("least,longest,per_part", [(3, 5, 4_000_000), (2, 4, 40), (1, 3, 100)])
+def test_phrases_by_counting_everything(spark, least, longest, per_part):
+    rows = phrase_rows(least)
+    df = spark.createDataFrame([(a, b, "clash", 1) for a, b in rows + rows[-1:]],
+                               "lang string, text string, phrase string, f int").repartition(3)
+    got = [tuple(r) for r in phrase_mining.mine_phrases(
+        df, min_count=least, longest=longest, per_part=per_part, top=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_phrases(rows + rows[-1:], least, longest, 40)
+
+
+def test_phrases_of_nothing(spark):
+    df = spark.createDataFrame([], "lang string, text string")
+    assert phrase_mining.mine_phrases(df).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_dense_and_sparse_tiles_agree(parts, monkeypatch):
+    rng = np.random.default_rng(6)
+    left, right = rng.integers(0, 9000, 40_000) ** 2 // 9000, rng.integers(0, 5000, 40_000) ** 2 // 5000
+    want = {k: v for k, v in Counter(zip(left.tolist(), right.tolist())).items() if v >= 3}
+    tiling = phrase_mining.Tiling(parts, 9000, 5000)
+    shards, keys = tiling.locate(left, right)
+    for cells in (1 << 25, 1 << 20, 0):
+        monkeypatch.setattr(phrase_mining, "DENSE_CELLS", cells)
+        monkeypatch.setattr(phrase_mining, "COMPACT", 500)
+        got, kinds = {}, set()
+        for shard in np.unique(shards):
+            tile = phrase_mining._Tile(int(shard), tiling)
+            kinds.add(tile.dense is None)
+            for some in np.array_split(keys[shards == shard], 7):
+                tile.add(some, np.ones(len(some), np.int64))
+            for r in tile.frequent(3).to_pylist():
+                got[(r["l_id"], r["r_id"])] = r["f"]
+                assert r["key"] == tiling.locate(np.array([r["l_id"]]), np.array([r["r_id"]]))[1][0]
+        assert got == want
+        assert kinds == ({False} if cells == 1 << 25 else {True} if not cells else {True, False})
+
+
 # 13 --------------------------------------------------------------------------
 
 def brute_repair(rows):
