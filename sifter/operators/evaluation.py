@@ -263,19 +263,22 @@ def exact_mean(value: Column, digits: int = MEAN_DIGITS) -> tuple[Column, Column
     """Aggregate pieces of an order-independent mean.
 
     Returns ``(sum, count)`` aggregate columns over values quantised to 1e-12
-    as DECIMAL(38, 0), which 10**20 rows cannot overflow; :func:`finish_mean` turns them into the mean rounded half-up to
+    as DECIMAL(38, 0): sums below 1e26 in value are exact, and larger ones raise.
+    :func:`finish_mean` turns them into the mean rounded half-up to
     ``digits`` places with integer arithmetic, so every engine and every
     summation order gives the same double (no float ties at the last place).
     """
-    q = F.round(value * F.lit(float(QUANTUM)), 0).cast("decimal(18,0)")
+    q = F.round(value * F.lit(float(QUANTUM)), 0).cast("decimal(38,0)")
     return F.sum(q), F.count(q)
 
 
 def finish_mean(s: Column, n: Column, digits: int = MEAN_DIGITS) -> Column:
+    """floor((2 s + d) / (2 d)) with the remainder taken off first: decimal division
+    alone would round at its last place before ``floor`` sees the value."""
     d = n.cast("decimal(20,0)") * F.lit(QUANTUM // 10 ** digits).cast("decimal(14,0)")
-    num = s * 2 + d
+    num = (s * 2 + d).cast("decimal(38,0)")
     den = d * 2
-    q = F.floor(num / den)
+    q = (num - F.pmod(num, den)) / den
     return F.when(n > 0, q.cast("double") / F.lit(float(10 ** digits)))
 
 

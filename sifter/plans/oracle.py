@@ -103,8 +103,14 @@ SELECT CAST(s.n_docs AS BIGINT) AS n_docs, round(s.avgdl, 6) AS avgdl, round(f.e
        CAST(v.n_terms AS BIGINT) AS n_terms, CAST(v.n_postings AS BIGINT) AS n_postings
 FROM stats s, flo f, (SELECT count(*) AS n_terms, sum(df) AS n_postings FROM dfs) v"""
 
+# Every text is split once; only the vocabulary's counts go on.
 SQL["term_df"] = f"""
-WITH {_bm25_ctes()}
+WITH seen AS (SELECT unnest(list_distinct({TOK('text')})) AS term FROM documents),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM seen GROUP BY term),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents),
+rawidf AS MATERIALIZED (
+  SELECT term, df, ln(n_docs - df + {D(0.5)}) - ln(df + {D(0.5)}) AS raw FROM dfs, nd),
+flo AS (SELECT {D(0.25)} * avg(raw) AS eps_idf FROM rawidf)
 SELECT term, CAST(df AS BIGINT) AS df, round(CASE WHEN raw < 0 THEN eps_idf ELSE raw END, 6) AS idf
 FROM rawidf, flo"""
 
@@ -867,11 +873,13 @@ def _tmpl(t: str, *args: str) -> str:
     return " || ".join(out)
 
 
-SQL["grade_prompt"] = f"""{_RERANKED}
+SQL["grade_prompt"] = f"""{_RERANKED},
+whole AS (SELECT question_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS content
+          FROM ans GROUP BY question_id)
 SELECT a.question_id, {_tmpl(GRADE_PROMPT, 'a.content', 'b.text')} AS grade,
        {_tmpl(REWRITE_PROMPT, 'b.text')} AS rewrite,
        {_tmpl(ANSWER_PROMPT, 'b.text', 'a.content')} AS answer
-FROM ans a JOIN benchmark b ON b.item_id = a.question_id WHERE a.rank = 1"""
+FROM whole a JOIN benchmark b ON b.item_id = a.question_id"""
 
 SQL["file_payload_flatten"] = """
 SELECT event_id,

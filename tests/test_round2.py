@@ -36,6 +36,15 @@ def test_means_of_ten_million_rows(spark):
     assert EV.metric_means(neg, []).first().score == -0.375
 
 
+@pytest.mark.parametrize("values,want", [
+    ([2.0e6], 2.0e6), ([3.0e12, 5.0e12], 4.0e12), ([4.999999e-6] + [0.0] * 9, 0.0),
+    ([5e-6] + [0.0] * 9, 1e-6), ([-5e-6] + [0.0] * 9, 0.0), ([-5.000001e-6] + [0.0] * 9, -1e-6),
+    ([0.1, 0.2, 0.3], 0.2), ([1 / 3], 0.333333), ([2 / 3], 0.666667)])
+def test_means_round_half_up_at_every_size(spark, values, want):
+    long = spark.createDataFrame([("m", v) for v in values], "metric string, value double")
+    assert EV.metric_means(long, []).first().score == want
+
+
 def test_ranking_counts_questions_without_rows(spark):
     ranked = spark.createDataFrame([(1, 1, 10)], "query_id int, rank int, doc_id int")
     relevant = spark.createDataFrame([(1, 10), (2, 20)], "query_id int, doc_id int")
