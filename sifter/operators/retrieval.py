@@ -364,20 +364,23 @@ def hybrid_scores(index: DataFrame, qside: DataFrame, alpha: float = HYBRID_ALPH
     then blend ``(1-alpha)*bm25 + alpha*semantic`` (H39).
 
     No (question, document) pair is shuffled: BM25 hits are folded into one
-    ``MAP<query_id, bm25>`` per document (an aggregation on doc_id), joined to
+    ``MAP<query_id, bm25>`` per document and group (an aggregation on doc_id), joined to
     the index on doc_id, and both scores are computed in the same row of the
     nested-loop join with the broadcast question side. With an index stored
     bucketed by doc_id (:func:`sifter.session.materialize_bucketed`) the hit
     aggregation, the fold and the join need no exchange at all; only the
     per-question ranges (one row per question) and the top-k rows move.
-    Document ids must be unique within the index.
+    Document ids must be unique within their group; the same id may stand in several.
+    :mod:`sifter.operators.hybrid_search` gets the same rows from two indexes without
+    scoring every pair.
     """
     group_col = _group_of(qside)
     keys = _keys(qside)
     hits = bm25_hits(index, qside, params)
-    per_doc = hits.groupBy("doc_id").agg(
+    per_doc = hits.groupBy(*_g(group_col), "doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("query_id", "bm25"))).alias("_bm"))
-    docs = index.select(*_g(group_col), "doc_id", "vec", "vnorm").join(per_doc, "doc_id", "left")
+    docs = index.select(*_g(group_col), "doc_id", "vec", "vnorm").join(
+        per_doc, _g(group_col) + ["doc_id"], "left")
     side = _keep_bound(qside.select(*_g(group_col), "query_id", "qvec", "qnorm"), qside)
     pairs = _join_side(docs, side, group_col)
     qn, dn = F.col("qnorm"), F.col("vnorm")
@@ -462,41 +465,3 @@ def search_method_description(use_hybrid: Column, alpha: Column, use_reranking:
     second = F.when(use_reranking, F.concat(F.lit("Cross-Encoder Reranking ("), reranker_model,
                                             F.lit(")")))
     return F.concat_ws(" + ", first, second)
-
-
-def approximate_semantic_topk(index: DataFrame, qside: DataFrame, k: int = DEFAULT_TOP_K,
-                              bucket_length: float = 1.0, num_hash_tables: int = 4,
-                              seed: int = 42) -> DataFrame:
-    """J2 option: approximate nearest neighbours with random-projection LSH.
-
-    Vectors are L2-normalised, so Euclidean distance d gives cosine
-    ``1 - d^2/2``. Candidate pairs share a bucket in some hash table (an
-    equi-join on bucket ids, no pair enumeration); the returned scores are
-    exact cosines of the candidates, ranked like :func:`semantic_topk`.
-    Recall depends on ``bucket_length`` / ``num_hash_tables``; the exact scan
-    stays the default.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from sifter.functions.vectors import l2_normalize
-
-    group_col = _group_of(qside)
-    keys = _keys(qside)
-    dim_vec = index.select(F.size("vec").alias("d")).first()["d"]
-    docs = index.select(*_g(group_col), "doc_id",
-                        array_to_vector(l2_normalize("vec")).alias("features"))
-    dense_q = F.transform(F.sequence(F.lit(0), F.lit(dim_vec - 1)), lambda i: F.coalesce(
-        F.try_element_at(F.filter("qvec", lambda e: e["i"] == i), F.lit(1))["w"], F.lit(0.0)))
-    qs = qside.select(*keys, array_to_vector(l2_normalize(dense_q)).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                        bucketLength=bucket_length, numHashTables=num_hash_tables,
-                                        seed=seed).fit(docs)
-    pairs = model.approxSimilarityJoin(qs, docs, 2.0, distCol="dist").select(
-        *[F.col(f"datasetA.{c}").alias(c) for c in keys],
-        F.col("datasetB.doc_id").alias("doc_id"),
-        *([F.col(f"datasetB.{group_col}").alias("_g2")] if group_col else []),
-        (F.lit(1.0) - F.col("dist") * F.col("dist") / 2.0).alias("score"))
-    if group_col:
-        pairs = pairs.where(F.col(group_col) == F.col("_g2")).drop("_g2")
-    return top_k(pairs, k, part_col=keys).select(*keys, "rank", "doc_id", "score")

@@ -910,3 +910,8 @@ d AS (SELECT doc_id, source, lang FROM documents)
 SELECT ch.chunk_id, 'chunk_id=' || ch.chunk_id || ';chunk_size=' || CAST(ch.chunk_size AS VARCHAR)
        || ';chunk_strategy=token;kb_name=' || ch.kb_name || ';lang=' || d.lang || ';source=' || d.source AS metadata
 FROM ch JOIN d USING (doc_id)"""
+
+# Index searches return the rows of the full scans.
+SQL["keyword_topk"] = SQL["bm25_topk"]
+SQL["vector_topk_cells"] = SQL["vector_topk_dense"]
+SQL["hybrid_topk_threshold"] = SQL["hybrid_topk"]

@@ -17,6 +17,9 @@ from sifter.functions import cleanup as CU
 from sifter.functions import formatting as fmt
 from sifter.functions import payload as PL
 from sifter.operators import chunking as C
+from sifter.operators import hybrid_search as HY
+from sifter.operators import keyword_index as KI
+from sifter.operators import vector_index as VI
 from sifter.operators import corrective as CR
 from sifter.sources import catalog as CAT
 from sifter.operators import evaluation as EV
@@ -180,6 +183,37 @@ def q_hybrid_rerank_topk(spark, sf):
                                 reranker_top_k=20, alpha=0.5)
 
 
+def _hybrid_index(spark, sf):
+    """Posting blocks and vector cells over the document index, built once like it."""
+    return _cached_index(spark, sf, "hybrid", lambda: HY.build_hybrid_index(_doc_index(spark, sf)))
+
+
+@register("keyword_topk")
+def q_keyword_topk(spark, sf):
+    """The rows of bm25_topk through the posting blocks (blocks and documents below the k-th score are left out)."""
+    found = KI.search(_hybrid_index(spark, sf).keyword, _qside(spark, sf, _doc_index(spark, sf)), k=5)
+    return found.ranked.select("query_id", "rank", "doc_id", "score")
+
+
+@register("vector_topk_cells")
+def q_vector_topk_cells(spark, sf):
+    """The rows of vector_topk_dense through an index of cells (parts out of reach are not visited)."""
+    emb = T.load(spark, sf, "embeddings")
+    idx = emb.select(F.col("vec_id").alias("doc_id"),
+                     F.col("embedding").cast("array<double>").alias("vec")).withColumn("vnorm", norm("vec"))
+    q = _label_centroids(emb).withColumn("qvec", dense_entries("qvec")).withColumn(
+        "qnorm", entries_norm("qvec")).select(F.col("question_id").alias("query_id"), "qvec", "qnorm")
+    q = cut_lineage(q)
+    found = VI.exact_search(VI.build_vector_index(idx), mark_bounded(q, q.count()), 5).ranked
+    return found.select(F.col("query_id").alias("label"), "rank", F.col("doc_id").alias("vec_id"), "score")
+
+
+@register("hybrid_topk_threshold")
+def q_hybrid_topk_threshold(spark, sf):
+    """The rows of hybrid_topk by the threshold algorithm over both indexes."""
+    return HY.search(_hybrid_index(spark, sf), _qside(spark, sf, _doc_index(spark, sf)), k=5, alpha=0.5).ranked
+
+
 # ----------------------------------------------------------------- chunking
 
 @register("split_sentences")

@@ -95,3 +95,15 @@ def materialize_bucketed(df: DataFrame, name: str, key: str = "doc_id",
     table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
     df.write.bucketBy(n, key).option("path", scratch_path(spark, table)).saveAsTable(table)
     return spark.table(table)
+
+
+def materialize_clustered(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as an external table bucketed and sorted by ``keys``, one file a bucket: the rows are
+    dealt to the buckets by one exchange first, so tasks do not write a file for every bucket each."""
+    import uuid
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+     .option("path", scratch_path(spark, table)).saveAsTable(table))
+    return spark.table(table)

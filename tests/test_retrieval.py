@@ -146,17 +146,3 @@ def test_bounded_broadcast_counts_unmarked_sides(spark):
     assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
     marked = bounded_broadcast(mark_bounded(spark.range(10 ** 9), 3), 5)  # proven bound, no count
     assert "broadcast" in marked._jdf.queryExecution().analyzed().toString().lower()
-
-
-def test_approximate_search_scores_are_exact_cosines(spark):
-    idx, q = _setup(spark)
-    approx = R.approximate_semantic_topk(idx, q, 5, bucket_length=2.0, num_hash_tables=6)
-    exact_all = R.semantic_pairs(idx, q).select("query_id", "doc_id", F.round("semantic", 6).alias("s"))
-    rows = approx.join(exact_all, ["query_id", "doc_id"]).collect()
-    assert rows and all(abs(r["score"] - r["s"]) < 1e-6 for r in rows)
-    ranks = approx.groupBy("query_id").agg(F.collect_list("rank").alias("r")).collect()
-    assert all(sorted(r["r"]) == list(range(1, len(r["r"]) + 1)) for r in ranks)
-    # Recall against the exact top-5 (approximate, but far from empty).
-    exact = R.semantic_topk(idx, q, 5)
-    hit = approx.join(exact, ["query_id", "doc_id"]).count()
-    assert hit >= 0.5 * exact.count()
