@@ -75,7 +75,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     import uuid
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._sifter_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete intermediate tables written by :func:`materialize` once nothing reads them any more: all that
+    was derived from them has to be stored itself."""
+    for table in tables:
+        path = getattr(table, "_sifter_path", None)
+        if path:
+            jvm, spark = table.sparkSession._jvm, table.sparkSession
+            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str = "doc_id",
