@@ -10,12 +10,16 @@ Aggregates (means, best/worst, pivots) are grouped aggregations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sifter.functions.formatting import evaluation_run_id
 from sifter.functions.text import _c, explode_positions, let, split_sentences, tokenize
 from sifter.functions.vectors import entries_cosine, hashed_entries
-from sifter.plans.sizing import bounded_broadcast, literal_dimension
+from sifter.plans.sizing import bounded_broadcast, literal_dimension, mark_bounded
 
 # Metric names, interpretations, label thresholds, recommendation rules.
 METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall",
@@ -106,6 +110,49 @@ def evaluation_rows(ranked: DataFrame, questions: DataFrame, docs: DataFrame,
     return rows
 
 
+def evaluation_term_rows(ranked: DataFrame, questions: DataFrame, docs: DataFrame, index: DataFrame,
+                         keys: list[str], q_id: str = "question_id", q_text: str = "question",
+                         d_id: str = "doc_id", d_text: str = "text",
+                         ground_truths: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """K1 without texts: ``keys, question, answer, ground_truths, context_ids, context_terms``.
+
+    ``context_terms`` holds, per context in rank order, those of the row's own terms (of its answer and its ground
+    truth) that the context holds, from the term keys of the document ``index``; the metrics ask for nothing
+    else (:func:`score_rows` takes either form). Of a context's text only the 200 characters of an extractive answer
+    are read, for the first rank. A question without a context holds the reference's placeholder context.
+    """
+    gkeys = [k for k in keys if k != "query_id"]
+    n = getattr(ranked, "_sifter_rows", None)
+    keep = (lambda df: mark_bounded(df, n)) if n is not None else (lambda df: df)
+    firsts = bounded_broadcast(keep(ranked.where(F.col("rank") == 1).select(*keys, "doc_id")))
+    starts = docs.select(*gkeys, F.col(d_id).alias("doc_id"), F.substring(d_text, 1, 200).alias("_start")).join(
+        firsts, gkeys + ["doc_id"]).select(*keys, "_start")
+    q = questions.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("question"))
+    if gkeys:
+        q = bounded_broadcast(ranked.select(*gkeys).distinct()).crossJoin(q)
+    rows = q.join(starts, keys, "left")
+    rows = (rows.join(answers, keys, "left") if answers is not None
+            else rows.withColumn("generated", F.lit(None).cast("string")))
+    fallback = F.concat(F.lit(FALLBACK_PREFIX), F.col("_start"), F.lit("..."))
+    rows = rows.select(*keys, "question", F.when(F.col("_start").isNull(), F.lit(ERROR_ANSWER)).otherwise(
+        F.coalesce(F.col("generated"), fallback)).alias("answer"))
+    if ground_truths is not None:
+        rows = rows.join(ground_truths.select(F.col(q_id).alias("query_id"), "ground_truths"), "query_id", "left")
+    else:
+        rows = rows.withColumn("ground_truths", F.lit(None).cast("array<string>"))
+    own = F.array_distinct(F.concat(tokenize("answer"), F.coalesce(
+        tokenize(_gt_text(F.col("ground_truths"))), F.array().cast("array<string>"))))
+    rows = rows.withColumn("_own", own)
+    side = bounded_broadcast(keep(ranked.select(*keys, "rank", "doc_id").join(rows.select(*keys, "_own"), keys)))
+    held = index.select(*gkeys, "doc_id", F.map_keys("tf").alias("_held")).join(side, gkeys + ["doc_id"])
+    found = held.select(*keys, "rank", "doc_id", F.array_intersect("_own", "_held").alias("_t")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "doc_id", "_t"))).alias("_c"))  # k contexts
+    none = F.array(F.array_intersect("_own", tokenize(F.lit(NO_CONTEXT))))
+    return rows.join(found, keys, "left").select(
+        *keys, "question", "answer", "ground_truths", F.transform("_c", lambda c: c["doc_id"]).alias("context_ids"),
+        F.coalesce(F.transform("_c", lambda c: c["_t"]), none).alias("context_terms"))
+
+
 # ------------------------------------------------------------- judge helpers
 
 def containment(statement_tokens: Column, reference_set: Column) -> Column:
@@ -155,15 +202,17 @@ def answer_relevancy(question, answer, derive=None) -> Column:
 
 
 def context_precision(contexts, reference, judge=token_judge, ctx_tokens=None) -> Column:
-    """K4: sum_k(precision@k * v_k) / sum_k v_k, v_k = context k supports the reference.
+    """K4: sum_k(precision@k * v_k) / sum_k v_k, v_k = context k supports the reference, by the judge.
 
     ``ctx_tokens`` may pass each context's distinct tokens when already computed."""
     per_ctx = (_c(ctx_tokens) if ctx_tokens is not None
                else F.transform(_c(contexts), lambda ctx: F.array_distinct(tokenize(ctx))))
 
-    def verdicts(ref_toks):
-        return F.transform(per_ctx, lambda ct: F.coalesce(
-            containment(ref_toks, ct) >= CONTAINMENT, F.lit(False)))
+    def verdicts(ref):
+        if judge is token_judge:  # the reference is tokenised once for all contexts
+            return let(F.array_distinct(tokenize(ref)), lambda toks: F.transform(per_ctx, lambda ct: F.coalesce(
+                containment(toks, ct) >= CONTAINMENT, F.lit(False))))
+        return F.transform(per_ctx, lambda ct: F.coalesce(judge(ref, ct), F.lit(False)))
 
     def score(v):
         hits = F.transform(v, lambda x: F.when(x, 1.0).otherwise(0.0))
@@ -173,7 +222,7 @@ def context_precision(contexts, reference, judge=token_judge, ctx_tokens=None) -
         den = F.aggregate(hits, F.lit(0.0), lambda a, y: a + y)
         return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
-    return let(let(F.array_distinct(tokenize(reference)), verdicts), score)
+    return let(let(_c(reference), verdicts), score)
 
 
 def context_recall(contexts, ground_truths, judge=token_judge, ctx_set=None) -> Column:
@@ -218,38 +267,85 @@ def default_metrics(has_ground_truths: bool) -> list[str]:
     return ["faithfulness", "answer_relevancy"] + (["context_recall"] if has_ground_truths else [])
 
 
+@dataclass(frozen=True)
+class MetricInputs:
+    """What a metric's row expression may use. ``contexts`` is null for rows without texts; ``context_terms`` are the
+    contexts' distinct tokens (at least those of the row's own answer and ground truth), ``term_set`` their union."""
+    question: Column
+    answer: Column
+    ground_truths: Column
+    contexts: Column
+    context_terms: Column
+    term_set: Column
+    judge: Callable = token_judge
+    derive: Callable | None = None
+
+    @property
+    def reference(self) -> Column:
+        return F.coalesce(_gt_text(self.ground_truths), self.answer)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric as mergeable pieces: ``row`` gives a value per question; ``partial`` turns the value column
+    into named aggregates of a group, ``merge`` aggregates those of several batches under the same names, and ``finish``
+    makes the score of them. The defaults are the exact mean of D1."""
+    name: str
+    row: Callable[[MetricInputs], Column]
+    partial: Callable[[Column], dict[str, Column]] | None = None
+    merge: Callable[[str], Column] = F.sum
+    finish: Callable[[dict[str, Column]], Column] | None = None
+
+
+def _register(name: str, row) -> None:
+    REGISTRY[name] = Metric(name, row)
+
+
+REGISTRY: dict[str, Metric] = {}
+_register("faithfulness", lambda r: faithfulness(r.answer, None, r.judge, r.term_set))
+_register("answer_relevancy", lambda r: answer_relevancy(r.question, r.answer, r.derive))
+_register("context_precision", lambda r: context_precision(None, r.reference, r.judge, r.context_terms))
+_register("context_recall", lambda r: context_recall(None, r.ground_truths, r.judge, r.term_set))
+_register("answer_similarity", lambda r: answer_similarity(r.answer, r.ground_truths))
+_register("answer_correctness", lambda r: answer_correctness(r.answer, r.ground_truths, r.judge))
+
+
+def register_metric(metric: Metric) -> None:
+    """Make a metric known by name to B4, D1 and K8."""
+    REGISTRY[metric.name] = metric
+
+
+def split_metrics(names: list[str]) -> tuple[list[str], list[str]]:
+    """The known names in requested order, and the unknown ones."""
+    return [n for n in names if n in REGISTRY], [n for n in names if n not in REGISTRY]
+
+
 def select_metrics(names: list[str]) -> list[str]:
-    """Keep known metric names in requested order; error when none is left."""
-    kept = [n for n in names if n in METRICS]
+    """Keep known metric names in requested order (:func:`split_metrics` also returns the
+    others); error when none is left."""
+    kept = split_metrics(names)[0]
     if not kept:
         raise ValueError("No valid metrics specified")
     return kept
 
 
-def score_rows(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
-    """Per-question metric values in long form ``keys..., metric, value``."""
-    ref = F.coalesce(_gt_text(F.col("ground_truths")), F.col("answer"))
+def score_rows(rows: DataFrame, metrics: list[str], keys: list[str], judge=token_judge, derive=None) -> DataFrame:
+    """Per-question metric values in long form ``keys..., metric, value``. ``rows`` come from
+    :func:`evaluation_rows` or :func:`evaluation_term_rows`; a judge or deriver of one's own replaces the defaults."""
     chosen = select_metrics(metrics)
     # Tokenise each context once per row; the metrics share the token lists.
-    ctx_metrics = {"faithfulness", "context_precision", "context_recall"}
-    if len(ctx_metrics & set(chosen)) > 1:
-        rows = rows.withColumn("_ctx_tokens", F.transform(
-            "contexts", lambda c: F.array_distinct(tokenize(c)))).withColumn(
-            "_ctx_set", F.array_distinct(F.flatten("_ctx_tokens")))
-        ct, cs = F.col("_ctx_tokens"), F.col("_ctx_set")
+    if "context_terms" in rows.columns:
+        rows = rows.withColumn("_ctx_tokens", F.col("context_terms"))
+        texts = F.lit(None).cast("array<string>")
     else:
-        ct = cs = None
-    exprs = {
-        "faithfulness": faithfulness("answer", "contexts", ctx_set=cs),
-        "answer_relevancy": answer_relevancy("question", "answer"),
-        "context_precision": context_precision("contexts", ref, ctx_tokens=ct),
-        "context_recall": context_recall("contexts", "ground_truths", ctx_set=cs),
-        "answer_similarity": answer_similarity("answer", "ground_truths"),
-        "answer_correctness": answer_correctness("answer", "ground_truths"),
-    }
-    wide = rows.select(*keys, *[exprs[m].alias(m) for m in select_metrics(metrics)])
+        rows = rows.withColumn("_ctx_tokens", F.transform("contexts", lambda c: F.array_distinct(tokenize(c))))
+        texts = F.col("contexts")
+    rows = rows.withColumn("_ctx_set", F.array_distinct(F.flatten("_ctx_tokens")))
+    inputs = MetricInputs(F.col("question"), F.col("answer"), F.col("ground_truths"), texts, F.col("_ctx_tokens"),
+                          F.col("_ctx_set"), judge, derive)
+    wide = rows.select(*keys, *[REGISTRY[m].row(inputs).alias(m) for m in chosen])
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                    for m in select_metrics(metrics)])
+                    for m in chosen])
     return explode_positions(wide, arr, "_p", "mv", *keys).select(*keys, "mv.metric", "mv.value")
 
 
@@ -282,13 +378,73 @@ def finish_mean(s: Column, n: Column, digits: int = MEAN_DIGITS) -> Column:
     return F.when(n > 0, q.cast("double") / F.lit(float(10 ** digits)))
 
 
+def _mean_partial(value: Column) -> dict[str, Column]:
+    v = F.when(F.isnan(value), F.lit(None)).otherwise(value)
+    total, n = exact_mean(v)
+    return {"total": total, "n": n}
+
+
+def _mean_finish(parts: dict[str, Column]) -> Column:
+    return finish_mean(parts["total"].cast("decimal(38,0)"), parts["n"].cast("bigint"))
+
+
+def _pieces(metric: Metric) -> tuple[Callable, Callable]:
+    return metric.partial or _mean_partial, metric.finish or _mean_finish
+
+
+def _for_metric(col: str, name: str) -> Column:
+    return F.when(F.col("metric") == name, F.col(col))
+
+
+def metric_partials(long: DataFrame, group_cols: list[str], names: list[str] | None = None) -> DataFrame:
+    """Mergeable partial results of a batch: ``group..., metric, parts MAP<STRING, STRING>``. Metrics that were not
+    registered have the mean's pieces."""
+    special = [REGISTRY[m] for m in (names or REGISTRY) if m in REGISTRY and REGISTRY[m].partial]
+    plain = _mean_partial(F.col("value"))
+    aggs = [c.cast("string").alias(f"_0_{k}") for k, c in plain.items()]
+    packed = F.create_map(*[x for k in plain for x in (F.lit(k), F.col(f"_0_{k}"))])
+    for i, m in enumerate(special, 1):
+        pieces = m.partial(_for_metric("value", m.name))
+        aggs += [c.cast("string").alias(f"_{i}_{k}") for k, c in pieces.items()]
+        packed = F.when(F.col("metric") == m.name, F.create_map(
+            *[x for k in pieces for x in (F.lit(k), F.col(f"_{i}_{k}"))])).otherwise(packed)
+    return long.groupBy(*group_cols, "metric").agg(*aggs).select(*group_cols, "metric", packed.alias("parts"))
+
+
+def merge_partials(batches: DataFrame, group_cols: list[str], names: list[str] | None = None) -> DataFrame:
+    """Partial results of several batches (a union of :func:`metric_partials`) merged to one row per group and metric."""
+    special = [REGISTRY[m] for m in (names or REGISTRY) if m in REGISTRY and REGISTRY[m].partial]
+    keys = {0: ["total", "n"], **{i: list(m.partial(F.lit(0.0))) for i, m in enumerate(special, 1)}}
+    aggs = [F.sum(F.col("parts")["total"].cast("decimal(38,0)")).cast("string").alias("_0_total"),
+            F.sum(F.col("parts")["n"].cast("bigint")).cast("string").alias("_0_n")]
+    packed = F.create_map(F.lit("total"), F.col("_0_total"), F.lit("n"), F.col("_0_n"))
+    ready = batches
+    for i, m in enumerate(special, 1):
+        for k in keys[i]:
+            ready = ready.withColumn(f"_in_{i}_{k}", F.when(F.col("metric") == m.name, F.try_element_at(
+                "parts", F.lit(k)).cast("double")))
+            aggs.append(m.merge(f"_in_{i}_{k}").cast("string").alias(f"_{i}_{k}"))
+        packed = F.when(F.col("metric") == m.name, F.create_map(
+            *[x for k in keys[i] for x in (F.lit(k), F.col(f"_{i}_{k}"))])).otherwise(packed)
+    # A special metric's pieces are not the mean's: read those only where they are.
+    ready = ready.withColumn("parts", F.when(F.map_contains_key("parts", F.lit("total")) & F.map_contains_key(
+        "parts", F.lit("n")), F.col("parts")).otherwise(F.create_map(F.lit("total"), F.lit("0"), F.lit("n"), F.lit("0"))))
+    return ready.groupBy(*group_cols, "metric").agg(*aggs).select(*group_cols, "metric", packed.alias("parts"))
+
+
+def finish_partials(merged: DataFrame, group_cols: list[str], names: list[str] | None = None) -> DataFrame:
+    """``group..., metric, score`` of merged partial results."""
+    score = _mean_finish({k: F.try_element_at("parts", F.lit(k)) for k in ("total", "n")})
+    for m in (REGISTRY[x] for x in (names or REGISTRY) if x in REGISTRY and REGISTRY[x].partial):
+        pieces = {k: F.try_element_at("parts", F.lit(k)).cast("double") for k in m.partial(F.lit(0.0))}
+        score = F.when(F.col("metric") == m.name, _pieces(m)[1](pieces)).otherwise(score)
+    return merged.select(*group_cols, "metric", score.alias("score"))
+
+
 def metric_means(long: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Mean per group and metric; NaN and NULL are skipped. Exact to 6
-    places (see :func:`exact_mean`)."""
-    v = F.when(F.isnan("value"), F.lit(None)).otherwise(F.col("value"))
-    s, n = exact_mean(v)
-    return (long.groupBy(*group_cols, "metric").agg(s.alias("_s"), n.alias("_n"))
-            .select(*group_cols, "metric", finish_mean(F.col("_s"), F.col("_n")).alias("score")))
+    """Score per group and metric. Means are exact to 6 places and skip NaN and NULL (see
+    :func:`exact_mean`); a registered metric with pieces of its own is finished by them."""
+    return finish_partials(metric_partials(long, group_cols), group_cols)
 
 
 def metric_order(spark: SparkSession, metrics: list[str]) -> DataFrame:
@@ -459,17 +615,20 @@ def summary_report(means: DataFrame, metrics: list[str], n_questions: Column,
 
 def evaluate_pipeline(rows: DataFrame, keys: list[str], metrics: list[str] | None = None,
                       kb_col: str = "kb_name", evaluation_seconds: float = 0.0,
-                      timestamp: str | None = None, out_dir: str | None = None):
+                      timestamp: str | None = None, out_dir: str | None = None, judge=token_judge, derive=None,
+                      config: dict | None = None):
     """K8: evaluation rows -> per-question metrics -> means -> report [-> files].
 
-    Returns ``(details, means, report)``; with ``out_dir`` the three are also
+    Returns ``(details, means, report)``; with ``out_dir`` details, report and the run's metadata (run id, knowledge
+    base, metrics asked for, used and unknown, times, configuration, scores) are also
     written (A12). Without ground truths the metric list defaults to B5.
     """
     from sifter.sources.sinks import write_evaluation
     has_gt = "ground_truths" in rows.columns and not rows.filter(
         "ground_truths is not null").isEmpty()
-    metrics = select_metrics(metrics or default_metrics(has_gt))
-    long = score_rows(rows, metrics, keys)
+    asked = metrics or default_metrics(has_gt)
+    metrics = select_metrics(asked)
+    long = score_rows(rows, metrics, keys, judge, derive)
     group = [kb_col] if kb_col in keys else []
     means = metric_means(long, group)
     if not group:
@@ -481,10 +640,29 @@ def evaluate_pipeline(rows: DataFrame, keys: list[str], metrics: list[str] | Non
     report = _report_with_counts(means, n_q, metrics, evaluation_seconds, ts, kb_col)
     details = rows.join(long.groupBy(*keys).pivot("metric", metrics).agg(F.first("value")), keys)
     if out_dir:
-        write_evaluation(details, report.select("report"), means, out_dir)
+        meta = evaluation_metadata(means, n_q, asked, ts, evaluation_seconds, config or {}, kb_col)
+        write_evaluation(details, report.select("report"), meta, out_dir)
     return details, means, report
 
 
+def evaluation_metadata(means: DataFrame, n_q: DataFrame, asked: list[str], timestamp: Column, seconds: float,
+                        config: dict, kb_col: str = "kb_name") -> DataFrame:
+    """One row per knowledge base about the run itself: ``run_id, kb_name, timestamp, evaluation_seconds,
+    n_questions, metrics, unknown_metrics, config, scores``."""
+    known, unknown = split_metrics(asked)
+    strings = "array<string>"
+    scores = means.groupBy(kb_col).agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("metric", "score")))).alias("scores"))  # one entry a metric
+    settings = [x for k, v in sorted(config.items()) for x in (F.lit(k), F.lit(str(v)))]
+    return scores.join(bounded_broadcast(n_q), kb_col).select(
+        evaluation_run_id(F.col(kb_col), F.to_timestamp(timestamp, "yyyy-MM-dd'T'HH:mm:ss")).alias("run_id"),
+        F.col(kb_col).alias("kb_name"), timestamp.alias("timestamp"),
+        F.lit(float(seconds)).alias("evaluation_seconds"), F.col("_n").alias("n_questions"),
+        F.array(*map(F.lit, known)).cast(strings).alias("metrics"),
+        F.array(*map(F.lit, unknown)).cast(strings).alias("unknown_metrics"),
+        (F.create_map(*settings) if settings else F.create_map().cast("map<string,string>")).alias("config"), "scores")
+
+
 def _report_with_counts(means, n_q, metrics, evaluation_seconds, ts, kb_col):
     rep = summary_report(means, metrics, F.lit("{n}"), evaluation_seconds, ts, kb_col)
     return rep.join(bounded_broadcast(n_q), kb_col).select(

@@ -11,8 +11,8 @@ Plan shape (all questions answered in one job):
 * BM25 explodes postings and hash-joins them with the broadcast question terms
   (a size-checked side), then sums contributions per (question, document);
 * cosine scores stream the collection once through a nested-loop join with
-  the broadcast question vectors (size-checked; above the bound Catalyst plans
-  a cartesian product instead);
+  the broadcast question vectors (size-checked; above the bound question blocks
+  meet document ranges by an equi-join);
 * ``row_number() <= k`` becomes ``WindowGroupLimit`` before the exchange, so
   at most k rows per question and partition are shuffled for ranking.
 """
@@ -71,12 +71,39 @@ def _per_group(df: DataFrame, group_col: str | None, index: DataFrame | None = N
     return bounded_broadcast(df)
 
 
+# Question sides up to this size are broadcast; larger ones meet the documents in blocks.
+SIDE_BYTES = 32 << 20
+BLOCK_DOCS = 50_000
+
+
+def _side_bytes(side: DataFrame) -> int:
+    """Size of a question side: a constant a row and 16 bytes a vector entry, bounded by the token count of
+    ``prepare_questions`` where that is known, else counted."""
+    n, terms = getattr(side, "_sifter_rows", None), getattr(side, "_sifter_entries", None)
+    if n is None or terms is None:
+        n, terms = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()
+    return 64 * n + 16 * terms
+
+
 def _join_side(big: DataFrame, small: DataFrame, group_col: str | None) -> DataFrame:
-    """Attach the (checked, usually broadcast) question side to every row of
-    ``big``: a nested-loop join without groups, an equi-join on the group
-    (knowledge base) otherwise."""
-    side = bounded_broadcast(small)
-    return big.join(side, group_col) if group_col else big.crossJoin(side)
+    """Every document row with every question (of its group).
+
+    A question side of at most ``SIDE_BYTES`` is broadcast. A larger one is cut into question blocks of that
+    size and the documents into ranges of about ``BLOCK_DOCS`` by a hash of their id: a (question block,
+    document range) pair is one task's work, joined on both numbers (and the group), so that neither a hot
+    knowledge base nor a large question set meets in one task. The ranked lists of the ranges are merged
+    by the top-k that follows.
+    """
+    size = _side_bytes(small)
+    if size <= SIDE_BYTES:
+        side = F.broadcast(small)
+        return big.join(side, group_col) if group_col else big.crossJoin(side)
+    blocks, ranges = -(-size // SIDE_BYTES), max(1, -(-big.count() // BLOCK_DOCS))
+    asked = small.withColumn("_block", F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))).withColumn(
+        "_range", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ranges - 1).cast("bigint"))))
+    held = big.withColumn("_range", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ranges))).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return held.join(asked, _g(group_col) + ["_block", "_range"]).drop("_block", "_range")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -205,6 +232,7 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
     if not keyword:
         out = cut_lineage(q.select(*_g(group_col), "query_id", "qtoks", "qvec", "qnorm"))
         out._sifter_group = group_col  # type: ignore[attr-defined]
+        out._sifter_entries = n_tok if not embedding_col else None  # type: ignore[attr-defined]
         return mark_bounded(out, n_q)
     q = bounded_broadcast(mark_bounded(q, n_q))
     if stats is None:
@@ -234,6 +262,7 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
     # materialised once in the shared checkpoint folder.
     out = cut_lineage(out)
     out._sifter_terms = n_tok  # type: ignore[attr-defined]
+    out._sifter_entries = n_tok if not embedding_col else None  # type: ignore[attr-defined]
     out._sifter_group = group_col  # type: ignore[attr-defined]
     return mark_bounded(out, n_q)
 
@@ -241,6 +270,9 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
 def _keep_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
     """A projection of a bounded side keeps its proven row bound."""
     n = getattr(source, "_sifter_rows", None)
+    entries = getattr(source, "_sifter_entries", None)
+    if entries is not None:
+        derived._sifter_entries = entries  # type: ignore[attr-defined]
     return mark_bounded(derived, n) if n is not None else derived
 
 
@@ -295,8 +327,8 @@ def _zero_fill(index: DataFrame, qside: DataFrame, k: int) -> DataFrame:
 def semantic_pairs(index: DataFrame, qside: DataFrame) -> DataFrame:
     """Cosine of every (question, document) pair (of the same group).
 
-    The question side is broadcast behind a size check; the collection streams
-    once through the join, so no pair is shuffled for scoring.
+    The question side is broadcast behind a size check and the collection streams
+    once through the join; larger question sides go in blocks (:func:`_join_side`).
     """
     group_col = _group_of(qside)
     side = _keep_bound(qside.select(*_g(group_col), "query_id", "qvec", "qnorm"), qside)

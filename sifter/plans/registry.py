@@ -484,8 +484,17 @@ EVAL_K = 5
 COMPARE_METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
 
 
+def _eval_ranked(spark, sf, group_col=None):
+    """Ranked contexts (ids) of the questions x KBs grid."""
+    idx = _doc_index(spark, sf)
+    # Semantic search alone: the vector side needs no collection statistics.
+    qside = R.prepare_questions(idx, T.questions(spark, sf), group_col=group_col, keyword=False)
+    ranked = mark_bounded(R.semantic_topk(idx, qside, EVAL_K), qside._sifter_rows * EVAL_K)
+    return idx, ranked
+
+
 def _eval_rows(spark, sf, group_col=None):
-    """K1 evaluation dataset (questions x KBs, k contexts each), prepared once
+    """K1 evaluation dataset (questions x KBs, k context ids each with the terms they share with the row), prepared once
     per session and input version and materialised (bounded rows), then scored
     by every metric query - as the reference prepares its dataset once."""
     keys = ([group_col] if group_col else []) + ["query_id"]
@@ -498,22 +507,18 @@ def _eval_rows(spark, sf, group_col=None):
     qs = T.questions(spark, sf)
     if group_col:
         docs = docs.withColumnRenamed("source", group_col)
-        idx = _doc_index(spark, sf)
-    else:
-        idx = _doc_index(spark, sf)
-    # Semantic search alone: the vector side needs no collection statistics.
-    qside = R.prepare_questions(idx, qs, group_col=group_col, keyword=False)
-    ranked = R.semantic_topk(idx, qside, EVAL_K)
-    ranked = mark_bounded(ranked, qside._sifter_rows * EVAL_K)
+    idx, ranked = _eval_ranked(spark, sf, group_col)
+    ranked = mark_bounded(cut_lineage(ranked), ranked._sifter_rows)  # ids, read twice
     gts = qs.select("question_id", F.array("question").alias("ground_truths"))
-    rows = cut_lineage(EV.evaluation_rows(ranked, qs, docs, keys, ground_truths=gts))
+    rows = cut_lineage(EV.evaluation_term_rows(ranked, qs, docs, idx, keys, ground_truths=gts))
     _INDEX_CACHE[key] = rows
     return rows, keys
 
 
 @register("eval_dataset")
 def q_eval_dataset(spark, sf):
-    rows, _ = _eval_rows(spark, sf)
+    _, ranked = _eval_ranked(spark, sf)
+    rows = EV.evaluation_rows(ranked, T.questions(spark, sf), T.documents(spark, sf), ["query_id"])
     return rows.select(F.col("query_id").alias("question_id"), "answer",
                        F.size("contexts").alias("n_contexts"),
                        F.array_join("contexts", "\n\n").alias("contexts"))
