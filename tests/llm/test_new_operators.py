@@ -123,19 +123,19 @@ def test_dense_and_sparse_tiles_agree(parts, monkeypatch):
     left, right = rng.integers(0, 9000, 40_000) ** 2 // 9000, rng.integers(0, 5000, 40_000) ** 2 // 5000
     want = {k: v for k, v in Counter(zip(left.tolist(), right.tolist())).items() if v >= 3}
     tiling = phrase_mining.Tiling(parts, 9000, 5000)
-    shards, keys = tiling.locate(left, right)
+    of_part, of_tile, keys = tiling.locate(left, right)
     for cells in (1 << 25, 1 << 20, 0):
         monkeypatch.setattr(phrase_mining, "DENSE_CELLS", cells)
         monkeypatch.setattr(phrase_mining, "COMPACT", 500)
         got, kinds = {}, set()
-        for shard in np.unique(shards):
-            tile = phrase_mining._Tile(int(shard), tiling)
+        for part, number in sorted(set(zip(of_part.tolist(), of_tile.tolist()))):
+            tile = phrase_mining._Tile(part, number, tiling)
             kinds.add(tile.dense is None)
-            for some in np.array_split(keys[shards == shard], 7):
+            for some in np.array_split(keys[(of_part == part) & (of_tile == number)], 7):
                 tile.add(some, np.ones(len(some), np.int64))
             for r in tile.frequent(3).to_pylist():
                 got[(r["l_id"], r["r_id"])] = r["f"]
-                assert r["key"] == tiling.locate(np.array([r["l_id"]]), np.array([r["r_id"]]))[1][0]
+                assert r["key"] == tiling.locate(np.array([r["l_id"]]), np.array([r["r_id"]]))[2][0]
         assert got == want
         assert kinds == ({False} if cells == 1 << 25 else {True} if not cells else {True, False})
 
