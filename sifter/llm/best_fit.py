@@ -7,16 +7,16 @@ ids of words it has seen, up to a fixed number; unseen words go through the
 tokenizers library.
 
 *Packing.* Pieces spread by hash over shards of about ``per_shard`` pieces, so
-no task grows with the input. A shard is a stream, longest piece first, for
-bounded-space online best-fit: open sequences stand in a bitset keyed by
-their free space, one shift and one lowest-bit look-up find the tightest that fits,
-and beyond ``open_bins`` open sequences the fullest closes. A shard closes with
-at most a few part-filled sequences, so its waste is about one in a thousand.
+no task grows with the input. A shard is a stream in order of arrival (id, piece) for
+bounded-space online best-fit: at most ``open_bins`` sequences are open, in a bitset keyed by
+their free space; one shift and one lowest-bit look-up find the tightest that fits,
+and when a new one would be one too many, the fullest closes for good. (Sorting by length first would pack
+a little tighter, but only with thousands of open sequences; see the README for counts.)
 
 Defined results: null or empty text is the end id alone; repeated rows are packed
-each; a null ``doc_id`` is packed like any other row; pieces of equal length go in
-id order; an empty table gives an empty result; a text of any length streams through
-as pieces.
+each; a null ``doc_id`` is packed like any other row; equal ids arrive in order of their pieces' content;
+an empty table gives an empty result; the ids of one text are made in one task (4 bytes each), then cut. Only the
+id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from sifter.llm.common import stored
 
 CAPACITY = 4096
 END_ID = 1
-OPEN_BINS = 16_384
+OPEN_BINS = 64
 PER_SHARD = 20_000
 CACHED_WORDS = 400_000
 
@@ -200,10 +200,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     """Adds ``sequence_id, offset`` to pieces (``doc_id, piece, length, ids_crc32``
     and any others). ``found`` should be a stored table: it is read twice."""
     shards = max(1, -(-found.count() // per_shard))
+    tasks = max(shards, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes)
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
-    return (found.withColumn("shard", key).repartition("shard")
-            .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    return (found.withColumn("shard", key).repartition(tasks, "shard")
+            .sortWithinPartitions("shard", "doc_id", "piece", "ids_crc32")
             .mapInArrow(_packer(capacity, open_bins),
                         schema + ", sequence_id bigint, offset bigint"))
 

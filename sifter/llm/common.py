@@ -54,6 +54,21 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, upper, low))
 
 
+BLOOM_BITS = 1 << 26
+
+
+def prefiltered(rows: DataFrame, wanted: DataFrame, *keys: str, bits: int = BLOOM_BITS) -> DataFrame:
+    """``rows`` whose ``keys`` may be among those of ``wanted``, for an exact join behind it: rows
+    that cannot match are not shuffled. The filter has one bit a key in a table of ``bits`` / 64 words, which
+    is broadcast: its size is fixed, whatever ``wanted`` holds (with many more keys than bits it merely keeps more)."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    words = wanted.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_set"))
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), "_word")
+    held = F.expr("shiftrightunsigned(_set, cast(_bit & 63 as int)) & 1") == 1
+    return marked.filter(held).select(*rows.columns)
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit xxhash as a signed integer, kept for words seen
     before. At ``limit`` words it starts anew, so a worker's memory is bounded."""

@@ -6,39 +6,46 @@ operations only:
 1. *Entries.* Rows are grouped by (64-bit hash, text). Map tasks combine equal
    texts first, so a text held by a third of all rows leaves each task once.
    Grouping on the text compares bytes; different texts with one hash stay
-   apart and form a chain under that hash.
-2. *Index files.* Owner tasks get ranges of the hash (``repartitionByRange``)
-   and write their entries in hash order to the shared folder.
-3. *Directory.* A slot of depth d holds the hashes with the same top d bits. As long
+   apart and form a chain under that hash, numbered in text order.
+2. *Directory.* A slot of depth d holds the hashes with the same top d bits. As long
    as one bucket holds more than ``capacity`` entries under two hashes or more, the
    directory doubles: full buckets split on the next bit, the others keep
    their local depth. (Entries of one hash cannot be split: they are a chain.)
-4. *Probe.* Every row meets the entries of its hash; the SHA-256 of the
-   normalised text picks its place in the chain.
+3. *Index files.* Every entry goes to the bucket that the directory names for its hash; owner tasks
+   hold whole buckets and write them to the shared folder.
+4. *Probe.* A row's hash is looked up in the directory, and the row meets the chain of its hash in that bucket.
+   A chain of one entry is the row's own (its texts were compared when it was built); in a longer one the row's text
+   is compared with the entries' texts. The few entries that hold a thousandth of the rows or more
+   are broadcast, so their rows do not meet in one task.
 
 Defined results: null text counts as empty; a null ``doc_id`` never beats
 another id (a group with null ids only keeps null); repeated rows count each;
 a row is kept when its id is the group's largest, so identical ids stay together;
-an empty table gives an empty result. Only the id and text columns are read,
+an empty table gives an empty result; a text of any length is one value of one row and is hashed and
+compared whole in one task. Only the id and text columns are read,
 so further columns cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.llm.common import ascii_lower, stored
+from sifter.llm.common import ascii_lower, prefiltered, stored
 
 CAPACITY = 50_000
 MAX_DEPTH = 60
+LARGE_SHARE = 1000  # entries with this part of the rows are broadcast: there are at most so many
 NULL_ID = -(2 ** 63)  # a null id ranks below every other
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFrame:
     norm = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    return norm.select("doc_id", "norm", F.xxhash64("norm").alias("h"))
+    h = F.xxhash64("norm")
+    if hash_bits < 64:  # fewer bits make collisions, for tests
+        h = F.shiftleft(h, 64 - hash_bits)
+    return norm.select("doc_id", "norm", h.alias("h"))
 
 
 def _slot(depth) -> F.Column:
@@ -46,22 +53,25 @@ def _slot(depth) -> F.Column:
     return F.shiftrightunsigned(F.shiftrightunsigned("h", 1), 63 - depth)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Steps 1 and 2: one row per distinct text: ``h, text_sha256, keep_id, group_size``."""
-    entries = (_keyed(docs, id_col, text_col).groupBy("h", "norm")
-               .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-               .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
-    return stored(entries.repartitionByRange("h").sortWithinPartitions("h", "text_sha256"),
-                  "exact-index")
+def build_entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  hash_bits: int = 64) -> DataFrame:
+    """Step 1: one row per distinct text: ``h, text_sha256, keep_id, group_size, chained`` (the text where its
+    hash has several)."""
+    found = (_keyed(docs, id_col, text_col, hash_bits).groupBy("h", "norm")
+             .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    chain = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    return stored(found.withColumn("n_chain", chain).select(
+        "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size",
+        F.when(F.col("n_chain") > 1, F.col("norm")).alias("chained")), "exact-entries")
 
 
-def directory(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Step 3: the leaves ``depth, slot, entries, chains``, one row per bucket."""
+def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Step 2: the leaves ``depth, slot, entries, chains``, one row per bucket."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
 
     def buckets(depth: int, within: DataFrame | None) -> DataFrame:
-        rows = index.select("h")
+        rows = entries.select("h")
         if within is not None:
             rows = rows.join(within.select(F.col("slot").alias("_up")),
                              _slot(depth - 1) == F.col("_up"), "left_semi")
@@ -83,32 +93,56 @@ def directory(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out
 
 
+def with_bucket(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``rows`` (with ``h``) and the ``bucket_depth, bucket`` that own them, one look-up a depth: a hash lies in one
+    leaf. The leaves are a row per ``capacity`` entries, so Spark chooses how to join them."""
+    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())  # at most 61 rows
+    parts = []
+    for d in depths:
+        own = leaves.filter(F.col("depth") == d).select(F.col("slot").alias("bucket"))
+        parts.append(rows.withColumn("bucket", _slot(d)).join(own, "bucket", "left_semi")
+                     .withColumn("bucket_depth", F.lit(d)))
+    if not parts:
+        return rows.withColumn("bucket", F.lit(0).cast("bigint")).withColumn("bucket_depth", F.lit(0))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def build_index(entries: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Step 3: the entries in their buckets, whole buckets in one file, chains in hash order."""
+    owned = with_bucket(entries, leaves)
+    return stored(owned.repartition("bucket_depth", "bucket")
+                  .sortWithinPartitions("bucket_depth", "bucket", "h"), "exact-index")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 capacity: int = CAPACITY) -> DataFrame:
+                 capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256,
     bucket_depth, bucket`` (the directory's leaf that owns the text)."""
-    index = build_index(docs, id_col, text_col)
-    leaves = directory(index, capacity)
-    depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # <= 61 rows
-    # An entry's leaf: the only depth at which its slot is one. With one depth
-    # for all (the usual case) the leaf follows from the hash alone.
-    if len(depths) <= 1:
-        owned = index.withColumn("bucket_depth", F.lit(depths[0] if depths else 0)).withColumn(
-            "bucket", _slot(depths[0] if depths else 0))
-    else:
-        parts = [index.join(leaves.filter(F.col("depth") == d).select(F.col("slot").alias("_s")),
-                            _slot(d) == F.col("_s"), "left_semi")
-                 .withColumn("bucket_depth", F.lit(d)).withColumn("bucket", _slot(d))
-                 for d in depths]
-        owned = parts[0]
-        for p in parts[1:]:
-            owned = owned.unionByName(p)
-    rows = _keyed(docs, id_col, text_col).select(
-        "doc_id", "h", F.sha2("norm", 256).alias("text_sha256"))
-    return rows.join(owned, ["h", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256", "bucket_depth", "bucket")
+    entries = build_entries(docs, id_col, text_col, hash_bits)
+    leaves = directory(entries, capacity)
+    index = build_index(entries, leaves)
+    keyed = _keyed(docs, id_col, text_col, hash_bits)
+    rows = stored(with_bucket(keyed.select("doc_id", "h"), leaves), "exact-rows")
+    key, found = ["bucket_depth", "bucket", "h"], ["keep_id", "group_size", "text_sha256"]
+    single = index.filter("chained is null").select(*key, *found)
+    large = F.col("group_size") * LARGE_SHARE >= F.lit(rows.count())
+    # At most LARGE_SHARE entries can hold that share of the rows.
+    met = rows.join(F.broadcast(single.filter(large)), key, "left")
+    out = (met.filter("group_size is not null").select("doc_id", *key, *found)
+           .unionByName(met.filter("group_size is null").select("doc_id", *key)
+                        .join(single.filter(~large), key).select("doc_id", *key, *found)))
+    chains = index.filter("chained is not null")
+    if not chains.isEmpty():
+        # Only rows whose hash has a chain are compared, by their text.
+        some = with_bucket(prefiltered(keyed, chains.select("h").distinct(), "h"), leaves)
+        out = out.unionByName(
+            some.withColumnRenamed("norm", "chained").join(chains, [*key, "chained"]).select("doc_id", *key, *found))
+    return out.select("doc_id", "keep_id", "group_size",
+                      F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+                      "text_sha256", "bucket_depth", "bucket")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -61,8 +61,8 @@ def ident(i):
 
 # 1 ---------------------------------------------------------------------------
 
-@pytest.mark.parametrize("capacity", [50_000, 3])
-def test_exact_groups(edge, capacity):
+@pytest.mark.parametrize("capacity,hash_bits", [(50_000, 64), (3, 64), (2, 3), (50_000, 1)])
+def test_exact_groups(edge, capacity, hash_bits):
     groups = defaultdict(list)
     for i, t in EDGE:
         groups[low(t)].append(i)
@@ -71,17 +71,38 @@ def test_exact_groups(edge, capacity):
         g = groups[low(t)]
         best = max(g, key=ident)
         want[(i, best, len(g), i == best, hashlib.sha256(low(t)).hexdigest())] += 1
-    got = Counter(tuple(r)[:5] for r in exact_dedup.exact_groups(edge, capacity=capacity).collect())
+    got = Counter(tuple(r)[:5] for r in exact_dedup.exact_groups(
+        edge, capacity=capacity, hash_bits=hash_bits).collect())
     assert got == want
 
 
 def test_exact_directory_splits_full_buckets(docs):
-    index = exact_dedup.build_index(docs)
-    leaves = exact_dedup.directory(index, capacity=10).collect()
-    assert sum(r.entries for r in leaves) == index.count()
+    entries = exact_dedup.build_entries(docs)
+    table = exact_dedup.directory(entries, capacity=10)
+    leaves = table.collect()
+    assert sum(r.entries for r in leaves) == entries.count()
+    index = exact_dedup.build_index(entries, table)
+    held = Counter((r.bucket_depth, r.bucket) for r in index.collect())
+    assert held == {(r.depth, r.slot): r.entries for r in leaves}
     assert all(r.entries <= 10 or r.chains == 1 for r in leaves) and max(r.depth for r in leaves) >= 4
 
 
+def test_probe_needs_the_directory(docs, monkeypatch):
+    """Entries stand in the buckets that the directory names: with a wrong one rows find nothing."""
+    true = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda e, c: true(e, c).filter("slot > 0"))
+    assert exact_dedup.exact_groups(docs, capacity=10).count() < docs.count()
+
+
+def test_prefilter_keeps_every_match(spark):
+    from sifter.llm.common import prefiltered
+    rows, wanted = spark.range(20_000), spark.range(0, 20_000, 50)
+    kept = prefiltered(rows, wanted, "id")
+    assert kept.columns == ["id"] and wanted.join(kept, "id").count() == 400 and kept.count() < 500
+    assert prefiltered(rows, wanted, "id", bits=64).join(wanted, "id").count() == 400  # crowded, still whole
+    assert prefiltered(rows, wanted.limit(0), "id").count() == 0
+
+
 def test_exact_dedup_keeps_rows_whole(edge):
     out = exact_dedup.exact_dedup(edge)
     assert out.columns == edge.columns
@@ -275,7 +296,25 @@ def test_quality_model_tells_characters_of_a_large_alphabet_apart(spark):
 
 # 6 ---------------------------------------------------------------------------
 
-@pytest.mark.parametrize("capacity,open_bins,per_shard", [(4096, 16_384, 20_000), (64, 3, 11)])
+def test_full_house_closes_the_fullest():
+    bins = best_fit.OpenBins(10, 2)
+    assert [bins.place(n) for n in (4, 7)] == [(0, 0), (1, 0)]
+    assert bins.place(8) == (2, 0)      # a third one opens: the fullest, number 2 itself, closes
+    assert bins.place(2) == (1, 7)      # tightest of those open (3 free beats 6; the closed one had 2)
+    assert bins.place(6) == (0, 4) and bins.count == 1
+    import random
+    sizes = random.Random(1).choices(range(1, 11), k=3000)
+    opened = {}
+    for limit in (1, 4, 64):
+        bins = best_fit.OpenBins(10, limit)
+        for n in sizes:
+            bins.place(n)
+            assert bins.count <= limit
+        opened[limit] = bins.opened
+    assert opened[1] > opened[4] >= opened[64] >= -(-sum(sizes) // 10)
+
+
+@pytest.mark.parametrize("capacity,open_bins,per_shard", [(4096, 64, 20_000), (64, 3, 11)])
 def test_packing(edge, capacity, open_bins, per_shard):
     got = best_fit.best_fit_pack(edge, TOKENIZER, capacity=capacity, open_bins=open_bins,
                                  per_shard=per_shard, with_ids=True).collect()
@@ -294,7 +333,7 @@ def test_packing(edge, capacity, open_bins, per_shard):
         found.sort()
         assert [o for o, _ in found] == [sum(n for _, n in found[:j]) for j in range(len(found))]
         assert sum(n for _, n in found) <= capacity
-    if open_bins > 100:
+    if open_bins > 10:
         assert len(places) <= -(-sum(r.length for r in got) // capacity) + 1
     assert best_fit.best_fit_pack(edge.limit(0), TOKENIZER).count() == 0
 
