@@ -3,6 +3,10 @@
 ``STAGES`` lists (name, function); every function takes (spark, docs, sf_dir)
 and returns a DataFrame, which is written and read again as the next one's
 ``docs``. All but the last keep the columns of ``documents``.
+
+Defined results: null texts go in the first stage, null languages and sources are ordinary values, rows without
+an id stay apart from each other; ties and repeated rows go as each operator's docstring says; an
+empty table gives an empty result; further columns travel with their rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from sifter.llm.queries import TOKENIZER
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without any recognisable language go."""
+    """Language ID: documents without a letter, and those without one word in the script of a learned
+    language (score 0), go."""
     model = language_id.train(docs.filter(~language_id.held_out()))
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                         language_id.language_of(F.col("text"), model, spark).alias("p"))
-    return found.filter(F.col("p.lang") != language_id.UNKNOWN).select("row.*")
+    return found.filter((F.col("p.lang") != language_id.UNKNOWN) & (F.col("p.score") > 0)).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
