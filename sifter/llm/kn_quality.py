@@ -13,11 +13,11 @@ on the rest of the n-gram. All tables stay in Spark, partitioned (sharded) by n-
 an n-gram's key is its characters, 21 bits each in two numbers.
 
 *Scores.* The most frequent n-grams of the highest order, at most ``CACHED``, are shipped to the
-tasks with their probabilities. The n-grams of a document that are not among them are
-listed with it, counted; their distinct n-grams are joined with the sharded tables, highest order
-first, and the logarithms summed by document. So the shipped table only
-saves rows of that join and does not change a result. Text is moved only to find
-the trusted documents, and only if their ids are more than ``BROADCAST_IDS``.
+tasks with the losses (negative logarithms in whole 1 / ``UNIT``) that the join would give. The n-grams of a document
+that are not among them are listed with it, counted; their distinct n-grams are joined with the sharded tables, highest
+order first, and the losses summed by document. So the shipped table only
+saves rows of that join and does not change a result. Only the texts of trusted documents are moved
+(a filter of fixed size stands before the join that finds them).
 
 *Threshold.* Perplexities of all trusted documents that the model was not trained on (a
 fifth of the trusted ids never is) give a quantile per language;
@@ -29,8 +29,9 @@ The alphabet is every code point of the trusted text.
 Defined results: null or empty text has no characters, perplexity null, and is not
 kept; a null language is a language of its own; languages without trusted documents use
 the quantile of all trusted documents; without any trusted document every document with
-text is kept; repeated rows get equal results (logarithms are added as whole numbers of
-1 / ``UNIT``); ties with the limit are kept; an empty table gives an empty result.
+text is kept; repeated rows get equal results and are each counted in training (logarithms are added as whole numbers of
+1 / ``UNIT``); ties with the limit are kept; an empty table gives an empty result; one text of any
+length is counted and looked up whole in one task. Only the named columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -44,11 +45,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import BLANKS, mix64, slices, stored
+from sifter.llm.common import BLANKS, mix64, prefiltered, slices, stored
+from sifter.plans.sizing import bounded_broadcast
 
 ORDER = 5
 CACHED = 1_000_000
-BROADCAST_IDS = 500_000
 QUANTILE = 0.99
 TOLERANCE = 1.05
 PRIOR_CHARS = 100.0
@@ -58,21 +59,19 @@ START = 0  # character numbers: code point + 1
 
 
 class GramTable:
-    """n-gram key -> (probability, weight) in an open hash table of arrays."""
+    """n-gram key -> loss in an open hash table of arrays."""
 
-    def __init__(self, keys: np.ndarray, probability: np.ndarray, weight: np.ndarray):
+    def __init__(self, keys: np.ndarray, loss: np.ndarray):
         bits = max(4, int(np.ceil(np.log2(len(keys) * 2 + 1))))
         self.mask = np.int64(2 ** bits - 1)
         self.keys = np.full(2 ** bits, -1, np.int64)
-        self.probability = np.zeros(2 ** bits + 1, np.float32)
-        self.weight = np.ones(2 ** bits + 1, np.float32)  # the last: not found
+        self.loss = np.zeros(2 ** bits + 1, np.int64)  # the last: not found
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[slot] == -1
             self.keys[slot[free]] = keys[left[free]]  # of several, the last stays
             done = self.keys[slot] == keys[left]
-            self.probability[slot[done]] = probability[left[done]]
-            self.weight[slot[done]] = weight[left[done]]
+            self.loss[slot[done]] = loss[left[done]]
             left, slot = left[~done], (slot[~done] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -225,9 +224,13 @@ def _cache(grams: DataFrame) -> GramTable:
         if room < 0:
             break
         least = r["step"]
-    top = grams.filter(F.lit(False) if least is None else step >= least).select("hi", "lo", "p").toArrow()
-    p = top["p"].to_numpy()
-    return GramTable(_slots(top["hi"].to_numpy(), top["lo"].to_numpy()), p, p)
+    top = grams.filter(F.lit(False) if least is None else step >= least).select("hi", "lo", _loss().alias("q")).toArrow()
+    return GramTable(_slots(top["hi"].to_numpy(), top["lo"].to_numpy()), top["q"].to_numpy())
+
+
+def _loss():
+    """A probability's negative logarithm in whole 1 / ``UNIT``."""
+    return F.rint(-F.log("p") * UNIT).cast("bigint")
 
 
 def _resolved(asked: DataFrame, model: KneserNey) -> DataFrame:
@@ -262,7 +265,7 @@ def _looked_up(texts: list[str], order: int, cached: GramTable):
     slot = cached.find(_slots(hi, lo))
     known = slot < len(cached.keys)
     loss = np.zeros(len(slot) + 1, np.int64)
-    loss[1:][known] = np.rint(-np.log(cached.probability[slot[known]].astype(np.float64)) * UNIT)
+    loss[1:][known] = cached.loss[slot[known]]
     total, ends = np.cumsum(loss), np.cumsum(lengths)
     text = np.repeat(np.arange(len(texts)), lengths)[~known]
     return lengths, total[ends] - total[ends - lengths], *_counted(text, hi[~known], lo[~known])
@@ -305,7 +308,7 @@ def _losses(rows: DataFrame, model: KneserNey) -> DataFrame:
         "hi array<bigint>, lo array<bigint>, times array<bigint>"), "looked-up")
     others = found.select("row", F.explode(F.arrays_zip("hi", "lo", "times")).alias("g")).select("row", "g.*")
     answers = stored(_resolved(others.select("hi", "lo").distinct(), model).select(
-        "hi", "lo", F.rint(-F.log("p") * UNIT).cast("bigint").alias("q")), "answers")
+        "hi", "lo", _loss().alias("q")), "answers")
     more = others.join(answers, ["hi", "lo"]).groupBy("row").agg(F.sum(F.col("q") * F.col("times")).alias("more"))
     return stored(found.select("row", "doc_id", "lang", "n_chars", "loss").join(more, "row", "left").select(
         "doc_id", "lang", "n_chars", ((F.col("loss") + F.coalesce("more", F.lit(0))) / UNIT).alias("loss")),
@@ -324,9 +327,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             .select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct())
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0
     wanted = stored(good.filter(chosen), "chosen")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)  # checked: 8 bytes an id; no text is moved
-    model = train(rows.join(wanted, "doc_id", "left_semi"), order)
+    model = train(prefiltered(rows, wanted, "doc_id").join(wanted, "doc_id", "left_semi"), order)
     if model is None:
         n = F.coalesce(F.length(F.btrim("text", F.lit(BLANKS))), F.lit(0)).cast("bigint")
         none = F.lit(None).cast("double")
@@ -344,12 +345,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         overall = known.agg((F.sum("loss") / F.sum("n_chars")).alias("m")).first()["m"]
     shrunk = ((F.col("loss") + PRIOR_CHARS * F.coalesce("mean", F.lit(overall)))
               / (F.col("n_chars") + PRIOR_CHARS))
+    # A row a language: with the means broadcast, the quantiles combine where the rows are.
+    means = bounded_broadcast(stored(means, "means"))
     limits = (known.join(means, "lang").withColumn("score", shrunk).groupBy("lang")
               .agg(F.percentile_approx("score", quantile, 10_000).alias("q"), F.first("mean").alias("mean")))
     limits = stored(limits, "limits")
-    pooled = (known.join(limits.select("lang", "mean"), "lang").withColumn("score", shrunk)
+    pooled = (known.join(means, "lang").withColumn("score", shrunk)
               .agg(F.percentile_approx("score", quantile, 10_000)).first()[0])
-    out = (scored.join(limits, "lang", "left").withColumn("score", F.exp(shrunk))
+    out = (scored.join(bounded_broadcast(limits), "lang", "left").withColumn("score", F.exp(shrunk))
            .withColumn("threshold", F.exp(F.coalesce("q", F.lit(pooled)) * tolerance)))
     some = F.col("n_chars") > 0
     return out.select(

@@ -27,11 +27,12 @@ gathered: counts and leaders are aggregates, and Spark splits skewed joins.
 
 Rows go by a key of their id and a hash of their text, so that rows without an id stay apart.
 
-Defined results: null text counts as empty; a null ``doc_id`` ranks below every
-other id and is the component of its group, but rows without an id are documents of their own;
+Defined results: null text counts as empty; a null ``doc_id`` ranks behind every
+other id, so a component is named null only if it holds no id; rows without an id are documents of their own;
 repeated rows are copies with one result; rows that
 share an id are taken for one document when components form; an empty table gives an
-empty result; long texts are hashed in blocks.
+empty result; long texts are hashed in blocks. Only the id and text columns are read (:func:`near_dedup` carries
+whole rows as one value), so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -44,13 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sifter.llm.common import WordHashes, mix64, stored
+from sifter.llm.common import WordHashes, mix64, prefiltered, stored
 
 WIDTH = 3
 PERCENT = 85
 BANDS, ROWS = 24, 5
-BROADCAST_IDS = 500_000
-NULL_ID = -(2 ** 63)
+NULL_ID = 2 ** 63 - 1  # ranks behind every other id
 KEY = "struct<id:bigint,h:bigint>"
 _BLOCK = 8192
 _WORKER: dict[str, WordHashes] = {}  # kept by a Python worker between tasks
@@ -197,9 +197,8 @@ def links_between(reps: DataFrame, texts: DataFrame, width: int, percent: int) -
     score = members.groupBy("k").agg(F.sum("size").alias("score"))
     members = stored(members.drop("size").join(score, "k"), "members")
     wanted = members.select("k").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)  # checked: 16 bytes a key
-    sets = stored(texts.join(wanted, "k", "left_semi")
+    # Only the texts of candidates are moved to the exact join.
+    sets = stored(prefiltered(texts, wanted, "k").join(wanted, "k", "left_semi")
                   .mapInArrow(_setter(width), f"k {KEY}, shingles array<bigint>")
                   .dropDuplicates(["k"]), "sets")
     links = stored(_confirmed(_star_pairs(members, percent), sets, percent), "links")
@@ -248,7 +247,7 @@ def _remainder(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _key(id_col: str, text_col: str):
-    """Key of a row: its id (the smallest number without one), and a hash of its text."""
+    """Key of a row: its id (the largest number without one), and a hash of its text."""
     return F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"),
                     F.xxhash64(F.col(text_col)).alias("h")).alias("k")
 

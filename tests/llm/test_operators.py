@@ -284,7 +284,58 @@ def test_quality_model_is_the_same_without_cached_grams(spark, monkeypatch):
         model = kn_quality.train(docs.select("text"))
         found.append(kn_quality.log_probabilities(texts, model))
     for lengths, loss in found[1:]:
-        assert (lengths == found[0][0]).all() and np.allclose(loss, found[0][1], rtol=1e-5)
+        assert (lengths == found[0][0]).all() and (loss == found[0][1]).all()
+
+
+def brute_kneser_ney(texts, asked, order):
+    """Losses by the definition: dictionaries of n-grams, continuation counts and three discounts an order."""
+    pad = ["\0"] * (order - 1)
+    chars = lambda t: pad + list(" ".join(t.split()))
+    counts = {order: Counter()}
+    for t in texts:
+        c = chars(t)
+        counts[order].update(tuple(c[i - order + 1:i + 1]) for i in range(order - 1, len(c)))
+    for k in range(order, 1, -1):
+        counts[k - 1] = Counter(g[1:] for g in counts[k])
+    alphabet, n = len(counts[1]), sum(counts[1].values())
+    discounts, total, kinds = {}, {}, {}
+    for k in range(2, order + 1):
+        r = Counter(min(c, 5) for c in counts[k].values())
+        n1, n2, n3, n4 = (max(1, r[i]) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discounts[k] = [min(i - .05, max(.05, i - (i + 1) * y * b / a)) for i, a, b in (
+            (1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        total[k], kinds[k] = Counter(), defaultdict(lambda: [0, 0, 0])
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            kinds[k][g[:-1]][min(c, 3) - 1] += 1
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return (counts[1][g] + .5) / (n + .5 * (alphabet + 1)) if g in counts[1] else .5 / (n + .5 * (alphabet + 1))
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        weight = sum(d * m for d, m in zip(discounts[k], kinds[k][g[:-1]])) / total[k][g[:-1]]
+        c = counts[k][g]
+        own = (c - discounts[k][min(c, 3) - 1]) / total[k][g[:-1]] if c else 0
+        return own + weight * p(g[1:])
+
+    out = []
+    for t in asked:
+        c = chars(t)
+        out.append(-sum(math.log(p(tuple(c[i - order + 1:i + 1]))) for i in range(order - 1, len(c))))
+    return out
+
+
+def test_quality_model_equals_the_definition(spark):
+    docs = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(40).collect()]
+    asked = docs[:6] + ["zq漢 漢字", "the the the", "x", " y\n z "]
+    for order in (2, 5):
+        model = kn_quality.train(spark.createDataFrame([(t,) for t in docs], "text string"), order)
+        lengths, loss = kn_quality.log_probabilities(asked, model)
+        assert list(lengths) == [len(" ".join(t.split())) for t in asked]
+        assert np.allclose(loss, brute_kneser_ney([t for t in docs if t and t.split()], asked, order), rtol=1e-6, atol=1e-4)
 
 
 def test_quality_model_tells_characters_of_a_large_alphabet_apart(spark):
@@ -399,12 +450,16 @@ def brute_components(rows, width, percent):
                 up[find(a)] = find(b)
     least = {}
     for n, (i, _) in enumerate(rows):
-        least[find(n)] = min(least.get(find(n), 2 ** 63), ident(i))
+        least[find(n)] = min(least.get(find(n), 2 ** 63), named(i))
     return Counter((i, len(sets[n]), least[find(n)]) for n, (i, _) in enumerate(rows))
 
 
+def named(i):
+    return 2 ** 63 - 1 if i is None else i
+
+
 def as_counter(df):
-    return Counter((r.doc_id, r.n_shingles, ident(r.component_id)) for r in df.collect())
+    return Counter((r.doc_id, r.n_shingles, named(r.component_id)) for r in df.collect())
 
 
 def test_near_components_edges(edge):
@@ -443,7 +498,9 @@ def test_near_dedup_keeps_rows_without_an_id_apart(spark):
     rows = [(None, a), (None, b), (None, a + " tail"), (None, c), (6, b), (7, b + " tail"), (8, c + " end"), (9, a)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {(r.doc_id, r.component_id, r.kept) for r in minmax_dedup.near_components(docs).collect()}
-    assert {x for x in got if x[0]} == {(i, None, False) for i in (6, 7, 8, 9)}
+    assert got == {(6, 6, True), (7, 6, False), (8, 8, True), (9, 9, True)} | {(None, i, False) for i in (6, 8, 9)}
+    nameless = [(r.component_id, r.kept) for r in minmax_dedup.near_components(docs.filter("doc_id is null")).collect()]
+    assert {c for c, _ in nameless} == {None} and sum(k for _, k in nameless) == 3
     left = sorted(r.text for r in minmax_dedup.near_dedup(docs).collect())
     assert len(left) == 3 and [sum(t.startswith(x) for t in left) for x in (a, b, c)] == [1, 1, 1]
 
