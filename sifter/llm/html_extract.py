@@ -11,15 +11,18 @@ descendant agrees with its ancestor, so contradictory choices cannot arise, and
 
 Training (``train``, on the driver) uses a bounded sample: at most ``SAMPLE_PAGES``
 pages of at most ``SAMPLE_CHARS`` characters, taken by hash, whose nodes are labelled
-from their own semantic markup (article against navigation, footer, adverts),
+from their elements (inside the one article or main element against outside it, never by class words),
 and ``LAYOUTS`` generated layouts with known labels, which cover pages built
-another way (class names only, no hints at all, comments, notices, forms).
+another way (class names only, no hints at all, comments, notices, forms, and furniture words on bodies, wrappers
+and articles). Class and id words are a feature of a node and of what lies inside it, but not those of wrappers: bodies,
+articles, and nodes that hold the article besides other things.
 
 Defined results: null or empty html has empty text; html without an article
 has empty text; markup that is cut off ends where the page ends; unclosed
 elements close with their parent; character references without a meaning stay as they
 are; repeated rows get equal results; an empty table gives an empty result (the model then
-comes from the generated layouts alone); pages of any size are read whole.
+comes from the generated layouts alone); pages of any size are read whole, one page in one task. Pictures (svg, void or
+nested) have no text, formulas keep theirs. Only the named columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -45,7 +48,8 @@ BATCH_PAGES = 500
 
 # Element names of HTML, by role.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style title noscript iframe template textarea xmp noembed noframes svg math".split())
+RAW = set("script style title noscript iframe template textarea noembed noframes".split())
+DRAWN = {"svg"}         # elements whose text is part of a picture; they may be void and nest
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = HEADINGS | set(
     "html body article main section div nav header footer aside form fieldset p ul ol li dl dt dd "
@@ -87,6 +91,9 @@ class Node:
     kids: list = field(default_factory=list)
     own: int = 0
     start: int = 0        # characters of the page before the node
+    main: bool = False    # holds an article or main element
+    titled: bool = False  # holds a first-level heading
+    within: bool = False  # lies in an article or main element
 
 
 class Page:
@@ -108,9 +115,30 @@ class Page:
             up.stops += node.stops
             up.anchors += node.anchors
             up.tags += node.tags
+            up.main |= node.main or node.tag in ARTICLE_TAGS
+            up.titled |= node.titled or node.tag == "h1"
             up.kids.append(i)
         for node in self.nodes:
             node.kids.reverse()
+            node.within = node.parent >= 0 and (self.nodes[node.parent].within
+                                                or self.nodes[node.parent].tag in ARTICLE_TAGS)
+
+    def wrapper(self, node: Node) -> bool:
+        """Whether a node holds the article besides other things, or is it: its class words then say nothing about
+        what stands inside."""
+        if node.tag in ("html", "body") or node.tag in ARTICLE_TAGS or node.main:
+            return True
+        root = self.nodes[0]
+        if node.titled:
+            return node.chars >= 0.3 * root.chars
+        return not (root.main or root.titled) and node.chars >= 0.6 * root.chars
+
+    def furniture_tag(self, node: Node) -> bool:
+        """Furniture by its element; the header of an article, or one that stands among paragraphs, is not."""
+        if node.tag == "header" and (node.within or any(
+                self.nodes[k].tag == "p" for k in self.nodes[node.parent].kids)):
+            return False
+        return node.tag in FURNITURE_TAGS
 
     def _parse(self, text: str) -> None:
         at, end = 0, len(text)
@@ -126,6 +154,8 @@ class Page:
             name = name.lower()
             if m.group(1):
                 self._close(name)
+            elif name in DRAWN:
+                at = self._past(text, at, name, m.group(3) or "")
             elif name in RAW:
                 stop = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(text, at)
                 at = text.find(">", stop.start()) + 1 or end if stop else end
@@ -133,6 +163,17 @@ class Page:
                 self._open(name, m.group(3) or "")
         self._flush()
 
+    def _past(self, text: str, at: int, name: str, rest: str) -> int:
+        """The place behind an element whose inside is not text."""
+        if rest.rstrip(">").endswith("/"):
+            return at
+        tags, depth = re.compile(f"<(/?){name}(?=[\\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I), 1
+        for m in tags.finditer(text, at):
+            depth += -1 if m.group(1) else 0 if m.group(2).endswith("/") else 1
+            if not depth:
+                return m.end()
+        return at  # never closed: only the tag goes
+
     def _text(self, raw: str) -> None:
         if raw:
             if "&" in raw:
@@ -226,8 +267,9 @@ def features(page: Page) -> np.ndarray:
     rows = np.zeros((len(nodes), 27), np.float32)
     for i, n in enumerate(nodes):
         p = n.parent
-        named = not n.words.isdisjoint(ARTICLE_WORDS), not n.words.isdisjoint(FURNITURE_WORDS)
-        above[i] = (*named, n.tag in ARTICLE_TAGS, n.tag in FURNITURE_TAGS)
+        named = (not n.words.isdisjoint(ARTICLE_WORDS),
+                 not n.words.isdisjoint(FURNITURE_WORDS) and not page.wrapper(n))
+        above[i] = (*named, n.tag in ARTICLE_TAGS, page.furniture_tag(n))
         if p < 0:
             beside, same, sib_chars, up_links = 1, 1, n.chars, 0.0
         else:
@@ -346,19 +388,29 @@ def article_text(page: Page, probability: np.ndarray) -> str:
 # -- training -----------------------------------------------------------------
 
 def semantic_labels(page: Page) -> np.ndarray:
-    """1 article, 0 furniture, -1 unknown, from a page's own markup."""
+    """1 article, 0 furniture, -1 unknown, from a page's elements alone (class words, which are features, take no
+    part): what lies in its one article or main element is article, but for furniture elements in there, and all else is
+    furniture. A page without such an element, or with several side by side, tells nothing."""
     label = np.full(len(page.nodes), -1)
+    roots = [i for i, n in enumerate(page.nodes) if n.tag in ARTICLE_TAGS and not n.within]
+    if len(roots) != 1:
+        return label
     for i, n in enumerate(page.nodes):
-        above = label[n.parent] if n.parent >= 0 else -1
-        if n.tag in FURNITURE_TAGS or n.words & FURNITURE_WORDS or above == 0:
-            label[i] = 0
-        elif n.tag in ARTICLE_TAGS or above == 1:
+        above = label[n.parent] if n.parent >= 0 else 0
+        if i == roots[0]:
             label[i] = 1
+        elif n.main:
+            label[i] = -1  # holds the article besides other things
+        elif page.furniture_tag(n) or not n.within:
+            label[i] = 0
+        else:
+            label[i] = above
     return label
 
 
 def _layout(rng: np.random.Generator) -> tuple[str, None]:
-    """A page whose furniture elements carry ``data-f`` as their label."""
+    """A page whose furniture elements carry ``data-f``, the article ``data-a`` as their label. Bodies, wrappers and
+    articles often carry furniture words in their class, as real ones do."""
     def words(n: int) -> str:
         return " ".join("".join(rng.choice(list("abdeghilmnorstu"), rng.integers(2, 9)))
                         for _ in range(n))
@@ -370,6 +422,12 @@ def _layout(rng: np.random.Generator) -> tuple[str, None]:
         return rng.random() < p
 
     style = rng.choice(["semantic", "class", "id", "bare"])
+    misnomers = ["no-sidebar", "page sidebar-right", "home search-results", "header-image", "has-comments", "with-ads",
+                 "share-enabled", "widget", "related-wrapper", "form-post", "nav-open", "site", "wrapper", "container",
+                 "single single-post", "menu-closed", "has-banner", "social-login"]
+
+    def misnomer(p: float) -> str:
+        return f' class="{rng.choice(misnomers)}"' if chance(p) else ""
 
     def box(tag: str, names: list[str], body: str, label: str, hint: bool = False) -> str:
         name = str(rng.choice(names))
@@ -385,6 +443,10 @@ def _layout(rng: np.random.Generator) -> tuple[str, None]:
 
     def article() -> str:
         out = [f"<h1>{words(int(rng.integers(2, 14)))}{'.' * chance(0.4)}</h1>"] if chance(0.85) else []
+        if out and chance(0.25):
+            line = f"<p>{words(int(rng.integers(1, 4)))}</p>" * chance(0.5)
+            tag = "header" if style == "semantic" else "div"
+            out[0] = f"<{tag}{misnomer(0.3)}>{out[0]}{line}</{tag}>"
         for _ in range(int(rng.integers(1, 3) if chance(0.25) else rng.integers(3, 18))):
             kind = rng.random()
             text = sentences(int(rng.integers(1, 9)))
@@ -437,8 +499,10 @@ def _layout(rng: np.random.Generator) -> tuple[str, None]:
     if chance(0.4):
         parts.append(box("div", ["ad", "ads", "advertisement", "sponsor"], sentences(1), "f", True))
     body = box("article", ["article", "post", "content", "entry", "story"], article(), "a")
+    if chance(0.35):  # a class of the article itself that says something else
+        body = re.sub(r'^<(\w+)(?: (?:class|id)="[^"]*")? data-a>', lambda m: f'<{m.group(1)}{misnomer(1)} data-a>', body)
     for _ in range(int(rng.integers(0, 3))):
-        body = f"<div>{body}</div>"
+        body = f"<div{misnomer(0.4)}>{body}</div>"
     if chance(0.4):
         side = box("aside", ["sidebar", "widget", "related"],
                    f"<h3>{words(2)}</h3>" + (links(5) if chance(0.6) else f"<p>{sentences(2)}</p>"), "f", True)
@@ -452,7 +516,10 @@ def _layout(rng: np.random.Generator) -> tuple[str, None]:
     if chance(0.9):
         parts.append(box("footer", ["footer", "copyright"],
                          f"© {words(2)} · {sentences(1) if chance(0.6) else links(4)}", "f", chance(0.5)))
-    return "<html><body>" + "".join(parts) + "</body></html>"
+    whole = "".join(parts)
+    if chance(0.3):
+        whole = f"<div{misnomer(0.6)}>{whole}</div>"
+    return f"<html><body{misnomer(0.5)}>" + whole + "</body></html>"
 
 
 def _layout_labels(text: str) -> tuple[Page, np.ndarray]:
@@ -482,9 +549,11 @@ def train(pages: DataFrame | None = None, html_col: str = "html", id_col: str =
     if pages is not None and sample_pages:
         rows = (pages.select(F.col(html_col).alias("html"),
                              F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-                .filter(F.length("html") <= SAMPLE_CHARS)
-                .orderBy("h", "html").limit(sample_pages).collect())
-        for r in rows:
+                .filter(F.length("html") <= SAMPLE_CHARS))
+        # Numbers find the sample; only its pages are fetched (equal numbers: copies of an id).
+        last = rows.select("h").orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+        chosen = [] if last is None else rows.filter(F.col("h") <= last).orderBy("h", "html").limit(sample_pages).collect()
+        for r in chosen:
             page = Page(r["html"])
             xs.append(features(page))
             ys.append(semantic_labels(page))

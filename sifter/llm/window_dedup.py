@@ -25,7 +25,8 @@ Defined results: null text has no words; texts shorter than ``width`` have no
 window and stay; a null ``doc_id`` ranks below every other id; repeated
 rows (same id, same text) are the same document and get the same result each,
 rows that share an id never remove each other's windows; an empty table gives an
-empty result; very long texts are hashed in one pass and counted chunk by chunk.
+empty result; very long texts are hashed in one pass and counted chunk by chunk. Only the id and text columns are
+read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ WIDTH = 50
 CHUNK = 400_000       # windows a task sorts at once
 PER_RANGE = 600_000     # windows a hash range should hold
 CHARS_PER_WORD = 6      # only sizes the ranges
+RANGES_A_TASK = 4
 BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 NULL_ID = -(2 ** 63)
 
@@ -245,7 +247,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, min(2 ** 31, -(-size // (CHARS_PER_WORD * per_range))))
     packed = rows.select("k", "v", "text").mapInArrow(_hashed(width, int(ranges)), PACKED)
-    found = (packed.repartition("range_id").sortWithinPartitions("range_id")
+    # A few ranges a task, however many there are.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-ranges // RANGES_A_TASK)))
+    found = (packed.repartition(tasks, "range_id").sortWithinPartitions("range_id")
              .mapInArrow(_judge, "k array<bigint>, v array<bigint>, start array<int>"))
     return (stored(found, "windows").select(F.inline(F.arrays_zip("k", "v", "start")))
             .groupBy("k", "v").agg(F.collect_set("start").alias("starts")))
