@@ -7,8 +7,9 @@ A line fails if it
 * is made of menu separators and symbols (``navigation``: more than
   ``symbol_pct`` per cent of its characters are of ``[#*$%&|<>]``),
 * shouts (``shouting``: 20 characters or more, letters, none lower-case), or
-* has a standing phrase of web pages and licences and at most ``PHRASE_CHARS``
-  characters (``boilerplate``; a paragraph may well speak of such things).
+* consists of web addresses for more than half (``links``), or
+* has a standing phrase of web pages and licences, in any of the languages of ``PHRASES`` (a parameter), and at most
+  ``PHRASE_CHARS`` characters (``boilerplate``; a paragraph may well speak of such things).
 
 Failing lines go; a document that loses more than ``max_loss_pct`` per cent of
 its characters (of lines with a word) is rejected, as is one whose base
@@ -23,7 +24,7 @@ for n words; nothing is shuffled.
 Defined results: null text has no word, one empty line, and fails the base
 rules; empty text likewise; text without any word loses nothing; repeated rows get equal results;
 ties (exactly ``max_loss_pct``) are kept; an empty table gives an empty
-result; further columns are not read.
+result; a text of any length is one row's work in one task; further columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -42,22 +43,36 @@ SYMBOLS = "[#*$%&|<>]+"
 PHRASE_CHARS = 200
 # Closing punctuation.
 CLOSED = [".", "!", "?", "…", ":", ";", "。", "！", "？", '"', "'", "”", "’", "»", ")", "]"]
-# Phrases that mark a line as boilerplate.
-PHRASES = [
-    "all rights reserved", "licensed under", "released under", "terms of use",
-    "terms of service", "privacy policy", "cookie policy", "use cookies", "enable javascript",
-    "subscribe to our newsletter", "click here to", "skip to content", "powered by", "lorem ipsum",
-]
-BOILERPLATE = "(?i)(" + "|".join(PHRASES) + ")"
-
-
-def line_fails(line: Column, symbol_pct: int = SYMBOL_PCT) -> Column:
+# Phrases that mark a line as boilerplate, by language.
+PHRASES = {
+    "en": ["all rights reserved", "licensed under", "released under", "terms of use",
+           "terms of service", "privacy policy", "cookie policy", "use cookies", "enable javascript",
+           "subscribe to our newsletter", "click here to", "skip to content", "powered by", "lorem ipsum"],
+    "de": ["alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "datenschutzerklärung",
+           "verwendet cookies", "verwenden cookies", "newsletter abonnieren", "hier klicken", "zum inhalt springen"],
+    "fr": ["tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité",
+           "mentions légales", "utilise des cookies", "utilisons des cookies", "abonnez-vous à", "cliquez ici",
+           "aller au contenu"],
+    "es": ["todos los derechos reservados", "bajo licencia", "condiciones de uso", "términos de uso",
+           "política de privacidad", "aviso legal", "utiliza cookies", "utilizamos cookies", "suscríbete a",
+           "haz clic aquí", "saltar al contenido"],
+}
+ADDRESS = "https?://[^\\x20\\x09-\\x0D]+"
+
+
+def boilerplate(phrases: dict[str, list[str]]) -> str:
+    """One pattern of all languages' phrases, in any case."""
+    return "(?iu)(" + "|".join(p for some in phrases.values() for p in some) + ")"
+
+
+def line_fails(line: Column, symbol_pct: int = SYMBOL_PCT, phrases: dict[str, list[str]] = PHRASES) -> Column:
     """Whether a line with a word breaks a rule."""
     symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
     last = F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1)
     return (~last.isin(CLOSED) | (100 * symbols > symbol_pct * F.length(line))
             | ((F.length(line) >= SHOUT_CHARS) & ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}"))
-            | ((F.length(line) <= PHRASE_CHARS) & line.rlike(BOILERPLATE)))
+            | (2 * F.length(F.regexp_replace(line, ADDRESS, "")) < F.length(line))
+            | ((F.length(line) <= PHRASE_CHARS) & line.rlike(boilerplate(phrases))))
 
 
 def _has_word(line: Column) -> Column:
@@ -98,7 +113,8 @@ def _repeat_positions(rows: DataFrame) -> DataFrame:
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                max_loss_pct: int = MAX_LOSS_PCT, symbol_pct: int = SYMBOL_PCT,
-               min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT) -> DataFrame:
+               min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT,
+               phrases: dict[str, list[str]] = PHRASES) -> DataFrame:
     """``doc_id``, base counts, ``n_lines_failed``, ``lost_pct``, ``base_failed``,
     ``kept`` and ``kept_text`` (the lines that pass), one row per input row."""
     rows = docs.select(F.col(id_col).alias("doc_id"),
@@ -116,7 +132,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("bigint")
         .alias("n_symbols"))
     rows = _repeat_positions(rows)
-    passed = F.filter("all_lines", lambda x: ~_has_word(x) | ~line_fails(x, symbol_pct))
+    passed = F.filter("all_lines", lambda x: ~_has_word(x) | ~line_fails(x, symbol_pct, phrases))
     rows = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_repeat_words",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("bigint").alias("n_dup_lines"),

@@ -13,7 +13,7 @@ from sifter.llm.exact_dedup import exact_groups
 from sifter.llm.kn_quality import quality_scores
 from sifter.llm.language_id import held_out, identify_languages
 from sifter.llm.line_dedup import line_dedup
-from sifter.llm.line_rules import line_rules
+from sifter.llm.line_rules import PHRASES, boilerplate, line_rules
 from sifter.llm.minmax_dedup import near_components
 from sifter.llm.mixing import mix_sources
 from sifter.llm.phrase_mining import mine_phrases
@@ -100,6 +100,8 @@ _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
 # chr(9) to chr(13) and the blank
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_PHRASES = boilerplate(PHRASES).replace("(?iu)", "(?i)").replace("'", "''")
+
 SQL = {
     "op1_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -152,7 +154,8 @@ judged AS (
          NOT regexp_matches(line, '[.!?…:;。！？"''”’»)\]][\x20\x09-\x0D]*$')
          OR 100 * sym > 4 * length(line)
          OR (length(line) >= 20 AND NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}'))
-         OR length(line) <= 200 AND regexp_matches(line, '(?i)(all rights reserved|licensed under|released under|terms of use|terms of service|privacy policy|cookie policy|use cookies|enable javascript|subscribe to our newsletter|click here to|skip to content|powered by|lorem ipsum)')
+         OR 2 * length(regexp_replace(line, 'https?://[^\x20\x09-\x0D]+', '', 'g')) < length(line)
+         OR length(line) <= 200 AND regexp_matches(line, '""" + _PHRASES + r"""')
            AS failed
   FROM lines),
 loss AS (

@@ -427,6 +427,17 @@ def test_line_rules_verdict(spark):
     assert got[2].kept_text == good and got[4].n_lines_failed == 1
 
 
+def test_line_rules_in_other_languages_and_on_links(spark):
+    lines = ["Tous droits réservés.", "TOUS DROITS RÉSERVÉS 2020 AFP.", "Politique de confidentialité.", "Conditions d'utilisation.",
+             "Alle Rechte vorbehalten.", "Unsere Datenschutzerklärung.", "Todos los derechos reservados.",
+             "Lea la Política de Privacidad.", "See https://example.org/a/long/address/of/a/page.html.", "A plain sentence."]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id int, text string")
+    got = {r.doc_id: r.n_lines_failed for r in line_rules.line_rules(df).collect()}
+    assert [got[i] for i in range(10)] == [1] * 9 + [0]
+    none = line_rules.line_rules(df, phrases={"xx": ["plain"]}).collect()
+    assert {r.doc_id for r in none if r.n_lines_failed} == {1, 8, 9}
+
+
 # 8 ---------------------------------------------------------------------------
 
 def brute_components(rows, width, percent):
