@@ -58,7 +58,8 @@ BLOOM_BITS = 1 << 26
 
 
 def prefiltered(rows: DataFrame, wanted: DataFrame, *keys: str, bits: int = BLOOM_BITS) -> DataFrame:
-    """``rows`` whose ``keys`` may be among those of ``wanted``, for an exact join behind it: rows
+    """``rows`` whose ``keys`` may be among those of ``wanted``, for an exact join behind it (an inner one with
+    distinct keys: the optimizer would push a semi join below this filter): rows
     that cannot match are not shuffled. The filter has one bit a key in a table of ``bits`` / 64 words, which
     is broadcast: its size is fixed, whatever ``wanted`` holds (with many more keys than bits it merely keeps more)."""
     bit = F.pmod(F.xxhash64(*keys), F.lit(bits))

@@ -327,7 +327,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             .select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct())
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0
     wanted = stored(good.filter(chosen), "chosen")
-    model = train(prefiltered(rows, wanted, "doc_id").join(wanted, "doc_id", "left_semi"), order)
+    model = train(prefiltered(rows, wanted, "doc_id").join(wanted, "doc_id"), order)
     if model is None:
         n = F.coalesce(F.length(F.btrim("text", F.lit(BLANKS))), F.lit(0)).cast("bigint")
         none = F.lit(None).cast("double")

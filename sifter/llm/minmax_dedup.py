@@ -198,7 +198,7 @@ def links_between(reps: DataFrame, texts: DataFrame, width: int, percent: int) -
     members = stored(members.drop("size").join(score, "k"), "members")
     wanted = members.select("k").distinct()
     # Only the texts of candidates are moved to the exact join.
-    sets = stored(prefiltered(texts, wanted, "k").join(wanted, "k", "left_semi")
+    sets = stored(prefiltered(texts, wanted, "k").join(wanted, "k")
                   .mapInArrow(_setter(width), f"k {KEY}, shingles array<bigint>")
                   .dropDuplicates(["k"]), "sets")
     links = stored(_confirmed(_star_pairs(members, percent), sets, percent), "links")

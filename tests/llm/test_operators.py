@@ -101,6 +101,14 @@ def test_prefilter_keeps_every_match(spark):
     assert kept.columns == ["id"] and wanted.join(kept, "id").count() == 400 and kept.count() < 500
     assert prefiltered(rows, wanted, "id", bits=64).join(wanted, "id").count() == 400  # crowded, still whole
     assert prefiltered(rows, wanted.limit(0), "id").count() == 0
+    # The shuffle of the exact join comes behind the filter.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = prefiltered(rows, wanted, "id").join(wanted, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("SortMergeJoin") < plan.index("shiftrightunsigned") and "Exchange hashpartitioning(id" in plan[
+        :plan.index("shiftrightunsigned")]
 
 
 def test_exact_dedup_keeps_rows_whole(edge):
