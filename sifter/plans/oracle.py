@@ -911,6 +911,62 @@ SELECT ch.chunk_id, 'chunk_id=' || ch.chunk_id || ';chunk_size=' || CAST(ch.chun
        || ';chunk_strategy=token;kb_name=' || ch.kb_name || ';lang=' || d.lang || ';source=' || d.source AS metadata
 FROM ch JOIN d USING (doc_id)"""
 
+# Chunks of every knowledge base, searched by its own settings (by the length of its name: semantic, hybrid,
+# semantic reranked, hybrid reranked). Statistics and ranges are per knowledge base.
+_CHUNK_SEARCH = f"""WITH ch AS ({SQL['chunk_token_window']}),
+dt AS (SELECT chunk_id AS doc_id, kb_name, text, {TOK('text')} AS toks FROM ch),
+dl AS (SELECT doc_id, kb_name, CAST(len(toks) AS DOUBLE) AS dl FROM dt),
+kb AS (SELECT DISTINCT kb_name, length(kb_name) % 4 AS kind FROM ch),
+post AS (SELECT kb_name, doc_id, term, count(*) AS tf
+         FROM (SELECT kb_name, doc_id, unnest(toks) AS term FROM dt) GROUP BY ALL),
+stats AS (SELECT kb_name, CAST(count(*) AS DOUBLE) AS n_docs, avg(dl) AS avgdl FROM dl GROUP BY kb_name),
+dfs AS (SELECT kb_name, term, count(*) AS df FROM post GROUP BY ALL),
+rawidf AS (SELECT kb_name, term, ln(n_docs - df + {D(0.5)}) - ln(df + {D(0.5)}) AS raw FROM dfs JOIN stats USING (kb_name)),
+flo AS (SELECT kb_name, {D(0.25)} * avg(raw) AS eps_idf FROM rawidf GROUP BY kb_name),
+idf AS (SELECT kb_name, term, CASE WHEN raw < 0 THEN eps_idf ELSE raw END AS idf FROM rawidf JOIN flo USING (kb_name)),
+qtok AS (SELECT item_id AS query_id, {TOK('text')} AS qtoks FROM benchmark),
+qt AS (SELECT query_id, term, count(*) AS qtf
+       FROM (SELECT query_id, unnest(qtoks) AS term FROM qtok) GROUP BY query_id, term),
+qw AS (SELECT kb_name, query_id, term, qtf * idf AS w FROM qt JOIN idf USING (term)),
+bm_hit AS (SELECT q.query_id, p.doc_id,
+                  sum(q.w * (p.tf * {D(2.5)}) / (p.tf + {D(1.5)} * ({D(0.25)} + {D(0.75)} * d.dl / s.avgdl))) AS bm25
+           FROM qw q JOIN post p ON p.term = q.term AND p.kb_name = q.kb_name JOIN dl d ON d.doc_id = p.doc_id
+           JOIN stats s ON s.kb_name = q.kb_name GROUP BY q.query_id, p.doc_id),
+{_hash_ctes().strip()},
+pairs AS (SELECT s.query_id, s.doc_id, d.kb_name, s.semantic, coalesce(h.bm25, {D(0)}) AS bm25
+         FROM sem_all s JOIN dl d USING (doc_id) LEFT JOIN bm_hit h ON h.query_id = s.query_id AND h.doc_id = s.doc_id),
+ranges AS (SELECT kb_name, query_id, min(bm25) AS bmin, max(bm25) AS bmax, min(semantic) AS smin, max(semantic) AS smax
+           FROM pairs GROUP BY kb_name, query_id),
+scored AS (SELECT b.kb_name, b.query_id, b.doc_id, kind, round(CASE WHEN kind IN (1, 3) THEN
+             {D(0.5)} * (bm25 - bmin) / (bmax - bmin + {D(1e-8)}) + {D(0.5)} * (semantic - smin) / (smax - smin + {D(1e-8)})
+             ELSE semantic END, 6) AS score
+           FROM pairs b JOIN ranges USING (kb_name, query_id) JOIN kb USING (kb_name)),
+first AS (SELECT *, row_number() OVER (PARTITION BY kb_name, query_id ORDER BY score DESC, doc_id) AS rank1 FROM scored
+          QUALIFY rank1 <= CASE WHEN kind >= 2 THEN 20 ELSE 5 END),
+qd AS (SELECT query_id, list_distinct(qtoks) AS qd FROM qtok),
+again AS (SELECT f.kb_name, f.query_id, f.doc_id, kind, rank1, CASE WHEN kind < 2 THEN score WHEN len(qd) = 0 THEN {D(0)}
+            ELSE round(CAST(len(list_intersect(qd, list_distinct(d.toks))) AS DOUBLE) / len(qd), 6) END AS score
+          FROM first f JOIN qd USING (query_id) JOIN dt d USING (doc_id)),
+ranked AS (SELECT kb_name, query_id AS question_id,
+             CAST(row_number() OVER (PARTITION BY kb_name, query_id ORDER BY score DESC, rank1) AS INTEGER) AS rank,
+             doc_id AS chunk_id, score,
+             CASE WHEN kind IN (1, 3) THEN 'Hybrid Search (α=0.5)' ELSE 'Semantic Search' END || CASE WHEN kind >= 2
+             THEN ' + Cross-Encoder Reranking (cross-encoder/ms-marco-MiniLM-L-12-v2)' ELSE '' END AS search_method
+           FROM again QUALIFY rank <= 5)"""
+
+SQL["kb_chunk_retrieval"] = f"{_CHUNK_SEARCH} SELECT * FROM ranked"
+
+SQL["kb_chunk_answers"] = f"""{_CHUNK_SEARCH},
+whole AS (SELECT r.kb_name, question_id, search_method, CAST(count(*) AS INTEGER) AS top_k,
+            string_agg(ch.text, {NL2} ORDER BY rank) AS context, arg_min(ch.text, rank) AS first_text,
+            string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids
+          FROM ranked r JOIN ch USING (chunk_id) GROUP BY r.kb_name, question_id, search_method)
+SELECT kb_name, question_id, b.text AS question, top_k, search_method,
+  'Based on the following context, answer the question.' || {NL2} || 'Context:' || {NL} || context
+  || {NL2} || 'Question: ' || b.text || {NL2} || 'Answer:' AS prompt,
+  substr(first_text, 1, 200) || '...' AS answer, CAST(NULL AS VARCHAR) AS answer_error, chunk_ids
+FROM whole JOIN benchmark b ON b.item_id = question_id"""
+
 # Index searches return the rows of the full scans.
 SQL["keyword_topk"] = SQL["bm25_topk"]
 SQL["vector_topk_cells"] = SQL["vector_topk_dense"]

@@ -16,6 +16,7 @@ from sifter.functions.vectors import dense_entries, entries_norm, l2_normalize,
 from sifter.functions import cleanup as CU
 from sifter.functions import formatting as fmt
 from sifter.functions import payload as PL
+from sifter.operators import answering as AN
 from sifter.operators import chunking as C
 from sifter.operators import hybrid_search as HY
 from sifter.operators import keyword_index as KI
@@ -28,7 +29,7 @@ from sifter.operators import training_data as TD
 from sifter.operators import retrieval as R
 from sifter.plans import tables as T
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
-from sifter.session import cut_lineage, materialize_bucketed, scratch_path
+from sifter.session import cut_lineage, materialize, materialize_bucketed, scratch_path
 from sifter.sources.fs import fingerprint
 from sifter.streaming import jobs as ST
 
@@ -778,6 +779,58 @@ def _kb_chunks(spark, sf):
     return C.token_chunks(docs, 512, 50, kb_col=F.col("source"))
 
 
+# Search settings of the knowledge bases, dealt over their names in order.
+KB_SETTINGS = [
+    {"use_hybrid_search": False, "use_reranking": False}, {"use_hybrid_search": True, "use_reranking": False},
+    {"use_hybrid_search": False, "use_reranking": True}, {"use_hybrid_search": True, "use_reranking": True}]
+
+
+def _kb_catalog(spark, sf):
+    """A catalog row per source, with one of four search settings by the length of its name."""
+    names = T.documents(spark, sf).select(F.col("source").alias("kb_name")).distinct()
+    rows = CAT.default_configs(names, chunking_strategy="token")
+    pick = F.length("name") % len(KB_SETTINGS)
+    for field in ("use_hybrid_search", "use_reranking"):
+        value = F.lit(False)
+        for i, settings in enumerate(KB_SETTINGS):
+            value = F.when(pick == i, F.lit(settings[field])).otherwise(value)
+        rows = rows.withColumn(field, value)
+    return rows
+
+
+def _chunk_store(spark, sf):
+    """Stored chunks of all documents and their index, built once like the document index."""
+    chunks = _cached_index(spark, sf, "chunks", lambda: materialize(_kb_chunks(spark, sf), "chunk-store"))
+    index = _cached_index(spark, sf, "chunk-index", lambda: materialize_bucketed(
+        AN.chunk_index(chunks), "sifter_chunk_index"))
+    return chunks, index
+
+
+def _chunk_ranked(spark, sf):
+    key = (spark.sparkContext.applicationId, "chunk_ranked", fingerprint(spark, f"{sf.rstrip('/')}/documents.parquet"),
+           fingerprint(spark, f"{sf.rstrip('/')}/benchmark.parquet"))
+    if key not in _INDEX_CACHE:
+        chunks, index = _chunk_store(spark, sf)
+        ranked = AN.retrieve(_kb_catalog(spark, sf), chunks, T.questions(spark, sf), k=5, index=index)
+        _INDEX_CACHE[key] = mark_bounded(cut_lineage(ranked), ranked._sifter_rows)
+    return _INDEX_CACHE[key]
+
+
+@register("kb_chunk_retrieval")
+def q_kb_chunk_retrieval(spark, sf):
+    """Every question of every knowledge base, over its chunks, searched as its catalog row says."""
+    return _chunk_ranked(spark, sf)
+
+
+@register("kb_chunk_answers")
+def q_kb_chunk_answers(spark, sf):
+    """Prompt and extractive answer from the ranked chunks, one row per knowledge base and question."""
+    chunks, _ = _chunk_store(spark, sf)
+    found = AN.answer(AN.with_content(_chunk_ranked(spark, sf), chunks), T.questions(spark, sf))
+    return found.select("kb_name", "question_id", "question", "top_k", "search_method", "prompt", "answer", "answer_error",
+                        F.array_join(F.transform("documents", lambda d: d["chunk_id"]), ",").alias("chunk_ids"))
+
+
 @register("ingest_counts")
 def q_ingest_counts(spark, sf):
     docs = T.documents(spark, sf)

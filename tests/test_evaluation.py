@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sifter.operators import evaluation as EV
@@ -92,3 +93,95 @@ def test_exact_mean_is_order_independent_and_half_up(spark):
     tie = spark.createDataFrame([(0.1146875,)], "value double")
     s, n = EV.exact_mean(F.col("value"))
     assert tie.agg(EV.finish_mean(s, n)).first()[0] == 0.114688
+
+
+def _grid(spark):
+    from sifter.operators import retrieval as R
+    docs = spark.createDataFrame([(1, "a", "red fish swims. blue bird"), (2, "a", "green tree"), (1, "b", "red sun rises"),
+                                  (3, "b", ""), (4, "b", "bird")], "doc_id bigint, kb_name string, text string")
+    qs = spark.createDataFrame([(0, "red fish. Who swims?"), (1, "unknown"), (2, "")], "question_id bigint, question string")
+    index = R.build_index(docs, group_col="kb_name").cache()
+    qside = R.prepare_questions(index, qs, group_col="kb_name", keyword=False)
+    ranked = R.semantic_topk(index, qside, 2)
+    gts = qs.select("question_id", F.array("question", F.lit("bird tree")).alias("ground_truths"))
+    return docs, qs, index, ranked, gts
+
+
+def test_term_rows_score_like_text_rows(spark):
+    docs, qs, index, ranked, gts = _grid(spark)
+    keys = ["kb_name", "query_id"]
+    for truths in (gts, None):
+        texts = EV.evaluation_rows(ranked, qs, docs, keys, ground_truths=truths)
+        terms = EV.evaluation_term_rows(ranked, qs, docs, index, keys, ground_truths=truths)
+        assert "contexts" not in terms.columns and "text" not in terms.columns
+        a = sorted(map(tuple, EV.score_rows(texts, EV.METRICS, keys).collect()), key=repr)
+        b = sorted(map(tuple, EV.score_rows(terms, EV.METRICS, keys).collect()), key=repr)
+        assert a == b and len(a) == 6 * 6
+
+
+def test_judges_and_derivers_are_used(spark):
+    docs, qs, index, ranked, gts = _grid(spark)
+    keys = ["kb_name", "query_id"]
+    rows = EV.evaluation_rows(ranked, qs, docs, keys, ground_truths=gts)
+    yes = lambda statement, reference: F.lit(True)
+    got = {r.metric: r.value for r in EV.score_rows(
+        rows, ["context_precision", "faithfulness", "answer_relevancy"], keys, judge=yes,
+        derive=lambda answer: F.col("question")).where("query_id = 0 and kb_name = 'a'").collect()}
+    assert got == {"context_precision": 1.0, "faithfulness": 1.0, "answer_relevancy": pytest.approx(1.0)}
+
+
+def test_user_metric_joins_scores_means_and_report(spark):
+    docs, qs, index, ranked, gts = _grid(spark)
+    keys = ["kb_name", "query_id"]
+    rows = EV.evaluation_rows(ranked, qs, docs, keys, ground_truths=gts)
+    longest = EV.Metric("longest_answer", lambda r: F.length(r.answer).cast("double"),
+                        partial=lambda v: {"top": F.max(v)}, merge=F.max, finish=lambda p: p["top"])
+    EV.register_metric(longest)
+    EV.register_metric(EV.Metric("answer_words", lambda r: F.size(F.split(r.answer, " "))))
+    try:
+        names = ["faithfulness", "longest_answer", "no_such_metric", "answer_words"]
+        assert EV.split_metrics(names) == (["faithfulness", "longest_answer", "answer_words"], ["no_such_metric"])
+        long = EV.score_rows(rows, names, keys)
+        want = {}
+        for r in long.collect():
+            want.setdefault((r.kb_name, r.metric), []).append(r.value)
+        means = {(r.kb_name, r.metric): r.score for r in EV.metric_means(long, ["kb_name"]).collect()}
+        for (kb, m), values in want.items():
+            assert means[kb, m] == pytest.approx(max(values) if m == "longest_answer" else sum(values) / len(values), abs=1e-6)
+        # Two batches merged give the scores of one.
+        halves = [EV.metric_partials(long.where(c), ["kb_name"]) for c in ("query_id = 0", "query_id <> 0")]
+        merged = EV.finish_partials(EV.merge_partials(halves[0].unionByName(halves[1]), ["kb_name"]), ["kb_name"])
+        assert {(r.kb_name, r.metric): r.score for r in merged.collect()} == means
+        details, scores, report = EV.evaluate_pipeline(rows, keys, names)
+        assert "longest_answer" in details.columns and scores.where("metric = 'longest_answer'").count() == 2
+    finally:
+        del EV.REGISTRY["longest_answer"], EV.REGISTRY["answer_words"]
+
+
+def test_metadata_describes_the_run(spark, tmp_path):
+    docs, qs, index, ranked, gts = _grid(spark)
+    rows = EV.evaluation_rows(ranked, qs, docs, ["kb_name", "query_id"], ground_truths=gts)
+    EV.evaluate_pipeline(rows, ["kb_name", "query_id"], ["faithfulness", "nonsense"], evaluation_seconds=1.5,
+                         timestamp="2024-01-02T03:04:05", out_dir=str(tmp_path), config={"top_k": 2})
+    meta = {r.kb_name: r for r in spark.read.json(f"{tmp_path}/metadata").collect()}
+    a = meta["a"]
+    assert a.run_id == "eval_a_1704164645" and a.n_questions == 3 and a.evaluation_seconds == 1.5
+    assert a.metrics == ["faithfulness"] and a.unknown_metrics == ["nonsense"] and a.config.top_k == "2"
+    assert a.scores.faithfulness is not None
+
+
+def test_question_blocks_give_the_same_rows(spark, monkeypatch):
+    from sifter.operators import retrieval as R
+    docs, qs, index, _, _ = _grid(spark)
+    cols = ["kb_name", "query_id", "rank", "doc_id", "score"]
+    for keyword, search in ((True, lambda q: R.hybrid_topk(index, q, 2)), (False, lambda q: R.semantic_topk(index, q, 2))):
+        want = None
+        for size, per in ((32 << 20, 50_000), (150, 2)):
+            monkeypatch.setattr(R, "SIDE_BYTES", size)
+            monkeypatch.setattr(R, "BLOCK_DOCS", per)
+            df = search(R.prepare_questions(index, qs, group_col="kb_name", keyword=keyword))
+            if size == 150:
+                assert "_block" in df._jdf.queryExecution().optimizedPlan().toString()
+            got = sorted(map(tuple, df.select(*cols).collect()))
+            assert want is None or got == want
+            want = got

@@ -44,3 +44,30 @@ def test_json_or_text_and_summaries(spark):
     assert s[1][0] == "a: 1 | b: x"
     arr = spark.createDataFrame([("[1,2,3,4,5,6]",)], "t string").select(PL.summarise_json_array("t"))
     assert arr.first()[0] == "[6 items: 1, 2, 3, ...]"
+
+
+def test_summaries_know_json_types(spark):
+    rows = [('{"a": "true", "b": true, "c": null}', "a: true | b: True | c: None"),
+            ('["null", null, false, 1.50, "x"]', "null, None, False, 1.5, x"), ('"plain"', "plain"), ("true", "True"),
+            ("12", "12"), ("null", "None"), ('{"a": 1, "b": "[x]", "c": 2, "d": [1, 2]}', "• a: 1\n• b: [x]\n• c: 2\n• d: [1,2]"),
+            ("no json", None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [(r.t, r.got) for r in df.select("t", PL.summarise_json("t").alias("got")).collect()] == rows
+
+
+def test_payloads_of_another_type_fall_back(spark):
+    payloads = ["not json", '{"title":"x"}', "[1, 2]", None, '"text"', "z" * 600]
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, j string")
+    raw = {0: "Raw content: not json...", 3: "Raw content: ...", 4: "text", 5: "Raw content: " + "z" * 500 + "..."}
+    for flatten in (PL.flatten_issues, PL.flatten_pull_requests):
+        got = {r.id: r for r in flatten(df.where("id <> 2"), "j", ["id"]).collect()}
+        assert {i: r.fallback for i, r in got.items()} == {**raw, 1: "title: x"}
+        assert all(r.item_no is None and r.title is None for r in got.values())
+    got = {r.id: r.fallback for r in PL.flatten_repositories(df, "j", ["id"]).collect()}
+    assert got == {**raw, 1: "title: x", 2: "1, 2"}
+    got = {r.id: r.c for r in df.select("id", PL.created_item("j").alias("c")).collect()}
+    assert got[1].title == "x" and got[1].fallback is None and got[2].fallback == "1, 2" and got[0].title is None
+    got = {r.id: r.f for r in df.select("id", PL.file_contents("j").alias("f")).collect()}
+    assert {i: f.fallback for i, f in got.items()} == {**raw, 1: "title: x", 2: "1, 2"}
+    mixed = spark.createDataFrame([(1, '[{"title": "a"}]'), (2, "oops")], "id int, j string")
+    assert {(r.id, r.title) for r in PL.flatten_issues(mixed, "j", ["id"]).collect()} == {(1, "a"), (2, None)}
