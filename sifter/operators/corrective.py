@@ -9,13 +9,16 @@ its lineage with a reliable checkpoint each round.
 
 Hooks (Column functions, native by default):
 * router(question) -> boolean: retrieve (True) or answer directly (J15);
-* grader(top_score) -> boolean: relevant (J11), default score >= 0.7;
-* rewriter: default appends the 3 highest-idf terms of the top context that
-  the question lacks (J12).
+* grader(top_score) -> boolean: relevant (J11), default score >= 0.7; or
+  ``grade(question, contexts, top_score)``, which sees the retrieved texts (``docs`` has to be given);
+* rewriter(question, contexts) -> string: the new question (J12); the default appends the
+  ``rewrite_terms`` highest-idf terms of the top context that the question lacks.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +46,8 @@ def default_grader(top_score):
 
 
 def _rewrite(active: DataFrame, top_doc: DataFrame, index: DataFrame,
-             vocab: DataFrame, n_active: int) -> DataFrame:
-    """J12 default: question + the REWRITE_TERMS highest-idf terms of its top
+             vocab: DataFrame, n_active: int, n_terms: int = REWRITE_TERMS) -> DataFrame:
+    """J12 default: question + the ``n_terms`` highest-idf terms of its top
     context that the question does not contain (ties by term).
 
     Only the active questions' top documents are read from the index (a
@@ -60,7 +63,7 @@ def _rewrite(active: DataFrame, top_doc: DataFrame, index: DataFrame,
              .where(~F.array_contains("_qt", F.col("term"))).drop("_qt"))
     terms = vocab.join(bounded_broadcast(terms), "term")
     w = Window.partitionBy("query_id").orderBy(F.asc("df"), F.asc("term"))
-    picked = (terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= REWRITE_TERMS)
+    picked = (terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_terms)
               .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_t")))
     return (active.join(picked, "query_id", "left")
             .withColumn("question", F.when(F.col("_t").isNull(), F.col("question")).otherwise(
@@ -71,7 +74,9 @@ def _rewrite(active: DataFrame, top_doc: DataFrame, index: DataFrame,
 def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
                          max_retries: int = MAX_RETRIES, router=default_router,
                          grader=default_grader, q_id: str = "question_id",
-                         q_text: str = "question", stats: R.IndexStats | None = None) -> DataFrame:
+                         q_text: str = "question", stats: R.IndexStats | None = None,
+                         docs: DataFrame | None = None, grade=None, rewriter=None,
+                         rewrite_terms: int = REWRITE_TERMS) -> DataFrame:
     """``question_id, question (final), rounds, relevant, routed,
     trace, message_count, doc_ids`` (top-k of the last retrieval)."""
     state = questions.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("question"),
@@ -85,7 +90,9 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
     active = cut_lineage(routed.where(F.col("routed")).drop("routed")
                          .withColumn("trace", F.array().cast("array<string>")))
     finished = [direct]
-    stats = stats or R.index_stats(index)
+    if (grade or rewriter) and docs is None:
+        raise ValueError("grade and rewriter read the retrieved texts: pass docs")
+    stats = stats or (None if rewriter else R.index_stats(index))
     for rnd in range(max_retries + 1):
         n_active = active.count()
         if n_active == 0:
@@ -99,8 +106,16 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
             F.max("score").alias("top_score"),
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))),
                         lambda x: x["doc_id"]).alias("doc_ids"))
+        if docs is not None:  # at most k texts a question, looked up late
+            texts = docs.select("doc_id", F.col("text").alias("_t")).join(bounded_broadcast(top), "doc_id")
+            per_q = per_q.join(texts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(
+                F.struct("rank", "_t"))), lambda x: x["_t"]).alias("contexts")), "query_id", "left")
+        else:
+            per_q = per_q.withColumn("contexts", F.lit(None).cast("array<string>"))
+        verdict = (grade(F.col("question"), F.col("contexts"), F.col("top_score")) if grade
+                   else grader(F.col("top_score")))
         graded = (active.join(per_q, "query_id", "left")
-                  .withColumn("relevant", grader(F.col("top_score")))
+                  .withColumn("relevant", F.coalesce(verdict, F.lit(False)))
                   .withColumn("trace", F.concat("trace", F.array(F.lit(TRACE_RETRIEVE),
                                                                  F.lit(TRACE_GRADE)))))
         last = rnd == max_retries
@@ -112,9 +127,13 @@ def corrective_retrieval(index: DataFrame, questions: DataFrame, k: int = 5,
         if last:
             break
         todo = graded.where(~F.col("relevant"))
-        top_doc = top.where(F.col("rank") == 1).select("query_id", "doc_id")
-        rewritten = _rewrite(todo.select("query_id", "question", "original", "trace"), top_doc,
-                             index, stats.vocab, n_active)
+        if rewriter:
+            rewritten = todo.withColumn("question", F.coalesce(
+                rewriter(F.col("question"), F.col("contexts")), F.col("question")))
+        else:
+            top_doc = top.where(F.col("rank") == 1).select("query_id", "doc_id")
+            rewritten = _rewrite(todo.select("query_id", "question", "original", "trace"), top_doc,
+                                 index, stats.vocab, n_active, rewrite_terms)
         active = cut_lineage(rewritten.withColumn(
             "trace", F.concat("trace", F.array(F.lit(TRACE_REWRITE)))).select(
             "query_id", "question", "original", "trace"))
@@ -141,6 +160,37 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> D
         F.count(F.col("rank_a")).alias("n_a"), F.count(F.col("rank_b")).alias("n_b"))
 
 
+def timed(run) -> tuple[DataFrame, float]:
+    """A run's rows, computed and stored, and the seconds that took."""
+    began = time.time()
+    out = cut_lineage(run())
+    return out, time.time() - began
+
+
+def side_by_side(direct, corrective, questions: DataFrame, q_id: str = "question_id",
+                 q_text: str = "question") -> DataFrame:
+    """Two ways of answering the same questions, one row per question: ``question, direct_ids, corrective_ids,
+    overlap, rounds, steps, trace, direct_seconds, corrective_seconds`` (of the whole batch).
+
+    ``direct`` returns ranked rows (``query_id, rank, doc_id``), ``corrective`` the rows of
+    :func:`corrective_retrieval`; both are functions, so that each is timed.
+    """
+    a, a_seconds = timed(direct)
+    b, b_seconds = timed(corrective)
+    ids = a.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))),
+                                                lambda x: x["doc_id"]).alias("direct_ids"))  # k rows
+    none = F.array().cast(dict(b.dtypes)["doc_ids"])
+    return (questions.select(F.col(q_id).alias("query_id"), F.col(q_text).alias("question"))
+            .join(ids, "query_id", "left")
+            .join(b.select(F.col("question_id").alias("query_id"), "rounds", "trace", "doc_ids"), "query_id", "left")
+            .select("query_id", "question", F.coalesce("direct_ids", none).alias("direct_ids"),
+                    F.coalesce("doc_ids", none).alias("corrective_ids"),
+                    F.size(F.array_intersect(F.coalesce("direct_ids", none), F.coalesce("doc_ids", none))).alias("overlap"),
+                    "rounds", F.when(F.coalesce("trace", F.lit("")) == "", 0).otherwise(
+                        F.size(F.split("trace", " → "))).alias("steps"), "trace",
+                    F.lit(a_seconds).alias("direct_seconds"), F.lit(b_seconds).alias("corrective_seconds")))
+
+
 def default_questions(spark, n: int = 10) -> DataFrame:
     """The fixed list of generic questions, first n (the retrieval the
     reference runs before returning them is ignored, so none is run here)."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sifter.functions.text import name_slug
 from sifter.plans.sizing import bounded_broadcast, literal_dimension
 
 # Values keep their JSON type: a metric is a number, not a string that looks like one.
@@ -105,10 +106,16 @@ def best_performers(long: DataFrame, model_order: DataFrame | None = None,
 
 
 def metric_paths(long: DataFrame, prefix: str = "eval", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``prefix/task/metric`` names (``comparison/model/...`` with prefix)."""
+    """``prefix/task/metric`` names (:func:`comparison_paths` has the model in them)."""
     return long.select(*keep, F.concat_ws("/", F.lit(prefix), "task", "metric").alias("path"), "value")
 
 
+def comparison_paths(long: DataFrame) -> DataFrame:
+    """``comparison/{model}/{task}/{metric}`` with the model's name as a slug."""
+    return long.select("model", F.concat_ws("/", F.lit("comparison"), name_slug("model"), "task", "metric").alias("path"),
+                       "value")
+
+
 def final_metric_map(long: DataFrame) -> DataFrame:
     """Per model ``{task}_{metric} -> value`` sorted by key."""
     return long.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(

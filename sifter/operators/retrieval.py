@@ -181,17 +181,20 @@ def index_stats(index: DataFrame, params: BM25Params = BM25Params(),
     """Compute the term dictionary and global statistics once (reliable
     checkpoints), for callers that ask several question batches."""
     vocab = cut_lineage(document_frequency(index, group_col))
-    n = _per_group(corpus_stats(index, group_col), group_col, index)
+    return IndexStats(vocab, cut_lineage(with_floor(vocab, corpus_stats(index, group_col), params, group_col, index)))
+
+
+def with_floor(vocab: DataFrame, stats: DataFrame, params: BM25Params = BM25Params(), group_col: str | None = None,
+               index: DataFrame | None = None) -> DataFrame:
+    """``[group,] n_docs, avgdl, eps_idf`` from a term dictionary and ``[group,] n_docs, avgdl``."""
+    n = _per_group(stats.select(*_g(group_col), "n_docs"), group_col, index)
     mean_idf = ((vocab.join(n, group_col) if group_col else vocab.crossJoin(n))
                 .groupBy(*_g(group_col))
                 .agg(F.avg(_raw_idf(F.col("df"), F.col("n_docs"))).alias("mean_idf")))
-    stats = corpus_stats(index, group_col)
     joined = (stats.join(_per_group(mean_idf, group_col, index), group_col, "left") if group_col
               else stats.crossJoin(F.broadcast(mean_idf)))
-    glob = cut_lineage(joined.select(
-        *_g(group_col), "n_docs", "avgdl",
-        (F.lit(params.epsilon) * F.coalesce(F.col("mean_idf"), F.lit(0.0))).alias("eps_idf")))
-    return IndexStats(vocab, glob)
+    return joined.select(*_g(group_col), "n_docs", "avgdl",
+                         (F.lit(params.epsilon) * F.coalesce(F.col("mean_idf"), F.lit(0.0))).alias("eps_idf"))
 
 
 def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "question_id",

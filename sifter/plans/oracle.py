@@ -971,3 +971,10 @@ FROM whole JOIN benchmark b ON b.item_id = question_id"""
 SQL["keyword_topk"] = SQL["bm25_topk"]
 SQL["vector_topk_cells"] = SQL["vector_topk_dense"]
 SQL["hybrid_topk_threshold"] = SQL["hybrid_topk"]
+
+# A stream's statistics are those of one full build.
+SQL["stream_corpus_stats"] = SQL["corpus_stats"]
+
+SQL["comparison_paths"] = f"""WITH {_EV}
+SELECT model, 'comparison/' || replace(replace(model, '/', '_'), '-', '_') || '/' || task || '/' || metric AS path,
+       round(value, 6) AS value FROM lng"""

@@ -894,6 +894,26 @@ def q_stream_ingest(spark, sf):
         "kb_name", "doc_id", "chunk_ord", "chunk_id", "text", "chunk_size", "chunk_strategy")
 
 
+@register("stream_corpus_stats")
+def q_stream_corpus_stats(spark, sf):
+    """D10 kept by a stream of documents: the rows of corpus_stats from additive parts."""
+    schema = T.load(spark, sf, "documents").schema
+    docs = ST.table_stream(spark, sf, "documents.parquet", schema).select("doc_id", "text")
+    parts, ck = _stream_dirs(spark, "stream_statistics")
+    ST.statistics_stream(docs, parts, ck).awaitTermination()
+    stats = ST.read_statistics(spark, parts)
+    words = stats.vocab.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
+    return stats.glob.crossJoin(words).select(
+        F.col("n_docs").cast("bigint").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"),
+        F.round("eps_idf", 6).alias("eps_idf"), F.col("n_terms").cast("bigint").alias("n_terms"),
+        F.col("n_postings").cast("bigint").alias("n_postings"))
+
+
+@register("comparison_paths")
+def q_comparison_paths(spark, sf):
+    return RS.comparison_paths(_results_long(spark, sf)).withColumn("value", F.round("value", 6))
+
+
 @register("stream_metrics")
 def q_stream_metrics(spark, sf):
     events = T.load(spark, sf, "events")

@@ -28,6 +28,19 @@ def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
     return bool(fs.rename(s, d))
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder (none when it is absent)."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
+
+
+def escape_name(spark: SparkSession, name: str) -> str:
+    """A value as Spark writes it into a partition folder's name."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple:
     """(path, total length, newest modification time) of a file or folder."""
     fs, p = _fs(spark, path)

@@ -141,3 +141,34 @@ def test_parallelism_guard(spark):
     assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
     many = spark.range(100).repartition(8)
     assert ensure_parallelism(many, 4) is many  # already parallel: unchanged, no shuffle added
+
+
+def test_catalog_versions_names_and_counts(spark, tmp):
+    root = f"{tmp}/kbv"
+    cat = CAT.KnowledgeBaseCatalog(spark, root)
+    odd = "a/b=c: 100%"
+    cat.create(odd)
+    cat.create("plain")
+    schema = "kb_name string, doc_id bigint, chunk_ord int, chunk_id string, text string"
+    cat.ingest(spark.createDataFrame([(odd, 1, 0, "1#0", "t"), (odd, 1, 1, "1#1", "u"), (odd, 2, 0, "2#0", "v"),
+                                      ("plain", 3, 0, "3#0", "w")], schema))
+    rows = {r["name"]: r for r in cat.list().collect()}
+    assert rows[odd].document_count == 2 and rows["plain"].document_count == 1
+    assert rows[odd].updated_at > rows[odd].created_at
+    cat.ingest(spark.createDataFrame([("plain", 4, 0, "4#0", "w")], schema),
+               spark.createDataFrame([("plain", 4), ("plain", 5)], "kb_name string, doc_id bigint"))
+    again = {r["name"]: r for r in cat.list().collect()}
+    assert again["plain"].document_count == 3 and again[odd].updated_at == rows[odd].updated_at
+    assert cat.scan(odd).count() == 3
+    # A version without its success marker is not seen; a second writer of the same version fails.
+    version = cat._version()
+    cat.list().limit(0).write.json(f"{root}/catalog/version={version + 1}")
+    import os
+    os.remove(f"{root}/catalog/version={version + 1}/_SUCCESS")
+    assert {r["name"] for r in cat.list().collect()} == {odd, "plain"}
+    with pytest.raises(Exception, match="already exists"):
+        cat._commit(cat.list(), version)
+    import shutil
+    shutil.rmtree(f"{root}/catalog/version={version + 1}")
+    assert cat.delete(odd) and cat.scan(odd).count() == 0 and cat.scan("plain").count() == 2
+    assert [r["name"] for r in cat.list().collect()] == ["plain"]
