@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # one JVM; local-cluster has executors of its own
             # A machine-local folder would not survive executor loss.
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store)")
         conf_dir = tempfile.mkdtemp(prefix="sifter-ckpt-")
