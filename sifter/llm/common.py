@@ -74,14 +74,14 @@ class WordHashes(dict):
     """Word (bytes) -> 64-bit xxhash as a signed integer, kept for words seen
     before. At ``limit`` words it starts anew, so a worker's memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 400_000, seed: int = 0):
         super().__init__()
-        self.limit = limit
+        self.limit, self.seed = limit, seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word, self.seed)
         h -= (h >> 63) << 64
         self[word] = h
         return h

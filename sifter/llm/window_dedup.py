@@ -15,11 +15,13 @@ Counting in Spark without a shuffled row per window:
 2. Entries travel as packed columns (hash bytes by significance, document, position), one
    row per chunk and hash range. The task that owns a range sorts its hashes,
    finds the smallest document of each, and returns the windows of the others.
-3. Repeated positions go back to their documents; a running count of open
+3. The windows found, and the first ones they were found with, are counted once more, by the other polynomial (the
+   first one is the check now). Only what both rounds find is repeated.
+4. Repeated positions go back to their documents; a running count of open
    windows turns them into maximal intervals.
 
-Two windows are the same when the 64-bit polynomial and an 8-bit check of another
-polynomial agree: 72 bits in all.
+In each round two windows are the same when a 64-bit polynomial over independent word hashes and an 8-bit check of the other
+polynomial agree. A window is removed wrongly only if it collides in both rounds: 144 bits in all.
 
 Defined results: null text has no words; texts shorter than ``width`` have no
 window and stay; a null ``doc_id`` ranks below every other id; repeated
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.llm.common import WordHashes, mix64, stored
+from sifter.llm.common import WordHashes, mix64, prefiltered, stored
 
 WIDTH = 50
 CHUNK = 400_000       # windows a task sorts at once
@@ -51,8 +53,13 @@ NULL_ID = -(2 ** 63)
 _WORKER: dict[str, WordHashes] = {}  # kept by a Python worker between tasks
 
 
-def _word_hashes() -> WordHashes:
-    return _WORKER.setdefault("words", WordHashes())
+def _word_hashes(again: bool) -> WordHashes:
+    """Hashes of a round's own seed; a worker keeps one round's."""
+    name = f"words{again:d}"
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = WordHashes(seed=int(again))
+    return _WORKER[name]
 
 
 class _Powers:
@@ -98,15 +105,16 @@ def _unplanes(raw: bytes, n: int, n_bytes: int) -> np.ndarray:
 
 
 PACKED = ("range_id bigint, n bigint, hashes binary, checks binary, owners binary, "
-          "positions binary, docs binary, settled boolean")
+          "positions binary, docs binary, settled boolean, first boolean")
 _SCHEMA = pa.schema([("range_id", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()),
                      ("checks", pa.binary()), ("owners", pa.binary()),
-                     ("positions", pa.binary()), ("docs", pa.binary()), ("settled", pa.bool_())])
+                     ("positions", pa.binary()), ("docs", pa.binary()), ("settled", pa.bool_()),
+                     ("first", pa.bool_())])
 
 
-def _smallest(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal (hash, check) together and, in that order,
-    the group's smallest doc."""
+def _smallest(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal (hash, check) together and, in that order, whether a smaller doc holds the
+    window (gone), and whether it is the smallest doc's of one that others hold (lead)."""
     order = np.argsort(h)
     hs, cs = h[order], c[order]
     same = hs[1:] == hs[:-1]
@@ -115,23 +123,26 @@ def _smallest(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
         hs, cs = h[order], c[order]
         same = (hs[1:] == hs[:-1]) & (cs[1:] == cs[:-1])
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
-    least = np.minimum.reduceat(doc[order], starts)
-    return order, np.repeat(least, np.diff(np.append(starts, len(h))))
+    sizes = np.diff(np.append(starts, len(h)))
+    gone = doc[order] > np.repeat(np.minimum.reduceat(doc[order], starts), sizes)
+    return order, gone, ~gone & np.repeat(np.logical_or.reduceat(gone, starts), sizes)
 
 
-def _hashed(width: int, ranges: int):
+def _hashed(width: int, ranges: int, again: bool, hash_bits: int = 64):
+    """Windows of documents -> packed rows. ``again``: the second round, over the given starts, with the polynomials'
+    parts exchanged. Fewer ``hash_bits`` make collisions, for tests."""
     def emit(docs, h, c, owner, position) -> Iterator[pa.RecordBatch]:
         """One chunk: settled windows, then a packed row per range."""
         ids = np.array([d for d, _ in docs], np.int64)
-        order, least = _smallest(h, c, ids[owner])
+        order, gone, lead = _smallest(h, c, ids[owner])
         owner, position, h, c = owner[order], position[order], h[order], c[order]
-        gone = ids[owner] > least
         table = np.array(docs, np.int64).reshape(-1, 2)
         cut = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         bounds = np.searchsorted(cut, np.arange(ranges + 1, dtype=np.uint64))
-        rows = [_row(int(i) % ranges, True, table, owner[gone][lo:lo + CHUNK // 8],
-                     position[gone][lo:lo + CHUNK // 8], None, None)
-                for i, lo in enumerate(range(0, int(gone.sum()), CHUNK // 8))]
+        rows, step = [], CHUNK // 8
+        for first, some in ((False, gone), (True, lead)):
+            rows += [_row(int(i) % ranges, True, table, owner[some][lo:lo + step], position[some][lo:lo + step],
+                          None, None, first) for i, lo in enumerate(range(0, int(some.sum()), step))]
         for r in range(ranges):
             lo, hi = bounds[r], bounds[r + 1]
             on = ~gone[lo:hi]
@@ -142,20 +153,27 @@ def _hashed(width: int, ranges: int):
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_hashes()
+        words = _word_hashes(again)
         docs, parts, size = [], [], 0
         for b in batches:
-            for k, v, text in zip(b.column("k").to_pylist(), b.column("v").to_pylist(),
-                                  b.column("text").cast(pa.binary())):
+            picked = b.column("starts") if again else [None] * b.num_rows
+            for k, v, text, starts in zip(b.column("k").to_pylist(), b.column("v").to_pylist(),
+                                          b.column("text").cast(pa.binary()), picked):
                 w = words.of((text.as_py() or b"").split())
-                h = rolling_hashes(w, width, _POWERS[0])
-                c = (rolling_hashes(w, width, _POWERS[1]) >> np.uint64(56)).astype(np.uint8)
+                h = rolling_hashes(w, width, _POWERS[again])
+                c = (rolling_hashes(w, width, _POWERS[not again]) >> np.uint64(56)).astype(np.uint8)
+                if hash_bits < 64:
+                    h, c = h >> np.uint64(64 - hash_bits) << np.uint64(64 - hash_bits), c * 0
+                place = np.arange(len(h), dtype=np.int32)
+                if starts is not None:
+                    at = starts.values.to_numpy(zero_copy_only=False)
+                    place = np.unique(np.where(at < 0, -1 - at, at)).astype(np.int32)
+                    h, c = h[place], c[place]
                 for at in range(0, len(h), CHUNK):
                     docs.append((k, v))
                     n = len(h[at:at + CHUNK])
                     parts.append((h[at:at + CHUNK], c[at:at + CHUNK],
-                                  np.full(n, len(docs) - 1, np.int32),
-                                  np.arange(at, at + n, dtype=np.int32)))
+                                  np.full(n, len(docs) - 1, np.int32), place[at:at + CHUNK]))
                     size += n
                     if size >= CHUNK:
                         yield from emit(docs, *map(np.concatenate, zip(*parts)))
@@ -166,11 +184,11 @@ def _hashed(width: int, ranges: int):
     return run
 
 
-def _row(range_id, settled, table, owner, position, h, c) -> dict:
-    """A packed row; documents are numbered anew, in order of first use."""
+def _row(range_id, settled, table, owner, position, h, c, first=False) -> dict:
+    """A packed row; documents are numbered anew, in order of first use. ``first``: leads, not repeated windows."""
     used, owner = np.unique(owner, return_inverse=True)
     wide = 2 if len(used) <= 2 ** 16 else 4
-    return {"range_id": range_id, "n": len(owner), "settled": settled,
+    return {"range_id": range_id, "n": len(owner), "settled": settled, "first": first,
             "hashes": None if h is None else _planes(h, 8),
             "checks": None if c is None else c.tobytes(),
             "owners": bytes([wide]) + _planes(owner.astype(np.uint64), wide),
@@ -187,7 +205,7 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
 
 
 def _packed(k: np.ndarray, v: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
-    """Repeated window starts as one row of three lists."""
+    """Window starts as one row of three lists; -1 - start for a lead."""
     lists = [pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), pa.array(x))
              for x in (k, v, position.astype(np.int32))]
     return pa.RecordBatch.from_arrays(lists, names=["k", "v", "start"])
@@ -206,9 +224,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         position = np.concatenate([_unpack(r["positions"], r["n"]) for r in rows])
         h = np.concatenate([_unplanes(r["hashes"], r["n"], 8) for r in rows])
         c = np.concatenate([np.frombuffer(r["checks"], np.uint8) for r in rows])
-        order, least = _smallest(h, c, table[owner, 0])
-        gone = order[table[owner[order], 0] > least]
-        return table[owner[gone], 0], table[owner[gone], 1], position[gone]
+        order, gone, lead = _smallest(h, c, table[owner, 0])
+        start = np.where(gone, position[order], -1 - position[order])
+        some = gone | lead
+        kept = order[some]
+        return table[owner[kept], 0], table[owner[kept], 1], start[some]
 
     pending, now = [], None
     for b in batches:
@@ -216,8 +236,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = {name: b.column(name)[i].as_py() for name in b.schema.names}
             if r["settled"]:
                 table = np.frombuffer(r["docs"], np.int64).reshape(-1, 2)
-                owner = _unpack(r["owners"], r["n"])
-                yield _packed(table[owner, 0], table[owner, 1], _unpack(r["positions"], r["n"]))
+                owner, start = _unpack(r["owners"], r["n"]), _unpack(r["positions"], r["n"])
+                yield _packed(table[owner, 0], table[owner, 1], -1 - start if r["first"] else start)
                 continue
             if pending and r["range_id"] != now:
                 k, v, position = judged(pending)
@@ -239,20 +259,31 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64("text").alias("v"))
 
 
+def _found(rows: DataFrame, windows: int, width: int, per_range: int, again: bool, hash_bits: int = 64) -> DataFrame:
+    """One round: ``k, v, starts`` of the documents with repeated windows or leads (-1 - start)."""
+    ranges = max(1, min(2 ** 31, -(-windows // per_range)))
+    packed = rows.mapInArrow(_hashed(width, int(ranges), again, hash_bits), PACKED)
+    # A few ranges a task, however many there are.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-ranges // RANGES_A_TASK)))
+    found = (packed.repartition(tasks, "range_id").sortWithinPartitions("range_id")
+             .mapInArrow(_judge, "k array<bigint>, v array<bigint>, start array<int>"))
+    return stored(stored(found, "windows").select(F.inline(F.arrays_zip("k", "v", "start")))
+                  .groupBy("k", "v").agg(F.collect_set("start").alias("starts")), "marks")
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     width: int = WIDTH, per_range: int = PER_RANGE) -> DataFrame:
+                     width: int = WIDTH, per_range: int = PER_RANGE, hash_bits: int = 64) -> DataFrame:
     """``k, v, starts``: word positions at which a repeated window starts, one
     row per document (id and text hash) that has any."""
-    rows = _rows(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col).select("k", "v", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, min(2 ** 31, -(-size // (CHARS_PER_WORD * per_range))))
-    packed = rows.select("k", "v", "text").mapInArrow(_hashed(width, int(ranges)), PACKED)
-    # A few ranges a task, however many there are.
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-ranges // RANGES_A_TASK)))
-    found = (packed.repartition(tasks, "range_id").sortWithinPartitions("range_id")
-             .mapInArrow(_judge, "k array<bigint>, v array<bigint>, start array<int>"))
-    return (stored(found, "windows").select(F.inline(F.arrays_zip("k", "v", "start")))
-            .groupBy("k", "v").agg(F.collect_set("start").alias("starts")))
+    once = _found(rows, -(-size // CHARS_PER_WORD), width, per_range, False, hash_bits)
+    left = once.agg(F.sum(F.size("starts"))).first()[0] or 0
+    some = prefiltered(rows, once.select("k", "v"), "k", "v").join(once, ["k", "v"])
+    twice = _found(some, left, width, per_range, True)
+    both = once.join(twice.withColumnRenamed("starts", "others"), ["k", "v"]).select(
+        "k", "v", F.array_intersect(F.filter("starts", lambda x: x >= 0), "others").alias("starts"))
+    return both.filter(F.size("starts") > 0)
 
 
 def _remove(width: int):

@@ -646,6 +646,25 @@ def test_window_dedup(edge, monkeypatch, width, per_range, chunk):
     assert window_dedup.window_dedup(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [2, 6, 10])
+def test_window_dedup_survives_collisions_of_a_round(spark, bits):
+    """With so few bits nearly every window of the first round collides with others; the second round clears them."""
+    rng = np.random.default_rng(bits)
+    shared = words(30, 77)
+    rows = [(i, " ".join([words(int(rng.integers(0, 40)), 900 + i), shared if i % 3 else "", words(20, 950 + i)]))
+            for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    true = {(r.k, s) for r in window_dedup.repeated_windows(docs, width=10).collect() for s in r.starts}
+    got = {(r.k, s) for r in window_dedup.repeated_windows(docs, width=10, hash_bits=bits).collect() for s in r.starts}
+    seen, want = {}, set()
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 9):
+            if seen.setdefault(tuple(w[j:j + 10]), i) < i:
+                want.add((i, j))
+    assert want and true == want and got == want
+
+
 # the pipeline ----------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
