@@ -176,8 +176,8 @@ def _format_line(line: Column) -> Column:
         .otherwise(strip_links(line))))
 
 
-def format_markdown(text) -> Column:
-    """Line-by-line markdown tidy-up with a 100-line cap and note."""
+def format_markdown(text, most_lines: int = LINE_CAP) -> Column:
+    """Line-by-line markdown tidy-up, capped at ``most_lines`` with a note (the reference's display has 100)."""
     raw = _c(text)
 
     def body(c):
@@ -187,11 +187,11 @@ def format_markdown(text) -> Column:
 
         def cap(all_lines):
             n = F.size(all_lines)
-            return F.when(n > LINE_CAP, F.array_join(F.concat(
-                F.slice(all_lines, 1, LINE_CAP),
+            return F.when(n > most_lines, F.array_join(F.concat(
+                F.slice(all_lines, 1, most_lines),
                 F.array(F.lit(TRUNCATION_NOTE),
                         F.concat(F.lit("📊 Total: "), n.cast("string"),
-                                 F.lit(f" lines, showing first {LINE_CAP}")))), "\n")
+                                 F.lit(f" lines, showing first {most_lines}")))), "\n")
             ).otherwise(F.array_join(all_lines, "\n"))
 
         return let(F.split(joined, "\n", -1), cap)

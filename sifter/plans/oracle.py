@@ -230,7 +230,7 @@ def STRIP(expr: str) -> str:
 _PAIRS = """
 pairs AS (SELECT u.conv_id, u.turn, u.role, u.text, n.role AS next_role, n.text AS next_text, s.system_text
   FROM conversations u JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
-  LEFT JOIN (SELECT conv_id, max(text) AS system_text FROM conversations WHERE role = 'system' GROUP BY conv_id) s
+  LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS system_text FROM conversations WHERE role = 'system' GROUP BY conv_id) s
     ON s.conv_id = u.conv_id
   WHERE u.role = 'user' AND n.role = 'assistant')"""
 

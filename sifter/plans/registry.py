@@ -266,7 +266,8 @@ def _turn_pairs(spark, sf) -> DataFrame:
     nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"),
                       F.col("role").alias("next_role"), F.col("text").alias("next_text"))
     system = (conv.where(F.col("role") == "system").groupBy("conv_id")
-              .agg(F.max("text").alias("system_text")))
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
+                                            lambda m: m["text"]), "\n").alias("system_text")))
     pairs = (conv.where(F.col("role") == "user").join(nxt, ["conv_id", "turn"])
              .where(F.col("next_role") == "assistant"))
     return pairs.join(system, "conv_id", "left").select(
