@@ -9,7 +9,7 @@ group is ever collected whole except bounded dimensions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sifter.functions.text import name_slug
@@ -175,13 +175,26 @@ def last_values(log: DataFrame, run_col: str, order_col: str, name_col: str,
         F.max(order_col).alias("last_step"))
 
 
-def run_summary(log: DataFrame, run_col: str, ts_col: str, value_col: str) -> DataFrame:
-    """Duration (seconds), number of logged values, final value."""
+def run_summary(log: DataFrame, run_col: str, ts_col: str, value_col: str, order_col: str | None = None) -> DataFrame:
+    """Duration (seconds), number of logged values, final value (by ``order_col`` where times may be equal)."""
     return log.groupBy(run_col).agg(
         ((F.max(F.unix_micros(F.col(ts_col).cast("timestamp")))
           - F.min(F.unix_micros(F.col(ts_col).cast("timestamp")))) / 1e6).alias("duration_sec"),
         F.count(F.lit(1)).alias("n_values"),
-        F.max_by(value_col, ts_col).alias("final_value"))
+        F.max_by(value_col, order_col or ts_col).alias("final_value"))
+
+
+def allow_list(rows: DataFrame, allowed: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``col`` is in the list ``allowed`` (a semi join), and the listed names that no row has."""
+    names = allowed.select(col).distinct()
+    return (rows.join(bounded_broadcast(names), col, "left_semi").select(*rows.columns),
+            names.join(rows.select(col).distinct(), col, "left_anti"))
+
+
+def listing(rows: DataFrame, col: str) -> DataFrame:
+    """the distinct values in order, with their place (distinct names of a catalog: one small sort)."""
+    names = rows.select(col).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(col))).orderBy("place")
 
 
 def latency_stats(runs: DataFrame, model_col: str = "model", time_col: str = "total_time",

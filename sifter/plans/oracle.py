@@ -978,3 +978,10 @@ SQL["stream_corpus_stats"] = SQL["corpus_stats"]
 SQL["comparison_paths"] = f"""WITH {_EV}
 SELECT model, 'comparison/' || replace(replace(model, '/', '_'), '-', '_') || '/' || task || '/' || metric AS path,
        round(value, 6) AS value FROM lng"""
+
+SQL["allowed_task_results"] = f"""WITH {_EV}, asked(task) AS (VALUES ('hellaswag'), ('mmlu'), ('gsm8k'), ('piqa'))
+SELECT model, task, metric, round(value, 6) AS value FROM lng WHERE task IN (SELECT task FROM asked)
+UNION ALL SELECT NULL, task, NULL, NULL FROM asked WHERE task NOT IN (SELECT task FROM lng)"""
+
+SQL["task_listing"] = f"""WITH {_EV}
+SELECT task, CAST(row_number() OVER (ORDER BY task) AS INTEGER) AS place FROM (SELECT DISTINCT task FROM lng)"""

@@ -451,11 +451,28 @@ def q_metric_last_value(spark, sf):
 @register("run_duration")
 def q_run_duration(spark, sf):
     e = _events(spark, sf).withColumn("step", F.struct("ts", "event_id"))
-    r = e.groupBy("user_id").agg(
-        F.round((F.max(F.unix_micros(F.col("ts").cast("timestamp")))
-                 - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6, 6).alias("duration_sec"),
-        F.count(F.lit(1)).alias("n_values"), F.max_by("value", "step").alias("final_value"))
-    return r
+    r = RS.run_summary(e, "user_id", "ts", "value", "step")
+    return r.select("user_id", F.round("duration_sec", 6).alias("duration_sec"), "n_values", "final_value")
+
+
+# A list of tasks somebody asks for: three that have results, one that has none.
+ASKED_TASKS = ["hellaswag", "mmlu", "gsm8k", "piqa"]
+
+
+@register("allowed_task_results")
+def q_allowed_task_results(spark, sf):
+    """The results of the tasks on a list, and the listed tasks without any."""
+    asked = T.literal_names(spark, "task", ASKED_TASKS)
+    found, missing = RS.allow_list(_results_long(spark, sf), asked, "task")
+    return found.select("model", "task", "metric", F.round("value", 6).alias("value")).unionByName(
+        missing.select(F.lit(None).cast("string").alias("model"), "task", F.lit(None).cast("string").alias("metric"),
+                       F.lit(None).cast("double").alias("value")))
+
+
+@register("task_listing")
+def q_task_listing(spark, sf):
+    """tasks with results, in order."""
+    return RS.listing(_results_long(spark, sf), "task")
 
 
 @register("latency_stats")

@@ -20,6 +20,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_parallelism(df) if name in _ROW_HEAVY else df
 
 
+def literal_names(spark: SparkSession, col: str, names: list[str]) -> DataFrame:
+    """A request: names that a user types, as a table of one column."""
+    return spark.createDataFrame([(n,) for n in names], f"{col} string")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 
