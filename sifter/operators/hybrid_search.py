@@ -28,7 +28,7 @@ from sifter.operators import keyword_index as KI
 from sifter.operators import retrieval as R
 from sifter.operators import vector_index as VI
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
-from sifter.session import cut_lineage, materialize
+from sifter.session import cut_lineage, discard, materialize
 
 FIRST_DEPTH = 64
 GROWTH = 8
@@ -166,7 +166,8 @@ def search(hindex: HybridIndex, qside: DataFrame, k: int = R.DEFAULT_TOP_K, alph
             (F.lit(alpha) == 0.0) | (F.col("_v") <= F.col("sem_min")))
         enough = (F.col("_nk") >= k) & ((F.col("_kth") > F.col("most") + MARGIN) | (floor & F.lit(k <= KI.FIRST_IDS)))
         state = cut_lineage(state.select(*keys, F.coalesce(seen_all | enough, F.lit(False)).alias("over")))
-        done.append(top.join(state.where("over"), keys, "left_semi"))
+        done.append(cut_lineage(top.join(state.where("over"), keys, "left_semi")))
+        discard(words, near, scored, top)  # the round's finished rows and states are stored
         n_open = state.where(~F.col("over")).count()
         if n_open == 0 or depth >= largest:
             break

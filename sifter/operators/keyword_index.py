@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sifter.operators import retrieval as R
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
-from sifter.session import cut_lineage, materialize, materialize_clustered
+from sifter.session import cut_lineage, discard, materialize, materialize_clustered
 
 BLOCK_DOCS = 8          # small blocks: bounds of many documents together say little
 IDLE_SHARE = 0.3        # idle terms may reach this share of the threshold; the rest prunes documents
@@ -219,12 +219,11 @@ def search(kindex: KeywordIndex, qside: DataFrame, k: int = R.DEFAULT_TOP_K, fil
     scored = _added(kindex, weak_terms, left, keys)
     hits = R.top_k(scored.withColumn("score", F.col("raw")), k, part_col=keys).select(
         *keys, "rank", "doc_id", "score", "raw")
-    work = touched.groupBy(*keys).agg(F.count(F.lit(1)).alias("touched_pairs")).join(
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("scored_pairs")), keys, "left").fillna(0)
-    if not fill:
-        return KeywordResult(hits, work)
+    work = cut_lineage(touched.groupBy(*keys).agg(F.count(F.lit(1)).alias("touched_pairs")).join(
+        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("scored_pairs")), keys, "left").fillna(0))
     hits = R._keep_bound(cut_lineage(hits), qside)
-    return KeywordResult(_filled(kindex, qside, hits, k, keys), work)
+    discard(touched, left, kindex.blocks)  # the search's own tables: ranks and counts are stored
+    return KeywordResult(_filled(kindex, qside, hits, k, keys) if fill else hits, work)
 
 
 def _filled(kindex: KeywordIndex, qside: DataFrame, hits: DataFrame, k: int, keys: list[str]) -> DataFrame:

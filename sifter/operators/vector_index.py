@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sifter.functions.vectors import dense_entries, dot, entries_dot_dense, l2_normalize
 from sifter.operators import retrieval as R
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
-from sifter.session import cut_lineage, materialize, materialize_clustered
+from sifter.session import cut_lineage, discard, materialize, materialize_clustered
 
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 64
@@ -102,6 +102,7 @@ def build_vector_index(index: DataFrame, group_col: str | None = None, centroids
     salted = rows.join(crowded, g + ["cell", "ring"], "left").withColumn(
         "salt", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.coalesce("_salts", F.lit(1))).cast("int"))
     vectors = materialize_clustered(salted.drop("_salts"), "vector_cells", ["cell", "ring", "salt"])
+    discard(rows)
     n_parts = parts.agg(F.sum("salts")).first()[0] or 0
     return VectorIndex(vectors, parts, centroids, group_col, len(held), n_parts)
 

@@ -82,9 +82,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete intermediate tables written by :func:`materialize` once nothing reads them any more: all that
-    was derived from them has to be stored itself."""
+    """Delete intermediate tables written by :func:`materialize` or :func:`materialize_clustered` once nothing
+    reads them any more: all that was derived from them has to be stored itself."""
     for table in tables:
+        name = getattr(table, "_sifter_table", None)
+        if name:
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
         path = getattr(table, "_sifter_path", None)
         if path:
             jvm, spark = table.sparkSession._jvm, table.sparkSession
@@ -118,6 +121,8 @@ def materialize_clustered(df: DataFrame, name: str, keys: list[str], buckets: in
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
-    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
-     .option("path", scratch_path(spark, table)).saveAsTable(table))
-    return spark.table(table)
+    path = scratch_path(spark, table)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._sifter_path, out._sifter_table = path, table  # type: ignore[attr-defined]
+    return out
