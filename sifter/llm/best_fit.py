@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from sifter.llm.common import stored
+from sifter.llm.common import kept, stored, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -90,17 +90,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_WORKER: dict[str, WordIds] = {}  # one per tokenizer in a Python worker
-
-
 def _cutter(definition, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORKER.get(definition.value)
-        if words is None:
-            _WORKER.clear()
-            words = _WORKER[definition.value] = WordIds(definition.value)
+        words = kept(f"ids {hash(definition.value)}", lambda: WordIds(definition.value))
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(),
@@ -116,7 +110,7 @@ def _cutter(definition, capacity: int, end_id: int, with_ids: bool):
             if out:
                 yield _pieces(out, with_ids)
 
-    return cut
+    return tidy(cut)
 
 
 def _pieces(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
@@ -192,7 +186,7 @@ def _packer(capacity: int, open_bins: int):
                 [*rest.columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
                 names=[*rest.schema.names, "sequence_id", "offset"])
 
-    return pack
+    return tidy(pack)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,

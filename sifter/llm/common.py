@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -54,6 +55,40 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, upper, low))
 
 
+_KEPT: dict = {}
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _TRIM = None
+
+
+def kept(name: str, make):
+    """An object that a Python worker keeps between tasks. It goes when another one is asked for, so a worker that
+    has served several operators holds the last one's table alone."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Give unused memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run):
+    """An Arrow function that gives memory back at the end of its task: workers live on, and their sizes add up."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 BLOOM_BITS = 1 << 26
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sifter.llm.common import slices
+from sifter.llm.common import release, slices
 
 PER_LANGUAGE = 3_000
 MAX_LANGUAGES = 500
@@ -319,6 +319,7 @@ def language_of(text: Column, model: LanguageModel, spark,
             column = column.combine_chunks()
         parts = [_identify(column.slice(lo, hi - lo), shipped.value, penalty)
                  for lo, hi in slices(column, SLICE_BYTES)]
+        release()
         return pa.concat_arrays(parts) if parts else _identify(column, shipped.value, penalty)
 
     return identify(text)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sifter.llm.common import WordHashes, mix64, prefiltered, stored
+from sifter.llm.common import WordHashes, kept, mix64, prefiltered, stored, tidy
 
 WIDTH = 3
 PERCENT = 85
@@ -53,7 +53,6 @@ BANDS, ROWS = 24, 5
 NULL_ID = 2 ** 63 - 1  # ranks behind every other id
 KEY = "struct<id:bigint,h:bigint>"
 _BLOCK = 8192
-_WORKER: dict[str, WordHashes] = {}  # kept by a Python worker between tasks
 
 
 def shingles(text: bytes, width: int, words: WordHashes) -> np.ndarray:
@@ -90,7 +89,7 @@ def _signer(width: int, bands: int, rows: int):
     number = np.arange(bands, dtype=np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORKER.setdefault("words", WordHashes())
+        words = kept("words", WordHashes)
         for b in batches:
             n, d1, d2, keys = [], [], [], []
             for text in b.column("text").cast(pa.binary()):
@@ -114,12 +113,12 @@ def _signer(width: int, bands: int, rows: int):
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
                 names=["k", "n", "d1", "d2", "bands"])
 
-    return sign
+    return tidy(sign)
 
 
 def _setter(width: int):
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORKER.setdefault("words", WordHashes())
+        words = kept("words", WordHashes)
         for b in batches:
             sets = [shingles(t.as_py() or b"", width, words).view(np.int64)
                     for t in b.column("text").cast(pa.binary())]
@@ -129,7 +128,7 @@ def _setter(width: int):
                 [b.column("k"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=["k", "shingles"])
 
-    return collect
+    return tidy(collect)
 
 
 def _are_stars(edges: DataFrame) -> bool:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from sifter.llm.common import slices
+from sifter.llm.common import kept, slices, tidy
 
 MARKER = "▁"
 TABLE_LIMIT = 250_000
@@ -120,15 +120,9 @@ class ChunkTable:
         return b"".join(p[0] for p in parts), "".join(p[1] for p in parts)[1:]
 
 
-_WORKER: dict[bytes, ChunkTable] = {}  # one model a Python worker
-
-
 def _coder(model):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.value not in _WORKER:
-            _WORKER.clear()
-            _WORKER[model.value] = ChunkTable(model.value)
-        table = _WORKER[model.value]
+        table = kept(f"pieces {hash(model.value)}", lambda: ChunkTable(model.value))
         for batch in batches:
             for at, to in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(at, to - at)
@@ -141,7 +135,7 @@ def _coder(model):
                      pa.array([c[1] for c in coded], pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return code
+    return tidy(code)
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
