@@ -28,7 +28,7 @@ so further columns cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifter.llm.common import ascii_lower, prefiltered, stored
@@ -55,14 +55,11 @@ def _slot(depth) -> F.Column:
 
 def build_entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   hash_bits: int = 64) -> DataFrame:
-    """Step 1: one row per distinct text: ``h, text_sha256, keep_id, group_size, chained`` (the text where its
-    hash has several)."""
+    """Step 1: one row per distinct text: ``h, text_sha256, keep_id, group_size``."""
     found = (_keyed(docs, id_col, text_col, hash_bits).groupBy("h", "norm")
              .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    chain = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    return stored(found.withColumn("n_chain", chain).select(
-        "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size",
-        F.when(F.col("n_chain") > 1, F.col("norm")).alias("chained")), "exact-entries")
+    return stored(found.select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"),
+                  "exact-entries")
 
 
 def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -127,19 +124,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = _keyed(docs, id_col, text_col, hash_bits)
     rows = stored(with_bucket(keyed.select("doc_id", "h"), leaves), "exact-rows")
     key, found = ["bucket_depth", "bucket", "h"], ["keep_id", "group_size", "text_sha256"]
-    single = index.filter("chained is null").select(*key, *found)
+    chained = stored(index.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "exact-chains")
+    single = index.join(chained, "h", "left_anti").select(*key, *found)
     large = F.col("group_size") * LARGE_SHARE >= F.lit(rows.count())
     # At most LARGE_SHARE entries can hold that share of the rows.
     met = rows.join(F.broadcast(single.filter(large)), key, "left")
     out = (met.filter("group_size is not null").select("doc_id", *key, *found)
            .unionByName(met.filter("group_size is null").select("doc_id", *key)
                         .join(single.filter(~large), key).select("doc_id", *key, *found)))
-    chains = index.filter("chained is not null")
-    if not chains.isEmpty():
+    if not chained.isEmpty():
         # Only rows whose hash has a chain are compared, by their text.
-        some = with_bucket(prefiltered(keyed, chains.select("h").distinct(), "h"), leaves)
-        out = out.unionByName(
-            some.withColumnRenamed("norm", "chained").join(chains, [*key, "chained"]).select("doc_id", *key, *found))
+        some = with_bucket(prefiltered(keyed, chained, "h").join(chained, "h"), leaves)
+        texts = some.select("h", "norm").distinct().withColumn("text_sha256", F.sha2("norm", 256))
+        chains = index.join(texts, ["h", "text_sha256"]).select(*key, "norm", *found)
+        out = out.unionByName(some.join(chains, [*key, "norm"]).select("doc_id", *key, *found))
     return out.select("doc_id", "keep_id", "group_size",
                       F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                       "text_sha256", "bucket_depth", "bucket")

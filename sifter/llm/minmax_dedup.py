@@ -53,6 +53,7 @@ BANDS, ROWS = 24, 5
 NULL_ID = 2 ** 63 - 1  # ranks behind every other id
 KEY = "struct<id:bigint,h:bigint>"
 _BLOCK = 8192
+WORDS_KEPT = 200_000   # hashes of words that a worker keeps
 
 
 def shingles(text: bytes, width: int, words: WordHashes) -> np.ndarray:
@@ -89,7 +90,7 @@ def _signer(width: int, bands: int, rows: int):
     number = np.arange(bands, dtype=np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept("words", WordHashes)
+        words = kept("words", lambda: WordHashes(WORDS_KEPT))
         for b in batches:
             n, d1, d2, keys = [], [], [], []
             for text in b.column("text").cast(pa.binary()):
@@ -118,7 +119,7 @@ def _signer(width: int, bands: int, rows: int):
 
 def _setter(width: int):
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept("words", WordHashes)
+        words = kept("words", lambda: WordHashes(WORDS_KEPT))
         for b in batches:
             sets = [shingles(t.as_py() or b"", width, words).view(np.int64)
                     for t in b.column("text").cast(pa.binary())]
