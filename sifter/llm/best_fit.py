@@ -38,7 +38,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 64
 PER_SHARD = 20_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 # Words of printable ASCII and accented Latin letters need no Unicode
 # normalisation; they split by the tokenizer file's own pattern.
@@ -104,7 +104,7 @@ def _cutter(definition, capacity: int, end_id: int, with_ids: bool):
                     part = ids[at:at + 4 * capacity]
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part),
                                 part if with_ids else None))
-                if len(out) >= 20_000:
+                if len(out) >= 5_000:
                     yield _pieces(out, with_ids)
                     out = []
             if out:

@@ -43,8 +43,8 @@ WORST = -6.0        # a word says no more than this against a language
 EXCLUDED = -30.0    # the word's script is not one of the language
 SCRIPT_SHARE = 0.005
 PACK_CELLS = 6_000_000
-SLICE_BYTES = 4_000_000   # text a task works on at once
-WORD_BLOCK = 50_000       # distinct words whose n-grams are held at once
+SLICE_BYTES = 1_500_000   # text a task works on at once
+WORD_BLOCK = 20_000       # distinct words whose n-grams are held at once
 UNKNOWN = "und"
 RESULT = "lang string, score double, spans array<struct<lang:string,first:int,words:int>>"
 
