@@ -248,10 +248,10 @@ def test_kneser_ney_probabilities_sum_to_one(docs):
 
 def test_gram_table_finds_every_key():
     keys = np.unique(np.random.default_rng(1).integers(0, 2 ** 40, 5000))
-    t = kn_quality.GramTable(keys, np.arange(len(keys)), np.arange(len(keys)) + 1)
-    assert (t.probability[t.find(keys)] == np.arange(len(keys))).all()
+    t = kn_quality.GramTable(keys, np.arange(len(keys)) + 1)
+    assert (t.loss[t.find(keys)] == np.arange(len(keys)) + 1).all()
     missing = t.find(np.array([2 ** 41, 2 ** 42 + 1]))
-    assert (t.probability[missing] == 0).all() and (t.weight[missing] == 1).all()
+    assert (missing == len(t.keys)).all() and (t.loss[missing] == 0).all()
 
 
 def test_quality_scores(spark, edge):
