@@ -17,6 +17,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def is_folder(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, or any match of a pattern, is a folder."""
+    fs, p = _fs(spark, pattern)
+    return any(st.isDirectory() for st in fs.globStatus(p) or [])
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.delete(p, True)) if fs.exists(p) else False

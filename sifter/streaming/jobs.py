@@ -25,7 +25,7 @@ from sifter.operators import chunking as C
 from sifter.operators import retrieval as R
 from sifter.operators.results import numeric_value
 from sifter.session import cut_lineage
-from sifter.sources.fs import delete_path, list_folders, path_exists
+from sifter.sources.fs import delete_path, is_folder, list_folders, path_exists
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -40,8 +40,13 @@ def file_documents_stream(spark: SparkSession, folder: str, file_glob: str = "*.
 
 
 def table_stream(spark: SparkSession, folder: str, table_file: str, schema) -> DataFrame:
-    """Rows of parquet files matching ``table_file`` inside ``folder`` as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", table_file).parquet(folder)
+    """Rows of a table inside ``folder`` as a stream: ``table_file`` names parquet files or, as Spark writes them,
+    folders of part files."""
+    reader = spark.readStream.schema(schema)
+    path = f"{folder.rstrip('/')}/{table_file}"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", table_file).parquet(folder)
 
 
 def ingest_stream(docs: DataFrame, store_path: str, checkpoint: str, strategy: str = "token",

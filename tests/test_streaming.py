@@ -104,3 +104,14 @@ def test_dedupe_state_is_bounded(spark):
     got = {r.doc_id for r in spark.read.parquet(f"{base}/store").collect()}
     assert len(got & {1, 2}) == 1 and 3 in got and 4 not in got and {500, 501} <= got and len(got) == 54
     assert state[1] == 52 and state[-1] <= 2
+
+
+def test_table_stream_reads_a_folder_of_part_files(spark):
+    from sifter.plans.registry import QUERIES
+    base = tempfile.mkdtemp(prefix="sifter-parts-")
+    rows = [(i, f"word{i} and more", "en", f"src{i % 2}", 14) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint") \
+        .repartition(3).write.parquet(f"{base}/documents.parquet")
+    found = QUERIES["stream_ingest"](spark, base).collect()
+    assert sorted((r["kb_name"], r["doc_id"]) for r in found) == sorted((r[3], r[0]) for r in rows)
+    assert QUERIES["stream_corpus_stats"](spark, base).first()["n_docs"] == 8
