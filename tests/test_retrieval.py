@@ -146,3 +146,55 @@ def test_bounded_broadcast_counts_unmarked_sides(spark):
     assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
     marked = bounded_broadcast(mark_bounded(spark.range(10 ** 9), 3), 5)  # proven bound, no count
     assert "broadcast" in marked._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_ranked_lists_do_not_form_pairs_in_the_plan(spark, monkeypatch):
+    # Documents meet the questions in batches: no row per (question, document) pair.
+    monkeypatch.setattr(R, "ROW_PAIRS", 0)
+    idx, q = _setup(spark)
+    for df in (R.bm25_topk(idx, q, 5), R.semantic_topk(idx, q, 5), R.hybrid_topk(idx, q, 5)):
+        p = _plan(df)
+        assert "MapInArrow" in p and "NestedLoopJoin" not in p and "CartesianProduct" not in p and "BroadcastHashJoin" not in p
+
+
+def test_batch_ranks_equal_pair_ranks(spark, monkeypatch):
+    # Ties, copies, empty and null texts, several groups, text ids; more documents than one batch step.
+    words = "ape bee cat dog eel fox gnu hen".split()
+    docs = [(f"d{i}", f"kb{i % 3}", None if i % 97 == 0 else " ".join(words[(i * j) % 8] for j in range(1, i % 6)))
+            for i in range(2600)]
+    docs = spark.createDataFrame(docs, "doc_id string, kb string, text string")
+    qs = spark.createDataFrame([(0, "ape bee bee"), (1, "cat fox ape"), (2, "yak"), (3, ""), (4, "hen dog eel gnu")],
+                               "question_id bigint, question string")
+    for group in (None, "kb"):
+        idx = R.build_index(docs, group_col=group).repartition(3).cache()
+        monkeypatch.undo()
+        monkeypatch.setattr(R, "ROW_PAIRS", 0)
+        q = R.prepare_questions(idx, qs, group_col=group)
+        runs = [lambda: R.bm25_topk(idx, q, 7), lambda: R.semantic_topk(idx, q, 7), lambda: R.hybrid_topk(idx, q, 7, 0.3)]
+
+        def rows(df):
+            return sorted((*(r[c] for c in df.columns if c != "score"), round(r["score"], 6)) for r in df.collect())
+        got = [rows(run()) for run in runs]
+        q._sifter_asked = None
+        monkeypatch.setattr(R, "_asked", lambda *a: None)
+        assert got == [rows(run()) for run in runs]
+
+
+def test_batch_rounding_is_the_engines(spark):
+    import numpy as np
+    from sifter.operators import batch_scores as B
+    x = [0.1234565, 0.1234575, -0.1234565, 2.5e-7, 5e-7, 0.9999995, 1 / 3, -2 / 3, 0.0, 123456.0000005]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    assert list(B.ranked_value(np.array(x))) == [r[0] for r in df.select(F.round("x", 6)).collect()]
+
+
+def test_index_rows_in_batches_equal_row_expressions(spark):
+    from sifter.functions.text import term_frequencies, tokenize
+    from sifter.functions.vectors import hashed_counts
+    docs = T.documents(spark, SF_SMALL).select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "Été été ÉTÉ x_1 x_1")], "doc_id bigint, text string"))
+    got = {r["doc_id"]: r for r in R.build_index(docs).collect()}
+    want = docs.select("doc_id", tokenize("text").alias("t")).select(
+        "doc_id", F.size("t").alias("dl"), term_frequencies("t").alias("tf"), hashed_counts("t").alias("vec"))
+    for r in want.collect():
+        assert (r["dl"], r["tf"], r["vec"]) == tuple(got[r["doc_id"]][c] for c in ("dl", "tf", "vec"))
