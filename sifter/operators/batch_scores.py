@@ -110,14 +110,20 @@ def asked_by_group(side: pa.Table, group: str | None, ranges: pa.Table | None =
 RANGES = ["bm25_min", "bm25_max", "semantic_min", "semantic_max"]
 
 
+def _dense(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as a matrix (short rows end in zeros), and the rows' lengths."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    flat = _floats(pc.list_flatten(vec))
+    dense = np.zeros((len(vec), int(sizes.max()) if len(vec) else 0))
+    dense[np.repeat(np.arange(len(vec)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return dense, sizes
+
+
 def cosines(asked: Asked, vec: pa.Array, vnorm: pa.Array) -> np.ndarray:
     """Documents x questions; NaN where a document has no vector."""
     n, n_q = len(vec), len(asked.ids)
-    sizes = np.asarray(pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    width = int(sizes.max()) if n else 0
-    flat = _floats(pc.list_flatten(vec))
-    dense = np.zeros((n, width))
-    dense[np.repeat(np.arange(n), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    dense, sizes = _dense(vec)
+    width = dense.shape[1]
     if len(asked.dims) and asked.dims.max() >= (sizes[sizes > 0].min() if (sizes > 0).any() else 0) and (sizes > 0).any():
         raise ValueError("a question vector is wider than a document's")
     q = np.zeros((width, n_q))
@@ -281,6 +287,87 @@ def count_rows(tokens: DataFrame, dim: int | None) -> DataFrame:
     return tokens.mapInArrow(run, schema)
 
 
+# ----------------------------------------------------------- stored indexes
+
+def posting_blocks(docs: DataFrame, group: str | None, k1: float, b: float) -> DataFrame:
+    """``[group,] block, term, bound, postings`` from ``[group,] block, doc_id, dl, avgdl, tf``, dealt and sorted by
+    (group, block): the last block of a step waits for the next one."""
+    keys = ([group] if group else []) + ["block"]
+    id_field = ST.StructField("doc_id", docs.schema["doc_id"].dataType)
+    schema = ST.StructType([docs.schema[c] for c in keys] + [
+        ST.StructField("term", ST.StringType()), ST.StructField("bound", ST.DoubleType()),
+        ST.StructField("postings", ST.ArrayType(ST.StructType([id_field, ST.StructField("impact", ST.DoubleType())])))])
+
+    def runs(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(rows.num_rows, dtype=bool)
+        for c in keys:
+            code = pc.fill_null(rows.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.cumsum(new)
+
+    def blocks(rows: pa.RecordBatch) -> pa.RecordBatch:
+        run, tf = runs(rows), rows.column("tf")
+        offsets = tf.offsets.to_numpy()
+        first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+        row = np.repeat(np.arange(rows.num_rows), np.diff(offsets))
+        coded = tf.keys.slice(first, size).dictionary_encode()
+        code, count = coded.indices.to_numpy().astype(np.int64), _floats(tf.items.slice(first, size))
+        impact = count * (k1 + 1) / (count + k1 * (
+            (1 - b) + b * _floats(rows.column("dl"))[row] / _floats(rows.column("avgdl"))[row]))
+        owner = run[row] * max(len(coded.dictionary), 1) + code
+        order = np.argsort(owner, kind="stable")
+        owner, impact, row, code = owner[order], impact[order], row[order], code[order]
+        starts = np.nonzero(np.append(True, owner[1:] != owner[:-1]))[0] if len(owner) else np.zeros(0, np.int64)
+        bound = np.maximum.reduceat(impact, starts) if len(starts) else np.zeros(0)
+        held = pa.StructArray.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(impact)], ["doc_id", "impact"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owner)).astype(np.int32)), held)
+        at = pa.array(row[starts])
+        return pa.RecordBatch.from_arrays(
+            [rows.column(c).take(at) for c in keys]
+            + [coded.dictionary.take(pa.array(code[starts])), pa.array(bound), lists], names=schema.names)
+
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                if waiting is not None:
+                    rows = pa.Table.from_batches([waiting, rows]).combine_chunks().to_batches()[0]
+                last = int(np.searchsorted(runs(rows), runs(rows)[-1]))
+                if last:
+                    yield blocks(rows.slice(0, last))
+                waiting = rows.slice(last)
+        if waiting is not None:
+            yield blocks(waiting)
+
+    return docs.select(*keys, "doc_id", "dl", "avgdl", "tf").mapInArrow(run, schema)
+
+
+def nearest_cells(rows: DataFrame, centroids: list[tuple[int, list[float]]], no_cell: int) -> DataFrame:
+    """``rows`` (with ``vec, vnorm``) and their ``cell`` (the last of equally near ones) and ``angle``; ``no_cell`` at angle
+    0 without a direction. ``centroids``: (cell, unit vector)."""
+    schema = ST.StructType(rows.schema.fields + [
+        ST.StructField("cell", ST.IntegerType()), ST.StructField("angle", ST.DoubleType())])
+    cells = np.array([c for c, _ in sorted(centroids)], dtype=np.int32)
+    units = np.array([v for _, v in sorted(centroids)])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                cell, angle = np.full(some.num_rows, no_cell, dtype=np.int32), np.zeros(some.num_rows)
+                length = _floats(some.column("vnorm"))
+                found = np.nonzero(length > 0)[0]
+                if len(cells) and len(found):
+                    dots = _dense(some.column("vec"))[0][found] @ units.T
+                    best = len(cells) - 1 - np.argmax(dots[:, ::-1], axis=1)
+                    cell[found] = cells[best]
+                    angle[found] = np.arccos(np.clip(dots[np.arange(len(found)), best] / length[found], -1.0, 1.0))
+                yield pa.RecordBatch.from_arrays(some.columns + [pa.array(cell), pa.array(angle)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 # ------------------------------------------------------------- ranked lists
 
 def _steps(batches, asked_groups: dict, group: str | None):

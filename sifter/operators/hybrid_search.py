@@ -9,7 +9,8 @@ aggregate over all their hits.
 
 *Rounds.* The first m documents of both lists are scored whole by one join with the document index. A document
 in neither list scores at most the blend of the two m-th scores, so a question is finished when its k-th hybrid score is above
-that; the others go on with eight times as many. At the end of a list the blend is that of documents nobody has
+that; the others go on with eight times as many, or are scored against all documents in batches
+(``retrieval.hybrid_topk``) once that takes less time than the next round. At the end of a list the blend is that of documents nobody has
 seen: if it is the least possible score, the smallest ids complete the result.
 
 One scoring join serves a round, and nothing is folded into a map per document: rows are keyed by (group, question,
@@ -33,6 +34,8 @@ from sifter.session import cut_lineage, discard, materialize
 FIRST_DEPTH = 64
 GROWTH = 8
 MARGIN = 2e-6
+# A round of depth m costs a question about as much as scoring this many times m documents in batches.
+SCAN_FACTOR = 256
 
 
 @dataclass
@@ -44,8 +47,9 @@ class HybridIndex:
 
 
 def build_hybrid_index(docs: DataFrame, params: R.BM25Params = R.BM25Params(), group_col: str | None = None,
-                       n_cells: int | None = None) -> HybridIndex:
-    return HybridIndex(docs, KI.build_keyword_index(docs, params, group_col),
+                       n_cells: int | None = None, keyword: KI.KeywordIndex | None = None) -> HybridIndex:
+    """Both indexes; a ``keyword`` index built before over the same rows is taken as it is."""
+    return HybridIndex(docs, keyword or KI.build_keyword_index(docs, params, group_col),
                        VI.build_vector_index(docs, group_col, n_cells=n_cells))
 
 
@@ -173,6 +177,12 @@ def search(hindex: HybridIndex, qside: DataFrame, k: int = R.DEFAULT_TOP_K, alph
             break
         open_side = _part(open_side, state.where(~F.col("over")).select(*keys), n_open)
         depth = min(depth * GROWTH, largest)
+        if depth * SCAN_FACTOR > largest:
+            per_group = sizes.join(open_side.groupBy(*g).agg(F.count(F.lit(1)).alias("_q")), g) if g else \
+                sizes.withColumn("_q", F.lit(n_open))
+            pairs += per_group.agg(F.sum(F.col("_docs") * F.col("_q"))).first()[0] or 0
+            done.append(cut_lineage(R.hybrid_topk(hindex.docs, open_side, k, alpha, hindex.keyword.params)))
+            break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -2,8 +2,8 @@
 
 *Index.* Documents are dealt to blocks of about ``BLOCK_DOCS`` by a hash of their id. A posting block is
 one row ``[group,] term, block, bound, postings``: the documents of that block that hold the term with their
-impact (the term-frequency part of BM25), and the largest impact among them. The table is bucketed by (term, block), so a
-term that every document holds is spread over all buckets.
+impact (the term-frequency part of BM25), and the largest impact among them. The table stands as its blocks were dealt, so a
+term that every document holds is spread over all files; the blocks a search asks for are bucketed by (term, block).
 
 *Search.* Four steps, each a DataFrame job over all questions:
 
@@ -27,6 +27,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sifter.operators import batch_scores as B
 from sifter.operators import retrieval as R
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
 from sifter.session import cut_lineage, discard, materialize, materialize_clustered
@@ -85,15 +86,8 @@ def build_keyword_index(index: DataFrame, params: R.BM25Params = R.BM25Params(),
     docs = docs.join(glob, group_col) if group_col else docs.crossJoin(F.broadcast(glob))  # one row without groups
     docs = docs.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.col("_n")).cast("long"))
     # Documents of a block meet once; their postings are then grouped without another exchange.
-    tf = F.col("tf").cast("double")
-    impact = tf * (params.k1 + 1) / (tf + F.lit(params.k1) * (
-        F.lit(1 - params.b) + F.lit(params.b) * F.col("dl") / F.col("avgdl")))
-    postings = (docs.repartition(*g, "block")
-                .select(*g, "block", "doc_id", "dl", "avgdl", F.explode("tf").alias("term", "tf"))
-                .select(*g, "block", "doc_id", "term", impact.alias("impact")))
-    blocks = postings.groupBy(*g, "block", "term").agg(
-        F.max("impact").alias("bound"), F.collect_list(F.struct("doc_id", "impact")).alias("postings"))
-    blocks = materialize_clustered(blocks, "posting_blocks", ["term", "block"])
+    docs = docs.repartition(*g, "block").sortWithinPartitions(*g, "block")
+    blocks = materialize(B.posting_blocks(docs, group_col, params.k1, params.b), "posting-blocks")
     terms = materialize(blocks.groupBy(*g, "term").agg(
         F.sum(F.size("postings")).alias("df"), F.max("bound").alias("peak")), "posting-terms")
     first = cut_lineage(_smallest(index.select(*g, "doc_id"), group_col, FIRST_IDS, "doc_id"))

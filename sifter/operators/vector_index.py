@@ -30,7 +30,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.vectors import dense_entries, dot, entries_dot_dense, l2_normalize
+from sifter.functions.vectors import dense_entries, entries_dot_dense, l2_normalize
+from sifter.operators import batch_scores as B
 from sifter.operators import retrieval as R
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
 from sifter.session import cut_lineage, discard, materialize, materialize_clustered
@@ -87,13 +88,7 @@ def build_vector_index(index: DataFrame, group_col: str | None = None, centroids
     g = R._g(group_col)
     centroids = fit_centroids(index, n_cells) if centroids is None else centroids
     held = [(r["cell"], r["centroid"]) for r in centroids.collect()]  # at most MAX_CELLS rows
-    # The centroids ride along as one array literal a row is compared with: no pair is a row.
-    table = F.broadcast(centroids.agg(F.collect_list(F.struct("cell", "centroid")).alias("_cs")))
-    rows = index.select(*g, "doc_id", "vec", "vnorm").crossJoin(table)  # one row
-    best = F.array_max(F.transform("_cs", lambda c: F.struct(dot("vec", c["centroid"]).alias("d"), c["cell"].alias("cell"))))
-    rows = rows.withColumn("_b", F.when((F.col("vnorm") > 0) & (F.size("_cs") > 0), best)).select(
-        *g, "doc_id", "vec", "vnorm", F.coalesce("_b.cell", F.lit(NO_CELL)).alias("cell"),
-        F.coalesce(_angle(F.col("_b.d") / F.col("vnorm")), F.lit(0.0)).alias("angle"))
+    rows = B.nearest_cells(index.select(*g, "doc_id", "vec", "vnorm"), held, NO_CELL)
     rows = materialize(rows.withColumn("ring", F.floor(F.col("angle") / RING).cast("int")), "vector-rows")
     parts = rows.groupBy(*g, "cell", "ring").agg(
         F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))

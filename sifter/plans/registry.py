@@ -186,13 +186,19 @@ def q_hybrid_rerank_topk(spark, sf):
 
 def _hybrid_index(spark, sf):
     """Posting blocks and vector cells over the document index, built once like it."""
-    return _cached_index(spark, sf, "hybrid", lambda: HY.build_hybrid_index(_doc_index(spark, sf)))
+    return _cached_index(spark, sf, "hybrid", lambda: HY.build_hybrid_index(
+        _doc_index(spark, sf), keyword=_keyword_index(spark, sf)))
+
+
+def _keyword_index(spark, sf):
+    """Posting blocks alone: a keyword search reads no vectors."""
+    return _cached_index(spark, sf, "keyword", lambda: KI.build_keyword_index(_doc_index(spark, sf)))
 
 
 @register("keyword_topk")
 def q_keyword_topk(spark, sf):
     """The rows of bm25_topk through the posting blocks (blocks and documents below the k-th score are left out)."""
-    found = KI.search(_hybrid_index(spark, sf).keyword, _qside(spark, sf, _doc_index(spark, sf)), k=5)
+    found = KI.search(_keyword_index(spark, sf), _qside(spark, sf, _doc_index(spark, sf)), k=5)
     return found.ranked.select("query_id", "rank", "doc_id", "score")
 
 
