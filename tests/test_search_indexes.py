@@ -196,3 +196,14 @@ def test_keyword_ranges_without_a_witness(spark):
         assert math.isclose(got[r.query_id][0], r.a, abs_tol=1e-9) and math.isclose(got[r.query_id][1], r.b, abs_tol=1e-9)
     for alpha in (0.0, 0.5):
         assert rows(HY.search(hindex, q, 4, alpha, first_depth=4).ranked) == rows(R.hybrid_topk(index, q, 4, alpha))
+
+
+def test_keyword_query_builds_no_vector_cells(spark, monkeypatch):
+    from sifter.plans import registry
+
+    def no_cells(*args, **kwargs):
+        raise AssertionError("a keyword search reads no vectors")
+    monkeypatch.setattr(VI, "build_vector_index", no_cells)
+    monkeypatch.setattr(registry, "_INDEX_CACHE", {})
+    sf = "/root/testdata/sf0.001"
+    assert rows(registry.QUERIES["keyword_topk"](spark, sf)) == rows(registry.QUERIES["bm25_topk"](spark, sf))
