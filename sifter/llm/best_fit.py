@@ -3,7 +3,8 @@
 *Pieces.* Every document becomes token ids plus an end id; only documents longer
 than ``capacity`` are cut, into full pieces and a rest. A word (a run between
 ASCII white space) has the same ids wherever it stands, so a worker keeps the
-ids of words it has seen, up to a fixed number; unseen words go through the
+ids of words it has seen, up to a fixed number, in two generations: a full one becomes the older one, and a word met
+there moves to the younger, so frequent words stay however many rare ones pass. Unseen words go through the
 tokenizers library.
 
 *Packing.* Pieces spread by hash over shards of about ``per_shard`` pieces, so
@@ -22,6 +23,7 @@ id and text columns are read, so further columns cannot clash.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 64
 PER_SHARD = 20_000
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000     # of each generation
 
 # Words of printable ASCII and accented Latin letters need no Unicode
 # normalisation; they split by the tokenizer file's own pattern.
@@ -46,45 +48,57 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-class _Parts(dict):
+class _Kept(dict):
+    """Key -> its ids (bytes): at most ``limit`` in the dict itself and as many in the generation before."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def made(self, key) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            out = self.made(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class _Parts(_Kept):
     """Part of a word -> its ids (bytes), by the tokenizer's BPE model."""
 
     def __init__(self, tokenizer: Tokenizer, limit: int):
-        super().__init__()
-        self.model, self.limit = tokenizer.model, limit
+        super().__init__(limit)
+        self.model = tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         chars = [chr(c) for c in range(0x21, 0x100) if _PLAIN.fullmatch(chr(c))]
         self.bytes_as_chars = {ord(c): level.pre_tokenize_str(c)[0][0] for c in chars}
 
-    def __missing__(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(part.translate(self.bytes_as_chars))]
-        if len(self) >= self.limit:
-            self.clear()
-        self[part] = out = np.array(ids, "<u4").tobytes()
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class WordIds(dict):
+class WordIds(_Kept):
     """Word (bytes, no ASCII white space) -> little-endian 32-bit ids (bytes)."""
 
     def __init__(self, definition: str, limit: int = CACHED_WORDS):
-        super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_str(definition), limit
+        super().__init__(limit)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.parts = _Parts(self.tokenizer, limit)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
 
-    def __missing__(self, word: bytes) -> bytes:
+    def made(self, word: bytes) -> bytes:
         text = word.decode()
         if _PLAIN.fullmatch(text) and not self.special.search(text):
-            out = b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
-        else:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
-                           "<u4").tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out
-        return out
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))

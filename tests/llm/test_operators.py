@@ -405,6 +405,24 @@ def test_word_ids_equal_the_tokenizer():
             text, add_special_tokens=False).ids
 
 
+def test_frequent_words_outlive_rare_ones():
+    found = best_fit.WordIds(open(TOKENIZER).read(), limit=40)
+    asked, model = Counter(), found.parts.model
+
+    class Counted:
+        def tokenize(self, part):
+            asked[part] += 1
+            return model.tokenize(part)
+
+    found.parts.model = Counted()
+    rare = ["".join(chr(97 + n // 26 ** d % 26) for d in range(4)) for n in range(2000)]
+    frequent = ["some", "of", "these", "return"]
+    for at in range(0, len(rare), 10):
+        found.of(" ".join(frequent + rare[at:at + 10]).encode())
+    assert [asked[w] for w in frequent] == [1] * 4 and max(asked.values()) == 1
+    assert len(found) + len(found.older) <= 80
+
+
 # 7 ---------------------------------------------------------------------------
 
 def test_line_rules(edge):
