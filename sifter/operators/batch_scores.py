@@ -18,9 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.pandas.types import to_arrow_type
 
+from sifter.functions.text import tokenize
+
 # Tasks get these functions by value: executors need no copy of the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -230,20 +233,38 @@ class Best:
 
 # ------------------------------------------------------------ index rows
 
-_CODES: dict = {}
-_MOST_CODES = 1_000_000
+# Latin-1 texts are split here, as ``text.tokenize`` does: lower case, letters, digits, ``_`` and white space stay.
+_LATIN = [chr(c) for c in range(256)]
+_LOWER = "".join(" " if c.isspace() else c.lower() for c in _LATIN).encode("latin-1")
+_DROPPED = "".join(c for c in _LATIN if not (c.isalnum() or c.isspace() or c == "_")).encode("latin-1")
+_PENDING = 1_000_000     # tokens held as Python objects
+
+
+def _split(texts: pa.Array, others: pa.Array) -> pa.Array:
+    """Token lists of Latin-1 texts; those of other texts come ready made, and a null in both is a null list."""
+    sizes, done, waiting = [], [], []
+    for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+        if text is None:
+            found = [t.encode() for t in others[i].as_py() or ()]
+        elif text.isascii():
+            found = text.translate(_LOWER, _DROPPED).split()
+        else:
+            found = text.decode().encode("latin-1").translate(_LOWER, _DROPPED).decode("latin-1").encode().split()
+        sizes.append(len(found))
+        waiting += found
+        if len(waiting) >= _PENDING:
+            done.append(pa.array(waiting, pa.binary()).cast(pa.string()))
+            waiting = []
+    done.append(pa.array(waiting, pa.binary()).cast(pa.string()))
+    none = pc.and_(texts.is_null(), others.is_null())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.concat_arrays(done),
+                                    mask=none)
 
 
 def _token_codes(terms: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Dimension and sign of every distinct token (``vectors.hashed_counts``)."""
-    if len(_CODES) > _MOST_CODES:
-        _CODES.clear()
-    found = np.empty(len(terms), dtype=np.int64)
-    for i, t in enumerate(terms.cast(pa.binary()).to_pylist()):
-        h = _CODES.get(t)
-        if h is None:
-            h = _CODES[t] = int.from_bytes(md5(t, usedforsecurity=False).digest()[:4], "big")
-        found[i] = h
+    heads = b"".join([md5(t, usedforsecurity=False).digest()[:4] for t in terms.cast(pa.binary()).to_pylist()])
+    found = np.frombuffer(heads, ">u4").astype(np.int64)
     return found % dim, np.where((found // dim) % 2 == 0, 1.0, -1.0)
 
 
@@ -268,9 +289,14 @@ def _counted(tokens: pa.Array, dim: int | None) -> list[pa.Array]:
     return out
 
 
-def count_rows(tokens: DataFrame, dim: int | None) -> DataFrame:
-    """``keep..., dl, tf, vec`` from ``keep..., _toks`` (and ``vec``, when ``dim`` is None)."""
-    keep = [f for f in tokens.schema.fields if f.name not in ("_toks", "vec")]
+def count_rows(docs: DataFrame, text: str, dim: int | None) -> DataFrame:
+    """``keep..., dl, tf, vec`` from ``keep...`` and the column ``text`` (and ``vec``, when ``dim`` is None). Texts with
+    characters beyond Latin-1 are tokenised by the row expression."""
+    wide = F.col(text).rlike(r"[^\x00-\xFF]")
+    tokens = docs.withColumn("_toks", F.when(wide, tokenize(text))).withColumn(
+        "_text", F.when(~wide, F.col(text).cast("string")))
+    tokens = tokens.drop(text) if text != "_text" else tokens
+    keep = [f for f in tokens.schema.fields if f.name not in ("_text", "_toks", "vec")]
     schema = ST.StructType(keep + [
         ST.StructField("dl", ST.IntegerType()), ST.StructField("tf", ST.MapType(ST.StringType(), ST.IntegerType())),
         ST.StructField("vec", ST.ArrayType(ST.DoubleType()))])
@@ -279,7 +305,8 @@ def count_rows(tokens: DataFrame, dim: int | None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                cols = [some.column(f.name) for f in keep] + _counted(some.column("_toks"), dim)
+                split = _split(some.column("_text"), some.column("_toks"))
+                cols = [some.column(f.name) for f in keep] + _counted(split, dim)
                 if dim is None:
                     cols.append(some.column("vec"))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)

@@ -151,16 +151,16 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``group_col`` (e.g. ``kb_name``) makes every statistic and ranking per group.
     Persist the result as a table to reuse it across question batches.
     """
-    toks = docs.select(*_g(group_col), F.col(id_col).alias("doc_id"),
-                       tokenize(text_col).alias("_toks"),
+    rows = docs.select(*_g(group_col), F.col(id_col).alias("doc_id"),
+                       F.col(text_col).cast("string").alias("_text"),
                        *([F.col(embedding_col).cast("array<double>").alias("vec")]
                          if embedding_col else []))
     if embedding_col and expected_dim:
         # Every stored vector has the collection's width.
-        toks = toks.withColumn("vec", F.when(F.size("vec") == expected_dim, F.col("vec")).otherwise(F.raise_error(
+        rows = rows.withColumn("vec", F.when(F.size("vec") == expected_dim, F.col("vec")).otherwise(F.raise_error(
             F.concat(F.lit(f"embedding width != {expected_dim} for doc "), F.col("doc_id").cast("string")))))
     # Terms are counted and hashed once per distinct term of a batch.
-    return B.count_rows(toks, None if embedding_col else HASH_DIM).withColumn("vnorm", norm("vec"))
+    return B.count_rows(rows, "_text", None if embedding_col else HASH_DIM).withColumn("vnorm", norm("vec"))
 
 
 def corpus_stats(index: DataFrame, group_col: str | None = None) -> DataFrame:
