@@ -300,3 +300,11 @@ def test_insertions_when_they_are_cheapest():
     assert (cost, node.text()) == (1, "KIKK")
     assert list(turn_repair.repaired_rows([("user", "x"), ("user", "y"), ("assistant", "z")], "KIKK", 0)) == [
         ("user", "x"), ("assistant", ""), ("user", "y"), ("assistant", "z")]
+
+
+def test_every_block_gets_the_ids_of_its_ranked_words(spark):
+    held = spark.createDataFrame([(b, lang, at, w) for b, lang in ((1, "en"), (2, "en"), (3, "de"))
+                                  for at, w in enumerate("abcd"[:b + 1])], "block bigint, lang string, at int, word string")
+    words = spark.createDataFrame([(7, "en", "b"), (8, "en", "c"), (9, "fr", "a")], "id bigint, lang string, word string")
+    got = {r.block: sorted((x["at"], x["id"]) for x in r.found) for r in phrase_mining._ids_by_block(held, words).collect()}
+    assert got == {1: [(1, 7)], 2: [(1, 7), (2, 8)], 3: []}
