@@ -41,6 +41,8 @@ class Asked:
     weights: np.ndarray
     norms: np.ndarray
     terms: pa.Array | None = None
+    codes: np.ndarray | None = None       # of the terms, ascending
+    coded: np.ndarray | None = None       # the term of every code
     starts: np.ndarray | None = None
     askers: np.ndarray | None = None
     gains: np.ndarray | None = None
@@ -54,7 +56,7 @@ class Asked:
                     self.norms[first:last], ranges=None if self.ranges is None else self.ranges[:, first:last])
         if self.terms is not None:
             held = (self.askers >= first) & (self.askers < last)
-            out.terms, out.avgdl = self.terms, self.avgdl
+            out.terms, out.codes, out.coded, out.avgdl = self.terms, self.codes, self.coded, self.avgdl
             out.starts = np.concatenate([[0], np.cumsum(held)])[self.starts]
             out.askers, out.gains = self.askers[held] - first, self.gains[held]
         return out
@@ -94,6 +96,9 @@ def asked_by_group(side: pa.Table, group: str | None, ranges: pa.Table | None =
             coded = terms.field("term").dictionary_encode()
             order = np.argsort(coded.indices.to_numpy(), kind="stable")
             asked.terms = coded.dictionary
+            codes = term_codes(_cut(asked.terms))
+            asked.coded = np.argsort(codes, kind="stable")
+            asked.codes = codes[asked.coded]
             asked.starts = np.searchsorted(coded.indices.to_numpy()[order], np.arange(len(coded.dictionary) + 1))
             asked.askers, asked.gains = who[order], _floats(terms.field("w"))[order]
             asked.avgdl = col(mine, "avgdl")[0].as_py()
@@ -157,7 +162,31 @@ def keyword_scores(asked: Asked, dl: pa.Array, tf: pa.Array, k1: float, b: float
     codes = pc.index_in(keys, value_set=asked.terms)
     hit = np.nonzero(codes.is_valid().to_numpy(zero_copy_only=False))[0]
     code = codes.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64)
-    row, count = row[hit], _floats(items.take(pa.array(hit)))
+    return _summed(asked, dl, row[hit], code, _floats(items.take(pa.array(hit))), k1, b)
+
+
+def coded_scores(asked: Asked, dl: pa.Array, codes: pa.Array, counts: pa.Array, k1: float, b: float) -> np.ndarray:
+    """:func:`keyword_scores` of stored term codes: the question terms' codes belong to no other term of the index
+    (``retrieval.prepare_questions`` looks)."""
+    if asked.terms is None or len(asked.terms) == 0:
+        return np.zeros((len(codes), len(asked.ids)))
+    row, flat = _lists(codes)
+    flat, many = flat.to_numpy(), pc.list_flatten(counts).to_numpy()
+    sieve = getattr(asked, "_sieve", None)
+    if sieve is None:
+        sieve = asked._sieve = np.zeros(1 << 16, dtype=bool)
+        sieve[asked.codes & 0xFFFF] = True
+    hit = np.nonzero(sieve[flat & 0xFFFF])[0]
+    held = flat[hit]
+    place = np.minimum(np.searchsorted(asked.codes, held), len(asked.codes) - 1)
+    same = asked.codes[place] == held
+    hit = hit[same]
+    return _summed(asked, dl, row[hit], asked.coded[place[same]], many[hit].astype(np.float64), k1, b)
+
+
+def _summed(asked: Asked, dl: pa.Array, row: np.ndarray, code: np.ndarray, count: np.ndarray, k1: float, b: float) -> np.ndarray:
+    """Contributions of (document, term, count) added up by document and question."""
+    n, n_q = len(dl), len(asked.ids)
     share = count + k1 * ((1 - b) + b * _floats(dl)[row] / asked.avgdl)
     many = asked.starts[code + 1] - asked.starts[code]
     rep = np.repeat(np.arange(len(code)), many)
@@ -261,15 +290,54 @@ def _split(texts: pa.Array, others: pa.Array) -> pa.Array:
                                     mask=none)
 
 
-def _token_codes(terms: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+_HELD = 200_000          # codes of one generation
+
+
+def _cut(terms: pa.Array) -> list[bytes]:
+    """Values of a string array without nulls as bytes (``to_pylist`` makes a scalar of each)."""
+    held = terms.cast(pa.binary())
+    if len(held) == 0:
+        return []
+    _, offsets, data = held.buffers()
+    ends = np.frombuffer(offsets, np.int32)[held.offset:held.offset + len(held) + 1].tolist()
+    data = b"" if data is None else data.to_pybytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _code(term: bytes) -> int:
+    return int.from_bytes(md5(term, usedforsecurity=False).digest()[:8], "big", signed=True)
+
+
+class _Codes(dict):
+    """Codes of the tokens met before, in two generations: frequent tokens are hashed once a task."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, term: bytes) -> int:
+        if len(self) >= _HELD:
+            self.older = self.copy()
+            self.clear()
+        code = self.older.get(term)
+        self[term] = code = _code(term) if code is None else code
+        return code
+
+
+def term_codes(terms: list[bytes], known=None) -> np.ndarray:
+    """The first 8 bytes of every term's md5 as a whole number (``retrieval.term_code``)."""
+    return np.fromiter(map(_code if known is None else known.__getitem__, terms), np.int64, len(terms))
+
+
+def _token_codes(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Dimension and sign of every distinct token (``vectors.hashed_counts``)."""
-    heads = b"".join([md5(t, usedforsecurity=False).digest()[:4] for t in terms.cast(pa.binary()).to_pylist()])
-    found = np.frombuffer(heads, ">u4").astype(np.int64)
+    found = (codes >> 32) & 0xFFFFFFFF
     return found % dim, np.where((found // dim) % 2 == 0, 1.0, -1.0)
 
 
-def _counted(tokens: pa.Array, dim: int | None) -> list[pa.Array]:
-    """``dl``, ``tf`` (terms in byte order) and, with ``dim``, the hashed vector of every token list."""
+def _counted(tokens: pa.Array, dim: int | None, known=None, packed: bool = False) -> list[pa.Array]:
+    """``dl``, ``tf`` (terms in byte order; with ``packed`` the columns of :data:`PACKED`) and, with ``dim``, the hashed
+    vector of every token list."""
     n = len(tokens)
     row, flat = _lists(tokens)
     coded = flat.dictionary_encode()
@@ -280,33 +348,56 @@ def _counted(tokens: pa.Array, dim: int | None) -> list[pa.Array]:
     pairs, counts = np.unique(row * max(len(terms), 1) + place[code], return_counts=True)
     owner, term = pairs // max(len(terms), 1), order[pairs % max(len(terms), 1)] if len(terms) else pairs
     offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-    tf = pa.MapArray.from_arrays(pa.array(offsets), terms.take(pa.array(term)), pa.array(counts.astype(np.int32)))
-    out = [pc.list_value_length(tokens).cast(pa.int32()), tf]
+    held, hashes = terms.take(pa.array(term)), term_codes(_cut(terms), known) if dim or packed else None
+    out = [pc.list_value_length(tokens).cast(pa.int32())]
+    if packed:
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), values)
+        out += [pc.binary_join(lists(held), " "), lists(pa.array(hashes[term])), lists(pa.array(counts.astype(np.int32)))]
+    else:
+        out.append(pa.MapArray.from_arrays(pa.array(offsets), held, pa.array(counts.astype(np.int32))))
     if dim:
-        at, sign = _token_codes(terms, dim)
+        at, sign = _token_codes(hashes, dim)
         vec = np.bincount(owner * dim + at[term], weights=sign[term] * counts, minlength=n * dim).astype(np.float64)
         out.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vec)))
     return out
 
 
-def count_rows(docs: DataFrame, text: str, dim: int | None) -> DataFrame:
-    """``keep..., dl, tf, vec`` from ``keep...`` and the column ``text`` (and ``vec``, when ``dim`` is None). Texts with
-    characters beyond Latin-1 are tokenised by the row expression."""
+# What a stored index holds for ``tf``: its terms in byte order with a space between, their codes and their counts.
+PACKED = [ST.StructField("terms", ST.StringType()), ST.StructField("codes", ST.ArrayType(ST.LongType())),
+          ST.StructField("counts", ST.ArrayType(ST.IntegerType()))]
+
+
+def term_counts(packed: DataFrame) -> DataFrame:
+    """``term, n``: documents of a batch that hold a term; a term has a row per batch."""
+    def run(batches):
+        for batch in batches:
+            found = pc.list_flatten(pc.split_pattern(batch.column("terms"), " ")).value_counts()
+            some = pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["term", "n"])
+            yield some.filter(pc.not_equal(some.column("term"), ""))   # of a document without terms
+
+    return packed.select("terms").mapInArrow(run, "term string, n bigint")
+
+
+def count_rows(docs: DataFrame, text: str, dim: int | None, packed: bool = False) -> DataFrame:
+    """``keep..., dl, tf, vec`` from ``keep...`` and the column ``text`` (and ``vec``, when ``dim`` is None); with
+    ``packed``, :data:`PACKED` in place of ``tf``. Texts with characters beyond Latin-1 are tokenised by the row expression."""
     wide = F.col(text).rlike(r"[^\x00-\xFF]")
     tokens = docs.withColumn("_toks", F.when(wide, tokenize(text))).withColumn(
         "_text", F.when(~wide, F.col(text).cast("string")))
     tokens = tokens.drop(text) if text != "_text" else tokens
     keep = [f for f in tokens.schema.fields if f.name not in ("_text", "_toks", "vec")]
     schema = ST.StructType(keep + [
-        ST.StructField("dl", ST.IntegerType()), ST.StructField("tf", ST.MapType(ST.StringType(), ST.IntegerType())),
+        ST.StructField("dl", ST.IntegerType()),
+        *(PACKED if packed else [ST.StructField("tf", ST.MapType(ST.StringType(), ST.IntegerType()))]),
         ST.StructField("vec", ST.ArrayType(ST.DoubleType()))])
 
     def run(batches):
+        known = _Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 split = _split(some.column("_text"), some.column("_toks"))
-                cols = [some.column(f.name) for f in keep] + _counted(split, dim)
+                cols = [some.column(f.name) for f in keep] + _counted(split, dim, known, packed)
                 if dim is None:
                     cols.append(some.column("vec"))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
@@ -428,7 +519,8 @@ def _scored(part: Asked, docs: pa.RecordBatch, kind: str, alpha: float, k1: floa
     bm = sem = None
     empty = np.zeros(docs.num_rows, dtype=bool)
     if kind != "semantic":
-        bm = keyword_scores(part, docs.column("dl"), docs.column("tf"), k1, b)
+        bm = (coded_scores(part, docs.column("dl"), docs.column("codes"), docs.column("counts"), k1, b)
+              if "codes" in docs.schema.names else keyword_scores(part, docs.column("dl"), docs.column("tf"), k1, b))
     if kind != "keyword":
         sem = cosines(part, docs.column("vec"), docs.column("vnorm"))
         empty = docs.column("vec").is_null().to_numpy(zero_copy_only=False)
@@ -444,9 +536,13 @@ def _schema(index: DataFrame, qside: DataFrame, group: str | None, more: list[st
                          + [ST.StructField(c, ST.DoubleType()) for c in more])
 
 
-def _columns(index: DataFrame, group: str | None, kind: str) -> DataFrame:
+def _columns(index: DataFrame, qside: DataFrame, group: str | None, kind: str) -> DataFrame:
+    packed = getattr(index, "_sifter_packed", None)
+    words = ["dl", "tf"]
+    if packed is not None and getattr(qside, "_sifter_coded", None) is packed:
+        index, words = packed, ["dl", "codes", "counts"]
     cols = [group] if group else []
-    cols += ["doc_id"] + (["dl", "tf"] if kind != "semantic" else []) + (["vec", "vnorm"] if kind != "keyword" else [])
+    cols += ["doc_id"] + (words if kind != "semantic" else []) + (["vec", "vnorm"] if kind != "keyword" else [])
     return index.select(*cols)
 
 
@@ -477,7 +573,7 @@ def score_ranges(index: DataFrame, qside: DataFrame, asked: dict, group: str | N
 
     schema = _schema(index, qside, group, RANGES, False)
     names, kind = schema.names, to_arrow_type(schema[0].dataType)
-    return _columns(index, group, "both").mapInArrow(run, schema)
+    return _columns(index, qside, group, "both").mapInArrow(run, schema)
 
 
 def best_rows(index: DataFrame, qside: DataFrame, asked: dict, group: str | None, kind: str, k: int,
@@ -508,4 +604,4 @@ def best_rows(index: DataFrame, qside: DataFrame, asked: dict, group: str | None
 
     schema = _schema(index, qside, group, ["score"], True)
     names, of_group = schema.names, to_arrow_type(schema[0].dataType)
-    return _columns(index, group, kind).mapInArrow(run, schema)
+    return _columns(index, qside, group, kind).mapInArrow(run, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sifter.functions.formatting import evaluation_run_id
 from sifter.functions.text import _c, explode_positions, let, split_sentences, tokenize
 from sifter.functions.vectors import entries_cosine, hashed_entries
+from sifter.operators.retrieval import held_terms
 from sifter.plans.sizing import bounded_broadcast, literal_dimension, mark_bounded
 
 # Metric names, interpretations, label thresholds, recommendation rules.
@@ -144,8 +145,11 @@ def evaluation_term_rows(ranked: DataFrame, questions: DataFrame, docs: DataFram
         tokenize(_gt_text(F.col("ground_truths"))), F.array().cast("array<string>"))))
     rows = rows.withColumn("_own", own)
     side = bounded_broadcast(keep(ranked.select(*keys, "rank", "doc_id").join(rows.select(*keys, "_own"), keys)))
-    held = index.select(*gkeys, "doc_id", F.map_keys("tf").alias("_held")).join(side, gkeys + ["doc_id"])
-    found = held.select(*keys, "rank", "doc_id", F.array_intersect("_own", "_held").alias("_t")).groupBy(*keys).agg(
+    packed = getattr(index, "_sifter_packed", None)  # its terms are taken apart after the join
+    held = (packed.select(*gkeys, "doc_id", F.col("terms").alias("_held")) if packed is not None
+            else index.select(*gkeys, "doc_id", F.map_keys("tf").alias("_held"))).join(side, gkeys + ["doc_id"])
+    terms = held_terms(F.col("_held")) if packed is not None else F.col("_held")
+    found = held.select(*keys, "rank", "doc_id", F.array_intersect("_own", terms).alias("_t")).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "doc_id", "_t"))).alias("_c"))  # k contexts
     none = F.array(F.array_intersect("_own", tokenize(F.lit(NO_CONTEXT))))
     return rows.join(found, keys, "left").select(

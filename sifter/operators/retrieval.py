@@ -31,7 +31,7 @@ from sifter.functions.vectors import (HASH_DIM, dense_entries, entries_dot_dense
                                       hashed_entries, norm)
 from sifter.operators import batch_scores as B
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
-from sifter.session import cut_lineage
+from sifter.session import cut_lineage, materialize_bucketed
 
 # Library defaults of the BM25-Okapi scorer and the hybrid blend.
 BM25_K1 = 1.5
@@ -151,10 +151,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``group_col`` (e.g. ``kb_name``) makes every statistic and ranking per group.
     Persist the result as a table to reuse it across question batches.
     """
-    rows = docs.select(*_g(group_col), F.col(id_col).alias("doc_id"),
-                       F.col(text_col).cast("string").alias("_text"),
-                       *([F.col(embedding_col).cast("array<double>").alias("vec")]
-                         if embedding_col else []))
+    rows = _index_input(docs, id_col, text_col, embedding_col, group_col)
     if embedding_col and expected_dim:
         # Every stored vector has the collection's width.
         rows = rows.withColumn("vec", F.when(F.size("vec") == expected_dim, F.col("vec")).otherwise(F.raise_error(
@@ -163,6 +160,51 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return B.count_rows(rows, "_text", None if embedding_col else HASH_DIM).withColumn("vnorm", norm("vec"))
 
 
+def _index_input(docs: DataFrame, id_col: str, text_col: str, embedding_col: str | None, group_col: str | None) -> DataFrame:
+    return docs.select(*_g(group_col), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"),
+                       *([F.col(embedding_col).cast("array<double>").alias("vec")] if embedding_col else []))
+
+
+# Buckets of a stored index for one partition of the documents' scan (128 MB by default).
+SCAN_BUCKETS = 8
+
+
+def store_index(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text",
+                group_col: str | None = None) -> DataFrame:
+    """The rows of :func:`build_index` over ``docs`` (a scan), stored in buckets by ``doc_id``.
+
+    Texts are dealt to the buckets before they are counted, so a bucket is one task and one file whatever files and row
+    groups the documents come in, and there are as many buckets as keep one at a share of a scan's partition. ``tf`` is stored
+    as ``terms, codes, counts`` (:data:`batch_scores.PACKED`): batch scores read the numbers alone, and the map is put
+    together for those who ask for it.
+    """
+    rows = _index_input(docs, id_col, text_col, None, group_col)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), SCAN_BUCKETS * docs.rdd.getNumPartitions())
+    rows = B.count_rows(rows.repartition(n, "doc_id"), "_text", HASH_DIM, packed=True).withColumn("vnorm", norm("vec"))
+    packed = materialize_bucketed(rows, name, buckets=n)
+    out = packed.select(*_g(group_col), "doc_id", "dl", F.map_from_arrays(held_terms(F.col("terms")), "counts").alias("tf"),
+                        "vec", "vnorm")
+    out._sifter_packed = packed  # type: ignore[attr-defined]
+    return out
+
+
+def held_terms(terms: Column) -> Column:
+    """The distinct terms of a stored row (:func:`store_index`) in byte order."""
+    return F.when(terms == "", F.array().cast("array<string>")).otherwise(F.split(terms, " "))
+
+
+def term_code(term: Column) -> Column:
+    """:func:`batch_scores.term_codes` as a row expression."""
+    return F.conv(F.substring(F.md5(term), 1, 16), 16, -10).cast("bigint")
+
+
+def _codes_clash(vocab: DataFrame, asked: DataFrame) -> bool:
+    """Whether a question term of ``asked`` has the code of another term of the collection."""
+    mine = bounded_broadcast(_keep_bound(asked.select(F.col("term").alias("_asked"), term_code(F.col("term")).alias("_code")), asked))
+    return not vocab.select("term", term_code(F.col("term")).alias("_code")).join(mine, "_code").where(
+        F.col("term") != F.col("_asked")).isEmpty()
+
+
 def corpus_stats(index: DataFrame, group_col: str | None = None) -> DataFrame:
     """``[group,] n_docs, avgdl`` (empty documents included)."""
     return index.groupBy(*_g(group_col)).agg(
@@ -171,6 +213,9 @@ def corpus_stats(index: DataFrame, group_col: str | None = None) -> DataFrame:
 
 def document_frequency(index: DataFrame, group_col: str | None = None) -> DataFrame:
     """``[group,] term, df`` over the whole vocabulary (partial+final aggregation)."""
+    packed = getattr(index, "_sifter_packed", None)
+    if packed is not None and not group_col:
+        return B.term_counts(packed).groupBy("term").agg(F.sum("n").alias("df"))
     return (index.select(*_g(group_col), F.explode(F.map_keys("tf")).alias("term"))
             .groupBy(*_g(group_col), "term").agg(F.count(F.lit(1)).alias("df")))
 
@@ -295,6 +340,9 @@ def prepare_questions(index: DataFrame, questions: DataFrame, id_col: str = "que
     # zero fill, ranges); it is small (one row per question), so it is
     # materialised once in the shared checkpoint folder.
     out = cut_lineage(out)
+    packed = getattr(index, "_sifter_packed", None)
+    if packed is not None and not _codes_clash(stats.vocab, mark_bounded(qt.select("term").distinct(), n_tok)):
+        out._sifter_coded = packed  # type: ignore[attr-defined]
     out._sifter_terms = n_tok  # type: ignore[attr-defined]
     out._sifter_entries = n_tok if not embedding_col else None  # type: ignore[attr-defined]
     out._sifter_group = group_col  # type: ignore[attr-defined]

@@ -62,9 +62,8 @@ def _doc_index(spark, sf):
     # it is written once, bucketed by doc_id, to the shared checkpoint folder.
     # It carries the knowledge-base column (source), so the same table serves
     # whole-collection and per-KB retrieval.
-    return _cached_index(spark, sf, "doc", lambda: materialize_bucketed(
-        R.build_index(T.documents(spark, sf).withColumnRenamed("source", "kb_name"),
-                      group_col="kb_name"), "sifter_doc_index"))
+    return _cached_index(spark, sf, "doc", lambda: R.store_index(
+        T.scan(spark, sf, "documents").withColumnRenamed("source", "kb_name"), "sifter_doc_index", group_col="kb_name"))
 
 
 def _qside(spark, sf, index):

@@ -15,8 +15,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 _ROW_HEAVY = {"documents", "pages", "conversations", "events", "embeddings", "labels"}
 
 
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as its files are dealt, for jobs that deal the rows themselves."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = scan(spark, sf_dir, name)
     return ensure_parallelism(df) if name in _ROW_HEAVY else df
 
 
