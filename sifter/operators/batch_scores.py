@@ -8,6 +8,7 @@ returned, by the same rounding and the same ties as :func:`sifter.operators.retr
 
 from __future__ import annotations
 
+import math
 import sys
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
@@ -96,7 +97,7 @@ def asked_by_group(side: pa.Table, group: str | None, ranges: pa.Table | None =
             coded = terms.field("term").dictionary_encode()
             order = np.argsort(coded.indices.to_numpy(), kind="stable")
             asked.terms = coded.dictionary
-            codes = term_codes(_cut(asked.terms))
+            codes = term_codes(asked.terms)
             asked.coded = np.argsort(codes, kind="stable")
             asked.codes = codes[asked.coded]
             asked.starts = np.searchsorted(coded.indices.to_numpy()[order], np.arange(len(coded.dictionary) + 1))
@@ -165,23 +166,24 @@ def keyword_scores(asked: Asked, dl: pa.Array, tf: pa.Array, k1: float, b: float
     return _summed(asked, dl, row[hit], code, _floats(items.take(pa.array(hit))), k1, b)
 
 
-def coded_scores(asked: Asked, dl: pa.Array, codes: pa.Array, counts: pa.Array, k1: float, b: float) -> np.ndarray:
-    """:func:`keyword_scores` of stored term codes: the question terms' codes belong to no other term of the index
+def coded_scores(asked: Asked, dl: pa.Array, postings: pa.Array, k1: float, b: float) -> np.ndarray:
+    """:func:`keyword_scores` of stored postings: the question terms' codes belong to no other term of the index
     (``retrieval.prepare_questions`` looks)."""
     if asked.terms is None or len(asked.terms) == 0:
-        return np.zeros((len(codes), len(asked.ids)))
-    row, flat = _lists(codes)
-    flat, many = flat.to_numpy(), pc.list_flatten(counts).to_numpy()
+        return np.zeros((len(postings), len(asked.ids)))
+    ends, flat = _bytes(postings)
+    flat = flat[ends[0]:ends[-1]].view(POSTING)
+    row, codes = np.repeat(np.arange(len(postings)), np.diff(ends) // POSTING.itemsize), flat["code"]
     sieve = getattr(asked, "_sieve", None)
     if sieve is None:
         sieve = asked._sieve = np.zeros(1 << 16, dtype=bool)
         sieve[asked.codes & 0xFFFF] = True
-    hit = np.nonzero(sieve[flat & 0xFFFF])[0]
-    held = flat[hit]
+    hit = np.nonzero(sieve[codes & 0xFFFF])[0]
+    held = codes[hit]
     place = np.minimum(np.searchsorted(asked.codes, held), len(asked.codes) - 1)
     same = asked.codes[place] == held
     hit = hit[same]
-    return _summed(asked, dl, row[hit], asked.coded[place[same]], many[hit].astype(np.float64), k1, b)
+    return _summed(asked, dl, row[hit], asked.coded[place[same]], flat["n"][hit].astype(np.float64), k1, b)
 
 
 def _summed(asked: Asked, dl: pa.Array, row: np.ndarray, code: np.ndarray, count: np.ndarray, k1: float, b: float) -> np.ndarray:
@@ -290,43 +292,66 @@ def _split(texts: pa.Array, others: pa.Array) -> pa.Array:
                                     mask=none)
 
 
-_HELD = 200_000          # codes of one generation
+_SHORT = 55             # bytes that md5 takes in one block
+_STEP = 16_384           # tokens hashed at once
+_SHIFTS = [[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]]
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2 ** 32)) for i in range(64)]
+
+
+def _digest_heads(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """First 8 bytes (big-endian) of the md5 of strings of at most 55 bytes: one block each, all strings at once."""
+    n = len(sizes)
+    block = np.zeros((n, 64), dtype=np.uint8)
+    row = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    block[row, place] = flat[starts[row] + place]
+    block[np.arange(n), sizes] = 0x80
+    words = np.ascontiguousarray(block.view("<u4").T)
+    words[14] = sizes * 8
+    first = [np.full(n, x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = first
+    for i in range(64):
+        if i < 16:
+            mixed, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            mixed, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            mixed, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            mixed, g = c ^ (b | ~d), (7 * i) % 16
+        mixed += a
+        mixed += words[g]
+        mixed += _SINES[i]
+        turn = _SHIFTS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + ((mixed << np.uint32(turn)) | (mixed >> np.uint32(32 - turn)))
+    heads = np.empty((n, 2), dtype="<u4")
+    heads[:, 0], heads[:, 1] = a + first[0], b + first[1]
+    return heads.view(">i8").reshape(n).astype(np.int64)
+
+
+def term_codes(terms: pa.Array) -> np.ndarray:
+    """The first 8 bytes of every term's md5 as a whole number (``retrieval.term_code``)."""
+    found = np.zeros(len(terms), dtype=np.int64)
+    if len(terms) == 0:
+        return found
+    ends, flat = _bytes(terms)
+    starts, sizes = ends[:-1], np.diff(ends)
+    short = np.nonzero(sizes <= _SHORT)[0]
+    for at in range(0, len(short), _STEP):
+        some = short[at:at + _STEP]
+        found[some] = _digest_heads(flat, starts[some], sizes[some])
+    for i in np.nonzero(sizes > _SHORT)[0]:
+        whole = flat[starts[i]:ends[i + 1]].tobytes()
+        found[i] = int.from_bytes(md5(whole, usedforsecurity=False).digest()[:8], "big", signed=True)
+    return found
 
 
-def _cut(terms: pa.Array) -> list[bytes]:
-    """Values of a string array without nulls as bytes (``to_pylist`` makes a scalar of each)."""
-    held = terms.cast(pa.binary())
-    if len(held) == 0:
-        return []
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string or binary array without nulls."""
+    held = col.cast(pa.binary())
     _, offsets, data = held.buffers()
-    ends = np.frombuffer(offsets, np.int32)[held.offset:held.offset + len(held) + 1].tolist()
-    data = b"" if data is None else data.to_pybytes()
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-
-def _code(term: bytes) -> int:
-    return int.from_bytes(md5(term, usedforsecurity=False).digest()[:8], "big", signed=True)
-
-
-class _Codes(dict):
-    """Codes of the tokens met before, in two generations: frequent tokens are hashed once a task."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict = {}
-
-    def __missing__(self, term: bytes) -> int:
-        if len(self) >= _HELD:
-            self.older = self.copy()
-            self.clear()
-        code = self.older.get(term)
-        self[term] = code = _code(term) if code is None else code
-        return code
-
-
-def term_codes(terms: list[bytes], known=None) -> np.ndarray:
-    """The first 8 bytes of every term's md5 as a whole number (``retrieval.term_code``)."""
-    return np.fromiter(map(_code if known is None else known.__getitem__, terms), np.int64, len(terms))
+    ends = np.frombuffer(offsets, np.int32)[held.offset:held.offset + len(held) + 1].astype(np.int64)
+    return ends, np.frombuffer(data or b"", np.uint8)
 
 
 def _token_codes(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +360,7 @@ def _token_codes(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return found % dim, np.where((found // dim) % 2 == 0, 1.0, -1.0)
 
 
-def _counted(tokens: pa.Array, dim: int | None, known=None, packed: bool = False) -> list[pa.Array]:
+def _counted(tokens: pa.Array, dim: int | None, packed: bool = False) -> list[pa.Array]:
     """``dl``, ``tf`` (terms in byte order; with ``packed`` the columns of :data:`PACKED`) and, with ``dim``, the hashed
     vector of every token list."""
     n = len(tokens)
@@ -348,11 +373,15 @@ def _counted(tokens: pa.Array, dim: int | None, known=None, packed: bool = False
     pairs, counts = np.unique(row * max(len(terms), 1) + place[code], return_counts=True)
     owner, term = pairs // max(len(terms), 1), order[pairs % max(len(terms), 1)] if len(terms) else pairs
     offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-    held, hashes = terms.take(pa.array(term)), term_codes(_cut(terms), known) if dim or packed else None
+    held, hashes = terms.take(pa.array(term)), term_codes(terms) if dim or packed else None
     out = [pc.list_value_length(tokens).cast(pa.int32())]
     if packed:
         lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), values)
-        out += [pc.binary_join(lists(held), " "), lists(pa.array(hashes[term])), lists(pa.array(counts.astype(np.int32)))]
+        posts = np.empty(len(term), dtype=POSTING)
+        posts["code"], posts["n"] = hashes[term], counts
+        ends = (offsets.astype(np.int64) * POSTING.itemsize).astype(np.int32)
+        out += [pc.binary_join(lists(held), " "), lists(pa.array(counts.astype(np.int32))),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(posts.tobytes())])]
     else:
         out.append(pa.MapArray.from_arrays(pa.array(offsets), held, pa.array(counts.astype(np.int32))))
     if dim:
@@ -362,9 +391,11 @@ def _counted(tokens: pa.Array, dim: int | None, known=None, packed: bool = False
     return out
 
 
-# What a stored index holds for ``tf``: its terms in byte order with a space between, their codes and their counts.
-PACKED = [ST.StructField("terms", ST.StringType()), ST.StructField("codes", ST.ArrayType(ST.LongType())),
-          ST.StructField("counts", ST.ArrayType(ST.IntegerType()))]
+# What a stored index holds for ``tf``: its terms in byte order with a space between, their counts, and both as numbers
+# that batch scores take as they are: code and count of every term, in the same order.
+POSTING = np.dtype([("code", "<i8"), ("n", "<i4")])
+PACKED = [ST.StructField("terms", ST.StringType()), ST.StructField("counts", ST.ArrayType(ST.IntegerType())),
+          ST.StructField("postings", ST.BinaryType())]
 
 
 def term_counts(packed: DataFrame) -> DataFrame:
@@ -392,12 +423,11 @@ def count_rows(docs: DataFrame, text: str, dim: int | None, packed: bool = False
         ST.StructField("vec", ST.ArrayType(ST.DoubleType()))])
 
     def run(batches):
-        known = _Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 split = _split(some.column("_text"), some.column("_toks"))
-                cols = [some.column(f.name) for f in keep] + _counted(split, dim, known, packed)
+                cols = [some.column(f.name) for f in keep] + _counted(split, dim, packed)
                 if dim is None:
                     cols.append(some.column("vec"))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
@@ -519,8 +549,8 @@ def _scored(part: Asked, docs: pa.RecordBatch, kind: str, alpha: float, k1: floa
     bm = sem = None
     empty = np.zeros(docs.num_rows, dtype=bool)
     if kind != "semantic":
-        bm = (coded_scores(part, docs.column("dl"), docs.column("codes"), docs.column("counts"), k1, b)
-              if "codes" in docs.schema.names else keyword_scores(part, docs.column("dl"), docs.column("tf"), k1, b))
+        bm = (coded_scores(part, docs.column("dl"), docs.column("postings"), k1, b)
+              if "postings" in docs.schema.names else keyword_scores(part, docs.column("dl"), docs.column("tf"), k1, b))
     if kind != "keyword":
         sem = cosines(part, docs.column("vec"), docs.column("vnorm"))
         empty = docs.column("vec").is_null().to_numpy(zero_copy_only=False)
@@ -540,7 +570,7 @@ def _columns(index: DataFrame, qside: DataFrame, group: str | None, kind: str) -
     packed = getattr(index, "_sifter_packed", None)
     words = ["dl", "tf"]
     if packed is not None and getattr(qside, "_sifter_coded", None) is packed:
-        index, words = packed, ["dl", "codes", "counts"]
+        index, words = packed, ["dl", "postings"]
     cols = [group] if group else []
     cols += ["doc_id"] + (words if kind != "semantic" else []) + (["vec", "vnorm"] if kind != "keyword" else [])
     return index.select(*cols)

@@ -175,7 +175,7 @@ def store_index(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: st
 
     Texts are dealt to the buckets before they are counted, so a bucket is one task and one file whatever files and row
     groups the documents come in, and there are as many buckets as keep one at a share of a scan's partition. ``tf`` is stored
-    as ``terms, codes, counts`` (:data:`batch_scores.PACKED`): batch scores read the numbers alone, and the map is put
+    as ``terms, counts, postings`` (:data:`batch_scores.PACKED`): batch scores read the postings alone, and the map is put
     together for those who ask for it.
     """
     rows = _index_input(docs, id_col, text_col, None, group_col)

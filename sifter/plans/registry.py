@@ -534,7 +534,9 @@ def _eval_rows(spark, sf, group_col=None):
     idx, ranked = _eval_ranked(spark, sf, group_col)
     ranked = mark_bounded(cut_lineage(ranked), ranked._sifter_rows)  # ids, read twice
     gts = qs.select("question_id", F.array("question").alias("ground_truths"))
-    rows = cut_lineage(EV.evaluation_term_rows(ranked, qs, docs, idx, keys, ground_truths=gts))
+    rows = EV.evaluation_term_rows(ranked, qs, docs, idx, keys, ground_truths=gts)
+    # Few bytes but much work a row: one task would score them all.
+    rows = cut_lineage(rows.repartition(spark.sparkContext.defaultParallelism, *keys))
     _INDEX_CACHE[key] = rows
     return rows, keys
 
