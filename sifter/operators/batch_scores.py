@@ -212,6 +212,14 @@ def ranked_value(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_rows(who: np.ndarray, score: np.ndarray, ids: pa.Array, n_q: int, k: int, value: np.ndarray | None = None) -> np.ndarray:
+    """Every question's first k rows by rounded score and id."""
+    place = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    order = np.lexsort((place, -(ranked_value(score) if value is None else value), who))
+    starts = np.searchsorted(who[order], np.arange(n_q))
+    return order[np.arange(len(who)) - starts[who[order]] < k]
+
+
 class Best:
     """The first k documents of every question of a group among those seen, by rounded score and id."""
 
@@ -241,18 +249,13 @@ class Best:
         if not self.who:
             return
         who, score, ids = np.concatenate(self.who), np.concatenate(self.score), pa.concat_arrays(self.ids)
-        place = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
         value = ranked_value(score)
-        order = np.lexsort((place, -value, who))
-        who = who[order]
-        starts = np.searchsorted(who, np.arange(len(self.asked.ids)))
-        rank = np.arange(len(who)) - starts[who]
-        keep = rank < self.k
-        last = order[rank == self.k - 1]
-        floor = value[last]
-        self.floor[who[rank == self.k - 1]] = np.where(np.isfinite(floor), floor - 10.0 ** -DIGITS, floor)
-        chosen = order[keep]
-        self.who, self.score, self.ids = [who[keep]], [score[chosen]], [ids.take(pa.array(chosen))]
+        chosen = first_rows(who, score, ids, len(self.asked.ids), self.k, value)
+        who = who[chosen]
+        last = np.arange(len(who)) - np.searchsorted(who, who) == self.k - 1
+        floor = value[chosen[last]]
+        self.floor[who[last]] = np.maximum(self.floor[who[last]], np.where(np.isfinite(floor), floor - 10.0 ** -DIGITS, floor))
+        self.who, self.score, self.ids = [who], [score[chosen]], [ids.take(pa.array(chosen))]
         self.waiting = len(chosen)
 
     def rows(self) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -437,60 +440,6 @@ def count_rows(docs: DataFrame, text: str, dim: int | None, packed: bool = False
 
 # ----------------------------------------------------------- stored indexes
 
-def posting_blocks(docs: DataFrame, group: str | None, k1: float, b: float) -> DataFrame:
-    """``[group,] block, term, bound, postings`` from ``[group,] block, doc_id, dl, avgdl, tf``, dealt and sorted by
-    (group, block): the last block of a step waits for the next one."""
-    keys = ([group] if group else []) + ["block"]
-    id_field = ST.StructField("doc_id", docs.schema["doc_id"].dataType)
-    schema = ST.StructType([docs.schema[c] for c in keys] + [
-        ST.StructField("term", ST.StringType()), ST.StructField("bound", ST.DoubleType()),
-        ST.StructField("postings", ST.ArrayType(ST.StructType([id_field, ST.StructField("impact", ST.DoubleType())])))])
-
-    def runs(rows: pa.RecordBatch) -> np.ndarray:
-        new = np.zeros(rows.num_rows, dtype=bool)
-        for c in keys:
-            code = pc.fill_null(rows.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-            new[1:] |= code[1:] != code[:-1]
-        return np.cumsum(new)
-
-    def blocks(rows: pa.RecordBatch) -> pa.RecordBatch:
-        run, tf = runs(rows), rows.column("tf")
-        offsets = tf.offsets.to_numpy()
-        first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
-        row = np.repeat(np.arange(rows.num_rows), np.diff(offsets))
-        coded = tf.keys.slice(first, size).dictionary_encode()
-        code, count = coded.indices.to_numpy().astype(np.int64), _floats(tf.items.slice(first, size))
-        impact = count * (k1 + 1) / (count + k1 * (
-            (1 - b) + b * _floats(rows.column("dl"))[row] / _floats(rows.column("avgdl"))[row]))
-        owner = run[row] * max(len(coded.dictionary), 1) + code
-        order = np.argsort(owner, kind="stable")
-        owner, impact, row, code = owner[order], impact[order], row[order], code[order]
-        starts = np.nonzero(np.append(True, owner[1:] != owner[:-1]))[0] if len(owner) else np.zeros(0, np.int64)
-        bound = np.maximum.reduceat(impact, starts) if len(starts) else np.zeros(0)
-        held = pa.StructArray.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(impact)], ["doc_id", "impact"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owner)).astype(np.int32)), held)
-        at = pa.array(row[starts])
-        return pa.RecordBatch.from_arrays(
-            [rows.column(c).take(at) for c in keys]
-            + [coded.dictionary.take(pa.array(code[starts])), pa.array(bound), lists], names=schema.names)
-
-    def run(batches):
-        waiting = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
-                if waiting is not None:
-                    rows = pa.Table.from_batches([waiting, rows]).combine_chunks().to_batches()[0]
-                last = int(np.searchsorted(runs(rows), runs(rows)[-1]))
-                if last:
-                    yield blocks(rows.slice(0, last))
-                waiting = rows.slice(last)
-        if waiting is not None:
-            yield blocks(waiting)
-
-    return docs.select(*keys, "doc_id", "dl", "avgdl", "tf").mapInArrow(run, schema)
-
-
 def nearest_cells(rows: DataFrame, centroids: list[tuple[int, list[float]]], no_cell: int) -> DataFrame:
     """``rows`` (with ``vec, vnorm``) and their ``cell`` (the last of equally near ones) and ``angle``; ``no_cell`` at angle
     0 without a direction. ``centroids``: (cell, unit vector)."""

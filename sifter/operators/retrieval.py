@@ -31,7 +31,7 @@ from sifter.functions.vectors import (HASH_DIM, dense_entries, entries_dot_dense
                                       hashed_entries, norm)
 from sifter.operators import batch_scores as B
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
-from sifter.session import cut_lineage, materialize_bucketed
+from sifter.session import cut_lineage, materialize, materialize_bucketed
 
 # Library defaults of the BM25-Okapi scorer and the hybrid blend.
 BM25_K1 = 1.5
@@ -254,10 +254,14 @@ class IndexStats:
 
 def index_stats(index: DataFrame, params: BM25Params = BM25Params(),
                 group_col: str | None = None) -> IndexStats:
-    """Compute the term dictionary and global statistics once (reliable
-    checkpoints), for callers that ask several question batches."""
-    vocab = cut_lineage(document_frequency(index, group_col))
-    return IndexStats(vocab, cut_lineage(with_floor(vocab, corpus_stats(index, group_col), params, group_col, index)))
+    """Compute the term dictionary and global statistics once an index and group column (stored
+    tables), for callers that ask several question batches."""
+    held = index.__dict__.setdefault("_sifter_stats", {})
+    if (params, group_col) not in held:
+        vocab = materialize(document_frequency(index, group_col), "term-dictionary")
+        held[params, group_col] = IndexStats(vocab, cut_lineage(with_floor(
+            vocab, corpus_stats(index, group_col), params, group_col, index)))
+    return held[params, group_col]
 
 
 def with_floor(vocab: DataFrame, stats: DataFrame, params: BM25Params = BM25Params(), group_col: str | None = None,
