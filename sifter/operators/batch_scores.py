@@ -73,6 +73,16 @@ def _floats(col: pa.Array) -> np.ndarray:
     return np.asarray(col.to_numpy(zero_copy_only=False), dtype=np.float64)
 
 
+def group_rows(batch: pa.RecordBatch, group: str | None) -> list[tuple]:
+    """The rows of a batch by group."""
+    if not group:
+        return [(None, batch)]
+    coded = batch.column(group).dictionary_encode()
+    codes = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
+    return [(coded.dictionary[int(c)].as_py() if c < len(coded.dictionary) else None,
+             batch.take(pa.array(np.nonzero(codes == c)[0]))) for c in np.unique(codes)]
+
+
 def _group_values(col: pa.Array | None, n: int) -> list:
     return [None] * n if col is None else col.to_pylist()
 
@@ -116,6 +126,20 @@ def asked_by_group(side: pa.Table, group: str | None, ranges: pa.Table | None =
     return found
 
 
+def by_question(plans: dict, rows: pa.Table, group: str | None):
+    """``plan, places of its questions, rows`` of every group."""
+    names = rows.column(group).to_pylist() if group else [None] * rows.num_rows
+    asked = rows.column("query_id").to_pylist()
+    held: dict = {}
+    for i, name in enumerate(names):
+        held.setdefault(name, []).append(i)
+    for name, mine in held.items():
+        plan = plans.get(name)
+        if plan is not None:
+            places = {q: i for i, q in enumerate(plan.asked.ids.to_pylist())}
+            yield plan, np.array([places[asked[i]] for i in mine], dtype=np.int64), rows.take(pa.array(mine))
+
+
 RANGES = ["bm25_min", "bm25_max", "semantic_min", "semantic_max"]
 
 
@@ -237,10 +261,14 @@ class Best:
             kth = np.partition(seen, len(seen) - self.k, axis=0)[len(seen) - self.k]
             cut = np.maximum(cut, np.where(np.isfinite(kth), kth - 1.5 * 10.0 ** -DIGITS, kth))
         row, col = np.nonzero(seen >= cut[None, :])
-        self.who.append(col)
-        self.score.append(seen[row, col])
-        self.ids.append(ids.take(pa.array(row)))
-        self.waiting += len(row)
+        self.keep(col, seen[row, col], ids.take(pa.array(row)))
+
+    def keep(self, who: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        """Rows by question; infinite scores stand for NaN and null as in :meth:`add`."""
+        self.who.append(who)
+        self.score.append(score)
+        self.ids.append(ids)
+        self.waiting += len(who)
         self.steps += 1
         if self.steps in (1, 8, 64) or self.waiting > 2 * self.k * len(self.asked.ids) + 50_000:
             self.prune()
@@ -474,14 +502,7 @@ def _steps(batches, asked_groups: dict, group: str | None):
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             some = batch.slice(at, ROWS)
-            if group:
-                coded = some.column(group).dictionary_encode()
-                codes = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
-                mine = [(coded.dictionary[int(c)].as_py() if c < len(coded.dictionary) else None,
-                         some.take(pa.array(np.nonzero(codes == c)[0]))) for c in np.unique(codes)]
-            else:
-                mine = [(None, some)]
-            for name, docs in mine:
+            for name, docs in group_rows(some, group):
                 asked = asked_groups.get(name)
                 if asked is None or (group and name is None):   # a null group joins with nothing
                     continue
@@ -515,7 +536,8 @@ def _schema(index: DataFrame, qside: DataFrame, group: str | None, more: list[st
                          + [ST.StructField(c, ST.DoubleType()) for c in more])
 
 
-def _columns(index: DataFrame, qside: DataFrame, group: str | None, kind: str) -> DataFrame:
+def score_columns(index: DataFrame, qside: DataFrame, group: str | None, kind: str) -> DataFrame:
+    """What batch scores read of an index."""
     packed = getattr(index, "_sifter_packed", None)
     words = ["dl", "tf"]
     if packed is not None and getattr(qside, "_sifter_coded", None) is packed:
@@ -552,7 +574,26 @@ def score_ranges(index: DataFrame, qside: DataFrame, asked: dict, group: str | N
 
     schema = _schema(index, qside, group, RANGES, False)
     names, kind = schema.names, to_arrow_type(schema[0].dataType)
-    return _columns(index, qside, group, "both").mapInArrow(run, schema)
+    return score_columns(index, qside, group, "both").mapInArrow(run, schema)
+
+
+def pair_scores(rows: DataFrame, qside: DataFrame, asked: dict, group: str | None, k1: float, b: float) -> DataFrame:
+    """``[group,] query_id, doc_id, bm, sem`` of the questions in ``asked_by`` of every row (:func:`score_columns`)."""
+    def run(batches):
+        for name, first, part, docs in _steps(batches, asked, group):
+            bm, sem, empty = _scored(part, docs, "both", 0.0, k1, b)
+            row, who = _lists(docs.column("asked_by"))
+            place = pc.index_in(who, value_set=part.ids)
+            mine = np.nonzero(place.is_valid().to_numpy(zero_copy_only=False))[0]
+            at, col = row[mine], place.take(pa.array(mine)).to_numpy(zero_copy_only=False).astype(np.int64)
+            cols = [pa.array([name] * len(at), of_group)] if group else []
+            yield pa.RecordBatch.from_arrays(
+                cols + [part.ids.take(pa.array(col)), docs.column("doc_id").take(pa.array(at)), pa.array(bm[at, col]),
+                        pa.array(sem[at, col], mask=empty[at])], names=names)
+
+    schema = _schema(rows, qside, group, ["bm", "sem"], True)
+    names, of_group = schema.names, to_arrow_type(schema[0].dataType)
+    return rows.mapInArrow(run, schema)
 
 
 def best_rows(index: DataFrame, qside: DataFrame, asked: dict, group: str | None, kind: str, k: int,
@@ -583,4 +624,4 @@ def best_rows(index: DataFrame, qside: DataFrame, asked: dict, group: str | None
 
     schema = _schema(index, qside, group, ["score"], True)
     names, of_group = schema.names, to_arrow_type(schema[0].dataType)
-    return _columns(index, qside, group, kind).mapInArrow(run, schema)
+    return score_columns(index, qside, group, kind).mapInArrow(run, schema)

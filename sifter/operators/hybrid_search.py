@@ -10,7 +10,7 @@ aggregate over all their hits.
 *Rounds.* The first m documents of both lists are scored whole by one join with the document index. A document
 in neither list scores at most the blend of the two m-th scores, so a question is finished when its k-th hybrid score is above
 that; the others go on with eight times as many, or are scored against all documents in batches
-(``retrieval.hybrid_topk``) once that takes less time than the next round. At the end of a list the blend is that of documents nobody has
+(``retrieval.hybrid_topk``) once that takes less time than the next round, or the lists would hold more than ``ROUND_ROWS`` rows. At the end of a list the blend is that of documents nobody has
 seen: if it is the least possible score, the smallest ids complete the result.
 
 One scoring join serves a round, and nothing is folded into a map per document: rows are keyed by (group, question,
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifter.functions.vectors import entries_dot_dense
+from sifter.operators import batch_scores as B
 from sifter.operators import keyword_index as KI
 from sifter.operators import retrieval as R
 from sifter.operators import vector_index as VI
@@ -36,6 +37,8 @@ GROWTH = 8
 MARGIN = 2e-6
 # A round of depth m costs a question about as much as scoring this many times m documents in batches.
 SCAN_FACTOR = 256
+# Rows of a round's lists, over all questions: batches score all documents without moving or storing any pair.
+ROUND_ROWS = 200_000
 
 
 @dataclass
@@ -64,7 +67,7 @@ class HybridResult:
 def _part(qside: DataFrame, some: DataFrame, n: int) -> DataFrame:
     """The rows of a question side that are still open, with its marks."""
     out = mark_bounded(cut_lineage(qside.join(some, R._keys(qside), "left_semi")), n)
-    for mark in ("_sifter_group", "_sifter_terms"):
+    for mark in ("_sifter_group", "_sifter_terms", "_sifter_coded"):
         if hasattr(qside, mark):
             setattr(out, mark, getattr(qside, mark))
     return out
@@ -87,6 +90,12 @@ def keyword_ranges(hindex: HybridIndex, qside: DataFrame, best: DataFrame) -> Da
     if n_hard == 0:
         return easy
     hard = _part(qside, known.where(~F.col("easy")).select(*keys), n_hard)
+    asked = R._asked(hindex.docs, hard)
+    if asked is not None:  # a row a question and task; a document without a shared term scores 0
+        p = hindex.keyword.params
+        ends = B.score_ranges(hindex.docs, hard, asked, R._group_of(hard), p.k1, p.b).groupBy(*keys).agg(
+            F.min("bm25_min").alias("bm_min"), F.max("bm25_max").alias("bm_max"))
+        return easy.unionByName(ends)
     ends = R.bm25_hits(hindex.docs, hard, hindex.keyword.params).groupBy(*keys).agg(
         F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count(F.lit(1)).alias("n"))
     full = (F.col("n") == F.col("n_docs"))  # every document shares a term: 0 is not among the scores
@@ -110,10 +119,17 @@ def _ends(hindex: HybridIndex, qside: DataFrame, words: DataFrame, near: DataFra
 
 
 def _both_scores(hindex: HybridIndex, qside: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``keys, doc_id, bm, sem`` of (question, document) pairs: one join with the document index."""
-    keys, g = R._keys(qside), R._g(hindex.keyword.group_col)
-    p = hindex.keyword.params
+    """``keys, doc_id, bm, sem`` of (question, document) pairs: one join with the document index, a document with all its questions."""
+    keys, group = R._keys(qside), hindex.keyword.group_col
+    g, p, n = R._g(group), hindex.keyword.params, getattr(pairs, "_sifter_rows", None)
+    held = R._asked(hindex.docs, qside)
+    if held is not None:
+        by_doc = pairs.groupBy(*g, "doc_id").agg(F.collect_list("query_id").alias("asked_by"))
+        by_doc = bounded_broadcast(mark_bounded(by_doc, n)) if n is not None else by_doc
+        rows = B.score_columns(hindex.docs, qside, group, "both").join(by_doc, g + ["doc_id"])
+        return B.pair_scores(rows, qside, held, group, p.k1, p.b)
     side = bounded_broadcast(R._keep_bound(qside.select(*keys, "qterms", "qvec", "qnorm", "avgdl"), qside))
+    pairs = bounded_broadcast(pairs) if n is not None else pairs
     rows = hindex.docs.select(*g, "doc_id", "dl", "tf", "vec", "vnorm").join(pairs, g + ["doc_id"]).join(side, keys)
 
     def gain(t):
@@ -152,6 +168,9 @@ def search(hindex: HybridIndex, qside: DataFrame, k: int = R.DEFAULT_TOP_K, alph
                     else open_side.select(*keys).crossJoin(F.broadcast(ids)))  # FIRST_IDS rows a group
         asked = words.select(*keys, "doc_id").unionByName(near.select(*keys, "doc_id")).unionByName(
             smallest.select(*keys, "doc_id")).distinct()
+        n_asked = getattr(open_side, "_sifter_rows", None)
+        if n_asked is not None:
+            asked = mark_bounded(asked, n_asked * (2 * depth + KI.FIRST_IDS))
         scored = _both_scores(hindex, open_side, asked).join(bounded_broadcast(ends), keys)
         scored = materialize(scored.withColumn("score", _blend(F.col("bm"), F.col("sem"), alpha)), "hybrid-scores")
         pairs += scored.count()
@@ -177,7 +196,7 @@ def search(hindex: HybridIndex, qside: DataFrame, k: int = R.DEFAULT_TOP_K, alph
             break
         open_side = _part(open_side, state.where(~F.col("over")).select(*keys), n_open)
         depth = min(depth * GROWTH, largest)
-        if depth * SCAN_FACTOR > largest:
+        if depth * SCAN_FACTOR > largest or depth * n_open > ROUND_ROWS:
             per_group = sizes.join(open_side.groupBy(*g).agg(F.count(F.lit(1)).alias("_q")), g) if g else \
                 sizes.withColumn("_q", F.lit(n_open))
             pairs += per_group.agg(F.sum(F.col("_docs") * F.col("_q"))).first()[0] or 0

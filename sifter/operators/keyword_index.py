@@ -148,20 +148,6 @@ def _over_segments(kindex: KeywordIndex, qside: DataFrame, plans: dict, step, do
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _by_question(plans: dict, rows: pa.Table, group: str | None):
-    """``plan, places of its questions, rows`` of every group."""
-    names = rows.column(group).to_pylist() if group else [None] * rows.num_rows
-    asked = rows.column("query_id").to_pylist()
-    held: dict = {}
-    for i, name in enumerate(names):
-        held.setdefault(name, []).append(i)
-    for name, mine in held.items():
-        plan = plans.get(name)
-        if plan is not None:
-            places = {q: i for i, q in enumerate(plan.asked.ids.to_pylist())}
-            yield plan, np.array([places[asked[i]] for i in mine], dtype=np.int64), rows.take(pa.array(mine))
-
-
 def _running(values: np.ndarray, who: np.ndarray) -> np.ndarray:
     """Running sums inside every question (``who`` ascending)."""
     total = np.cumsum(values)
@@ -200,25 +186,12 @@ def _idle(plan: Plan, most: np.ndarray) -> None:
     plan.slack = np.bincount(asked.askers[idle], weights=most[idle], minlength=len(asked.ids)).astype(np.float64)
 
 
-# Question sides are searched in parts of this size, as far as the driver and the tasks hold them: vectors, terms and seeds.
-SIDE_BYTES = R.SIDE_BYTES
-
-
 def _parts(qside: DataFrame, k: int) -> list[DataFrame]:
-    """The question side in parts of at most about ``SIDE_BYTES``."""
+    """The question side in parts whose terms and promising documents fit the driver and the tasks."""
     n, terms = getattr(qside, "_sifter_rows", None), getattr(qside, "_sifter_terms", None)
     if n is None or terms is None:
         n, terms = qside.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qterms")), F.lit(0))).first()
-    parts = -(-(n * (64 + 40 * SEED_DOCS * k) + 56 * terms) // SIDE_BYTES)
-    if parts <= 1:
-        return [qside]
-    deal = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(parts))
-    out = []
-    for i in range(parts):
-        part = qside.where(deal == i)
-        part._sifter_group = R._group_of(qside)  # type: ignore[attr-defined]
-        out.append(R._keep_bound(part, qside))
-    return out
+    return R.dealt(qside, n * (64 + 40 * SEED_DOCS * k) + 56 * terms)
 
 
 def search(kindex: KeywordIndex, qside: DataFrame, k: int = R.DEFAULT_TOP_K, fill: bool = True) -> KeywordResult:
@@ -262,7 +235,7 @@ def _found(kindex: KeywordIndex, qside: DataFrame, k: int) -> DataFrame:
         *keys, "segment", "place").toArrow()
     for plan in plans.values():
         plan.seeds = (np.zeros(0, np.int64),) * 3
-    for plan, who, rows in _by_question(plans, promising, kindex.group_col):
+    for plan, who, rows in B.by_question(plans, promising, kindex.group_col):
         plan.seeds = (who, rows["segment"].to_numpy().astype(np.int64), rows["place"].to_numpy().astype(np.int64))
 
     def whole(seg, plan):
@@ -276,7 +249,7 @@ def _found(kindex: KeywordIndex, qside: DataFrame, k: int) -> DataFrame:
                   .where((F.col("_n") == k) & (F.col("theta") > 0)).select(*keys, "theta").toArrow())
     for plan in plans.values():
         plan.theta, plan.seeds = np.full(len(plan.asked.ids), np.nan), None
-    for plan, who, rows in _by_question(plans, thresholds, kindex.group_col):
+    for plan, who, rows in B.by_question(plans, thresholds, kindex.group_col):
         plan.theta[who] = rows["theta"].to_numpy()
     for name, plan in plans.items():
         _idle(plan, most[name])

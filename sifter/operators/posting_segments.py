@@ -23,7 +23,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as ST
 
-from sifter.operators.batch_scores import Asked, _bytes, _floats, _lists, first_rows
+from sifter.operators.batch_scores import Asked, _bytes, _floats, _lists, first_rows, group_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -58,7 +58,7 @@ def posting_segments(docs: DataFrame, group: str | None, k1: float, b: float, bl
             return _segment(rows, group, (task << 32) + made - 1, k1, b, block_docs, schema)
 
         for batch in batches:
-            for name, rows in _by_group(batch, group):
+            for name, rows in group_rows(batch, group):
                 while rows.num_rows:
                     some = rows.slice(0, size - held.get(name, 0))
                     rows = rows.slice(some.num_rows)
@@ -75,15 +75,6 @@ def posting_segments(docs: DataFrame, group: str | None, k1: float, b: float, bl
     return docs.select(*([group] if group else []), "doc_id", "dl", "avgdl", *words).mapInArrow(run, schema)
 
 
-def _by_group(batch: pa.RecordBatch, group: str | None):
-    if not group:
-        return [(None, batch)]
-    coded = batch.column(group).dictionary_encode()
-    codes = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
-    return [(coded.dictionary[int(c)].as_py() if c < len(coded.dictionary) else None,
-             batch.take(pa.array(np.nonzero(codes == c)[0]))) for c in np.unique(codes)]
-
-
 def _counted_terms(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Row, term and count of every posting."""
     if "terms" in rows.schema.names:

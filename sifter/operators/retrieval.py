@@ -109,6 +109,18 @@ def _join_side(big: DataFrame, small: DataFrame, group_col: str | None) -> DataF
     return held.join(asked, _g(group_col) + ["_block", "_range"]).drop("_block", "_range")
 
 
+def dealt(qside: DataFrame, size: int) -> list[DataFrame]:
+    """A question side of ``size`` bytes in parts of at most about ``SIDE_BYTES``, with its marks."""
+    parts = -(-size // SIDE_BYTES)
+    if parts <= 1:
+        return [qside]
+    out = [qside.where(F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(parts)) == i) for i in range(parts)]
+    for part in out:
+        part._sifter_group = _group_of(qside)  # type: ignore[attr-defined]
+        _keep_bound(part, qside)
+    return out
+
+
 # Up to as many (question, document) pairs the row expressions take less time (15 microseconds a pair) than Python workers
 # take to start.
 ROW_PAIRS = 100_000

@@ -8,7 +8,8 @@ angle of every (cell, ring) and its number of vectors.
 *Exact search.* Angles between directions are a metric. A vector at angle r from a centroid which is at angle f
 from the question lies at |f - r| or more from the question. The nearest parts are searched until they
 hold enough vectors; the k-th best cosine there is the threshold, and only parts whose angles allow it are visited, in
-which only vectors whose own angle allows it are multiplied. The rows are those of the full scan.
+which only vectors whose own angle allows it can be ranked. Vectors meet the questions in Arrow batches
+(:mod:`sifter.operators.cell_scores`); a task returns its k best per question. The rows are those of the full scan.
 
 *Approximate search* visits the parts of a question's ``probes`` nearest cells and nothing else. The number of probes
 is calibrated when it isn't given: a sample of at most ``CALIBRATION`` indexed vectors asks for its exact neighbours, and as
@@ -23,16 +24,23 @@ Zero vectors have no direction: they score 0 with everything, as in the full sca
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sifter.functions.vectors import dense_entries, entries_dot_dense, l2_normalize
 from sifter.operators import batch_scores as B
 from sifter.operators import retrieval as R
+from sifter.operators.cell_scores import Reach, nearest_parts, seek
 from sifter.plans.sizing import bounded_broadcast, mark_bounded
 from sifter.session import cut_lineage, discard, materialize, materialize_clustered
 
@@ -62,7 +70,7 @@ class VectorIndex:
 def fit_centroids(index: DataFrame, n_cells: int | None = None, seed: int = 7) -> DataFrame:
     """``cell, centroid`` from a sample of the directions: ``n_cells`` defaults to the square root of the number of
     vectors, at most ``MAX_CELLS``, and the sample has at most about ``SAMPLE_PER_CELL`` rows a cell."""
-    some = index.where("vnorm > 0")
+    some = index.where("vnorm > 0 and not isnan(vnorm)")
     n = some.count()
     if n == 0:
         return index.sparkSession.createDataFrame([], "cell int, centroid array<double>")
@@ -167,24 +175,118 @@ class VectorResult:
     work: DataFrame
 
 
+def _plans(qside: DataFrame) -> dict:
+    return {name: Reach(asked) for name, asked in B.asked_by_group(
+        qside.select(*R._keys(qside), "qvec", "qnorm").toArrow(), R._group_of(qside)).items()}
+
+
+def _first_parts(vindex: VectorIndex, qside: DataFrame, units: dict, wanted: int) -> DataFrame:
+    """``keys, cell, ring``: the parts nearest to every question, until they hold ``wanted`` vectors. Questions meet the index's
+    directory (of their group), not its vectors."""
+    group, keys = vindex.group_col, R._keys(qside)
+    side = qside.select(*keys, "qvec", "qnorm")
+    schema = ST.StructType([side.schema[c] for c in keys] + [
+        ST.StructField("cell", ST.IntegerType()), ST.StructField("ring", ST.IntegerType())])
+    names = schema.names
+    parts = vindex.parts.select(*R._g(group), "cell", "ring", "low", "high", "n")
+
+    def first(asked: pa.Table, held: pa.Table) -> pa.Table:
+        made = [pa.table({c: asked.column(c).slice(0, 0) for c in keys} | {c: pa.array([], pa.int32()) for c in ("cell", "ring")})]
+        cells, rings = held["cell"].to_numpy().astype(np.int64), held["ring"].to_numpy().astype(np.int64)
+        for mine in B.asked_by_group(asked, group).values():
+            who, part = nearest_parts(mine, cells, held["low"].to_numpy(), held["high"].to_numpy(), held["n"].to_numpy(), rings,
+                                      units, NO_CELL, wanted)
+            cols = {group: pa.array([asked[group][0].as_py()] * len(who), asked[group].type)} if group else {}
+            made.append(pa.table(cols | {"query_id": mine.ids.take(pa.array(who)), "cell": pa.array(cells[part].astype(np.int32)),
+                                         "ring": pa.array(rings[part].astype(np.int32))}))
+        return pa.concat_tables([t.select(names).cast(made[0].select(names).schema) for t in made])
+
+    if group:
+        return side.groupBy(group).cogroup(parts.groupBy(group)).applyInArrow(
+            lambda asked, held: first(asked, held), schema)
+    held = parts.toArrow()  # at most MAX_CELLS x the rings of a half turn
+
+    def run(batches):
+        for batch in batches:
+            yield from first(pa.Table.from_batches([batch]), held).to_batches()
+
+    return side.mapInArrow(run, schema)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _sought(vindex: VectorIndex, vectors: DataFrame, qside: DataFrame, plans: dict, units: dict, k: int) -> DataFrame:
+    """``keys, doc_id, raw``: every task's k best among the vectors in reach, and rows that count its work: ``keys, visited,
+    multiplied``."""
+    group = vindex.group_col
+    fields = [vectors.schema[group]] if group else []
+    fields += [ST.StructField("query_id", qside.schema["query_id"].dataType), ST.StructField("doc_id", vectors.schema["doc_id"].dataType)]
+    schema = ST.StructType([ST.StructField(f.name, f.dataType) for f in fields] + [
+        ST.StructField("raw", ST.DoubleType()), ST.StructField("visited", ST.LongType()), ST.StructField("multiplied", ST.LongType())])
+    names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches):
+        for name, rows, seeker in seek(batches, plans, units, NO_CELL, k, group):
+            of = lambda n: [pa.array([name] * n, kinds[0])] if group else []
+            if rows is not None:
+                who, ids, score = rows
+                value = pa.array(np.where(np.isposinf(score), np.nan, score), mask=np.isneginf(score))
+                yield pa.RecordBatch.from_arrays(of(len(who)) + [who, ids, value] + [pa.nulls(len(who), pa.int64())] * 2, names=names)
+            some = np.nonzero(seeker.visited)[0]
+            yield pa.RecordBatch.from_arrays(
+                of(len(some)) + [seeker.plan.asked.ids.take(pa.array(some)), pa.nulls(len(some), kinds[-4]),
+                                 pa.nulls(len(some), pa.float64()), pa.array(seeker.visited[some]),
+                                 pa.array(seeker.multiplied[some])], names=names)
+
+    return vectors.select(*R._g(group), "cell", "ring", "doc_id", "vec", "vnorm", "angle").mapInArrow(run, schema)
+
+
+def _found(vindex: VectorIndex, qside: DataFrame, units: dict, k: int) -> DataFrame:
+    """The threshold from the nearest parts, then all that lies in its reach."""
+    group, keys, g = vindex.group_col, R._keys(qside), R._g(vindex.group_col)
+    plans = _plans(qside)
+    seeds = _first_parts(vindex, qside, units, SEED_FACTOR * k).toArrow()
+    for plan in plans.values():
+        plan.seeds = {}
+    for plan, who, rows in B.by_question(plans, seeds, group):
+        spots = list(zip(rows["cell"].to_pylist(), rows["ring"].to_pylist()))
+        for i, spot in enumerate(spots):
+            plan.seeds.setdefault(spot, []).append(who[i])
+        plan.seeds = {spot: np.array(mine) for spot, mine in plan.seeds.items()}
+    named = qside.sparkSession.createDataFrame(seeds.select([*g, "cell", "ring"]).group_by([*g, "cell", "ring"]).aggregate([])) \
+        if seeds.num_rows else vindex.parts.select(*g, "cell", "ring").limit(0)
+    near = vindex.vectors.join(bounded_broadcast(mark_bounded(named, seeds.num_rows)), g + ["cell", "ring"], "left_semi")
+    best = R.top_k(_sought(vindex, near, qside, plans, units, k).where("raw is not null and not isnan(raw)").withColumn(
+        "score", F.col("raw")), k, part_col=keys)
+    least = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("least")).where(F.col("n") == k).toArrow()
+    for plan in plans.values():
+        plan.seeds, plan.theta = None, np.full(len(plan.asked.ids), np.nan)
+    for plan, who, rows in B.by_question(plans, least, group):
+        plan.theta[who] = rows["least"].to_numpy()
+    for plan in plans.values():
+        plan.reach = np.where(np.isnan(plan.theta), 4.0, np.arccos(np.clip(plan.theta - MARGIN, -1.0, 1.0)) + MARGIN)
+    return materialize(_sought(vindex, vindex.vectors, qside, plans, units, k), "vector-found")
+
+
 def exact_search(vindex: VectorIndex, qside: DataFrame, k: int = R.DEFAULT_TOP_K) -> VectorResult:
-    """The k nearest vectors of every question (``retrieval.prepare_questions``), as the full scan gives them."""
+    """The k nearest vectors of every question (``retrieval.prepare_questions``), as the full scan gives them. Only each
+    task's k best in reach are stored and ranked, never the pairs."""
     keys = R._keys(qside)
-    visits = cut_lineage(_visits(vindex, qside))
-    nearest = Window.partitionBy(*keys).orderBy("nearest", "phi", "cell", "ring")
-    first = visits.withColumn("_before", F.sum("n").over(nearest) - F.col("n")).where(
-        F.col("_before") < SEED_FACTOR * k).drop("_before")
-    seeds = cut_lineage(_ranked(_scored(vindex, qside, first, keys, False), k, keys))
-    reach = seeds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("raw").alias("_least")).select(
-        *keys, F.when(F.col("_n") == k, _angle(F.col("_least") - MARGIN) + MARGIN).otherwise(
-            F.lit(4.0)).alias("reach"))
-    reach = bounded_broadcast(R._keep_bound(reach, qside))
-    going = visits.join(reach, keys).where(F.col("nearest") <= F.col("reach"))
-    found = _scored(vindex, qside, going, keys, True)
-    ranked = _ranked(found.unionByName(_directionless(vindex, qside, k, keys)), k, keys)
-    work = going.groupBy(*keys).agg(F.sum("n").alias("visited")).join(
-        found.groupBy(*keys).agg(F.count(F.lit(1)).alias("multiplied")), keys, "left")
-    return VectorResult(ranked, work)
+    units = {r["cell"]: r["centroid"] for r in vindex.centroids.collect()}  # at most MAX_CELLS rows
+    n_q = getattr(qside, "_sifter_rows", None)
+    seeds = 40 * SEED_FACTOR * k * (qside.count() if n_q is None else n_q)
+    found = [_found(vindex, part, units, k) for part in R.dealt(qside, R._side_bytes(qside) + seeds)]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    ranked = _ranked(rows.where("visited is null").select(*keys, "doc_id", "raw").unionByName(
+        _directionless(vindex, qside, k, keys)), k, keys)
+    work = rows.where("visited is not null").groupBy(*keys).agg(
+        F.sum("visited").alias("visited"), F.sum("multiplied").alias("multiplied"))
+    out = VectorResult(cut_lineage(ranked), cut_lineage(work))
+    discard(*found)  # ranks and counts are stored
+    return out
 
 
 def _cell_order(visits: DataFrame, keys: list[str]) -> DataFrame:
