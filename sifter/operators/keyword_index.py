@@ -2,8 +2,8 @@
 
 *Index.* Documents stay in the task that reads them and are inverted there in segments of a few thousand
 (:mod:`sifter.operators.posting_segments`): a row a term with its postings and, for every block of ``BLOCK_DOCS`` documents
-that holds it, a bound for their impacts (the term-frequency part of BM25). Nothing is shuffled to build it, and a posting takes about
-four bytes. A search reads the rows of the questions' terms once and deals them by segment.
+that holds it, a bound for their impacts (the term-frequency part of BM25). Nothing is shuffled to build it, and a posting takes four to
+five bytes. A search reads the rows of the questions' terms once and deals them by segment.
 
 *Search.* Four steps over all questions. Steps run inside the segments; between them only promising documents, thresholds
 and ranked rows move, never (question, document) pairs:
